@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, quality_rules, url_filter
+from . import bpe, langid, media, packing, quality_rules, url_filter
 from .columns import bucket_of
 
 
@@ -18,6 +19,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.learn_references(docs), keep=["doc_id"])
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = bucket_of(F.col("doc_id"), 5) == 0
@@ -29,9 +34,13 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep=["doc_id"])
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), keep=["page_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_language_id, op6_media, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_best_fit_packing, op4_language_id, op6_media, op9_byte_bpe, op10_url_filter)}
 ORACLES = {"op10_url_filter": url_filter.ORACLE}
