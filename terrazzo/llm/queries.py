@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, packing, quality_rules, url_filter
+from . import bpe, langid, media, packing, quality_rules, suffix_dedup, url_filter
 from .columns import bucket_of
 
 
@@ -30,6 +30,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), dictionaries, keep=["doc_id", "held_out"])
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -42,5 +46,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), keep=["page_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_best_fit_packing, op4_language_id, op6_media, op9_byte_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_best_fit_packing, op4_language_id, op5_suffix_dedup, op6_media, op9_byte_bpe, op10_url_filter)}
 ORACLES = {"op10_url_filter": url_filter.ORACLE}
