@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, packing, quality_rules, suffix_dedup, url_filter
+from . import bpe, langid, media, packing, probminhash, quality_rules, suffix_dedup, url_filter
 from .columns import bucket_of
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.classes(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.learn_references(docs), keep=["doc_id"])
@@ -46,5 +50,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), keep=["page_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_best_fit_packing, op4_language_id, op5_suffix_dedup, op6_media, op9_byte_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_quality_rules, op3_best_fit_packing, op4_language_id, op5_suffix_dedup, op6_media, op9_byte_bpe, op10_url_filter)}
 ORACLES = {"op10_url_filter": url_filter.ORACLE}
