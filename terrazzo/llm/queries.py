@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, knn_quality, langid, media, packing, probminhash, quality_rules, suffix_dedup, url_filter
+from . import bpe, knn_quality, langid, maxent_lm, media, packing, probminhash, quality_rules, suffix_dedup, url_filter
 from .columns import bucket_of
 
 
@@ -49,6 +49,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality.score(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), model, keep=["doc_id", "held_out"])
 
 
+def op8_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(bucket_of(F.col("doc_id"), 7) == 2, F.lit(False))
+    return maxent_lm.score(docs.withColumn("held_out", held_out), "held_out")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep=["doc_id"])
 
@@ -57,5 +63,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), keep=["page_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_quality_rules, op3_best_fit_packing, op4_language_id, op5_suffix_dedup, op6_media, op7_quality_classifier, op9_byte_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_quality_rules, op3_best_fit_packing, op4_language_id, op5_suffix_dedup, op6_media, op7_quality_classifier, op8_maxent_lm, op9_byte_bpe, op10_url_filter)}
 ORACLES = {"op10_url_filter": url_filter.ORACLE}
