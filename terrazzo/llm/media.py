@@ -142,14 +142,25 @@ def npy(tile: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def features(picture: np.ndarray, side: int) -> tuple[str, bytes]:
+    """The difference hash and the NPY tile."""
+    grey = grey_of(picture)
+    return f"{dhash(grey):016x}", npy(np.rint(shrink(grey, side, side)).astype(np.uint8))
+
+
+def stored_text(data: bytes, encode) -> bytes:
+    """A picture of the bytes, zero-padded to full rows."""
+    rows = max(1, -(-len(data) // WIDTH))
+    return encode(np.frombuffer(data.ljust(rows * WIDTH, b"\0"), np.uint8).reshape(rows, WIDTH))
+
+
 def text_media(df: DataFrame, text: str = "text", form: str = "pgm", keep: list[str] | None = None) -> DataFrame:
     """Append ``media``: the text's bytes, zero-padded to rows of 64 samples, as a picture."""
     encode = {"pgm": encode_pgm, "bmp": encode_bmp}[form]
 
     def run(texts: pa.Array) -> list:
         rows = blobs(texts)
-        media = [encode(np.frombuffer(x.ljust(max(1, -(-len(x) // WIDTH)) * WIDTH, b"\0"), np.uint8).reshape(-1, WIDTH)) for x in rows]
-        return [[len(x) for x in rows], media]
+        return [[len(x) for x in rows], [stored_text(x, encode) for x in rows]]
 
     return annotate(df, run, [text], T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]), keep)
 
@@ -168,9 +179,7 @@ def media_features(df: DataFrame, media: str = "media", side: int = 16, keep: li
             except (ValueError, IndexError, struct.error) as broken:
                 out.append((None, None, None, None, None, str(broken)))
                 continue
-            grey = grey_of(picture)
-            tile = npy(np.rint(shrink(grey, side, side)).astype(np.uint8))
-            out.append((*picture.shape[:2], f"{dhash(grey):016x}", tile, picture.tobytes() if samples else None, None))
+            out.append((*picture.shape[:2], *features(picture, side), picture.tobytes() if samples else None, None))
         return [list(x) for x in zip(*out, strict=True)] if out else [[]] * 6
 
     fields = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("dhash", T.StringType()), T.StructField("tile", T.BinaryType()), T.StructField("samples", T.BinaryType()), T.StructField("error", T.StringType())])
@@ -178,14 +187,21 @@ def media_features(df: DataFrame, media: str = "media", side: int = 16, keep: li
 
 
 def media_digest(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The digest columns of a text's picture, all taken from its stored bytes."""
-    pictures = media_features(text_media(df, text, keep=keep), keep=[*(df.columns if keep is None else keep), "n_bytes", "media"], samples=True)
+    """The digest columns of a text's picture, all taken from its stored bytes.
 
-    def run(samples: pa.Array, media: pa.Array, dhashes: pa.Array, tiles: pa.Array) -> list:
-        read, stored = samples.to_pylist(), media.to_pylist()
-        hexed = [hashlib.sha256(x).hexdigest() for x in read]
-        feature = [f"{d}-{hashlib.sha256(t).hexdigest()[:16]}" for d, t in zip(dhashes.to_pylist(), tiles.to_pylist(), strict=True)]
-        return [[len(x) for x in read], hexed, [zlib.crc32(x[-WIDTH:]) for x in read], [len(x) for x in stored], [hashlib.sha256(x).hexdigest() for x in stored], feature]
+    Pictures are stored, read back and dropped text by text, so no column of pictures is held.
+    """
 
-    fields = T.StructType([T.StructField(n, T.LongType() if n in ("payload_bytes", "tail_crc32", "media_bytes") else T.StringType()) for n in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")])
-    return annotate(pictures, run, ["samples", "media", "dhash", "tile"], fields, [*(df.columns if keep is None else keep), "n_bytes"])
+    def run(texts: pa.Array) -> list:
+        out: list[tuple] = []
+        for scalar in texts:
+            data = (scalar.as_py() or "").encode()
+            stored = stored_text(data, encode_pgm)
+            picture = decode(stored)
+            read = picture.tobytes()
+            grey, tile = features(picture, 16)
+            out.append((len(data), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{grey}-{hashlib.sha256(tile).hexdigest()[:16]}"))
+        return [list(x) for x in zip(*out, strict=True)] if out else [[]] * 7
+
+    fields = T.StructType([T.StructField(n, T.StringType() if n in ("payload_sha256", "media_sha256", "feature") else T.LongType()) for n in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")])
+    return annotate(df, run, [text], fields, keep)
