@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import estimates
 from ..operators import graph, labels, overlap, penalties, tally
 from ..sources import nation_grid as grid
-from . import model
+from . import enumeration, model, sampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -350,3 +350,116 @@ def with_reference(e):
 def bound_ensembles(e):
     return model.bind(e, e).assignments
 
+
+
+def _checked(m: model.PlanMap, plans: DataFrame) -> DataFrame:
+    """How many plans there are, how many have connected districts, and how many lie within bounds."""
+    asg = plans.select("draw", F.posexplode("plan").alias("unit_id", "district"))
+    whole = graph.pieces(m.edges, asg).groupBy("draw").agg(F.max("n_pieces").alias("most"), F.count(F.lit(1)).alias("k"))
+    fits = tally.tally(asg, m.units, p=m.pop).groupBy("draw").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    return whole.join(fits, "draw").agg(
+        F.count(F.lit(1)).alias("plans"),
+        F.count_if((F.col("most") == 1) & (F.col("k") == m.ndists)).alias("connected"),
+        F.count_if((F.col("low") >= m.bounds[0]) & (F.col("high") <= m.bounds[2])).alias("within_bounds"),
+    )
+
+
+def _sampled(sql: str):
+    """Register a function of the map; samplers have no SQL form, so ``sql`` states what must hold of every plan."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(grid.nation_map(spark, sf_dir, 0.2))
+        ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+@_sampled("SELECT CAST(100 AS BIGINT) AS plans, CAST(100 AS BIGINT) AS connected, CAST(100 AS BIGINT) AS within_bounds")
+def smc_plans(m):
+    return _checked(m, sampling.smc(m, 100, seed=3))
+
+
+def _existing(m: model.PlanMap, n: int) -> DataFrame:
+    """``n`` chains that start at plans by sequential Monte Carlo."""
+    return sampling.smc(m, n, seed=11).select(F.col("draw").alias("chain"), "plan")
+
+
+def _numbered(found: DataFrame, nsims: int) -> DataFrame:
+    return found.select(((F.col("chain") - 1) * nsims + F.col("draw")).alias("draw"), "plan")
+
+
+@_sampled("SELECT CAST(80 AS BIGINT) AS plans, CAST(80 AS BIGINT) AS connected, CAST(80 AS BIGINT) AS within_bounds")
+def mergesplit_chains(m):
+    return _checked(m, _numbered(sampling.chains(m, _existing(m, 4), 60, seed=4, warmup=20, thin=2), 60))
+
+
+@_sampled("SELECT CAST(120 AS BIGINT) AS plans, CAST(120 AS BIGINT) AS connected, CAST(120 AS BIGINT) AS within_bounds")
+def flip_chains(m):
+    return _checked(m, _numbered(sampling.chains(m, _existing(m, 4), 120, "flip", seed=5, thin=4), 120))
+
+
+@_sampled("SELECT CAST(40 AS BIGINT) AS plans, CAST(40 AS BIGINT) AS connected, CAST(40 AS BIGINT) AS within_bounds")
+def annealed_chains(m):
+    even = m.target
+    spread = lambda p: float(sum(abs(p_ - even) / even for p_ in _populations(p)))
+    loads = {r["unit_id"]: r["pop"] for r in m.units.select("unit_id", "pop").collect()}  # one row a unit, as the graph
+
+    def _populations(plan):
+        total: dict[int, int] = {}
+        for u, d in enumerate(plan):
+            total[int(d)] = total.get(int(d), 0) + loads[u]
+        return total.values()
+
+    return _checked(m, _numbered(sampling.chains(m, _existing(m, 2), 200, "flip", seed=6, thin=10, energy=spread, beta=sampling.annealing(60, 100, 40)), 200))
+
+
+@_sampled("SELECT TRUE AS never_worse, CAST(4 AS BIGINT) AS bursts")
+def short_bursts(m):
+    start = sampling.smc(m, 20, seed=12).filter("draw = 1").select("plan")
+    found = sampling.short_bursts(m, start, penalties.score_frac_kept(m.edges).of, 4, seed=2)
+    return found.select("burst", "score", F.max("score").over(_bursts()).alias("best")).agg(F.bool_and(F.col("score") >= F.col("best")).alias("never_worse"), F.count(F.lit(1)).alias("bursts"))
+
+
+def _bursts():
+    from pyspark.sql import Window as W
+
+    return W.orderBy("burst").rowsBetween(W.unboundedPreceding, 0)  # a row a burst
+
+
+@_sampled("SELECT TRUE AS all_connected, TRUE AS all_within_bounds, TRUE AS some_plans")
+def seed_and_grow(m):
+    found = _checked(m, sampling.seed_and_grow(m, 12, seed=8))
+    return found.select((F.col("plans") == F.col("connected")).alias("all_connected"), (F.col("plans") == F.col("within_bounds")).alias("all_within_bounds"), (F.col("plans") > 0).alias("some_plans"))
+
+
+def enumerated_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions of the whole grid into five connected districts of five units."""
+    m = grid.nation_map(spark, sf_dir)
+    return enumeration.count_partitions(spark, m.edges, m.units.withColumn("one", F.lit(1)), 5, "one", 5, 5)
+
+
+def enumerated_corner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions of a 3 x 3 corner into three connected districts of three units."""
+    m = grid.nation_map(spark, sf_dir).filter((F.col("gx") < 3) & (F.col("gy") < 3))
+    return enumeration.count_partitions(spark, m.edges, m.units.withColumn("one", F.lit(1)), 3, "one", 3, 3)
+
+
+QUERIES |= {"enumerated_grid": enumerated_grid, "enumerated_corner": enumerated_corner}
+_CELLS = range(9)
+#: All labellings of nine cells; three cells are connected if they hold two edges or more; each partition has six labellings.
+ORACLES["enumerated_corner"] = (
+    "WITH l AS (SELECT range AS d FROM range(3)), p AS (SELECT "
+    + ", ".join(f"l{i}.d AS c{i}" for i in _CELLS)
+    + " FROM "
+    + ", ".join(f"l AS l{i}" for i in _CELLS)
+    + ") SELECT CAST(COUNT(*) // 6 AS BIGINT) AS n FROM p WHERE "
+    + " AND ".join(
+        "("
+        + " + ".join(f"CAST(c{i} = {d} AS INT)" for i in _CELLS)
+        + ") = 3 AND ("
+        + " + ".join(f"CAST(c{a} = {d} AND c{b} = {d} AS INT)" for a in _CELLS for b in _CELLS if b == a + 3 or (b == a + 1 and b % 3))
+        + ") >= 2"
+        for d in range(3)
+    )
+)
