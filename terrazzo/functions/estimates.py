@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def truncated(draws: DataFrame, column: str = "wgt") -> DataFrame:
@@ -40,7 +41,7 @@ def interval_by_runs(draws: DataFrame, column: str, conf: float = 0.9) -> DataFr
     return runs.agg(F.avg("m").alias("estimate"), se.alias("se")).select("estimate", "se", (F.col("estimate") - z * F.col("se")).alias("low"), (F.col("estimate") + z * F.col("se")).alias("high"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     inverse = NormalDist().inv_cdf
     return p.map(lambda x: None if pd.isna(x) else inverse(min(max(x, 1e-12), 1 - 1e-12)))
