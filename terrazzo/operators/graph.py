@@ -142,7 +142,7 @@ def merge_units(units: DataFrame, keys: list[str], pop: str = "pop", shares: lis
 def frontier_sizes(ordered: DataFrame) -> DataFrame:
     """Frontier after each edge of an ordered list (pos, a, b): vertices begun and not ended."""
     ends = ordered.select("pos", F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-    change = ends.select(F.col("first").alias("pos"), F.lit(1).alias("d")).union(ends.select(F.col("last").alias("pos"), F.lit(-1).alias("d"))).groupBy("pos").agg(F.sum("d").alias("d"))
+    change = ordered.select("pos", F.lit(0).alias("d")).union(ends.select(F.col("first").alias("pos"), F.lit(1).alias("d"))).union(ends.select(F.col("last").alias("pos"), F.lit(-1).alias("d"))).groupBy("pos").agg(F.sum("d").alias("d"))
     # one row per edge of one map's order: bounded by the map, not by the ensemble
     return change.select("pos", F.sum("d").over(W.orderBy("pos")).alias("frontier"))
 

@@ -463,3 +463,74 @@ ORACLES["enumerated_corner"] = (
         for d in range(3)
     )
 )
+
+
+@query(", e AS (SELECT src AS a, dst AS b, ROW_NUMBER() OVER (ORDER BY src, dst) AS pos FROM edges WHERE src < dst), v AS (SELECT v, MIN(pos) AS f, MAX(pos) AS l FROM (SELECT a AS v, pos FROM e UNION ALL SELECT b, pos FROM e) GROUP BY v) SELECT pos, (SELECT COUNT(*) FROM v WHERE f <= pos AND l > pos) AS frontier FROM e")
+def frontier_sizes(e):
+    listed = e.map.edges.filter("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    order = listed.withColumn("pos", F.row_number().over(_edge_order()).cast("long"))
+    return graph.frontier_sizes(order)
+
+
+def _edge_order():
+    from pyspark.sql import Window as W
+
+    return W.orderBy("a", "b")  # the edges of one map
+
+
+@query("SELECT unit_id, CAST(county AS VARCHAR) AS county FROM units")
+def relabelled_counties(e):
+    return graph.relabel_counties(e.map.edges, e.map.units)
+
+
+@query("SELECT unit_id, CASE WHEN gy < 2 THEN CAST(existing - 1 AS INT) ELSE unit_id END AS frozen_with FROM units")
+def frozen_groups(e):
+    return graph.freeze(e.map.edges, e.map.existing_plan(), e.map.units.filter("gy < 2"))
+
+
+@query(", d AS (SELECT draw, CAST(MAX(pop) AS DOUBLE) AS x, CAST(MIN(pop) AS DOUBLE) AS w FROM tally GROUP BY 1), m AS (SELECT SUM(w * x) / SUM(w) AS m, SUM(w) AS s FROM d) SELECT ROUND(MIN(m), 6) AS estimate, ROUND(SQRT(SUM(w * w * (x - m) * (x - m))) / MIN(s), 6) AS se FROM d, m")
+def weighted_interval(e):
+    draws = e.stats.groupBy("draw").agg(F.max("total_pop").cast("double").alias("x"), F.min("total_pop").cast("double").alias("wgt"))
+    return estimates.weighted_interval(draws, "x").select(_r("estimate"), _r("se"))
+
+
+@query("SELECT range / 1000 AS share, ROUND(SQRT(GREATEST(0.55 - range / 1000, 0)), 6) AS penalty FROM range(1001)")
+def penalty_curve(e):
+    curve = penalties.penalty_curve(lambda s: F.sqrt(F.greatest(0.55 - s, F.lit(0.0))), e.assignments.sparkSession)
+    return curve.select("share", _r("penalty"))
+
+
+@query("SELECT draw, COUNT(*) FILTER (WHERE CAST(grp AS DOUBLE) / pop > 0.2) AS n FROM tally GROUP BY draw")
+def districts_over_share(e):
+    shares = tally.group_share(e.assignments, e.map.units, "grp")
+    return shares.groupBy("draw").agg(F.count_if(F.col("share") > 0.2).alias("n"))
+
+
+@query(_SHARES + ", gap AS (SELECT draw, unit_id, ABS(ROUND(s - (SELECT AVG(q.s) FROM proj q WHERE q.unit_id = proj.unit_id AND q.draw <> 1), 12)) AS g FROM proj) SELECT a.unit_id, ROUND(AVG(CASE WHEN b.g >= a.g THEN 1.0 ELSE 0.0 END), 2) AS p FROM gap a JOIN gap b ON a.unit_id = b.unit_id WHERE a.draw = 1 GROUP BY 1")
+def contrast_p_values(e):
+    found = overlap.contrast_p_values(e.assignments, tally.group_share(e.assignments, e.map.units, "grp"), "share", 1)
+    return found.select("unit_id", F.round("p", 2).alias("p"))
+
+
+@query(_PIECES + ", touched AS (SELECT DISTINCT draw, district, county FROM asg JOIN units USING (unit_id)) SELECT draw, ROUND(SUM(CAST(n > 1 AS INT) + 0.5 * CAST(n > 2 AS INT) + 0.25 * (n - 1)), 6) AS penalty FROM touched JOIN pieces USING (draw, county) GROUP BY 1")
+def split_penalties(e):
+    every = [penalties.splits(1.0), penalties.splits(0.5, kind="multisplits"), penalties.splits(0.25, kind="total_splits")]
+    return penalties.evaluate(e.assignments, e.map.units, every).select("draw", _r("penalty"))
+
+
+@query(_CUT + ", w AS (SELECT CAST(SUM(pop) AS DOUBLE) AS t, SUM(grp) / CAST(SUM(pop) AS DOUBLE) AS p FROM units), v AS (SELECT draw, pop * ABS(CAST(grp AS DOUBLE) / pop - p) / (2 * t * p * (1 - p)) + ABS(dvote / CAST(dvote + rvote AS DOUBLE) - 0.5) AS x FROM tally, w), c AS (SELECT draw, COUNT(*) AS n FROM cut GROUP BY 1) SELECT draw, ROUND(SUM(x) + MIN(n), 6) AS penalty FROM v JOIN c USING (draw) GROUP BY draw")
+def mixed_penalties(e):
+    every = [penalties.segregation(1.0, "grp"), penalties.compet(1.0, "dvote", "rvote"), penalties.edges_removed(1.0, e.map.edges)]
+    return penalties.evaluate(e.assignments, e.map.units, every).select("draw", _r("penalty"))
+
+
+@query(_JOINT + ", f AS (SELECT draw, district, CAST(p AS DOUBLE) / SUM(p) OVER (PARTITION BY draw, district) AS f FROM joint) SELECT draw, ROUND(SUM(-f * LN(f)) / 5 / LN(5), 6) + 0.0 AS penalty FROM f GROUP BY draw")
+def status_quo_penalty(e):
+    found = penalties.evaluate(e.assignments, e.map.units, [penalties.status_quo(1.0, e.map.existing_plan(), 5)])
+    return found.select("draw", (F.round("penalty", 6) + 0.0).alias("penalty"))
+
+
+@query("SELECT draw, ROUND(CAST(SUM(GREATEST(n - 1, 0)) AS DOUBLE), 6) AS penalty FROM (SELECT draw, district, COUNT(*) FILTER (WHERE unit_id IN (1, 7, 8, 20)) AS n FROM asg GROUP BY 1, 2) GROUP BY draw")
+def incumbency_penalty(e):
+    seats = e.map.units.filter(F.col("unit_id").isin(1, 7, 8, 20))
+    return penalties.evaluate(e.assignments, e.map.units, [penalties.incumbency(1.0, seats)]).select("draw", _r("penalty"))
