@@ -33,12 +33,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import annotate
+from .columns import annotate, quoted
 from .scratch import Scratch
 
 CAPACITY = 4096
 END = 1
-CACHED = 250_000
+CACHED = 400_000
 RANGE_ROWS = 60_000
 PIECE, GAP, PLACED, SHRUNK = 0, 1, 2, 3
 _TAIL = ".,;:!?)]}\"|*#$%&"
@@ -65,38 +65,32 @@ class WordTokens:
         return (core, word[len(core) :]) if len(core) < len(word) and core.isalpha() and unicodedata.is_normalized("NFC", core) else (word,)
 
     def learn(self, new: set[bytes]) -> None:
-        if len(self.words) > CACHED:
-            self.words.clear()
-        if len(self.parts) > CACHED:
-            self.parts.clear()
         cut = {w: self.split(w.decode()) for w in new}
         parts = [p for p in dict.fromkeys(chain.from_iterable(cut.values())) if p not in self.parts]
-        for at in range(0, len(parts), 5_000):
-            some = parts[at : at + 5_000]
+        for at in range(0, len(parts), 2_000):
+            some = parts[at : at + 2_000]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.parts[p] = np.array(e.ids, "<u4").tobytes()
         for w, own in cut.items():
             self.words[w] = b"".join([self.parts[p] for p in own])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        rows = []
-        for t in texts:
-            # lower case first where it can't differ, for fewer words to learn
-            if t and "<|" not in t and "Σ" not in t and "İ" not in t and unicodedata.is_normalized("NFC", t):
-                t = t.lower()
-            rows.append((t or "").encode().split())
-        out = []
-        for at in range(0, len(rows), 500):
-            some = rows[at : at + 500]
-            new = set(chain.from_iterable(some)) - self.words.keys()
-            if new:
-                known = len(self.words)
-                self.learn(new)
-                if len(self.words) < known + len(new):  # the cache was emptied meanwhile
-                    self.learn(set(chain.from_iterable(some)) - self.words.keys())
+    def encode(self, texts: pa.Array):
+        """Packed ids of each text, some hundred texts at a time."""
+        for at in range(0, len(texts), 250):
+            some = []
+            for t in texts.slice(at, 250).to_pylist():
+                # lower case first where it can't differ, for fewer words to learn
+                if t and "<|" not in t and "Σ" not in t and "İ" not in t and unicodedata.is_normalized("NFC", t):
+                    t = t.lower()
+                some.append((t or "").encode().split())
+            every = set(chain.from_iterable(some))
+            if len(self.words) + len(every) > CACHED:
+                self.words.clear()
+            if len(self.parts) > CACHED:
+                self.parts.clear()
+            self.learn(every - self.words.keys())
             get = self.words.__getitem__
-            out.extend(b"".join(map(get, r)) for r in some)
-        return out
+            yield from (b"".join(map(get, r)) for r in some)
 
 
 @cache
@@ -106,25 +100,29 @@ def word_tokens(path: str) -> WordTokens:
 
 def tokenize(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append ``ids``: the text's ids and the closing id, packed as 32-bit little-endian."""
-    end = np.array([END], "<u4").tobytes()
-    return annotate(df, lambda texts: [[x + end for x in word_tokens(path).encode(texts.to_pylist())]], [text], T.StructType([T.StructField("ids", T.BinaryType())]), keep)
+    return annotate(df, lambda texts: [[x + _CLOSE for x in word_tokens(path).encode(texts)]], [text], T.StructType([T.StructField("ids", T.BinaryType())]), keep)
 
 
+_CLOSE = np.array([END], "<u4").tobytes()
 PIECES = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
-def pieces(tokens: DataFrame, keep: list[str], capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece of ``ids``: piece, start, length and the checksum of its ids."""
+def pieces(df: DataFrame, path: str, keep: list[str], text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """One row per piece of a text's ids: piece, start, length and the checksum of its ids.
+
+    Ids are cut text by text, so no column of ids is held.
+    """
 
-    def cut(column: pa.Array) -> list:
+    def cut(texts: pa.Array) -> list:
         out = []
-        for x in column.to_pylist():
+        for x in word_tokens(path).encode(texts):
+            x += _CLOSE
             n = len(x) // 4
             out.append([{"piece": k, "start": s, "length": min(capacity, n - s), "ids_crc32": zlib.crc32(x[4 * s : 4 * min(n, s + capacity)])} for k, s in enumerate(range(0, n, capacity))])
         return [out]
 
-    whole = annotate(tokens, cut, ["ids"], T.StructType([T.StructField("_pieces", T.ArrayType(PIECES))]), keep)
-    return whole.select(*keep, F.inline("_pieces"))
+    whole = annotate(df, cut, [text], T.StructType([T.StructField("_pieces", T.ArrayType(PIECES))]), keep)
+    return whole.select(*[quoted(c) for c in keep], F.inline("_pieces"))
 
 
 SWEPT = T.StructType([T.StructField("what", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("range", T.IntegerType()), T.StructField("rank", T.LongType())])
@@ -245,19 +243,22 @@ def place(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, range_ro
         done.append(swept.filter(F.col("what") == PLACED).select("id", "seq", "at"))
         counts = swept.filter(F.col("what").isin(PIECE, GAP)).groupBy("what", "range").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("low"), F.max("size").alias("high")).collect()
         before, after = sum(left.values()), sum(r["n"] for r in counts if r["what"] == PIECE)
-        pieces_, open_ = swept.filter(F.col("what") == PIECE), swept.filter(F.col("what") == GAP)
+        pieces_, open_ = swept.filter(F.col("what") == PIECE), swept.filter(F.col("what") == GAP).select("what", "id", "size", "range", "rank")
         spans = _across(counts)
         if spans:
             table = F.broadcast(spark.createDataFrame(spans, "p int, first long, n long, q int, gap_first long, per long"))
             told = pieces_.join(table, (pieces_["range"] == table["p"]) & (pieces_["rank"] >= table["first"]) & (pieces_["rank"] < table["first"] + table["n"]), "left")
             step = F.col("rank") - F.col("first")
-            wanted = told.filter(F.col("q").isNotNull()).select("id", "size", F.col("q").alias("range"), (F.col("gap_first") + F.floor(step / F.col("per"))).cast("long").alias("rank"), step.alias("slot"))
-            met = wanted.join(open_.select("range", "rank", F.col("id").alias("seq"), F.col("size").alias("gap")), ["range", "rank"])
-            earlier = W.partitionBy("seq").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-            met = scratch.write(met.select("id", "seq", "size", (F.lit(capacity) - F.col("gap") + F.coalesce(F.sum("size").over(earlier), F.lit(0))).cast("int").alias("at")), f"met{k}")
-            done.append(met.select("id", "seq", "at"))
-            taken = met.groupBy(F.col("seq").alias("id")).agg(F.sum("size").alias("taken"))
-            open_ = open_.join(taken, "id", "left").select("what", "id", (F.col("size") - F.coalesce(F.col("taken"), F.lit(0))).cast("int").alias("size"))
+            wanted = told.filter(F.col("q").isNotNull()).select("what", "id", "size", F.col("q").alias("range"), (F.col("gap_first") + F.floor(step / F.col("per"))).cast("long").alias("rank"), step.alias("slot"))
+            # a gap and the pieces that it takes meet by rank: at most ``capacity`` rows
+            met = wanted.unionByName(open_.withColumn("slot", F.lit(-1).cast("long")))
+            own = W.partitionBy("range", "rank")
+            ordered = own.orderBy("slot")
+            own_size = F.when(F.col("slot") >= 0, F.col("size")).otherwise(0)
+            met = met.select("what", "id", F.first("id").over(ordered).alias("seq"), (F.lit(capacity) - F.first("size").over(ordered) + F.sum(own_size).over(ordered) - own_size).cast("int").alias("at"), (F.col("size") - F.sum(own_size).over(own)).cast("int").alias("size"))
+            met = scratch.write(met, f"met{k}")
+            done.append(met.filter(F.col("what") == PIECE).select("id", "seq", "at"))
+            open_ = met.filter(F.col("what") == GAP)
             pieces_ = told.filter(F.col("q").isNull())
             after -= sum(s[2] for s in spans)
         shrunk = swept.filter(F.col("what") == SHRUNK).select(F.lit(GAP).alias("what"), "id", "size")
@@ -273,8 +274,8 @@ def place(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, range_ro
 def pack(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """Per piece: the key, piece, start, length, ids_crc32, sequence_id and offset."""
     scratch = Scratch(docs.sparkSession, "packing")
-    cut = pieces(tokenize(docs, path, text, keep=[key]), [key], capacity)
+    cut = pieces(docs, path, [key], text, capacity)
     # ids are fixed by the write, so a lost task can't change them later
     items = scratch.write(cut.withColumn("id", F.monotonically_increasing_id()), "pieces")
     met = place(items.select("id", "length"), scratch, capacity)
-    return items.join(met, "id", "left").select(key, "piece", "start", "length", "ids_crc32", F.coalesce("seq", "id").alias("sequence_id"), F.coalesce(F.col("at").cast("long"), F.lit(0)).cast("long").alias("offset"))
+    return items.join(met, "id", "left").select(quoted(key), "piece", "start", "length", "ids_crc32", F.coalesce("seq", "id").alias("sequence_id"), F.coalesce(F.col("at").cast("long"), F.lit(0)).cast("long").alias("offset"))
