@@ -17,6 +17,16 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Rows of an Arrow batch: texts of a batch are held at once, by Spark and by a Python worker.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after telling its session to send rows to Python in small batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def annotate(
     df: DataFrame,
     fn: Callable[..., list],
@@ -31,7 +41,7 @@ def annotate(
     """
     kept = [c for c in (df.columns if keep is None else keep) if c not in fields.names]
     row = F.struct(*[quoted(c) for c in kept]) if kept else F.struct(F.lit(0).alias("_"))
-    src = df.select(row.alias("r"), *[(quoted(a) if isinstance(a, str) else a).alias(f"a{i}") for i, a in enumerate(args)])
+    src = bounded_batches(df).select(row.alias("r"), *[(quoted(a) if isinstance(a, str) else a).alias(f"a{i}") for i, a in enumerate(args)])
     schema = T.StructType([T.StructField("r", src.schema["r"].dataType), *fields.fields])
     arrow = to_arrow_schema(schema)
 

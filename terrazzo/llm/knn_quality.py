@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import annotate, blobs, quoted, slices
+from .columns import annotate, blobs, bounded_batches, quoted, slices
 
 #: Bound of the labelled sample, and of what is broadcast.
 MOST_LABELLED = 4_000
@@ -100,7 +100,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
                 total[-1] += len(rows)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(TERMS + 1)), pa.array(total)], names=["k", "n"])
 
-    sums = {r["k"]: r["n"] for r in docs.select(quoted(text).alias("t")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    sums = {r["k"]: r["n"] for r in bounded_batches(docs).select(quoted(text).alias("t")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
     found = np.array([sums.get(k, 0) for k in range(TERMS + 1)], np.int64)
     return found[:-1], int(found[-1])
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import annotate, blobs, joined, quoted, slices
+from .columns import annotate, blobs, bounded_batches, joined, quoted, slices
 
 # Frequent function words.
 COMMON = {
@@ -175,7 +175,7 @@ def learn_references(docs: DataFrame, text: str = "text", lang: str = "lang", mi
                         sums[label][-1] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["l", "v"])
 
-    parts = docs.filter(quoted(lang).isNotNull() & quoted(text).isNotNull()).select(quoted(lang).cast("string").alias("l"), quoted(text).alias("t")).mapInArrow(run, "l string, v array<long>")
+    parts = bounded_batches(docs).filter(quoted(lang).isNotNull() & quoted(text).isNotNull()).select(quoted(lang).cast("string").alias("l"), quoted(text).alias("t")).mapInArrow(run, "l string, v array<long>")
     sums = parts.select("l", F.posexplode("v").alias("k", "v")).groupBy("l", "k").agg(F.sum("v").alias("v"))
     found: dict[str, dict[int, int]] = {}
     for r in sums.collect():

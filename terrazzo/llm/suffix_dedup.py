@@ -38,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import annotate, blobs, joined, quoted, slices
+from .columns import annotate, blobs, bounded_batches, joined, quoted, slices
 from .scratch import Scratch
 
 SPAN, LEAD = 100, 32
-CHUNK = 3_000_000
+CHUNK = 1_500_000
 #: Suffixes in a bucket, buckets at most (then they grow), sampled suffixes a bucket.
 IN_BUCKET, MOST_BUCKETS, SAMPLED = 150_000, 50_000, 16
 _BASE = 0x9E3779B97F4A7C15
@@ -219,7 +219,7 @@ def compare(k0, k1, start, low, high, left: np.ndarray, right: np.ndarray, span:
 def keyed_rows(docs: DataFrame, text: str, key: str, columns: list[str]) -> DataFrame:
     """k0 and k1 tell documents apart, in order; t is the text, row the other columns."""
     others = [quoted(c) for c in columns if c != text]
-    return docs.select(F.struct(*(others or [F.lit(0).alias("_")])).alias("row"), quoted(text).alias("t"), F.coalesce(quoted(key).cast("long"), F.lit(-(1 << 63))).alias("k0"), F.xxhash64(quoted(text)).alias("k1"))
+    return bounded_batches(docs).select(F.struct(*(others or [F.lit(0).alias("_")])).alias("row"), quoted(text).alias("t"), F.coalesce(quoted(key).cast("long"), F.lit(-(1 << 63))).alias("k0"), F.xxhash64(quoted(text)).alias("k1"))
 
 
 def covered(keyed: DataFrame, span: int = SPAN, lead: int = LEAD) -> DataFrame:
