@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import annotate, blobs, quoted, slices
+from .columns import annotate, blobs, bounded_batches, quoted, slices
 from .scratch import Scratch
 
 CLASSES = 32
@@ -40,7 +40,7 @@ ONE, TWO, SKIP = 4_096, 4_096, 2_048
 PAIRS = (CLASSES + 1) ** 2
 #: First weight of each kind of feature: class before, word, two words, skipped word, two classes.
 STARTS = np.cumsum([0, CLASSES + 1, ONE, TWO, SKIP])
-FEATURES = int(STARTS[-1] + PAIRS)
+FEATURES = int(STARTS[-1] + PAIRS)  # below 2^16
 ROUNDS, BATCH, RATE = 2, 8_192, 0.15
 CHUNK = 1_500_000
 END = b"\n"
@@ -99,24 +99,34 @@ def features(t: Tokens) -> np.ndarray:
     return np.stack([c1, STARTS[1] + one, STARTS[2] + two, STARTS[3] + skip, STARTS[4] + c1 * (CLASSES + 1) + c2], 1)
 
 
-def log_class(weights: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Natural log of the class distribution of each token."""
+def _activations(weights: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Sums of the features' weights, less the largest of each token."""
     z = weights[found[:, 0]]
     for k in range(1, found.shape[1]):
-        z = z + weights[found[:, k]]
+        z += weights[found[:, k]]
     z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    return z
+
+
+def log_class(weights: np.ndarray, found: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of each token's class."""
+    z = _activations(weights, found)
+    own = z[np.arange(len(z)), target]
+    return own - np.log(np.exp(z, out=z).sum(1))
 
 
 def train_part(weights: np.ndarray, squares: np.ndarray, found: np.ndarray, target: np.ndarray) -> None:
     """AdaGrad steps in place, one for every batch of tokens."""
     for at in range(0, len(found), BATCH):
         f, y = found[at : at + BATCH], target[at : at + BATCH]
-        slope = np.exp(log_class(weights, f))
+        slope = _activations(weights, f)
+        np.exp(slope, out=slope)
+        slope /= slope.sum(1, keepdims=True)
         slope[np.arange(len(y)), y] -= 1
         for k in range(f.shape[1]):
-            order = np.argsort(f[:, k], kind="stable")
-            own = f[order, k]
+            key = f[:, k].astype(np.uint16)  # 16 bits: sorted by radix
+            order = np.argsort(key, kind="stable")
+            own = key[order]
             new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             g = np.add.reduceat(slope[order], new, axis=0)
             own = own[new]
@@ -245,7 +255,7 @@ def corpus_counts(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndar
 def score(docs: DataFrame, held_out: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: the key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     scratch = Scratch(docs.sparkSession, "lm")
-    base = docs.select(quoted(key).alias("id"), quoted(held_out).alias("held"), F.coalesce(quoted(key).cast("long"), F.lit(_LOWEST)).alias("k0"), F.xxhash64(quoted(text)).alias("k1"), quoted(text).alias("t"), (~quoted(held_out)).alias("learns"))
+    base = bounded_batches(docs).select(quoted(key).alias("id"), quoted(held_out).alias("held"), F.coalesce(quoted(key).cast("long"), F.lit(_LOWEST)).alias("k0"), F.xxhash64(quoted(text)).alias("k1"), quoted(text).alias("t"), (~quoted(held_out)).alias("learns"))
     told, by_class, words = corpus_counts(base, scratch)
     weights = train(base.filter("learns").select("k0", "k1", "t"))
     sent = docs.sparkSession.sparkContext.broadcast(weights)
@@ -256,7 +266,7 @@ def score(docs: DataFrame, held_out: str, text: str = "text", key: str = "doc_id
         for _, rows in _lowered(column):
             t = tokens(rows)
             found, kind = features(t), t.classes[t.word]
-            parts = [log_class(sent.value, found[a : a + BATCH])[np.arange(len(kind[a : a + BATCH])), kind[a : a + BATCH]] for a in range(0, len(kind), BATCH)]
+            parts = [log_class(sent.value, found[a : a + BATCH], kind[a : a + BATCH]) for a in range(0, len(kind), BATCH)]
             logs = np.concatenate(parts).astype(np.float64) / np.log(10) - lower[kind]
             n.append(t.sizes)
             classes.append(np.bincount(t.row, logs, minlength=len(rows)))
