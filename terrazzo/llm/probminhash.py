@@ -7,13 +7,16 @@ Processing a text stops once no arrival can be earlier than the latest register.
 signatures agree in a register with probability J_P, the probability Jaccard similarity.
 
 Texts with the same weighted set are one representative from the start. Representatives that
-agree in a band share a bucket. Nobody compares all pairs of a bucket: members are compared
-with leaders. The first round has the bucket's first member lead; later rounds take only
-buckets whose members are still in two components or more, and two leaders picked by hash
-anew for every bucket and round, one of them from the largest component; members of smaller
-components ask leaders of larger ones, until a round brings no link. Candidates whose signatures
-agree too little are left out (five standard deviations below the threshold); the others are
-verified by the exact J_P of their shingle sets. Verified links are joined to components.
+agree in a band share a bucket. Members are compared with leaders first: the first round has
+the bucket's first member lead; later rounds take only buckets whose members are still in two
+components or more, and two leaders picked by hash anew for every bucket and round, one of
+them from the largest component; members of smaller components ask leaders of larger ones,
+until a round brings no link. What is left is compared whole: in buckets that still hold two
+components, every pair across components meets in a tile of two salted blocks, members of
+the largest component with the others only. Candidates whose signatures agree too little are
+left out (five standard deviations below the threshold); the others are verified by the exact
+J_P of their shingle sets, in tiles after an exact bound on it. Verified links are joined to
+components.
 
 Defined cases: texts of one to four words are one shingle of all their words; a text without
 words (null, empty) is a class of its own; null ids come first; rows alike in id and text are
@@ -38,6 +41,8 @@ from .scratch import Scratch
 WORDS, REGISTERS, BANDS, ROWS = 5, 128, 25, 5
 THRESHOLD = 0.8
 ROUNDS = 5
+#: Members of a block of a tile; candidates of a tile from which bounds are worth a product.
+BLOCK, MANY = 1_000, 200
 CHUNK = 2_000_000
 _U = np.uint64
 _LOWEST = -(1 << 63)
@@ -193,9 +198,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return scratch.write(own.join(above, "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"{name}-all")
 
 
+def _least(threshold: float) -> float:
+    """Share of equal registers below which no similar pair is looked for."""
+    return threshold - 5 * math.sqrt(threshold * (1 - threshold) / REGISTERS)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose signatures may be similar and whose exact J_P reaches the threshold."""
-    least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / REGISTERS)
+    least = _least(threshold)
     a, b = (sets.select(F.col("rid").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("shingles").alias(f"set_{c}")) for c in ("a", "b"))
 
     def run(sig_a: pa.Array, sig_b: pa.Array, set_a: pa.Array, set_b: pa.Array) -> list:
@@ -217,6 +227,136 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return similar.filter(F.col("jp") >= threshold - 1e-12).select("a", "b")
 
 
+def tiles(shared: DataFrame, root: DataFrame, block: int) -> DataFrame:
+    """Members (band, x, y, block, rid, root) of the tiles of buckets that hold two components.
+
+    The first round compared the bucket's first member with all: it stays away.
+    """
+    members = shared.filter("rid <> b").select("band", "rid").join(root.withColumnRenamed("node", "rid"), "rid", "left").select("band", "rid", F.coalesce("root", "rid").alias("root"))
+    sizes = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
+    bands = sizes.groupBy("band").agg(F.sum("size").alias("n"), F.max(F.struct("size", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    crowd, others = (F.ceil(c / block) for c in (F.col("x.size"), F.col("n") - F.col("x.size")))
+    bands = bands.select("band", F.col("x.root").alias("most"), (F.col("n") <= block).alias("few"), crowd.alias("mc"), others.alias("mo"))
+    salt, own = F.xxhash64("rid", "band", F.lit("tile")), F.col("root") == F.col("most")
+    place = F.when(F.col("few"), F.lit(0).cast("long")).when(own, F.pmod(salt, F.col("mc"))).otherwise(F.col("mc") + F.pmod(salt, F.col("mo")))
+    meets = F.when(F.col("few"), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.when(own, F.col("mc")).otherwise(F.lit(0).cast("long")), F.col("mc") + F.col("mo") - 1))
+    dealt = members.join(bands, "band").select("band", "rid", "root", place.alias("block"), F.explode(meets).alias("with"))
+    return dealt.select("band", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "rid", "root")
+
+
+def bounds(left: list[tuple], right: list[tuple]) -> np.ndarray:
+    """Upper bounds of J_P, left x right.
+
+    1 / J_P has at least X / Cx + Y / Cy - 1 (Jensen), for weights X, Y of the sets of which Cx, Cy
+    are on common shingles; equality holds where all common weights are equal.
+    """
+    sets = left + right
+    size = [len(h) for h, _ in sets]
+    row = np.repeat(np.arange(len(sets)), size)
+    ids, col = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    weight = np.concatenate([w for _, w in sets])
+    n, whole = len(left), np.bincount(row, weight, minlength=len(sets))
+    both = (np.bincount(col[row < n], minlength=len(ids)) > 0) & (np.bincount(col[row >= n], minlength=len(ids)) > 0)
+    keep = both[col]
+    row, weight, col = row[keep], weight[keep], (np.cumsum(both) - 1)[col[keep]]
+    order = np.argsort(col, kind="stable")
+    row, weight, col = row[order], weight[order], col[order]
+    cx, cy = np.zeros((n, len(right)), np.float32), np.zeros((n, len(right)), np.float32)
+    for a in range(0, int(both.sum()), 2_000):
+        at = slice(*np.searchsorted(col, [a, a + 2_000]))
+        grid = np.zeros((len(sets), 2_000), np.float32)
+        np.add.at(grid, (row[at], col[at] - a), weight[at])
+        has = (grid > 0).astype(np.float32)
+        cx += grid[:n] @ has[n:].T
+        cy += has[:n] @ grid[n:].T
+    with np.errstate(divide="ignore"):
+        return 1 / (whole[:n, None] / cx + whole[None, n:] / cy - 1)
+
+
+def links_of_tile(band: int, same: bool, block: np.ndarray, root: np.ndarray, sig: np.ndarray, bands: np.ndarray, sets: list[bytes], threshold: float) -> list[tuple[int, int]]:
+    """Rows that link the components of a tile (``same``: of one block), a forest of all similar pairs.
+
+    Pairs that share an earlier band meet in that one's tiles.
+    """
+    rows = np.arange(len(root))
+    left, right = (rows, rows) if same else (rows[block == block.min()], rows[block == block.max()])
+    least = _least(threshold)
+    some: list[np.ndarray] = []
+    for at in range(0, len(left), 64):
+        part = left[at : at + 64]
+        cross = root[part][:, None] != root[right][None, :]
+        if same:
+            cross &= part[:, None] < right[None, :]
+        i, j = np.nonzero(cross)
+        if len(i) * 8 < cross.size:
+            near = (sig[part[i]] == sig[right[j]]).mean(1) >= least
+        else:
+            near = (sig[part][:, None, :] == sig[right][None, :, :]).mean(2)[i, j] >= least
+        i, j = part[i[near]], right[j[near]]
+        first = (bands[i] == bands[j]).argmax(1)
+        own = bands[i, first] == band
+        some.append(np.stack([i[own], j[own]], 1))
+    pairs = np.concatenate(some) if some else np.zeros((0, 2), np.int64)
+    known: dict[int, tuple] = {}
+
+    def content(k: int) -> tuple:
+        if k not in known:
+            known[k] = unpack_set(sets[k])
+        return known[k]
+
+    if len(pairs) > MANY:
+        (one, i), (two, j) = (np.unique(c, return_inverse=True) for c in pairs.T)
+        most = bounds([content(k) for k in one], [content(k) for k in two])[i, j]
+        pairs = pairs[most >= threshold - 1e-4]
+    above: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while k in above:
+            k = above[k]
+        return k
+
+    out = []
+    for i, j in pairs.tolist():
+        a, b = top(int(root[i])), top(int(root[j]))
+        if a != b and probability_jaccard(content(i), content(j)) >= threshold - 1e-12:
+            above[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def _across(shared: DataFrame, root: DataFrame, sets: DataFrame, reps: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links (a, b) of all similar pairs that share a bucket and no component."""
+
+    def run(batches):
+        now, held = None, []
+        for b in batches:
+            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if r[:3] != now:
+                    yield from found(now, held)
+                    now, held = r[:3], []
+                held.append(r[3:])
+        yield from found(now, held)
+
+    def found(key: tuple | None, held: list[tuple]):
+        if len({r[2] for r in held}) < 2:
+            return
+        own, rid, root_, sig, bands, data = zip(*held, strict=True)
+        links = links_of_tile(key[0], key[1] == key[2], np.array(own), np.array(root_), np.frombuffer(b"".join(sig), "<u2").reshape(len(sig), -1), np.array(bands), data, threshold)
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([rid[p[k]] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    dealt = tiles(shared, root, block).join(sets, "rid").join(reps.select("rid", "bands"), "rid")
+    order = ["band", "x", "y"]
+    return dealt.repartition(*order).sortWithinPartitions(*order).select(*order, "block", "rid", "root", "sig", "bands", "shingles").mapInArrow(run, "a long, b long").distinct()
+
+
+def _joined(links: DataFrame, root: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """``root`` after links between components have moved whole components."""
+    joined = components(scratch.write(_rooted(links, root).distinct(), f"between{k}"), scratch, f"c{k}").select(F.col("node").alias("root"), F.col("root").alias("to"))
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().join(root, "node", "left_anti").select("node", F.col("node").alias("root"))
+    return scratch.write(root.union(ends).join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"root{k}")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """Per document (k0, k1 as in ``keyed``): class_id, class_size, kept."""
     scratch = Scratch(docs.sparkSession, "near")
@@ -250,10 +390,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         if root is None:
             root = scratch.write(components(links, scratch, "c0"), "root0")
         else:
-            # links between components move whole components
-            joined = components(scratch.write(_rooted(links, root).distinct(), f"between{k}"), scratch, f"c{k}").select(F.col("node").alias("root"), F.col("root").alias("to"))
-            ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().join(root, "node", "left_anti").select("node", F.col("node").alias("root"))
-            root = scratch.write(root.union(ends).join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"root{k}")
+            root = _joined(links, root, scratch, k)
         sized = root.join(root.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").select(F.col("node").alias("rid"), "root", "size")
         members = shared.select("band", "rid").join(sized, "rid", "left").select("band", "rid", F.coalesce("root", "rid").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
         order = F.xxhash64("rid", "band", F.lit(k))
@@ -264,6 +401,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         # the smaller component asks the larger: one stranger never meets a whole crowd
         asks = (F.col("root") != F.col("to")) & ((F.col("size") < F.col("most")) | ((F.col("size") == F.col("most")) & (F.col("root") > F.col("to"))))
         pairs = members.join(leads, "band").filter(asks).select(F.col("rid").alias("a"), "b").distinct()
+    links = scratch.write(_across(shared, root, sets, reps, threshold, BLOCK), "across")
+    if links.limit(1).count():
+        root = _joined(links, root, scratch, ROUNDS)
     found = reps.select("c0", "c1", "rid", "k").join(root.withColumnRenamed("node", "rid"), "rid", "left").select("c0", "c1", "k", F.coalesce("root", "rid").alias("root"))
     first = found.groupBy("root").agg(F.min("k").alias("lead"))
     classes = found.join(first, "root").select("c0", "c1", "lead")

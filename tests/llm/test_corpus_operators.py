@@ -115,6 +115,42 @@ def test_a_chain_of_near_copies_is_one_class(spark):
     assert {r.class_id for r in found} == {0}
 
 
+def _star(copies, seed=5):
+    """An original and copies at about 0.85 of it, which are unlike each other."""
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(240)]
+    out = [words]
+    for k in range(copies):
+        own = words[:]
+        for e, at in enumerate(r.sample(range(10, 230, 5), 4)):
+            own[at] = f"c{k}x{e}"
+        out.append(own)
+    return [(k, " ".join(x)) for k, x in enumerate(out)]
+
+
+def test_a_star_of_more_copies_than_leaders_is_one_class(spark, monkeypatch):
+    star = _star(1200)
+    middle, one, two = (_set(star[k][1]) for k in (0, 1, 2))
+    assert len(middle & one) / len(middle | one) >= 0.8 > len(one & two) / len(one | two)
+    monkeypatch.setattr(probminhash, "BLOCK", 250)  # several tiles a bucket
+    found = probminhash.classes(spark.createDataFrame(star, "doc_id long, text string")).collect()
+    assert len(found) == len(star)
+    assert {r.class_id for r in found} == {0}
+
+
+def test_bounds_are_never_below_the_similarity():
+    r = np.random.default_rng(4)
+    sets = []
+    for _ in range(40):
+        h = np.unique(r.integers(0, 60, 40).astype(np.uint32))
+        sets.append((h, probminhash.weights(r.integers(1, 6, len(h)))))
+    found = probminhash.bounds(sets[:15], sets[15:])
+    exact = np.array([[probminhash.probability_jaccard(a, b) for b in sets[15:]] for a in sets[:15]])
+    assert (found >= exact - 1e-5).all()
+    even = [(h, np.ones(len(h))) for h, _ in sets]
+    assert np.allclose(probminhash.bounds(even[:15], even[15:]), [[probminhash.probability_jaccard(a, b) for b in even[15:]] for a in even[:15]], atol=1e-5)
+
+
 # 2 -- quality rules
 
 
