@@ -4,6 +4,7 @@ Globs are compiled into one multiword Shift-And automaton: every glob owns a run
 bits, all globs advance together with a shift, two masks and an or per URL byte, and numpy
 advances all URLs of a batch at once. ``*`` matches any bytes but ``/``, ``**`` any bytes,
 ``?`` one byte; a glob must match the whole canonical URL, which is ``.host`` + path + query.
+Rules are globs too, and must match ``.host`` + path: a query never lends a path to a host.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path (canonical
 form ``.``) and is judged by the method; rows are judged one by one, so repeated rows get
@@ -114,39 +115,38 @@ class Automaton:
 
 
 def parts(df: DataFrame, url: str = "url") -> DataFrame:
-    """Append host, path and the canonical form (native expressions only)."""
+    """Append host, path, their joint form and the canonical form (native expressions only)."""
     at = F.locate("://", quoted(url))
     rest = F.when(at > 0, F.expr("substring(`%s`, locate('://', `%s`) + 3)" % ((url.replace("`", "``"),) * 2))).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
     host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER)
     path = F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
     query = F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1)
-    return df.withColumns({"host": host, "path": path, "_canonical": F.concat(F.lit("."), host, path, query)})
+    return df.withColumns({"host": host, "path": path, "_place": F.concat(F.lit("."), host, path), "_canonical": F.concat(F.lit("."), host, path, query)})
 
 
 def filter_urls(df: DataFrame, url: str = "url", rules=RULES, globs=GLOBS, default: str = "allow", keep: list[str] | None = None) -> DataFrame:
     """Append host, path, rule, glob and verdict to each row."""
     ranked = sorted(rules, key=lambda r: -len(r[0] + r[1]))
     others = sorted(globs, key=lambda g: -len(g[0]))
-    escaped = [f"*.{h}{p}**".encode() for h, p, _ in ranked] + [g.encode() for g, _ in others]
     names = [h + p for h, p, _ in ranked] + [None]
     labels = [g for g, _ in others] + [None]
     verdicts = [v for *_, v in ranked], [v for _, v in others] + [default]
-    machine = Automaton.of(escaped)
+    machines = Automaton.of([f"*.{h}{p}**".encode() for h, p, _ in ranked]), Automaton.of([g.encode() for g, _ in others])
 
-    def judge(canonical: pa.Array) -> list:
-        hit = machine.match(blobs(canonical))
-        none = np.ones((len(hit), 1), bool)
+    def judge(place: pa.Array, canonical: pa.Array) -> list:
+        ruled, globbed = (m.match(blobs(x)) for m, x in zip(machines, (place, canonical), strict=True))
+        none = np.ones((len(ruled), 1), bool)
         # the first hit in order of length wins; the last column stands for "none"
-        rule = np.argmax(np.hstack([hit[:, : len(ranked)], none]), 1)
-        other = np.argmax(np.hstack([hit[:, len(ranked) :], none]), 1)
+        rule = np.argmax(np.hstack([ruled, none]), 1)
+        other = np.argmax(np.hstack([globbed, none]), 1)
         verdict = [verdicts[0][r] if r < len(ranked) else verdicts[1][o] for r, o in zip(rule, other, strict=True)]
         return [pa.array([names[r] for r in rule], pa.string()), pa.array([labels[o] for o in other], pa.string()), pa.array(verdict, pa.string())]
 
     fields = T.StructType([T.StructField(c, T.StringType()) for c in ("rule", "glob", "verdict")])
     columns = df.columns if keep is None else keep
     columns = [c for c in columns if c not in ("host", "path")] + ["host", "path"]
-    return annotate(parts(df, url), judge, ["_canonical"], fields, columns)
+    return annotate(parts(df, url), judge, ["_place", "_canonical"], fields, columns)
 
 
 #: DuckDB SQL for the rows of ``filter_urls`` under the default rules and globs.

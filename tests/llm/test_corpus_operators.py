@@ -410,6 +410,17 @@ def test_verdicts_match_the_sql(spark):
     assert found == set(con.execute(url_filter.ORACLE).fetchall())
 
 
+def test_a_query_lends_no_path_to_a_host(spark):
+    urls = ["https://tracker.com?ref=example.org/es/x", "https://a.com?u=b.com/de/", "https://a.org?u=/", "https://a.example.org/es/x?u=b.com/fr/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {tuple(r) for r in url_filter.filter_urls(pages, keep=["page_id"]).select("page_id", "host", "path", "rule", "glob", "verdict").collect()}
+    assert {(r[0], r[3], r[5]) for r in found} == {(0, None, "allow"), (1, None, "allow"), (2, None, "allow"), (3, "example.org/es/", "block")}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+    assert found == set(con.execute(url_filter.ORACLE).fetchall())
+
+
 def test_globs_match_like_regular_expressions():
     r = random.Random(6)
     globs = ["".join(r.choice(["a", "b", "/", "*", "**", "?", "ab"]) for _ in range(r.randint(1, 9))) for _ in range(60)]
