@@ -1,16 +1,17 @@
-"""Best-fit packing of token sequences, in bulk-synchronous rounds.
+"""Best-fit packing of token sequences, in bulk-synchronous supersteps.
 
-Texts are tokenised and cut into pieces of at most ``capacity`` tokens. A round range-sorts
-the pieces that are left and the gaps of open sequences by size, so that each range holds
-pieces and gaps of like sizes. Within a range a successor sweep gives the pieces, largest
-first, the smallest gap that holds them, with what is left of a gap going back at once. What
-a range can't place is matched across ranges by rank: the leftover pieces of a range take the
-leftover gaps of the nearest larger range, the i-th piece the (i div m)-th gap, where m
-pieces of that range surely fit. Gaps shrink and the next round begins. Sequences are opened,
-by the largest pieces, only as far as tokens left exceed the gaps that can still be used.
+Texts are tokenised and cut into pieces of at most ``capacity`` tokens. Pieces over half the
+capacity open a sequence each; of the smaller ones a share does, told by best fit over the
+counts by size. The first superstep range-sorts the pieces and the gaps of open sequences by
+size, so that each range holds pieces and gaps of like sizes. Within a range a successor
+sweep gives the pieces, largest first, the smallest gap that holds them, with what is left of
+a gap going back at once. The second superstep matches what ranges can't place, across all of
+them, by rank: rows of one size are alike, so the sweep runs over counts by size, updating
+gaps and repeating until nothing is left, and every row looks up its sequence by its rank
+within its size. Supersteps are two, whatever the number of ranges.
 
-Rounds are tables in the shared folder. The driver sees counts by size (``capacity`` at most)
-and by range, never pieces.
+Each superstep leaves a table in the shared folder. The driver sees counts by size (twice
+``capacity`` at most), never pieces; the runs of ranks it sends back don't grow with the corpus.
 
 Defined cases: a null or empty text is the closing id alone; a document of n tokens gives
 ceil(n / capacity) pieces; null ids and repeated rows are documents of their own; an empty
@@ -19,6 +20,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import os
 import unicodedata
 import zlib
@@ -40,7 +42,7 @@ CAPACITY = 4096
 END = 1
 CACHED = 400_000
 RANGE_ROWS = 60_000
-PIECE, GAP, PLACED, SHRUNK = 0, 1, 2, 3
+PIECE, GAP, PLACED = 0, 1, 2
 _TAIL = ".,;:!?)]}\"|*#$%&"
 
 
@@ -62,7 +64,7 @@ class WordTokens:
     @staticmethod
     def split(word: str) -> tuple[str, ...]:
         core = word.rstrip(_TAIL)
-        return (core, word[len(core) :]) if len(core) < len(word) and core.isalpha() and unicodedata.is_normalized("NFC", core) else (word,)
+        return (core, word[len(core) :]) if len(core) < len(word) and core.lower().isalpha() and unicodedata.is_normalized("NFC", core) else (word,)
 
     def learn(self, new: set[bytes]) -> None:
         cut = {w: self.split(w.decode()) for w in new}
@@ -128,8 +130,33 @@ def pieces(df: DataFrame, path: str, keep: list[str], text: str = "text", capaci
 SWEPT = T.StructType([T.StructField("what", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("range", T.IntegerType()), T.StructField("rank", T.LongType())])
 
 
+class Gaps:
+    """Open gaps by size: stacks, and a mask of the sizes that have any."""
+
+    def __init__(self) -> None:
+        self.stacks: dict[int, list] = {}
+        self.mask = 0
+
+    def push(self, size: int, item) -> None:
+        if size > 0:
+            self.stacks.setdefault(size, []).append(item)
+            self.mask |= 1 << size
+
+    def successor(self, size: int) -> int:
+        """The smallest open size that holds ``size``, or 0."""
+        above = self.mask >> size
+        return size + (above & -above).bit_length() - 1 if above else 0
+
+    def pop(self, size: int):
+        own = self.stacks[size]
+        item = own.pop()
+        if not own:
+            self.mask &= ~(1 << size)
+        return item
+
+
 def _sweeper(capacity: int):
-    """A range's rows (largest first) to placed, leftover pieces by rank and gaps by rank."""
+    """A range's rows (largest first) to placed pieces, and what is left by rank within its size."""
 
     def sweep(batches):
         rows = [b for b in batches if b.num_rows]
@@ -137,138 +164,132 @@ def _sweeper(capacity: int):
             return
         table = pa.Table.from_batches(rows)
         what, ids, size = (table.column(c).to_numpy() for c in ("what", "id", "size"))
-        own = TaskContext.get().partitionId()
-        # open gaps: a stack of sequences per size, and a mask of the sizes that have any
-        stacks: dict[int, list[int]] = {}
-        mask = 0
+        own, gaps, out = TaskContext.get().partitionId(), Gaps(), []
         for g, s in zip(size[what == GAP].tolist(), ids[what == GAP].tolist(), strict=True):
-            stacks.setdefault(g, []).append(s)
-            mask |= 1 << g
-        placed, left, shrunk = [], [], set()
+            gaps.push(g, s)
+        rank: dict[tuple[int, int], int] = {}
+
+        def left(kind: int, i: int, n: int) -> None:
+            k = rank[kind, n] = rank.get((kind, n), -1) + 1
+            out.append((kind, i, n, None, None, own, k))
+
         for n, i in zip(size[what == PIECE].tolist(), ids[what == PIECE].tolist(), strict=True):
-            above = mask >> n
-            if not above:
-                left.append((i, n))
-                continue
-            g = n + (above & -above).bit_length() - 1  # the successor: the smallest gap that holds n
-            seq = stacks[g].pop()
-            if not stacks[g]:
-                mask &= ~(1 << g)
-            placed.append((i, n, seq, capacity - g))
-            if g > n:
-                stacks.setdefault(g - n, []).append(seq)
-                shrunk.add(seq)
-                mask |= 1 << (g - n)
-        gaps = [(s, g) for g in sorted(stacks) for s in stacks[g]]
-        out = [(PLACED, i, n, s, at, own, 0) for i, n, s, at in placed]
-        out += [(PIECE, i, n, None, None, own, k) for k, (i, n) in enumerate(left)]
-        # gaps that shrank may be smaller than this range: they wait for the next round
-        out += [(GAP, s, g, None, None, own, k) for k, (s, g) in enumerate(x for x in gaps if x[0] not in shrunk)]
-        out += [(SHRUNK, s, g, None, None, own, 0) for s, g in gaps if s in shrunk]
-        columns = list(zip(*out, strict=True))
+            g = gaps.successor(n)
+            if g:
+                seq = gaps.pop(g)
+                out.append((PLACED, i, n, seq, capacity - g, own, 0))
+                gaps.push(g - n, seq)
+            else:
+                left(PIECE, i, n)
+        for g in sorted(gaps.stacks):
+            for seq in gaps.stacks[g]:
+                left(GAP, seq, g)
         types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        whole = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=SWEPT.names)
+        whole = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=SWEPT.names)
         yield from whole.to_batches(max_chunksize=50_000)
 
     return sweep
 
 
-def _across(counts: list) -> list[tuple[int, int, int, int, int, int]]:
-    """Intervals (piece range, first rank, n, gap range, first rank, pieces per gap).
+def match_by_rank(pieces_: dict[int, int], gaps_: dict[int, int], capacity: int) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]], dict[int, int]]:
+    """Best fit of counts by size: runs of pieces, runs of gaps, sequences opened by size.
 
-    Ranges run by size. From the largest down, leftover pieces take the gaps of the nearest
-    larger range that has any.
+    Rows of one size are alike, so a rank says which row is meant. Sizes are swept from the
+    largest down; each takes the smallest gaps that hold it, as many pieces a gap as fit, gaps
+    are updated by whole runs and the sweep repeats until nothing is left. A run of pieces is
+    (size, first rank, n, pieces a sequence, first sequence, place there), one of gaps (size,
+    first rank, n, first sequence). Sequences are numbers from 0, gaps' first.
     """
-    pieces_, gaps = {}, {}
-    for r in counts:
-        (pieces_ if r["what"] == PIECE else gaps)[r["range"]] = [r["n"], r["low"], r["high"]]
-    free = {q: [0, n, low] for q, (n, low, _) in gaps.items()}
-    out = []
-    for p in sorted(pieces_):  # range 0 holds the largest sizes
-        n, _, high = pieces_[p]
-        done = 0
-        for q in sorted((q for q in free if q < p), reverse=True):
-            used, have, low = free[q]
-            per = low // high
-            if not per or used == have:
-                continue
-            take = min(n - done, (have - used) * per)
-            out.append((p, done, take, q, used, per))
-            free[q][0] += -(-take // per)
-            done += take
-            if done == n:
-                break
+    gaps, told, opened, number = Gaps(), [], {}, 0
+    runs_of_gaps = []
+    for g, n in sorted(gaps_.items()):
+        runs_of_gaps.append((g, 0, n, number))
+        gaps.push(g, (number, n))
+        number += n
+    for s in sorted(pieces_, reverse=True):
+        rank, left = 0, pieces_[s]
+        while left:
+            g = gaps.successor(s)
+            if g:
+                seq, m = gaps.pop(g)
+            else:
+                g, seq, m = capacity, number, max(1, left // (capacity // s))
+                number += m
+                opened[s] = opened.get(s, 0) + m
+            per = g // s
+            used = min(m, left // per)
+            if used:
+                told.append((s, rank, used * per, per, seq, capacity - g))
+                gaps.push(g - per * s, (seq, used))
+            else:  # fewer pieces than one gap holds
+                per, used = left, 1
+                told.append((s, rank, left, left, seq, capacity - g))
+                gaps.push(g - left * s, (seq, 1))
+            rank, left = rank + used * per, left - used * per
+            if used < m:
+                gaps.push(g, (seq + used, m - used))
+    return told, runs_of_gaps, opened
+
+
+def _looked_up(told: list[tuple[int, ...]], runs_of_gaps: list[tuple[int, ...]]):
+    """Rows with their rank within (what, size) to the sequence's number and the place there."""
+    runs = sorted([(PIECE, *r) for r in told] + [(GAP, g, first, n, 1, seq, 0) for g, first, n, seq in runs_of_gaps])
+    what, size, first, _, per, seq, at = (np.array(c, np.int64) for c in zip(*runs, strict=True))
+    mark = lambda w, n, r: w << 60 | n << 44 | r
+    starts = mark(what, size, first)
+
+    def look(batches):
+        for b in batches:
+            w, i, n, r = (b.column(c).to_numpy().astype(np.int64) for c in ("what", "id", "size", "rank"))
+            run = np.searchsorted(starts, mark(w, n, r), "right") - 1
+            step = r - first[run]
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.int32()), pa.array(i), pa.array(seq[run] + step // per[run]), pa.array(at[run] + step % per[run] * n, pa.int32())], names=["what", "id", "number", "at"])
+
+    return look
+
+
+def _counts(rows: DataFrame) -> dict[int, dict[int, int]]:
+    """Rows by what and size: at most two times ``capacity`` numbers."""
+    out: dict[int, dict[int, int]] = {PIECE: {}, GAP: {}}
+    for r in rows.groupBy("what", "size").agg(F.sum("n").alias("n")).collect():
+        out[r["what"]][r["size"]] = r["n"]
     return out
 
 
 def place(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Sequences for ``items`` (id, length): rows id, seq, at for all that joined a sequence.
 
-    An item without a row here opened the sequence that bears its id.
+    An item without a row here opened the sequence that bears its id; sequences opened by
+    rank have numbers below 0.
     """
-    spark = scratch.spark
     state = items.filter((F.col("length") < capacity) & (F.col("length") > 0)).select(F.lit(PIECE).alias("what"), "id", F.col("length").cast("int").alias("size"))
-    done: list[DataFrame] = []
-    k = stuck = 0
-    while True:
-        sizes: dict[int, dict[int, int]] = {PIECE: {}, GAP: {}}
-        for r in state.groupBy("what", "size").agg(F.count(F.lit(1)).alias("n")).collect():
-            sizes[r["what"]][r["size"]] = r["n"]
-        left, gaps = sizes[PIECE], sizes[GAP]
-        if not left:
-            break
-        least = min(left)
-        usable = sum(g * n for g, n in gaps.items() if g >= least)
-        mass = sum(s * n for s, n in left.items())
-        # pieces over half the capacity never share a sequence, so each opens one
-        top = {s: n for s, n in left.items() if 2 * s > capacity}
-        bound, part = capacity // 2 + 1, 0.0
-        usable += sum((capacity - s) * n for s, n in top.items() if capacity - s >= least)
-        mass -= sum(s * n for s, n in top.items())
-        rest = {s: n for s, n in left.items() if s not in top}
-        need = -(-(mass - usable) // capacity)
-        if rest and need <= 0 and stuck and not top:
-            need = max(1, -(-mass // capacity) if not usable else stuck)
-        for s in sorted(rest, reverse=True):
-            if need <= 0:
-                break
-            bound, part = s, min(1.0, need / rest[s])
-            need -= rest[s]
-        # of the pieces of the size at the bound, a share by hash
-        opens = (F.col("what") == PIECE) & ((F.col("size") > bound) | ((F.col("size") == bound) & (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1))) if part else (F.col("what") == PIECE) & (F.col("size") >= bound)
-        now = state.select(F.when(opens, GAP).otherwise(F.col("what")).alias("what"), "id", F.when(opens, capacity - F.col("size")).otherwise(F.col("size")).alias("size"))
-        now = now.filter((F.col("what") == PIECE) | (F.col("size") >= least))
-        ranges = max(1, -(-(sum(left.values()) + sum(gaps.values())) // range_rows))
-        swept = scratch.write(now.repartitionByRange(ranges, F.col("size").desc(), F.col("what"), F.col("id")).sortWithinPartitions(F.col("size").desc(), "what", "id").mapInArrow(_sweeper(capacity), SWEPT), f"swept{k}")
-        done.append(swept.filter(F.col("what") == PLACED).select("id", "seq", "at"))
-        counts = swept.filter(F.col("what").isin(PIECE, GAP)).groupBy("what", "range").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("low"), F.max("size").alias("high")).collect()
-        before, after = sum(left.values()), sum(r["n"] for r in counts if r["what"] == PIECE)
-        pieces_, open_ = swept.filter(F.col("what") == PIECE), swept.filter(F.col("what") == GAP).select("what", "id", "size", "range", "rank")
-        spans = _across(counts)
-        if spans:
-            table = F.broadcast(spark.createDataFrame(spans, "p int, first long, n long, q int, gap_first long, per long"))
-            told = pieces_.join(table, (pieces_["range"] == table["p"]) & (pieces_["rank"] >= table["first"]) & (pieces_["rank"] < table["first"] + table["n"]), "left")
-            step = F.col("rank") - F.col("first")
-            wanted = told.filter(F.col("q").isNotNull()).select("what", "id", "size", F.col("q").alias("range"), (F.col("gap_first") + F.floor(step / F.col("per"))).cast("long").alias("rank"), step.alias("slot"))
-            # a gap and the pieces that it takes meet by rank: at most ``capacity`` rows
-            met = wanted.unionByName(open_.withColumn("slot", F.lit(-1).cast("long")))
-            own = W.partitionBy("range", "rank")
-            ordered = own.orderBy("slot")
-            own_size = F.when(F.col("slot") >= 0, F.col("size")).otherwise(0)
-            met = met.select("what", "id", F.first("id").over(ordered).alias("seq"), (F.lit(capacity) - F.first("size").over(ordered) + F.sum(own_size).over(ordered) - own_size).cast("int").alias("at"), (F.col("size") - F.sum(own_size).over(own)).cast("int").alias("size"))
-            met = scratch.write(met, f"met{k}")
-            done.append(met.filter(F.col("what") == PIECE).select("id", "seq", "at"))
-            open_ = met.filter(F.col("what") == GAP)
-            pieces_ = told.filter(F.col("q").isNull())
-            after -= sum(s[2] for s in spans)
-        shrunk = swept.filter(F.col("what") == SHRUNK).select(F.lit(GAP).alias("what"), "id", "size")
-        state = pieces_.select("what", "id", "size").union(open_.select("what", "id", "size").filter(F.col("size") > 0)).union(shrunk)
-        stuck = 2 * stuck + 1 if after > before * 0.9 else 0
-        k += 1
-    found = done[0] if done else items.select("id", F.col("id").alias("seq"), F.lit(0).alias("at")).limit(0)
-    for d in done[1:]:
-        found = found.union(d)
-    return found
+    sizes = _counts(state.withColumn("n", F.lit(1)))[PIECE]
+    if not sizes:
+        return items.select("id", F.col("id").alias("seq"), F.lit(0).alias("at")).limit(0)
+    # pieces over half the capacity never share a sequence, so each opens one; of the others
+    # a share by hash, a little less than best fit of the counts opens
+    share = {s: min(1.0, max(0.0, (m - 4 * math.sqrt(m)) / sizes[s])) for s, m in match_by_rank(sizes, {}, capacity)[2].items() if 2 * s <= capacity}
+    dealt = F.create_map(*[F.lit(x) for s, p in share.items() for x in (s, int(p * (1 << 20)))])[F.col("size")] if share else F.lit(0)
+    opens = (2 * F.col("size") > capacity) | (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.coalesce(dealt, F.lit(0)))
+    now = state.select(F.when(opens, GAP).otherwise(PIECE).alias("what"), "id", F.when(opens, capacity - F.col("size")).otherwise(F.col("size")).alias("size"))
+    ranges = max(1, -(-sum(sizes.values()) // range_rows))
+    order = [F.col("size").desc(), F.col("what"), F.col("id")]
+    swept = scratch.write(now.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweeper(capacity), SWEPT), "swept")
+    left = swept.filter(F.col("what") != PLACED)
+    counts = left.groupBy("what", "size", "range").agg(F.count(F.lit(1)).alias("n"))
+    totals = _counts(counts)
+    done = swept.filter(F.col("what") == PLACED).select("id", "seq", "at")
+    if not totals[PIECE]:
+        return done
+    # ranks across ranges: rows of a size before a range
+    before = counts.select("what", "size", "range", (F.sum("n").over(W.partitionBy("what", "size").orderBy("range")) - F.col("n")).alias("before"))
+    ranked = left.join(before, ["what", "size", "range"]).select("what", "id", "size", (F.col("rank") + F.col("before")).alias("rank"))
+    told, runs_of_gaps, _ = match_by_rank(totals[PIECE], totals[GAP], capacity)
+    met = scratch.write(ranked.mapInArrow(_looked_up(told, runs_of_gaps), "what int, id long, number long, at int"), "met")
+    old = sum(totals[GAP].values())
+    joined = met.filter((F.col("what") == PIECE) & (F.col("number") < old)).join(met.filter(F.col("what") == GAP).select("number", F.col("id").alias("seq")), "number").select("id", "seq", "at")
+    new = met.filter(F.col("number") >= old).select("id", (old - 1 - F.col("number")).alias("seq"), "at")
+    return done.union(joined).union(new)
 
 
 def pack(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:

@@ -12,6 +12,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -205,10 +206,26 @@ def test_packing_is_whole_gapless_and_tight(docs, rows):
     assert len(places) <= math.ceil(sum(r.length for r in found) / 64) + 2
 
 
-def test_rounds_over_many_ranges_lose_nothing(spark):
+def _best_fit(sizes, capacity):
+    """Sequences that best-fit decreasing uses, one piece at a time."""
+    gaps, n = [], 0
+    for x in sorted(sizes, reverse=True):
+        k = bisect.bisect_left(gaps, x)
+        gap = gaps.pop(k) if k < len(gaps) else capacity
+        n += gap == capacity
+        bisect.insort(gaps, gap - x)
+    return n
+
+
+@pytest.mark.parametrize("rows_a_range", [15, 400, 100_000])
+def test_supersteps_over_any_ranges_lose_nothing(spark, rows_a_range, monkeypatch):
     r = random.Random(4)
     items = spark.createDataFrame([(k, r.choice([3, 5, 700, 1500, 2100, r.randint(1, 4095)])) for k in range(3000)], "id long, length long")
-    met = packing.place(items, packing.Scratch(spark, "test"), range_rows=400)
+    tables = []
+    write = packing.Scratch.write
+    monkeypatch.setattr(packing.Scratch, "write", lambda self, df, name: tables.append(name) or write(self, df, name))
+    met = packing.place(items, packing.Scratch(spark, "test"), range_rows=rows_a_range)
+    assert tables == ["swept", "met"]  # 1 or 200 ranges, supersteps are two
     whole = items.join(met, "id", "left").select("id", "length", F.coalesce("seq", "id").alias("seq"), F.coalesce("at", F.lit(0)).alias("at")).collect()
     assert len(whole) == 3000
     by = {}
@@ -220,13 +237,33 @@ def test_rounds_over_many_ranges_lose_nothing(spark):
             assert a == at
             at += n
         assert at <= 4096
-    gaps, n = [], 0  # as few sequences as best-fit decreasing, one piece at a time
-    for x in sorted((x.length for x in whole), reverse=True):
-        k = bisect.bisect_left(gaps, x)
-        gap = gaps.pop(k) if k < len(gaps) else 4096
-        n += gap == 4096
-        bisect.insort(gaps, gap - x)
-    assert len(by) <= n * 1.01 + 1
+    assert len(by) <= _best_fit([x.length for x in whole], 4096) * 1.01 + 1
+
+
+def test_matching_by_rank_is_best_fit_decreasing():
+    r = random.Random(8)
+    for k in range(40):
+        sizes = [min(255, int(r.lognormvariate(3, 1)) + 1) if k % 2 else r.choice([9, 30, 31, 70, r.randint(1, 255)]) for _ in range(r.randint(1, 800))]
+        told, _, opened = packing.match_by_rank(dict(Counter(sizes)), {}, 256)
+        assert sum(opened.values()) == _best_fit(sizes, 256)
+        places = {}
+        for s, first, n, per, seq, at in told:
+            for i in range(n):
+                places.setdefault(seq + i // per, []).append((at + i % per * s, s))
+        assert sorted(s for own in places.values() for _, s in own) == sorted(sizes)
+        for own in places.values():
+            ends = np.cumsum([s for _, s in sorted(own)])
+            assert [a for a, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= 256
+
+
+def test_words_have_the_ids_of_the_whole_text():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, own = Tokenizer.from_file(path), packing.WordTokens(path)
+    r = random.Random(3)
+    alphabet = [*"aAsvlrtmedSTI' \n\t.,!?;:)]$%&09", "İ", "ı", "Σ", "ß", "é", "e\u0301", "\u0307", "ﬁ", "\u3000", "\xa0", "中", "\U0001f600", "²", "'s", "'ll", "Å", "\u212b", "<|endoftext|>", "<|"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 14))) for _ in range(6000)]
+    for t, x in zip(texts, own.encode(pa.array(texts)), strict=True):
+        assert np.frombuffer(x, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 # 4 -- language
