@@ -25,7 +25,7 @@ import os
 import unicodedata
 import zlib
 from functools import cache
-from itertools import chain
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,21 +60,43 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closing[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
 
     @staticmethod
     def split(word: str) -> tuple[str, ...]:
+        """A letter run and its tail of marks, each one piece for the tokenizer; or no parts."""
         core = word.rstrip(_TAIL)
-        return (core, word[len(core) :]) if len(core) < len(word) and core.lower().isalpha() and unicodedata.is_normalized("NFC", core) else (word,)
+        if not core:
+            return (word,)
+        if not (core.isascii() or (core[-1] < "\u0530" and unicodedata.is_normalized("NFC", core))) or not core.lower().isalpha():
+            return ()
+        return (core, word[len(core) :]) if len(core) < len(word) else (core,)
 
     def learn(self, new: set[bytes]) -> None:
-        cut = {w: self.split(w.decode()) for w in new}
-        parts = [p for p in dict.fromkeys(chain.from_iterable(cut.values())) if p not in self.parts]
-        for at in range(0, len(parts), 2_000):
-            some = parts[at : at + 2_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+        cut, parts, odd = [], set(), []
+        for w in new:
+            own = self.split(w.decode())
+            cut.append(own)
+            parts.update(own)
+            if not own:
+                odd.append(w)
+        one_by_one = [w.decode() for w in odd]
+        for some in batched(parts - self.parts.keys(), 2_000):
+            # a piece ends with a token that closes it, so that many pieces can be told apart
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) == len(some):
+                whole, at = ids.tobytes(), (4 * ends).tolist()
+                self.parts.update(zip(some, [whole[a:z] for a, z in zip([0, *at], at)], strict=False))
+            else:
+                one_by_one += some
+        for some in batched(one_by_one, 2_000):
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(list(some), add_special_tokens=False), strict=True):
                 self.parts[p] = np.array(e.ids, "<u4").tobytes()
-        for w, own in cut.items():
-            self.words[w] = b"".join([self.parts[p] for p in own])
+        get = self.parts.__getitem__
+        for w, own in zip(new, cut, strict=True):
+            self.words[w] = b"".join(map(get, own)) if own else self.parts[w.decode()]
 
     def encode(self, texts: pa.Array):
         """Packed ids of each text, some hundred texts at a time."""
