@@ -1,20 +1,22 @@
 """Language identification by compression.
 
-Each language has one raw-content zstandard dictionary, cut from a bounded sample of its
-training texts. A text is lower-cased and compressed in blocks against every dictionary; the
+Each language has one raw-content zstandard dictionary: whole texts of a bounded sample of its
+training rows, in order of hash, until ``most_bytes`` are reached. Shorter texts than that are
+asked first, so one overlong text never fills a dictionary unless a language has no other. A
+text, whole, is lower-cased and compressed in blocks against every dictionary; the
 language whose blocks come out smallest is chosen. The margin is the saving over the second
 smallest as a share of it; a margin below ``reject`` rejects the text.
 
-Defined cases: a null text, or one without a letter, is ``und``, rejected, with score 0;
+Defined cases: a null text, or one without a letter (category L), is ``und``, rejected, with
+score 0;
 ties go to the language first in order of name; a table without labelled texts gives ``und``
 everywhere; repeated rows get equal results.
 """
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
+import regex
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,13 +25,12 @@ from pyspark.sql import types as T
 
 from .columns import annotate, quoted
 
-#: Bounds of what is fitted: texts and bytes per language (the whole sample is at most
-#: languages x MOST_BYTES).
-MOST_TEXTS, MOST_BYTES = 48, 32_768
+#: Bounds of the labelled sample: rows and bytes per language (a dictionary ends with the text that reaches them).
+MOST_TEXTS, MOST_BYTES = 96, 98_304
 #: Bytes that are compressed at once: short, so that the dictionary outweighs the text itself.
 BLOCK = 1_024
 REJECT = 0.004
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SEED = 20_011
 
 
@@ -45,16 +46,13 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
         return {}
     # hashes are even over 2^20 slots; the floor of twice the texts keeps small tables whole
     share = F.element_at(F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1 << 20, (1 << 20) * (2 * most_texts + 16) // n + 1))]), F.col("l"))
-    first = rows.filter((F.col("h").bitwiseAND(F.lit((1 << 20) - 1)) < share)).withColumn("k", F.row_number().over(W.partitionBy("l").orderBy("h", "t"))).filter(F.col("k") <= most_texts)
-    # no text contributes more than the dictionary holds
-    found = first.select("l", "k", F.substring("t", 1, most_bytes).alias("t")).orderBy("l", "k").collect()
+    some = rows.filter((F.col("h").bitwiseAND(F.lit((1 << 20) - 1)) < share)).withColumn("size", F.octet_length("t"))
+    order = W.partitionBy("l").orderBy(F.col("size") > most_bytes, "h", "t")
+    some = some.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most_texts).withColumn("before", F.sum("size").over(W.partitionBy("l").orderBy("k")) - F.col("size"))
     out: dict[str, bytes] = {}
-    for r in found:
-        at = out.get(r["l"], b"")
-        if len(at) < most_bytes:
-            # at most a few even shares for each text, so that no long text fills the dictionary
-            out[r["l"]] = at + r["t"].lower().encode()[: max(256, 2 * most_bytes // most_texts)]
-    return {k: v[-most_bytes:] for k, v in sorted(out.items()) if len(v) >= 8}
+    for r in some.filter(F.col("before") < most_bytes).select("l", "k", "t").orderBy("l", "k").collect():
+        out[r["l"]] = out.get(r["l"], b"") + r["t"].lower().encode() + b"\n"
+    return {k: v for k, v in sorted(out.items()) if len(v) >= 8}
 
 
 def _compressors(dictionaries: dict[str, bytes]) -> list[zstd.ZstdCompressor]:
