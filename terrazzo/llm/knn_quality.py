@@ -4,8 +4,8 @@ A text is a vector of hashed terms in two blocks, words and word shapes (letter
 digits, "as the word before"), weighted by 1 + ln tf and by inverse document frequency over
 all texts. Truncated singular vectors of a bounded labelled sample span the latent space. The
 labelled vectors are broadcast (``MOST_LABELLED`` x ``RANK`` floats at most); each block of
-texts takes its cosines with all of them as one exact product, and the nearest vote with
-their similarity as weight.
+texts takes its cosines with all of them as one exact product, and the nearest vote with the
+fourth power of their similarity as weight, so that the closest count most.
 
 Defined cases: a null or empty text has no terms and gets the share of label 1 in the sample;
 ties at the last place go to the vector that comes first; labels that are null, or of absent
@@ -14,9 +14,10 @@ texts, are left out; without labels every score is 0.5; repeated labels count on
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -34,37 +35,48 @@ CHUNK = 2_000_000
 CUT = 0.7
 
 
-def _shape(word: bytes) -> bytes:
-    word = re.sub(rb"[0-9]+", b"0", re.sub(rb"(?:[a-z]|[\x80-\xff])+", b"\x01", re.sub(rb"[A-Z]+", b"\x02", word)))
-    return re.sub(rb"(.)\1+", rb"\1\1", word)[:12]
+# bytes of a kind look alike: runs of letters and digits shrink to one sign, of others to two
+_KINDS = bytes(ord("0") if 48 <= c <= 57 else 2 if 65 <= c <= 90 else 1 if 97 <= c <= 122 or c >= 0x80 else c for c in range(256))
+_ONE = np.zeros(256, bool)
+_ONE[[ord("0"), 1, 2]] = True
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(9, 14), 32]] = True
 
 
-class _Terms(dict):
-    """Numbers words as they come; notes the word term and the shape term of each."""
+def _shapes(data: bytes) -> bytes:
+    """The text with every word replaced by its shape; white space stays."""
+    kinds = np.frombuffer(data.translate(_KINDS), np.uint8)
+    same = np.zeros(len(kinds), bool)
+    same[1:] = kinds[1:] == kinds[:-1]
+    third = np.zeros(len(kinds), bool)
+    third[2:] = same[2:] & same[1:-1]
+    return kinds[~(same & (_ONE[kinds] | third)) | _WHITE[kinds]].tobytes()
 
-    def __init__(self) -> None:
-        self.terms: list[tuple[int, int]] = []
+
+class _Known(dict):
+    """The term of each word, found once."""
+
+    def __init__(self, terms: int, first: int) -> None:
+        self.terms, self.first = terms, first
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.terms.append((zlib.crc32(word.lower()) % WORD_TERMS, WORD_TERMS + zlib.crc32(_shape(word)) % (SHAPE_TERMS - 1)))
+        self[word] = n = self.first + zlib.crc32(word) % self.terms
         return n
 
 
 def counts(rows: list[bytes]) -> np.ndarray:
-    """Term counts, rows x TERMS; the last term counts words equal to the one before."""
-    known = _Terms()
-    own = [[known[w] for w in x.split()] for x in rows]
-    flat = np.array([i for x in own for i in x], np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in own])
+    """Term counts, rows x TERMS; the last term counts words equal to the one before (letter case aside)."""
     out = np.zeros((len(rows), TERMS), np.float32)
-    if not len(flat):
-        return out
-    terms = np.array(known.terms, np.int64)[flat]
-    again = np.zeros(len(flat), bool)
-    again[1:] = (flat[1:] == flat[:-1]) & (row[1:] == row[:-1])
-    place = np.concatenate([row * TERMS + terms[:, 0], row * TERMS + terms[:, 1], row[again] * TERMS + TERMS - 1])
-    return np.bincount(place, minlength=out.size).reshape(out.shape).astype(np.float32)
+    words, shapes = _Known(WORD_TERMS, 0), _Known(SHAPE_TERMS - 1, WORD_TERMS)
+    for i, data in enumerate(rows):
+        own = data.lower().split()
+        if not own:
+            continue
+        again = sum(map(eq, own, islice(own, 1, None)))
+        terms = np.array([words[w] for w in own] + [shapes[w] for w in _shapes(data).split()], np.int64)
+        out[i] = np.bincount(terms, minlength=TERMS)
+        out[i, -1] = again
+    return out
 
 
 def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -117,12 +129,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", k
     texts = docs.select(quoted(key).alias("k"), quoted(text).alias("t")).join(F.broadcast(some.orderBy("k").limit(2 * most)), "k")
 
     def run(column: pa.Array) -> list:
-        return [[x.tobytes() for rows in _blocks(column) for x in np.minimum(counts(rows), 65_535).astype("<u2")]]
+        return [[x.tobytes() for rows in _blocks(column) for x in counts(rows).astype("<u4")]]
 
     found = annotate(texts, run, ["t"], T.StructType([T.StructField("count", T.BinaryType())]), ["k", "y"]).dropDuplicates(["k"]).orderBy("k").collect()
     if not found:
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32))
-    whole = vectors(np.frombuffer(b"".join(r["count"] for r in found), "<u2").reshape(len(found), TERMS).astype(np.float32), idf)
+    whole = vectors(np.frombuffer(b"".join(r["count"] for r in found), "<u4").reshape(len(found), TERMS).astype(np.float32), idf)
     space = _span(whole, min(RANK, len(found)))
     return Model(idf, space, _unit(whole @ space), np.array([r["y"] for r in found], np.float32))
 
@@ -146,7 +158,10 @@ def votes(model: Model, own: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
         return np.full(len(own), 0.5)
     cosine = own @ model.points.T
     k = min(nearest, cosine.shape[1])
-    best = np.argsort(-cosine, axis=1, kind="stable")[:, :k] if k == cosine.shape[1] else np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    best = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(cosine, best, 1).min(1, keepdims=True)
+    level = np.count_nonzero(cosine >= last, axis=1) > k  # ties at the last place: the first ones vote
+    best[level] = np.argsort(-cosine[level], axis=1, kind="stable")[:, :k]
     weight = np.maximum(np.take_along_axis(cosine, best, 1), 0).astype(np.float64) ** 4
     total = weight.sum(1)
     share = (weight * model.labels[best]).sum(1)
