@@ -1,18 +1,25 @@
 """Quality rules: base counts, and divergence from language references.
 
 A reference is the mean histogram of the texts of one language, over all labelled texts: one
-of character classes and one of common words (fixed lists, counts learned). A text is
-compared with every reference by the Jensen-Shannon distance (base 2); the closest decides.
-Texts shorter than ``Limits.min_words`` are too short for a histogram: only the base rules
-judge them.
+of character classes and one of common words. A word (lower-cased, without marks at its ends)
+is common if it makes up ``COMMON_SHARE`` of the words of a language. Which words those are is
+learned: every task keeps a bounded summary of the words of each language (counters that all
+lose the same when there are too many, so that none with a large share can be missed), the
+merged summaries name candidates, at most about 1 / COMMON_SHARE a language, and a second scan
+counts these exactly.
+
+A text is compared with every reference by the Jensen-Shannon distance (base 2); the closest
+by the sum of both decides, of ties the first by name. Texts shorter than
+``Limits.min_words`` are too short for a histogram: only the base rules judge them.
 
 Defined cases: a null or empty text has zero counts and fails the base rules; null languages
-take no part in references; without references the divergence is null and passes; repeated
-rows get equal results.
+and texts without words take no part in references, every other language has one; without
+references the divergence is null and passes; repeated rows get equal results.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,14 +30,8 @@ from pyspark.sql import types as T
 
 from .columns import annotate, blobs, bounded_batches, joined, quoted, slices
 
-# Frequent function words.
-COMMON = {
-    "en": "the of and to in is that it for was on are as with by at be this from or an not have",
-    "fr": "de la le et les des en un une du est que pour qui dans par sur au avec ce il pas plus",
-    "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an",
-    "es": "de la que el en y los del se las por un con no una su para es al lo como o",
-}
-WORDS = sorted({w for x in COMMON.values() for w in x.split()})
+#: A word is common from this share of a language's words on; counters that a summary keeps.
+COMMON_SHARE, COUNTERS = 0.004, 2_000
 CLASSES = ("lower vowel", "lower consonant", "upper", "digit", "space", "line end", "sentence mark", "symbol", "other mark", "beyond ascii")
 SYMBOLS = b"#*$%&|<>"
 SPACE = bytes(range(9, 14)) + b" "
@@ -54,39 +55,39 @@ _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 
 
+_MARKS = b".,;:!?\"'()"
+
+
 class _Ids(dict):
     """Numbers words as they come, and notes the bin of each in the list of common words."""
 
-    def __init__(self) -> None:
-        self.bins: list[int] = []
+    def __init__(self, bins: dict[bytes, int]) -> None:
+        self.known, self.bins = bins, []
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
-        self.bins.append(_BIN.get(word.lower().strip(b".,;:!?\"'()"), len(WORDS)))
+        self.bins.append(self.known.get(word.lower().strip(_MARKS), len(self.known)))
         return n
 
 
-_BIN = {w.encode(): i for i, w in enumerate(WORDS)}
-
-
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return total[ends[1:]] - total[ends[:-1]]
 
 
-def _histograms(rows: list[bytes]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _histograms(rows: list[bytes], bins: dict[bytes, int]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word ids of all rows, their ends, class and common-word counts of each row, bytes and byte ends."""
     data, ends = joined(rows)
     n = len(rows)
     row = np.repeat(np.arange(n), np.diff(ends))
     classes = np.bincount(row * 11 + _CLASS[data], minlength=11 * n).reshape(n, 11)[:, :10]
-    ids = _Ids()
+    ids, width = _Ids(bins), len(bins) + 1
     words = [[ids[w] for w in x.split()] for x in rows]
     flat = np.fromiter((i for x in words for i in x), np.int64)
     word_ends = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int64)
-    bins = np.array(ids.bins, np.int64)[flat] if len(flat) else flat
+    own = np.array(ids.bins, np.int64)[flat] if len(flat) else flat
     of = np.repeat(np.arange(n), np.diff(word_ends))
-    common = np.bincount(of * (len(WORDS) + 1) + bins, minlength=n * (len(WORDS) + 1)).reshape(n, -1)
+    common = np.bincount(of * width + own, minlength=n * width).reshape(n, -1)
     return flat, word_ends, classes, common, data, ends
 
 
@@ -142,6 +143,11 @@ class References:
     langs: tuple[str, ...]
     classes: np.ndarray  # langs x character classes
     common: np.ndarray  # langs x common words and "other"
+    words: tuple[bytes, ...] = ()
+
+    @property
+    def bins(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words)}
 
 
 @dataclass(frozen=True)
@@ -155,48 +161,106 @@ class Limits:
     common_noise: float = 1.0
 
 
-def learn_references(docs: DataFrame, text: str = "text", lang: str = "lang", min_texts: int = 5) -> References:
+class Summary:
+    """Counts of frequent words in bounded room: no word is undercounted by more than ``lost``."""
+
+    def __init__(self, room: int = COUNTERS) -> None:
+        self.room, self.counts, self.total, self.lost = room, Counter(), 0, 0
+
+    def add(self, words: Counter) -> None:
+        self.counts.update(words)
+        self.total += words.total()
+        if len(self.counts) > 8 * self.room:
+            self.trim()
+
+    def trim(self) -> None:
+        if len(self.counts) > self.room:
+            # the first counter that goes is taken off all; it is at most total / (room + 1)
+            off = sorted(self.counts.values(), reverse=True)[self.room]
+            self.counts = Counter({w: n - off for w, n in self.counts.items() if n > off})
+            self.lost += off
+
+
+def _labelled(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    return bounded_batches(docs).filter(quoted(lang).isNotNull() & quoted(text).isNotNull()).select(quoted(lang).cast("string").alias("l"), quoted(text).alias("t"))
+
+
+def candidates(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = COMMON_SHARE) -> list[bytes]:
+    """All words with at least that share of a language's words, and few others."""
+
+    def run(batches):
+        own: dict[str, Summary] = {}
+        for b in batches:
+            langs, rows = b.column(0).to_pylist(), blobs(b.column(1))
+            met: dict[str, Counter] = {}
+            for label, data in zip(langs, rows, strict=True):
+                met.setdefault(label, Counter()).update(data.lower().split())
+            for label, words in met.items():
+                bare: Counter = Counter()
+                for w, n in words.items():
+                    bare[w.strip(_MARKS)] += n
+                own.setdefault(label, Summary()).add(bare)
+        for label, summary in own.items():
+            summary.trim()
+            words = [None, *summary.counts]
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(words), pa.string()), pa.array(words, pa.binary()), pa.array([summary.total, *summary.counts.values()], pa.int64()), pa.array([summary.lost] + [0] * (len(words) - 1), pa.int64())], names=["l", "w", "n", "lost"])
+
+    parts = _labelled(docs, text, lang).mapInArrow(run, "l string, w binary, n long, lost long")
+    sums = parts.groupBy("l", "w").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"))
+    # one row a language
+    whole = sums.filter(F.col("w").isNull()).select(F.col("l").alias("of"), F.col("n").alias("total"), F.col("lost").alias("undercount"))
+    often = sums.filter(F.col("w").isNotNull()).join(F.broadcast(whole), F.col("l") == F.col("of")).filter(F.col("n") >= share * F.col("total") - F.col("undercount"))
+    return sorted({bytes(r["w"]) for r in often.select("w").distinct().collect()} - {b""})
+
+
+def learn_references(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = COMMON_SHARE) -> References:
     """Mean histograms by language over all texts; what reaches the driver is languages x bins.
 
     Shares are summed as whole numbers, so the result doesn't depend on the order of rows.
     """
+    words = candidates(docs, text, lang, share)
+    bins, width = {w: i for i, w in enumerate(words)}, len(words) + 1
 
     def run(batches):
         for b in batches:
             langs, rows = b.column(0).to_pylist(), blobs(b.column(1))
             sums: dict[str, np.ndarray] = {}
             for part in slices([len(x) for x in rows], CHUNK):
-                _, _, classes, common, _, _ = _histograms(rows[part])
+                _, _, classes, common, _, _ = _histograms(rows[part], bins)
                 full = common.sum(1) > 0
-                scaled = np.rint(np.hstack([_shares(classes), _shares(common)]) * SCALE).astype(np.int64)
+                scaled = np.hstack([np.rint(np.hstack([_shares(classes), _shares(common)]) * SCALE).astype(np.int64), common, np.ones((len(full), 1), np.int64)])
                 for at, label in enumerate(langs[part]):
                     if full[at]:
-                        sums.setdefault(label, np.zeros(scaled.shape[1] + 1, np.int64))[:-1] += scaled[at]
-                        sums[label][-1] += 1
+                        sums.setdefault(label, np.zeros(scaled.shape[1], np.int64))[:] += scaled[at]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["l", "v"])
 
-    parts = bounded_batches(docs).filter(quoted(lang).isNotNull() & quoted(text).isNotNull()).select(quoted(lang).cast("string").alias("l"), quoted(text).alias("t")).mapInArrow(run, "l string, v array<long>")
+    parts = _labelled(docs, text, lang).mapInArrow(run, "l string, v array<long>")
     sums = parts.select("l", F.posexplode("v").alias("k", "v")).groupBy("l", "k").agg(F.sum("v").alias("v"))
     found: dict[str, dict[int, int]] = {}
     for r in sums.collect():
         found.setdefault(r["l"], {})[r["k"]] = r["v"]
-    last = len(CLASSES) + len(WORDS) + 1
-    langs = tuple(sorted(x for x, v in found.items() if v[last] >= min_texts))
-    whole = np.array([[found[x][k] for k in range(last)] for x in langs], float).reshape(len(langs), last)
-    return References(langs, _shares(whole[:, : len(CLASSES)]), _shares(whole[:, len(CLASSES) :]))
+    langs, first = tuple(sorted(found)), len(CLASSES)
+    whole = np.array([[found[x][k] for k in range(first + 2 * width)] for x in langs], float).reshape(len(langs), first + 2 * width)
+    exact = whole[:, first + width :]
+    # exact counts drop the candidates that are not common after all; "other" takes their shares
+    common = (exact[:, :-1] >= share * exact.sum(1, keepdims=True)).any(0)
+    shares = whole[:, first : first + width]
+    kept = np.hstack([shares[:, :-1][:, common], shares[:, -1:] + shares[:, :-1][:, ~common].sum(1, keepdims=True)])
+    return References(langs, _shares(whole[:, :first]), _shares(kept), tuple(w for w, c in zip(words, common, strict=True) if c))
 
 
 FIELDS = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    + [T.StructField("base_failed", T.BooleanType()), T.StructField("class_jsd", T.DoubleType()), T.StructField("common_jsd", T.DoubleType()), T.StructField("closest", T.StringType()), T.StructField("kept", T.BooleanType())]
+    + [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("class_jsd", T.DoubleType()), T.StructField("common_jsd", T.DoubleType()), T.StructField("closest", T.StringType())]
 )
 
 
 def judge(docs: DataFrame, references: References, text: str = "text", limits: Limits = Limits(), keep: list[str] | None = None) -> DataFrame:
-    """Append the base counts, both divergences, the closest language and the verdict ``kept``."""
+    """Append the base counts, the verdict ``kept``, both divergences and the closest language."""
+    bins = references.bins
 
     def part(rows: list[bytes]) -> list:
-        flat, word_ends, classes, common, data, ends = _histograms(rows)
+        flat, word_ends, classes, common, data, ends = _histograms(rows, bins)
         n_words = np.diff(word_ends)
         spaces = _IS_SPACE[data]
         chars = _sums(~spaces & ((data & 0xC0) != 0x80), ends)
@@ -213,7 +277,7 @@ def judge(docs: DataFrame, references: References, text: str = "text", limits: L
             noise = 1 / np.sqrt(np.maximum(n_words, 1))
             good = ~long | ((da <= limits.class_floor + limits.class_noise * noise) & (db <= limits.common_floor + limits.common_noise * noise))
             a, b, lang = [x if y else None for x, y in zip(da.tolist(), long, strict=True)], [x if y else None for x, y in zip(db.tolist(), long, strict=True)], [references.langs[k] for k in best]
-        return [n_words.tolist(), chars.tolist(), _sums(_IS_SYMBOL[data], ends).tolist(), [_dup_lines(x) for x in rows], repeat.tolist(), failed.tolist(), a, b, lang, (good & ~failed).tolist()]
+        return [n_words.tolist(), chars.tolist(), _sums(_IS_SYMBOL[data], ends).tolist(), [_dup_lines(x) for x in rows], repeat.tolist(), failed.tolist(), (good & ~failed).tolist(), a, b, lang]
 
     def run(texts: pa.Array) -> list:
         rows = blobs(texts)
