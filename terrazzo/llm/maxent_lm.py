@@ -1,21 +1,27 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). A word's class is a hash of its
-ending. The class is predicted by a softmax over hashed features of the history: the word
-before, the two words before, the word before the last (a skip), and the classes of both.
-Within a class a word has its add-one share, with one place for all unseen words, so the
-probabilities of a class sum to one.
+P(word | history) = P(class | history) * P(slot | class, history) * P(word | slot). A word's
+class is a hash of its ending. The class is predicted by a softmax over hashed features of the
+history: the word before, the two words before, the word before the last (a skip), and the
+classes of both. Within a class the ``SLOTS - 1`` words that occur most have a slot each and
+all others share one; the slot is predicted by a second softmax over (class, hashed feature):
+the class before, the word before and the skip. Only within the shared slot a word has its
+add-one share, with one place for all unseen words. All three factors sum to one.
 
 Weights are trained by distributed gradient updates: in each round every task starts from the
 same weights, takes AdaGrad steps over its share of that round's documents in small batches,
 and gives back its change of each feature; changes are averaged by tokens over the tasks that
-met the feature. Every training document is used in one round.
+met the feature. Every training document is used in one round. As averages are over tasks,
+``score`` depends in its third digit or so on how the input is cut into tasks; counts,
+``base_score`` and a task that runs again do not.
 
 Counts cover the whole corpus. Batches of documents send their words' counts by hash range,
-get the corpus counts back, and never send a text; the driver sees totals by class.
+get the corpus counts back, and never send a text; the driver sees totals by class and the
+``CLASSES * (SLOTS - 1)`` words with slots.
 
 Defined cases: a null or empty text is its end token alone; a null id is not held out and
-learns; without training tokens every share is one and weights are zero.
+learns; without training tokens every share is one and weights are zero; of words that occur
+equally often that with the smaller hash gets a slot.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ import xxhash
 import zstandard as zstd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +47,13 @@ ONE, TWO, SKIP = 4_096, 4_096, 2_048
 PAIRS = (CLASSES + 1) ** 2
 #: First weight of each kind of feature: class before, word, two words, skipped word, two classes.
 STARTS = np.cumsum([0, CLASSES + 1, ONE, TWO, SKIP])
-FEATURES = int(STARTS[-1] + PAIRS)  # below 2^16
+FEATURES = int(STARTS[-1] + PAIRS)
+#: Slots of a class: the first is shared. Features of slots: class before, word, skipped word.
+SLOTS, SLOT_ONE, SLOT_SKIP = 32, 256, 128
+SLOT_STARTS = np.cumsum([0, CLASSES + 1, SLOT_ONE])
+#: Rows of weights: class features, then slot features by class; below 2^16. Both softmaxes are as wide.
+WEIGHTS = FEATURES + int(SLOT_STARTS[-1] + SLOT_SKIP) * CLASSES
+assert SLOTS == CLASSES
 ROUNDS, BATCH, RATE = 2, 8_192, 0.15
 CHUNK = 1_500_000
 END = b"\n"
@@ -85,8 +98,8 @@ def _lowered(column: pa.Array):
         yield at, rows[at]
 
 
-def features(t: Tokens) -> np.ndarray:
-    """Indexes of the features of each token, tokens x 5."""
+def features(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of weights of each token: tokens x 5 for its class, tokens x 3 for its slot."""
     n = len(t.word)
     start = np.concatenate([[0], np.cumsum(t.sizes)[:-1]])
     at = np.arange(n) - np.repeat(start, t.sizes)
@@ -96,30 +109,82 @@ def features(t: Tokens) -> np.ndarray:
         c1, c2 = (np.where(b >= 0, t.classes[t.word[b]], CLASSES) for b in before)
         both = h1 ^ (h2 * _U(0xC2B2AE3D27D4EB4F)) ^ (h2 >> _U(31))
     one, two, skip = ((h >> _U(40)).astype(np.int64) % m for h, m in ((h1, ONE), (both, TWO), (h2, SKIP)))
-    return np.stack([c1, STARTS[1] + one, STARTS[2] + two, STARTS[3] + skip, STARTS[4] + c1 * (CLASSES + 1) + c2], 1)
+    of_class = np.stack([c1, STARTS[1] + one, STARTS[2] + two, STARTS[3] + skip, STARTS[4] + c1 * (CLASSES + 1) + c2], 1)
+    of_slot = np.stack([c1, SLOT_STARTS[1] + one % SLOT_ONE, SLOT_STARTS[2] + skip % SLOT_SKIP], 1)
+    return of_class, FEATURES + of_slot * CLASSES + t.classes[t.word][:, None]
 
 
-def _activations(weights: np.ndarray, found: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class Slots:
+    """The words with a slot of their own, by hash, and what the shared slots hold."""
+
+    hashes: np.ndarray  # sorted
+    slots: np.ndarray
+    counts: np.ndarray
+    closed: np.ndarray  # classes x slots: a large negative number where no word is
+    rest: np.ndarray  # log10 of the shared slot's places by class
+
+    @classmethod
+    def of(cls, heads: list[tuple[int, int, int]], by_class: np.ndarray, words: np.ndarray) -> Slots:
+        """From (class, hash, count), largest counts first, and tokens and words by class."""
+        taken = np.ones(CLASSES, np.int64)
+        closed = np.full((CLASSES, SLOTS), -1e4, np.float32)
+        closed[:, 0] = 0
+        tokens_, distinct, rows = by_class.astype(np.int64), words.astype(np.int64), []
+        for kind, h, n in heads:
+            rows.append((h, taken[kind], n))
+            closed[kind, taken[kind]] = 0
+            taken[kind] += 1
+            tokens_[kind] -= n
+            distinct[kind] -= 1
+        rows.sort()
+        h, slots, counts = (np.array([r[k] for r in rows], t) for k, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
+        return cls(h, slots, counts, closed, np.log10(tokens_ + distinct + 1))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slot (0: the shared one) and corpus count (0 there) of each word."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        own = self.hashes[at] == hashes
+        return np.where(own, self.slots[at], 0), np.where(own, self.counts[at], 0)
+
+
+def _activations(weights: np.ndarray, found: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
     """Sums of the features' weights, less the largest of each token."""
     z = weights[found[:, 0]]
     for k in range(1, found.shape[1]):
         z += weights[found[:, k]]
+    if more is not None:
+        z += more
     z -= z.max(1, keepdims=True)
     return z
 
 
-def log_class(weights: np.ndarray, found: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of each token's class."""
-    z = _activations(weights, found)
+def log_share(weights: np.ndarray, found: np.ndarray, target: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """Natural log of the probability of each token's class or slot."""
+    z = _activations(weights, found, more)
     own = z[np.arange(len(z)), target]
     return own - np.log(np.exp(z, out=z).sum(1))
 
 
-def train_part(weights: np.ndarray, squares: np.ndarray, found: np.ndarray, target: np.ndarray) -> None:
+def token_logs(weights: np.ndarray, slots: Slots, t: Tokens) -> np.ndarray:
+    """log10 P of each token, less log10(its corpus count + 1)."""
+    of_class, of_slot = features(t)
+    slot, count = slots.find(t.hashes)
+    kind, own = t.classes[t.word], slot[t.word]
+    out = np.empty(len(kind))
+    for a in range(0, len(kind), BATCH):
+        s = slice(a, a + BATCH)
+        out[s] = log_share(weights, of_class[s], kind[s]) + log_share(weights, of_slot[s], own[s], slots.closed[kind[s]])
+    return out / np.log(10) - np.where(own > 0, np.log10(count + 1)[t.word], slots.rest[kind])
+
+
+def train_part(weights: np.ndarray, squares: np.ndarray, found: np.ndarray, target: np.ndarray, closed: np.ndarray | None = None, kind: np.ndarray | None = None) -> None:
     """AdaGrad steps in place, one for every batch of tokens."""
     for at in range(0, len(found), BATCH):
         f, y = found[at : at + BATCH], target[at : at + BATCH]
-        slope = _activations(weights, f)
+        slope = _activations(weights, f, None if closed is None else closed[kind[at : at + BATCH]])
         np.exp(slope, out=slope)
         slope /= slope.sum(1, keepdims=True)
         slope[np.arange(len(y)), y] -= 1
@@ -134,30 +199,32 @@ def train_part(weights: np.ndarray, squares: np.ndarray, found: np.ndarray, targ
             weights[own] -= np.float32(RATE) * g / np.sqrt(squares[own] + np.float32(1e-6))
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights from ``docs`` (k0, k1, t), FEATURES x CLASSES."""
-    weights = np.zeros((FEATURES, CLASSES), np.float32)
+def train(docs: DataFrame, slots: Slots, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights from ``docs`` (k0, k1, t), WEIGHTS x CLASSES."""
+    weights = np.zeros((WEIGHTS, CLASSES), np.float32)
     for k in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast(weights)
 
         def run(batches, sent=sent):
-            own, squares, met, n = sent.value.copy(), np.zeros((FEATURES, CLASSES), np.float32), np.zeros(FEATURES, bool), 0
+            own, squares, met, n = sent.value.copy(), np.zeros((WEIGHTS, CLASSES), np.float32), np.zeros(WEIGHTS, bool), 0
             for b in batches:
                 for _, rows in _lowered(b.column(0)):
                     t = tokens(rows)
-                    found = features(t)
-                    train_part(own, squares, found, t.classes[t.word])
-                    met[found.ravel()] = True
+                    of_class, of_slot = features(t)
+                    kind = t.classes[t.word]
+                    train_part(own, squares, of_class, kind)
+                    train_part(own, squares, of_slot, slots.find(t.hashes)[0][t.word], slots.closed, kind)
+                    met[of_class.ravel()] = met[of_slot.ravel()] = True
                     n += len(t.word)
             at = np.flatnonzero(met)
-            change = (own - sent.value)[at].astype(np.float64)
+            change = (own - sent.value)[at]
             for a in range(0, len(at), 4_000):
                 some = slice(a, a + 4_000)
-                yield pa.RecordBatch.from_arrays([pa.array(at[some], pa.int32()), pa.array(np.full(len(at[some]), n), pa.int64()), pa.array(list(change[some]), pa.list_(pa.float64()))], names=["f", "n", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(at[some], pa.int32()), pa.array(np.full(len(at[some]), n), pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(change[some].ravel()), CLASSES).cast(pa.list_(pa.float32()))], names=["f", "n", "v"])
 
-        changes = docs.filter(F.pmod(F.xxhash64(F.lit(13), "k0", "k1"), F.lit(rounds)) == k).select("t").mapInArrow(run, "f int, n long, v array<double>")
+        changes = docs.filter(F.pmod(F.xxhash64(F.lit(13), "k0", "k1"), F.lit(rounds)) == k).select("t").mapInArrow(run, "f int, n long, v array<float>")
         sums = changes.groupBy("f").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[c] * F.col("n")).alias(f"v{c}") for c in range(CLASSES)])
-        # FEATURES rows at most
+        # WEIGHTS rows at most
         for r in sums.collect():
             weights[r["f"]] += np.array(r[2:], np.float64) / r["n"]
         weights = np.round(weights, 6)  # sums may come in any order
@@ -177,8 +244,8 @@ def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def corpus_counts(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Per document k0, k1, known (tokens) and share (sum of log10(c + 1)); tokens and words by class.
+def corpus_counts(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Per document k0, k1, known (tokens) and share (sum of log10(c + 1)); tokens and words by class; words with slots.
 
     ``docs`` has k0, k1, t and learns. Each batch numbers its words. Its documents stay, as
     word numbers and counts, in one row; its words go out by hash range and their corpus
@@ -220,15 +287,23 @@ def corpus_counts(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndar
         whole = np.bincount(which, n, minlength=len(ids)).astype(np.int64)
         out, at = [], 0
         for b, c in zip(batch, cols, strict=True):
-            out.append((b, _packed(c[2], whole[which[at : at + len(c[2])]]), None))
+            out.append((b, _packed(c[2], whole[which[at : at + len(c[2])]]), None, None, None, None))
             at += len(c[2])
         known = whole > 0
         sums = [np.bincount(kind[first], w, minlength=CLASSES).astype(np.int64).tolist() for w in (whole, known)]
-        out.append((None, None, sums[0] + sums[1]))
-        return pa.Table.from_arrays([pa.array(c, y) for c, y in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["batch", "c", "sums"])
-
-    back = scratch.write(parts.filter("part >= 0").select("batch", "part", "a").groupBy("part").applyInArrow(count, "batch long, c binary, sums array<long>"), "counts")
-    totals = back.filter(F.col("batch").isNull()).select(F.posexplode("sums").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
+        out.append((None, None, sums[0] + sums[1], None, None, None))
+        # the words of this range that may get a slot
+        order = np.lexsort((ids, -whole, kind[first]))
+        own = kind[first][order]
+        place = np.arange(len(own)) - np.searchsorted(own, own)
+        for x in order[(place < SLOTS - 1) & known[order]].tolist():
+            out.append((None, None, None, int(kind[first[x]]), int(ids[x].astype(np.int64)), int(whole[x])))
+        return pa.Table.from_arrays([pa.array(c, y) for c, y in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["batch", "c", "sums", "kind", "hash", "n"])
+
+    back = scratch.write(parts.filter("part >= 0").select("batch", "part", "a").repartition(2 * ranges, "part").groupBy("part").applyInArrow(count, "batch long, c binary, sums array<long>, kind int, hash long, n long"), "counts")
+    most = back.filter(F.col("kind").isNotNull()).withColumn("k", F.row_number().over(W.partitionBy("kind").orderBy(F.col("n").desc(), "hash"))).filter(F.col("k") < SLOTS)
+    heads = [(r["kind"], r["hash"] % (1 << 64), r["n"]) for r in most.orderBy("kind", "k").select("kind", "hash", "n").collect()]
+    totals = back.filter(F.col("sums").isNotNull()).select(F.posexplode("sums").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
     sums = np.zeros(2 * CLASSES, np.int64)
     for r in totals:
         sums[r["k"]] = r["n"]
@@ -248,29 +323,27 @@ def corpus_counts(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndar
         return pa.Table.from_arrays([pa.array(x) for x in whole], names=["k0", "k1", "known", "share"])
 
     kept = parts.filter("part < 0").select("batch", "a", "b")
-    told = kept.groupBy("batch").cogroup(back.filter(F.col("batch").isNotNull()).select("batch", "c").groupBy("batch")).applyInArrow(share, "k0 long, k1 long, known long, share double")
-    return told, sums[:CLASSES], sums[CLASSES:]
+    both = [df.repartition(2 * ranges, "batch").groupBy("batch") for df in (kept, back.filter(F.col("batch").isNotNull()).select("batch", "c"))]
+    told = both[0].cogroup(both[1]).applyInArrow(share, "k0 long, k1 long, known long, share double")
+    return told, sums[:CLASSES], sums[CLASSES:], heads
 
 
 def score(docs: DataFrame, held_out: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: the key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     scratch = Scratch(docs.sparkSession, "lm")
     base = bounded_batches(docs).select(quoted(key).alias("id"), quoted(held_out).alias("held"), F.coalesce(quoted(key).cast("long"), F.lit(_LOWEST)).alias("k0"), F.xxhash64(quoted(text)).alias("k1"), quoted(text).alias("t"), (~quoted(held_out)).alias("learns"))
-    told, by_class, words = corpus_counts(base, scratch)
-    weights = train(base.filter("learns").select("k0", "k1", "t"))
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
-    lower = np.log10(by_class + words + 1)
+    told, by_class, words, heads = corpus_counts(base, scratch)
+    slots = Slots.of(heads, by_class, words)
+    weights = train(base.filter("learns").select("k0", "k1", "t"), slots)
+    sent = docs.sparkSession.sparkContext.broadcast((weights, slots))
 
     def run(column: pa.Array) -> list:
-        n, classes = [], []
+        n, logs = [], []
         for _, rows in _lowered(column):
             t = tokens(rows)
-            found, kind = features(t), t.classes[t.word]
-            parts = [log_class(sent.value, found[a : a + BATCH], kind[a : a + BATCH]) for a in range(0, len(kind), BATCH)]
-            logs = np.concatenate(parts).astype(np.float64) / np.log(10) - lower[kind]
             n.append(t.sizes)
-            classes.append(np.bincount(t.row, logs, minlength=len(rows)))
-        return [np.concatenate(n), np.concatenate(classes)] if n else [[], []]
+            logs.append(np.bincount(t.row, token_logs(*sent.value, t), minlength=len(rows)))
+        return [np.concatenate(n), np.concatenate(logs)] if n else [[], []]
 
     fields = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("context", T.DoubleType())])
     own = annotate(base, run, ["t"], fields, ["id", "held", "k0", "k1"])

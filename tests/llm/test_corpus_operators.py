@@ -175,6 +175,72 @@ def test_base_counts_are_exact(docs):
         assert not (r.base_failed and r.kept)
 
 
+def _plain_verdicts(table, limits):
+    """Verdicts by the definition: shares of common words and classes, Jensen-Shannon distances, limits by length."""
+    bare = lambda t: [w.lower().strip(b".,;:!?\"'()") for w in (t or "").encode().split()]
+    words = {}
+    for t, lang in table:
+        if lang is not None and bare(t):
+            words.setdefault(lang, Counter()).update(bare(t))
+    common = sorted({w for c in words.values() for w, n in c.items() if w and n >= quality_rules.COMMON_SHARE * c.total()})
+
+    def kind(c):
+        for k, chars in enumerate(("aeiou", "bcdfghjklmnpqrstvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\x0b\x0c\r", "\n", ".,;:!?'\"()-", "#*$%&|<>")):
+            if c in chars:
+                return k
+        return 9 if ord(c) > 127 else 8
+
+    def shares(t):
+        a, b = Counter(map(kind, t or "")), Counter(w if w in common else None for w in bare(t))
+        return {k: n / a.total() for k, n in a.items()}, {k: n / b.total() for k, n in b.items()}
+
+    def distance(p, q):
+        mid = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in p.keys() | q.keys()}
+        return math.sqrt(max(0, sum(x.get(k, 0) * math.log2(x[k] / m) for x in (p, q) for k, m in mid.items() if x.get(k)) / 2))
+
+    refs = {}
+    for lang in sorted(words):
+        own = [shares(t) for t, x in table if x == lang and bare(t)]
+        refs[lang] = [{k: sum(s[i].get(k, 0) for s in own) / len(own) for k in {k for s in own for k in s[i]}} for i in (0, 1)]
+    out = []
+    for t, _ in table:
+        n, *_, failed = _base(t)
+        good = True
+        if n >= limits.min_words and refs:
+            found = [[distance(x, y) for x, y in zip(shares(t), r)] for r in refs.values()]
+            near, far = min(found, key=sum)
+            good = near <= limits.class_floor + limits.class_noise / math.sqrt(n) and far <= limits.common_floor + limits.common_noise / math.sqrt(n)
+        out.append((t, good and not failed))
+    return out
+
+
+def test_verdicts_are_those_of_the_definition(spark, docs):
+    lists = {"en": "the of and to in is that it for was", "de": "der die und in den von zu das mit sich", "es": "de la que el en y los del se las"}
+    made = [(_prose(k, 15 + 9 * k, (x.split() + [f"{x[:3]}{i}" for i in range(40)])), lang) for lang, x in lists.items() for k in range(12)]
+    odd = [(" ".join(["$$##", "17,5", "XX", "|", "QQZZ"][random.Random(k).randrange(5)] + str(i) for i in range(60)), "en" if k else None) for k in range(3)]
+    odd += [("ZAP POW BAM " + " ".join(f"W{i}" for i in range(50)), None), (_prose(5, 30, lists["de"].split()).upper(), None), (" ".join(f"café{i}" for i in range(25)), "xx"), ("", "yy"), (None, "yy")]
+    table = made + odd
+    df = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(table)], "doc_id long, text string, lang string").repartition(5)
+    found = sorted(quality_rules.judge(df, quality_rules.learn_references(df)).collect(), key=lambda r: r.doc_id)
+    plain = _plain_verdicts(table, quality_rules.Limits())
+    assert [(r.text, r.kept) for r in found] == plain
+    assert {k for _, k in plain} == {True, False}
+    assert found[0].asDict().keys() >= {"kept", "class_jsd"} and list(found[0].asDict())[3:10] == ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
+def test_summaries_miss_no_frequent_word():
+    r = random.Random(12)
+    s = quality_rules.Summary(room=20)
+    whole = Counter()
+    for _ in range(60):
+        part = Counter(r.choice(["the", "of", f"w{r.randrange(5000)}", f"w{r.randrange(5000)}", f"w{r.randrange(5000)}"]) for _ in range(400))
+        whole.update(part)
+        s.add(part)
+    s.trim()
+    assert len(s.counts) <= 20 and s.lost <= whole.total() / 21
+    assert all(n - s.lost <= s.counts[w] <= n for w, n in whole.items())
+
+
 def test_distance_is_bounded_and_symmetric():
     p, q = np.array([[0.5, 0.5, 0]]), np.array([[0, 0, 1.0]])
     assert quality_rules.js_distance(p, q)[0, 0] == pytest.approx(1)
@@ -270,11 +336,11 @@ def test_words_have_the_ids_of_the_whole_text():
 
 
 def test_language_is_the_smallest_dictionary(spark):
-    lists = {k: v.split() for k, v in quality_rules.COMMON.items()}
-    table = [(i, _prose(i, 60, lists[lang]), lang) for i, lang in enumerate(list(lists) * 40)] + [(900, None, "en"), (901, "1234 !!", "de"), (902, "", None)]
+    lists = {"en": "the of and to in is that it for was on".split(), "fr": "de la le et les des en un une du est que".split(), "de": "der die und in den von zu das mit sich".split(), "es": "de la que el en y los del se las por".split()}
+    table = [(i, _prose(i, 60, lists[lang]), lang) for i, lang in enumerate(list(lists) * 40)] + [(900, None, "en"), (901, "1234 !!", "de"), (902, "", None), (903, "² ½ ① Ⅳ _", "de")]
     docs = spark.createDataFrame(table, "doc_id long, text string, lang string")
     fitted = langid.fit(docs, F.col("doc_id") % 5 != 0)
-    assert list(fitted) == sorted(lists) and all(len(x) <= langid.MOST_BYTES for x in fitted.values())
+    assert list(fitted) == sorted(lists) and all(len(x) <= 2 * langid.MOST_BYTES for x in fitted.values())
     found = langid.identify(docs, fitted).collect()
     own = [r for r in found if r.doc_id < 900 and r.doc_id % 5 == 0]
     assert sum(r.lang == r.lang_pred for r in own) >= 0.95 * len(own)
@@ -282,6 +348,18 @@ def test_language_is_the_smallest_dictionary(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_dictionaries_are_whole_texts_and_texts_are_read_to_the_end(spark):
+    long = _prose(1, 40_000)
+    docs = spark.createDataFrame([(1, long, "en", 5), (2, _prose(2, 50), "de", 6), (3, "", "fr", 7), (4, None, "fr", 8)], "doc_id long, text string, lang string, score int")
+    fitted = langid.fit(docs, F.lit(True))
+    assert fitted["en"].decode() == long.lower() + "\n" and set(fitted) == {"de", "en"}  # no other text of its language
+    tail = " ".join(f"zq{i}" for i in range(30_000))
+    both = spark.createDataFrame([(1, long[:2000] + tail), (2, long[:2000])], "doc_id long, text string")
+    a, b = (r.margin for r in langid.identify(both, fitted).orderBy("doc_id").collect())
+    assert a < b  # what comes late counts
+    assert [r.score for r in langid.identify(docs, fitted).filter("doc_id > 2").collect()] == [0, 0]  # replaces a column of its name
+
+
 # 5 -- repeats
 
 
@@ -362,6 +440,31 @@ def test_neighbours_tell_held_out_quality(spark):
     assert found[1000].score == found[1001].score == pytest.approx(model.labels.mean())
 
 
+def test_terms_are_those_of_each_word():
+    rows_ = [b"The the THE cat-42 aaa!!! $$$ Ab12cd\tx" + b"y" * 70_000 + " é\n\nüß ".encode(), b"", b" \n ", b"one"]
+    found = knn_quality.counts(rows_)
+
+    def shape(w):
+        w = re.sub(rb"[0-9]+", b"0", re.sub(rb"(?:[a-z]|[\x80-\xff])+", b"\x01", re.sub(rb"[A-Z]+", b"\x02", w)))
+        return re.sub(rb"([^\x01\x020])\1+", rb"\1\1", w)
+
+    for data, row in zip(rows_, found):
+        plain = Counter()
+        own = data.lower().split()
+        for w, x in zip(own, data.split()):
+            plain[zlib.crc32(w) % knn_quality.WORD_TERMS] += 1
+            plain[knn_quality.WORD_TERMS + zlib.crc32(shape(x)) % (knn_quality.SHAPE_TERMS - 1)] += 1
+        plain[knn_quality.TERMS - 1] += sum(a == b for a, b in zip(own, own[1:]))
+        assert {k: int(v) for k, v in enumerate(row) if v} == {k: v for k, v in plain.items() if v}
+
+
+def test_ties_at_the_last_place_go_to_the_first():
+    points = np.array([[1, 0], [0, 1], [1, 0], [1, 0], [0, 1]], np.float32)
+    m = knn_quality.Model(None, None, points, np.array([1, 0, 0, 0, 1], np.float32))
+    assert knn_quality.votes(m, np.array([[1, 0]], np.float32), 2)[0] == 0.5  # rows 0 and 2
+    assert knn_quality.votes(m, np.array([[0, 1]], np.float32), 1)[0] == 0
+
+
 def test_blocked_products_are_exact():
     r = np.random.default_rng(4)
     m = knn_quality.Model(None, None, knn_quality._unit(r.standard_normal((40, 6))), r.integers(0, 2, 40).astype(float))
@@ -388,15 +491,64 @@ def test_counts_are_the_corpus_counts_and_scores_are_probabilities(docs):
     assert all(r.score < 0 for r in found)
 
 
-def test_classes_are_distributions_and_training_helps():
-    t = maxent_lm.tokens([_prose(k, 300).encode() for k in range(20)])
-    found, kind = maxent_lm.features(t), t.classes[t.word]
-    w, s = np.zeros((maxent_lm.FEATURES, maxent_lm.CLASSES), np.float32), np.zeros((maxent_lm.FEATURES, maxent_lm.CLASSES), np.float32)
-    before = maxent_lm.log_class(w, found, kind).mean()
+def _trained(texts):
+    t = maxent_lm.tokens([x.encode() for x in texts])
+    count = Counter(t.word.tolist())
+    by_class, words = (np.bincount(t.classes[list(count)], w, minlength=maxent_lm.CLASSES) for w in (list(count.values()), None))
+    ranked = sorted(count, key=lambda w: (t.classes[w], -count[w], int(t.hashes[w])))
+    place = Counter()
+    heads = []
+    for w in ranked:
+        place[t.classes[w]] += 1
+        if place[t.classes[w]] < maxent_lm.SLOTS:
+            heads.append((int(t.classes[w]), int(t.hashes[w]), count[w]))
+    slots = maxent_lm.Slots.of(heads, by_class, words)
+    weights, squares = (np.zeros((maxent_lm.WEIGHTS, maxent_lm.CLASSES), np.float32) for _ in range(2))
+    of_class, of_slot = maxent_lm.features(t)
+    kind = t.classes[t.word]
+    before = maxent_lm.token_logs(weights, slots, t).mean()
     for _ in range(3):
-        maxent_lm.train_part(w, s, found, kind)
-    whole = sum(np.exp(maxent_lm.log_class(w, found, np.full(len(kind), c))) for c in range(maxent_lm.CLASSES))
-    assert np.allclose(whole, 1, atol=1e-4) and maxent_lm.log_class(w, found, kind).mean() > before + 0.2
+        maxent_lm.train_part(weights, squares, of_class, kind)
+        maxent_lm.train_part(weights, squares, of_slot, slots.find(t.hashes)[0][t.word], slots.closed, kind)
+    return t, count, slots, weights, before
+
+
+def test_words_of_a_history_are_a_distribution_and_training_helps():
+    words = [f"{a}{b}{c}" for a in "klmnp" for b in ("a", "er", "ing", "ot") for c in ("", "n", "s", "t", "um")]
+    t, count, slots, weights, before = _trained([_prose(k, 300, WORDS + words) for k in range(20)])
+    assert maxent_lm.token_logs(weights, slots, t).mean() > before + 0.02
+    assert 0 < sum(n == 0 for n in slots.closed.ravel()) < slots.closed.size
+    known = {int(t.hashes[w]): n for w, n in count.items()}
+    vocabulary = {w: None for k in range(20) for w in _prose(k, 300, WORDS + words).split()}
+    unseen = {}  # a word of every class that never occurred
+    for a in "abcdefghijklmnopqrstuvwxyz":
+        for b in "abcdefghijklmnopqrstuvwxyz":
+            unseen.setdefault(1 + zlib.crc32((a + b).encode()) % (maxent_lm.CLASSES - 1), f"zzz{a}{b}")
+    assert len(unseen) == maxent_lm.CLASSES - 1
+    for history in ("", "the of", "unknown words", "der die"):
+        total = 0.0
+        for w in [*vocabulary, *unseen.values(), None]:
+            u = maxent_lm.tokens([f"{history} {w or ''}".encode()])
+            at = len(u.word) - 1 - (w is not None)
+            total += 10 ** float(maxent_lm.token_logs(weights, slots, u)[at]) * (known.get(int(u.hashes[u.word[at]]), 0) + 1)
+        assert abs(total + _unseen_end(weights, slots, history) - 1) < 1e-4
+
+
+def _unseen_end(weights, slots, history):
+    """The place for unseen words in the class of the end token, which has none."""
+    u = maxent_lm.tokens([history.encode()])
+    of_class, of_slot = maxent_lm.features(u)
+    zero = np.zeros(1, np.int64)
+    return float(np.exp(maxent_lm.log_share(weights, of_class[-1:], zero) + maxent_lm.log_share(weights, of_slot[-1:], zero, slots.closed[:1]))[0] / 10 ** slots.rest[0])
+
+
+def test_context_lifts_held_out_scores(spark):
+    pairs = [("the", "cat"), ("der", "hund"), ("el", "gato"), ("le", "chat")]
+    r = random.Random(7)
+    table = [(k, " ".join(w for _ in range(60) for w in pairs[r.randrange(4)])) for k in range(200)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").withColumn("held", F.col("doc_id") % 7 == 2)
+    held = [x for x in maxent_lm.score(docs, "held").collect() if x.held_out]
+    assert np.mean([(x.score - x.base_score) / x.n_tokens for x in held]) > 0.05
 
 
 # 9 -- byte-level BPE
