@@ -54,7 +54,7 @@ SLOT_STARTS = np.cumsum([0, CLASSES + 1, SLOT_ONE])
 #: Rows of weights: class features, then slot features by class; below 2^16. Both softmaxes are as wide.
 WEIGHTS = FEATURES + int(SLOT_STARTS[-1] + SLOT_SKIP) * CLASSES
 assert SLOTS == CLASSES
-ROUNDS, BATCH, RATE = 2, 8_192, 0.15
+ROUNDS, BATCH, RATE = 2, 16_384, 0.15
 CHUNK = 1_500_000
 END = b"\n"
 _LOWEST = -(1 << 63)
