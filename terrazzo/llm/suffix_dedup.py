@@ -8,16 +8,21 @@ strings with the least hash; suffixes start at the picked places (about 3 in 100
 depends on the window's bytes alone, so equal windows pick the same place, at the same
 offset, and comparing suffixes there, with what stands before them, loses no match.
 
-1. Suffixes are range-partitioned by their leading tokens, with splitters from a sample. Equal
-   leading tokens fall in one bucket, so a boundary never parts a match. A suffix brings a
-   hash of all bytes of the windows that picked it. In a bucket, suffixes alike in all that
-   are covered by the earliest at once; batches do this too before the shuffle, so a passage
-   that everyone has costs a row a batch. Where unlike suffixes share the leading tokens, the
-   earliest of each kind is asked for its bytes.
+1. Suffixes are range-partitioned by their leading tokens, with splitters from a sample, and
+   large ranges once more by a hash of the leading tokens. Equal leading tokens fall in one
+   bucket, so a boundary never parts a match. A suffix brings a hash of all bytes of the
+   windows that picked it. In a bucket, suffixes alike in all that are covered by the earliest
+   at once; batches do this too before the shuffle, so a passage that everyone has costs a row
+   a batch. Where unlike suffixes share the leading tokens, the earliest of each kind is asked
+   for its bytes.
 2. Those bytes (``2 * span`` at most) are range-partitioned likewise, sorted by multikey
    quicksort on 8-byte tokens, ahead and (reversed) behind; common prefixes of neighbours give
    for each offset the classes of equal windows, and all but the first of a class are covered.
-3. Covered runs are grouped by document and cut.
+3. Leading tokens with more unlike suffixes than a bucket holds, as the sample tells, stay out
+   of buckets. Their windows, all of them, are told apart by two 64-bit hashes of their bytes
+   ahead and behind; the first place of each comes from an aggregation that combines before
+   its shuffle, so no task holds such a group.
+4. Covered runs are grouped by document and cut.
 
 Defined cases: a null text is empty; texts shorter than ``span`` lose nothing; a null id comes
 before all others; rows alike in id and text are one document, and do not cover one another;
@@ -28,6 +33,7 @@ whole characters: a character that loses a byte goes.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from functools import cache
 
 import numpy as np
@@ -43,8 +49,11 @@ from .scratch import Scratch
 
 SPAN, LEAD = 100, 32
 CHUNK = 1_500_000
-#: Suffixes in a bucket, buckets at most (then they grow), sampled suffixes a bucket.
-IN_BUCKET, MOST_BUCKETS, SAMPLED = 150_000, 50_000, 16
+#: Suffixes in a bucket, splitters at most (ranges beyond are parted by hash), sampled suffixes a bucket.
+IN_BUCKET, SPLITTERS, SAMPLED = 150_000, 4_096, 16
+#: Leading tokens that are kept out of buckets: this many of the largest at most, which bounds all
+#: others to suffixes / MOST_HOT.
+MOST_HOT = 100_000
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -57,8 +66,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @cache
-def _letters() -> np.ndarray:
-    return np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+def _letters(seed: int = 7) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -105,6 +114,17 @@ class Suffixes:
         with np.errstate(over="ignore"):
             return (self.sums[at + length] - self.sums[at]) * self.inverse[at]
 
+    def windows(self, own: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+        """All windows that picked the suffixes ``own``: suffix, place in its document, two hashes of the bytes."""
+        n = self.high[own] - self.low[own] + 1
+        of = np.repeat(own, n)
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.low[of]
+        at = self.at[of] - offset
+        with np.errstate(over="ignore"):
+            other = np.concatenate([[_U(0)], np.cumsum(_letters(11)[self.data] * self.power[: len(self.data)])])
+            hashes = [_mix((x[at + span] - x[at]) * self.inverse[at]) for x in (self.sums, other)]
+        return of, self.start[of] - offset, *hashes
+
     @staticmethod
     def _leftmost_least(gram: np.ndarray, width: int) -> np.ndarray:
         """For each run of ``width`` hashes the place of the least, the leftmost of ties."""
@@ -152,6 +172,7 @@ def _firsts(k0: np.ndarray, k1: np.ndarray, at: np.ndarray, *kinds: np.ndarray)
     return order, new, (k0[order] != k0[first]) | (k1[order] != k1[first]) | (at[order] != at[first])
 
 
+BUCKET, SPENT, CROWD = 0, 1, 2
 COVERED = "k0 long, k1 long, run long"
 ASKED = "kind int, k0 long, k1 long, run long"
 
@@ -226,8 +247,11 @@ def covered(keyed: DataFrame, span: int = SPAN, lead: int = LEAD) -> DataFrame:
     """The covered runs of each document of ``keyed_rows``: k0, k1, runs (start << 32 | end)."""
     total = keyed.select(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     suffixes = max(1, total // 30)
-    buckets = min(MOST_BUCKETS, -(-suffixes // IN_BUCKET))
+    buckets = -(-suffixes // IN_BUCKET)
+    ranges = min(SPLITTERS, buckets)
+    parts = -(-buckets // ranges)  # of a range, by hash
     every = max(1, suffixes // (buckets * SAMPLED))
+    scratch = Scratch(keyed.sparkSession, "suffixes")
 
     def sampled(batches):
         for b in batches:
@@ -236,13 +260,22 @@ def covered(keyed: DataFrame, span: int = SPAN, lead: int = LEAD) -> DataFrame:
                 s = Suffixes(rows[at], span, lead)
                 some = np.flatnonzero(_mix(s.whole) % _U(thin) == 0)
                 s.at = s.at[some]
-                yield pa.RecordBatch.from_arrays([pa.array([bytes(x) for x in s.leading(lead)], pa.binary())], names=["lead"])
+                yield pa.RecordBatch.from_arrays([pa.array([bytes(x) for x in s.leading(lead)], pa.binary()), pa.array(s.whole[some].view(np.int64))], names=["lead", "whole"])
 
     # texts are thinned before suffixes, so that the sample reads few of them
     part = min(every, 64)
     thin = max(1, every // part)
-    lines = sorted(r["lead"] for r in keyed.filter(F.pmod(F.xxhash64("k0", "k1"), F.lit(part)) == 0).select("t").mapInArrow(sampled, "lead binary").collect())
-    cuts = np.array([lines[len(lines) * k // buckets] for k in range(1, buckets)] if lines else [], dtype=f"S{lead}")
+    sample = keyed.filter(F.pmod(F.xxhash64("k0", "k1"), F.lit(part)) == 0).select("t").mapInArrow(sampled, "lead binary, whole long")
+    kinds = scratch.write(sample.distinct().groupBy("lead").agg(F.count(F.lit(1)).alias("n")), "sample")
+    crowded = kinds.filter(F.col("n") * every > IN_BUCKET).orderBy(F.col("n").desc(), "lead").limit(MOST_HOT)
+    hot = np.sort(np.array([bytes(r["lead"]) for r in crowded.select("lead").collect()], dtype=f"S{lead}"))
+    # splitters need about SAMPLED leading tokens a range
+    met_ = kinds.filter(F.pmod(F.xxhash64("lead"), F.lit(parts)) == 0).select("lead", F.least("n", F.lit(SAMPLED)).alias("n"))
+    lines = sorted(x for r in met_.collect() for x in [bytes(r["lead"])] * r["n"])
+    cuts = np.array([lines[len(lines) * k // ranges] for k in range(1, ranges)] if lines else [], dtype=f"S{lead}")
+
+    def bucket_of(leading: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        return np.searchsorted(cuts, leading, "right") * parts + (_mix(gram) % _U(parts)).astype(np.int64)
 
     def suffix_rows(batches):
         for b in batches:
@@ -255,24 +288,40 @@ def covered(keyed: DataFrame, span: int = SPAN, lead: int = LEAD) -> DataFrame:
                 dup = order[~new & later]
                 begin = s.start[dup] - s.high[dup]
                 spent = _packed(k0[dup], k1[dup], _run(begin, s.start[dup] - s.low[dup] + span))
+                # what is covered already goes along, in a bucket of any number
+                found, what, made = [int(abs(k1[0])) % buckets if len(k1) else 0], [SPENT], [spent]
                 own = np.sort(order[new])
-                bucket = np.searchsorted(cuts, s.leading(lead)[own], "right")
+                leading = s.leading(lead)[own]
+                if len(hot):
+                    crowd = np.isin(leading, hot)
+                    of, place, h0, h1 = s.windows(own[crowd], span)
+                    for a in range(0, len(of), 50_000):
+                        x = slice(a, a + 50_000)
+                        found.append(-1)
+                        what.append(CROWD)
+                        made.append(_packed(h0[x], h1[x], k0[of[x]], k1[of[x]], place[x].astype(np.int64)))
+                    own, leading = own[~crowd], leading[~crowd]
+                bucket = bucket_of(leading, s.gram[own])
                 own, bucket = own[np.argsort(bucket, kind="stable")], np.sort(bucket)
                 edges = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(own)]]) if len(own) else [0]
-                # what is covered already goes along, in a bucket of any number
-                found, made = [int(abs(k1[0])) % buckets if len(k1) else 0], [spent]
                 for a, z in zip(edges, edges[1:]):
                     x = own[a:z]
                     found.append(int(bucket[a]))
+                    what.append(BUCKET)
                     made.append(_packed(s.gram[x], s.whole[x], k0[x], k1[x], s.start[x].astype(np.int32), s.low[x].astype(np.uint8), s.high[x].astype(np.uint8)))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([True] + [False] * (len(found) - 1)), pa.array(made, pa.binary())], names=["bucket", "spent", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(what, pa.int32()), pa.array(made, pa.binary())], names=["bucket", "what", "blob"])
+
+    def crowd_rows(batches):
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in _unpacked(data, "u8", "u8", "i8", "i8", "i8")], names=["h0", "h1", "k0", "k1", "at"])
 
     def alike(table: pa.Table) -> pa.Table:
         out = []
-        for data in table.filter(table.column("spent")).column("blob").to_pylist():
+        for data in table.filter(pc.equal(table.column("what"), SPENT)).column("blob").to_pylist():
             k0, k1, run = _unpacked(data, "i8", "i8", "i8")
             out.append((np.zeros(len(k0), np.int64), k0, k1, run))
-        cols = [np.concatenate(x) for x in zip(*[_unpacked(x, "u8", "u8", "i8", "i8", "i4", "u1", "u1") for x in table.filter(pc.invert(table.column("spent"))).column("blob").to_pylist()], strict=True)]
+        cols = [np.concatenate(x) for x in zip(*[_unpacked(x, "u8", "u8", "i8", "i8", "i4", "u1", "u1") for x in table.filter(pc.equal(table.column("what"), BUCKET)).column("blob").to_pylist()], strict=True)]
         if not cols:
             return pa.Table.from_batches([_batch(out, ["kind", "k0", "k1", "run"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()])])
         gram, whole, k0, k1 = cols[:4]
@@ -290,8 +339,10 @@ def covered(keyed: DataFrame, span: int = SPAN, lead: int = LEAD) -> DataFrame:
         out.append((np.ones(len(ask), np.int64), k0[ask], k1[ask], start[ask] << 16 | low[ask] << 8 | high[ask]))
         return pa.Table.from_batches([_batch(out, ["kind", "k0", "k1", "run"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()])])
 
-    first = keyed.select("k0", "k1", "t").mapInArrow(suffix_rows, "bucket int, spent boolean, blob binary")
-    met = Scratch(keyed.sparkSession, "suffixes").write(first.groupBy("bucket").applyInArrow(alike, ASKED), "met")
+    first = keyed.select("k0", "k1", "t").mapInArrow(suffix_rows, "bucket int, what int, blob binary")
+    if len(hot):
+        first = scratch.write(first, "first")
+    met = scratch.write(first.filter(F.col("what") != CROWD).groupBy("bucket").applyInArrow(alike, ASKED), "met")
     asked = met.filter(F.col("kind") == 1).groupBy("k0", "k1").agg(F.collect_list("run").alias("places"))
 
     def contexts(batches):
@@ -306,7 +357,7 @@ def covered(keyed: DataFrame, span: int = SPAN, lead: int = LEAD) -> DataFrame:
                 begin, length = ends[doc] + start - high, high - low + span
                 lead_at = ends[doc] + start
                 tokens = np.ascontiguousarray(np.minimum(data[lead_at[:, None] + np.arange(lead)], 254) + 1).view(f"S{lead}").ravel()
-                bucket = np.searchsorted(cuts, tokens, "right")
+                bucket = np.searchsorted(cuts, tokens, "right") * parts + np.array([zlib.crc32(x) % parts for x in tokens.tolist()] if parts > 1 else 0, np.int64)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]]) if len(order) else [0]
                 found, made = [], []
@@ -339,6 +390,12 @@ def covered(keyed: DataFrame, span: int = SPAN, lead: int = LEAD) -> DataFrame:
     told = keyed.join(asked.hint("shuffle_hash"), ["k0", "k1"]).select("k0", "k1", "t", "places", "row")
     swept = told.mapInArrow(contexts, "bucket int, head binary, bytes binary").groupBy("bucket").applyInArrow(sweep, COVERED)
     runs = met.filter(F.col("kind") == 0).select("k0", "k1", "run").union(swept)
+    if len(hot):
+        crowd = first.filter(F.col("what") == CROWD).select("blob").mapInArrow(crowd_rows, "h0 long, h1 long, k0 long, k1 long, at long")
+        places = crowd.groupBy("h0", "h1").agg(F.min(F.struct("k0", "k1", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h0", "h1", "first")
+        # a window that everyone has is a long row of one key: Spark splits those (AQE)
+        later = crowd.join(places.hint("merge"), ["h0", "h1"]).filter(F.struct("k0", "k1", "at") != F.col("first"))
+        runs = runs.union(later.select("k0", "k1", (F.shiftleft(F.col("at"), 32) + F.col("at") + span).alias("run")))
     return runs.groupBy("k0", "k1").agg(F.collect_list("run").alias("runs"))
 
 

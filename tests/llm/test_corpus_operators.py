@@ -392,6 +392,28 @@ def test_passages_shared_by_random_texts(spark):
     assert {(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in found} == _removed(table)
 
 
+@pytest.mark.parametrize("in_bucket, splitters", [(40, 3), (4, 4096), (12, 1)])
+def test_crowded_leading_tokens_are_split(spark, monkeypatch, in_bucket, splitters):
+    """One phrase in most texts between unlike ones, a whole passage, copies; buckets far too small for them."""
+    monkeypatch.setattr(suffix_dedup, "IN_BUCKET", in_bucket)
+    monkeypatch.setattr(suffix_dedup, "SPLITTERS", splitters)
+    r = random.Random(21)
+    noise = lambda n: "".join(r.choice("abcdefghij é") for _ in range(n))
+    phrase, passage = noise(88), noise(150)
+    table = [(k, noise(r.randint(0, 150)) + phrase + noise(r.randint(0, 30)) + (passage if k % 3 else phrase) + noise(r.randint(0, 120))) for k in range(120)]
+    table += [(200, table[3][1]), (201, table[4][1] + "x"), (202, ""), (203, None), (204, "q" * 700)]
+    tables = []
+    write = suffix_dedup.Scratch.write
+    monkeypatch.setattr(suffix_dedup.Scratch, "write", lambda self, df, name: tables.append(name) or write(self, df, name))
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(table, "doc_id long, text string").repartition(6), keep=["doc_id"]).collect()
+    assert {(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in found} == _removed(table)
+    assert "first" in tables  # there were crowds
+    s = suffix_dedup.Suffixes([passage.encode() + b"0123456789"], 100, 32)
+    _, place, h0, h1 = s.windows(np.arange(len(s.at)), 100)
+    assert sorted(place.tolist()) == list(range(len(s.data) - 99))  # every window picked one suffix
+    assert len(set(zip(h0.tolist(), h1.tolist()))) == len(place)
+
+
 def test_cut_texts_keep_whole_characters(docs):
     cut = suffix_dedup.remove_repeats(docs, keep=docs.columns, cut_text=True)
     assert cut.columns[: len(docs.columns)] == docs.columns
