@@ -227,7 +227,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return similar.filter(F.col("jp") >= threshold - 1e-12).select("a", "b")
 
 
-def tiles(shared: DataFrame, root: DataFrame, block: int) -> DataFrame:
+def tiles(shared: DataFrame, root: DataFrame, block: int, scratch: Scratch) -> DataFrame:
     """Members (band, x, y, block, rid, root) of the tiles of buckets that hold two components.
 
     The first round compared the bucket's first member with all: it stays away.
@@ -237,6 +237,7 @@ def tiles(shared: DataFrame, root: DataFrame, block: int) -> DataFrame:
     bands = sizes.groupBy("band").agg(F.sum("size").alias("n"), F.max(F.struct("size", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     crowd, others = (F.ceil(c / block) for c in (F.col("x.size"), F.col("n") - F.col("x.size")))
     bands = bands.select("band", F.col("x.root").alias("most"), (F.col("n") <= block).alias("few"), crowd.alias("mc"), others.alias("mo"))
+    bands = scratch.write(bands, "bands")
     salt, own = F.xxhash64("rid", "band", F.lit("tile")), F.col("root") == F.col("most")
     place = F.when(F.col("few"), F.lit(0).cast("long")).when(own, F.pmod(salt, F.col("mc"))).otherwise(F.col("mc") + F.pmod(salt, F.col("mo")))
     meets = F.when(F.col("few"), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.when(own, F.col("mc")).otherwise(F.lit(0).cast("long")), F.col("mc") + F.col("mo") - 1))
@@ -324,7 +325,7 @@ def links_of_tile(band: int, same: bool, block: np.ndarray, root: np.ndarray, si
     return out
 
 
-def _across(shared: DataFrame, root: DataFrame, sets: DataFrame, reps: DataFrame, threshold: float, block: int) -> DataFrame:
+def _across(shared: DataFrame, root: DataFrame, sets: DataFrame, reps: DataFrame, threshold: float, block: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) of all similar pairs that share a bucket and no component."""
 
     def run(batches):
@@ -345,7 +346,7 @@ def _across(shared: DataFrame, root: DataFrame, sets: DataFrame, reps: DataFrame
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([rid[p[k]] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    dealt = tiles(shared, root, block).join(sets, "rid").join(reps.select("rid", "bands"), "rid")
+    dealt = tiles(shared, root, block, scratch).join(sets, "rid").join(reps.select("rid", "bands"), "rid")
     order = ["band", "x", "y"]
     return dealt.repartition(*order).sortWithinPartitions(*order).select(*order, "block", "rid", "root", "sig", "bands", "shingles").mapInArrow(run, "a long, b long").distinct()
 
@@ -365,7 +366,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     once = signed.filter("n > 0").groupBy("c0", "c1").agg(F.min(F.struct("k0", "k1")).alias("k"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     reps = scratch.write(once.select(F.monotonically_increasing_id().alias("rid"), "c0", "c1", "k", "bands", "sig"), "reps")
     buckets = reps.select("rid", F.explode("bands").alias("band"))
-    many = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("b")).filter("n > 1").select("band", "b")
+    # tables of bands are written before they are joined: Spark splits a large band's rows (AQE) only
+    # where both sides of a join come straight from a shuffle
+    many = scratch.write(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("b")).filter("n > 1").select("band", "b"), "many")
     shared = scratch.write(buckets.join(many, "band").select("band", "rid", "b"), "shared")
     # sets of all that share a bucket: every later round reads them
     needed = reps.select("rid", F.col("k.k0").alias("k0"), F.col("k.k1").alias("k1"), "sig").join(shared.select("rid").distinct(), "rid")
@@ -398,10 +401,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         two = F.struct(F.lit(0).cast("long").alias("s"), order.alias("o"), "rid", "root", "size")
         leads = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(one).alias("x"), F.max(two).alias("y")).filter("low <> high")
         leads = leads.select("band", F.explode(F.array(F.struct(F.col("x.rid").alias("b"), F.col("x.root").alias("to"), (-F.col("x.s")).alias("most")), F.struct(F.col("y.rid").alias("b"), F.col("y.root").alias("to"), F.col("y.size").alias("most")))).alias("lead")).select("band", "lead.*")
+        leads = scratch.write(leads, f"leads{k}")
         # the smaller component asks the larger: one stranger never meets a whole crowd
         asks = (F.col("root") != F.col("to")) & ((F.col("size") < F.col("most")) | ((F.col("size") == F.col("most")) & (F.col("root") > F.col("to"))))
         pairs = members.join(leads, "band").filter(asks).select(F.col("rid").alias("a"), "b").distinct()
-    links = scratch.write(_across(shared, root, sets, reps, threshold, BLOCK), "across")
+    links = scratch.write(_across(shared, root, sets, reps, threshold, BLOCK, scratch), "across")
     if links.limit(1).count():
         root = _joined(links, root, scratch, ROUNDS)
     found = reps.select("c0", "c1", "rid", "k").join(root.withColumnRenamed("node", "rid"), "rid", "left").select("c0", "c1", "k", F.coalesce("root", "rid").alias("root"))

@@ -105,6 +105,49 @@ def test_one_document_of_each_class_stays(docs, rows):
     assert ids == sorted({(r[0] is None, r[0] or 0) for r in rows} - {(False, 1), (False, 2), (False, 12)})
 
 
+def _classes_of_all_pairs(table, threshold=0.8):
+    """Components of all pairs with a weighted J_P of the threshold or more, by the defining sum."""
+    bags = []
+    for _, t in table:
+        w = t.lower().split()
+        bags.append({x: 1 + math.log(n) for x, n in Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))).items()})
+    root = list(range(len(table)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, a in enumerate(bags):
+        for j in range(i):
+            b = bags[j]
+            both = a.keys() & b.keys()
+            if len(both) < 0.3 * min(len(a), len(b)):
+                continue
+            x, y = (np.array([bag.get(d, 0.0) for d in a.keys() | b.keys()]) for bag in (a, b))
+            jp = sum(1 / np.maximum(x / a[e], y / b[e]).sum() for e in both)
+            if jp >= threshold:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    return {table[k][0]: table[top(k)][0] for k in range(len(table))}
+
+
+def test_classes_are_those_of_all_weighted_pairs(spark):
+    r = random.Random(17)
+    table = []
+    for base in range(25):
+        words = [f"b{base}w{r.randrange(25)}" for _ in range(r.randint(30, 160))]  # shingles repeat, so weights differ
+        words += words[: r.randint(0, 40)]
+        for _ in range(r.randint(1, 7)):
+            own = words[:]
+            for _ in range(r.randint(0, 5)):
+                own[r.randrange(len(own))] = f"x{r.randrange(9)}"
+            table.append(own if r.random() < 0.8 else own[: -r.randint(1, 12)])
+    table = [(k, " ".join(x)) for k, x in enumerate(table)]
+    found = {x.doc_id: x.class_id for x in probminhash.classes(spark.createDataFrame(table, "doc_id long, text string").repartition(5)).collect()}
+    plain = _classes_of_all_pairs(table)
+    assert found == plain and 25 <= len(set(plain.values())) < len(table)
+
+
 def test_a_chain_of_near_copies_is_one_class(spark):
     words = [f"w{i}" for i in range(200)]
     chain = []
