@@ -17,13 +17,17 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-#: Rows of an Arrow batch: texts of a batch are held at once, by Spark and by a Python worker.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch: texts of a batch are held at once, by Spark and by a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, after telling its session to send rows to Python in small batches."""
+    """``df``, after telling its session to send rows to Python in small batches.
+
+    The two settings stay in the session: they bound memory and change no result.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

@@ -89,7 +89,7 @@ class Suffixes:
         first = [s for a, b in zip(self.ends, self.ends[1:]) if b - a >= span for s in (a, b - span + 1)]
         empty = np.zeros(0, np.int64)
         if not first:
-            self.doc = self.at = self.low = self.high = empty
+            self.doc = self.at = self.start = self.low = self.high = empty
             self.gram = self.whole = empty.astype(np.uint64)
             return
         gram = _mix(self.hashes(np.arange(n - lead + 1), lead))
