@@ -27,7 +27,9 @@ equally often that with the smaller hash gets a slot.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -56,25 +58,12 @@ WEIGHTS = FEATURES + int(SLOT_STARTS[-1] + SLOT_SKIP) * CLASSES
 assert SLOTS == CLASSES
 ROUNDS, BATCH, RATE = 2, 16_384, 0.15
 CHUNK = 1_500_000
-END = b"\n"
+END = b"\xff"  # no word: never in UTF-8
+_CLOSE = b" " + END + b" "
 _LOWEST = -(1 << 63)
 _U = np.uint64
 
 
-class _Words(dict):
-    """Numbers words as they come; notes each word's hash and class."""
-
-    def __init__(self) -> None:
-        self.hashes: list[int] = []
-        self.classes: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        self.classes.append(0 if word == END else 1 + zlib.crc32(word.rstrip(b".,;:!?")[-2:]) % (CLASSES - 1))
-        return n
-
-
 @dataclass(frozen=True)
 class Tokens:
     row: np.ndarray
@@ -84,12 +73,18 @@ class Tokens:
     sizes: np.ndarray  # by row
 
 
+def _class(word: bytes) -> int:
+    return 0 if word == END else 1 + zlib.crc32(word.rstrip(b".,;:!?")[-2:]) % (CLASSES - 1)
+
+
 def tokens(rows: list[bytes]) -> Tokens:
     """Words of lower-cased rows, each row closed by an end token."""
-    known = _Words()
-    own = [[known[w] for w in x.split()] + [known[END]] for x in rows]
-    sizes = np.array([len(x) for x in own], np.int64)
-    return Tokens(np.repeat(np.arange(len(rows)), sizes), np.array([i for x in own for i in x], np.int64), np.array(known.hashes, np.uint64), np.array(known.classes, np.int64), sizes)
+    known: dict[bytes, int] = defaultdict(count().__next__)  # numbers words as they come
+    end = known[END]
+    word = np.fromiter(map(known.__getitem__, b"".join([x + _CLOSE for x in rows]).split()), np.int64)
+    sizes = np.diff(np.flatnonzero(word == end), prepend=-1)
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in known], np.uint64)
+    return Tokens(np.repeat(np.arange(len(rows)), sizes), word, hashes, np.array([_class(w) for w in known], np.int64), sizes)
 
 
 def _lowered(column: pa.Array):
@@ -279,7 +274,7 @@ def corpus_counts(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndar
     # written once: both branches below read the same batches, whatever executors are lost
     parts = scratch.write(docs.select("k0", "k1", "t", "learns").mapInArrow(cut, "batch long, part int, a binary, b binary"), "parts")
 
-    def count(table: pa.Table) -> pa.Table:
+    def add_up(table: pa.Table) -> pa.Table:
         batch = table.column("batch").to_pylist()
         cols = [_unpacked(x, "u8", "i8", "i4", "i1") for x in table.column("a").to_pylist()]
         h, n, _, kind = (np.concatenate(c) for c in zip(*cols, strict=True))
@@ -300,7 +295,7 @@ def corpus_counts(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndar
             out.append((None, None, None, int(kind[first[x]]), int(ids[x].astype(np.int64)), int(whole[x])))
         return pa.Table.from_arrays([pa.array(c, y) for c, y in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["batch", "c", "sums", "kind", "hash", "n"])
 
-    back = scratch.write(parts.filter("part >= 0").select("batch", "part", "a").repartition(2 * ranges, "part").groupBy("part").applyInArrow(count, "batch long, c binary, sums array<long>, kind int, hash long, n long"), "counts")
+    back = scratch.write(parts.filter("part >= 0").select("batch", "part", "a").repartition(2 * ranges, "part").groupBy("part").applyInArrow(add_up, "batch long, c binary, sums array<long>, kind int, hash long, n long"), "counts")
     most = back.filter(F.col("kind").isNotNull()).withColumn("k", F.row_number().over(W.partitionBy("kind").orderBy(F.col("n").desc(), "hash"))).filter(F.col("k") < SLOTS)
     heads = [(r["kind"], r["hash"] % (1 << 64), r["n"]) for r in most.orderBy("kind", "k").select("kind", "hash", "n").collect()]
     totals = back.filter(F.col("sums").isNotNull()).select(F.posexplode("sums").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()

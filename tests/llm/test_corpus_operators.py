@@ -688,6 +688,45 @@ def test_globs_match_like_regular_expressions():
 # all of them
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    from terrazzo.llm.columns import BATCH_BYTES, annotate
+
+    long = spark.range(60, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    sizes = annotate(long, lambda texts: [[texts.nbytes] * len(texts)], ["text"], T.StructType([T.StructField("held", T.LongType())]), []).collect()
+    assert len(sizes) == 60 and max(r.held for r in sizes) <= BATCH_BYTES + (2 << 20)
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Very long, empty and null texts under columns named like results."""
+    long = _prose(4, 60_000) + "\n" + "word " * 20_000
+    table = [(1, long, "en", 1, "a", 0.5, True), (2, "", "de", 2, "b", None, None), (3, None, None, 3, None, 0.1, False), (4, _prose(6, 60), "en", 4, "c", 0.2, True)]
+    return spark.createDataFrame(table, "doc_id long, text string, lang string, n_tokens int, lang_pred string, score double, held_out boolean")
+
+
+def test_long_texts_and_clashing_names(clashing, spark, encoding):
+    by = lambda df: {r.doc_id: r for r in df.collect()}
+    rows_ = by(clashing)
+    langs = by(langid.identify(clashing, langid.fit(clashing, F.lit(True))))
+    assert langs[1].lang_pred == "en" and langs[2].lang_pred == langs[3].lang_pred == "und" and langs[1].n_tokens == 1
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 1)], "doc_id long, quality int")
+    scored = by(knn_quality.score(clashing, knn_quality.fit(clashing, labels, F.lit(True))))
+    assert len(scored) == 4 and all(0 <= r.score <= 1 for r in scored.values())
+    lm = by(maxent_lm.score(clashing, "held_out"))
+    assert {k: r.n_tokens for k, r in lm.items()} == {k: len((r.text or "").split()) + 1 for k, r in rows_.items()}
+    path, library = encoding
+    assert {k: r.n_tokens for k, r in by(bpe.digest(clashing, path)).items()} == {k: len(library.encode_ordinary(r.text or "")) for k, r in rows_.items()}
+    cut = by(suffix_dedup.remove_repeats(clashing.withColumnRenamed("score", "n_spans")))
+    assert {(k, r.n_removed) for k, r in cut.items()} == {(x[0], x[2]) for x in _removed([(k, r.text) for k, r in rows_.items()])}
+    assert {r.class_id for r in probminhash.classes(clashing).collect()} == {1, 2, 3, 4}
+    assert by(quality_rules.judge(clashing, quality_rules.learn_references(clashing)))[1].base_failed
+    path3 = public_tokenizers.path("word_bpe_49k.json")
+    ids = Tokenizer.from_file(path3).encode(rows_[1].text, add_special_tokens=False).ids
+    assert sum(r.length for r in packing.pack(clashing, path3).collect() if r.doc_id == 1) == len(ids) + 1
+    pages = spark.createDataFrame([(1, "http://a.org/" + "x/" * 50_000, "h", "p", "r")], "page_id long, url string, host string, path string, rule string")
+    assert [(r.host, r.rule, len(r.path)) for r in url_filter.filter_urls(pages).collect()] == [("a.org", "org/", 100_001)]
+
+
 def test_empty_tables(empty, spark):
     path9, path3 = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
     labels = spark.createDataFrame([], "doc_id long, quality int")
