@@ -1,6 +1,8 @@
 """Constraints as penalties of districts, and scorers of draws, as DataFrame expressions.
 
-A ``Penalty`` gives (draw, district, penalty) for an ensemble; ``evaluate`` sums strengths. A
+A ``Penalty`` gives (draw, district, penalty) for an ensemble; ``evaluate`` sums strengths. Inside
+a sampler's step the same penalty is asked for one district of one plan: ``local`` takes unit
+columns (``needs``), the district's mask, the plan and the graph. A
 ``Scorer`` gives (draw, score) and adds, subtracts, scales and stacks.
 """
 
@@ -10,11 +12,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import graph, labels, overlap, tally
+from .sizes import small
 
 BY = ["draw", "district"]
 
@@ -24,6 +28,22 @@ class Penalty:
     name: str
     strength: float
     of: Callable[[DataFrame, DataFrame], DataFrame]  # assignments, units -> draw, district, penalty
+    local: Callable | None = None
+    needs: tuple[str, ...] = ()
+
+
+def _local_share(group: str, total: tuple[str, ...], fn: Callable[[float], float]) -> dict:
+    """``local`` and ``needs`` of a function of a district's share."""
+
+    def local(columns: dict, inside: np.ndarray, plan: np.ndarray, g) -> float:
+        whole = sum(float(columns[c][inside].sum()) for c in total)
+        return fn(float(columns[group][inside].sum()) / whole if whole else 0.0)
+
+    return {"local": local, "needs": (group, *total)}
+
+
+def _local_nearest(s: float, targets: tuple[float, ...]) -> float:
+    return min(reversed(targets), key=lambda t: abs(s - t))
 
 
 def _share(group: Column | str, total: Column | str, fn: Callable[[Column], Column]):
@@ -35,11 +55,11 @@ def _share(group: Column | str, total: Column | str, fn: Callable[[Column], Colu
 
 
 def pop_dev(strength: float, target: float, pop: str = "pop") -> Penalty:
-    return Penalty("pop_dev", strength, lambda a, u: tally.tally(a, u, p=pop).select(*BY, F.pow(F.col("p") / target - 1, 2).alias("penalty")))
+    return Penalty("pop_dev", strength, lambda a, u: tally.tally(a, u, p=pop).select(*BY, F.pow(F.col("p") / target - 1, 2).alias("penalty")), lambda c, inside, plan, g: (float(c[pop][inside].sum()) / target - 1) ** 2, (pop,))
 
 
 def grp_pow(strength: float, group: str, total: str = "pop", to_group: float = 0.5, to_other: float = 0.5, power: float = 1.0) -> Penalty:
-    return Penalty("grp_pow", strength, _share(group, total, lambda s: F.pow(F.abs(s - to_group) * F.abs(s - to_other), F.lit(power))))
+    return Penalty("grp_pow", strength, _share(group, total, lambda s: F.pow(F.abs(s - to_group) * F.abs(s - to_other), F.lit(power))), **_local_share(group, (total,), lambda s: (abs(s - to_group) * abs(s - to_other)) ** power))
 
 
 def _nearest(s: Column, targets: list[float]) -> Column:
@@ -51,15 +71,15 @@ def _nearest(s: Column, targets: list[float]) -> Column:
 
 
 def grp_hinge(strength: float, group: str, total: str = "pop", targets: tuple[float, ...] = (0.55,)) -> Penalty:
-    return Penalty("grp_hinge", strength, _share(group, total, lambda s: F.sqrt(F.greatest(_nearest(s, list(targets)) - s, F.lit(0.0)))))
+    return Penalty("grp_hinge", strength, _share(group, total, lambda s: F.sqrt(F.greatest(_nearest(s, list(targets)) - s, F.lit(0.0)))), **_local_share(group, (total,), lambda s: max(_local_nearest(s, targets) - s, 0.0) ** 0.5))
 
 
 def grp_inv_hinge(strength: float, group: str, total: str = "pop", targets: tuple[float, ...] = (0.55,)) -> Penalty:
-    return Penalty("grp_inv_hinge", strength, _share(group, total, lambda s: F.sqrt(F.greatest(s - _nearest(s, list(targets)), F.lit(0.0)))))
+    return Penalty("grp_inv_hinge", strength, _share(group, total, lambda s: F.sqrt(F.greatest(s - _nearest(s, list(targets)), F.lit(0.0)))), **_local_share(group, (total,), lambda s: max(s - _local_nearest(s, targets), 0.0) ** 0.5))
 
 
 def compet(strength: float, dvote: str, rvote: str, power: float = 0.5) -> Penalty:
-    return Penalty("compet", strength, _share(dvote, F.col(dvote) + F.col(rvote), lambda s: F.pow(F.abs(s - 0.5) * F.abs(s - 0.5), F.lit(power))))
+    return Penalty("compet", strength, _share(dvote, F.col(dvote) + F.col(rvote), lambda s: F.pow(F.abs(s - 0.5) * F.abs(s - 0.5), F.lit(power))), **_local_share(dvote, (dvote, rvote), lambda s: abs(s - 0.5) ** (2 * power)))
 
 
 def segregation(strength: float, group: str, total: str = "pop") -> Penalty:
@@ -69,7 +89,12 @@ def segregation(strength: float, group: str, total: str = "pop") -> Penalty:
         T, P = F.sum("t").over(every), F.sum("g").over(every) / F.sum("t").over(every)
         return both.select(*BY, (F.col("t") * F.abs(tally.share("g", "t") - P) / (2 * T * P * (1 - P))).alias("penalty"))
 
-    return Penalty("segregation", strength, of)
+    def local(c: dict, inside: np.ndarray, plan: np.ndarray, g) -> float:
+        g_, t = float(c[group].sum()), float(c[total].sum())
+        own, p = float(c[total][inside].sum()), g_ / t
+        return own * abs((float(c[group][inside].sum()) / own if own else 0.0) - p) / (2 * t * p * (1 - p))
+
+    return Penalty("segregation", strength, of, local, (group, total))
 
 
 def status_quo(strength: float, plan: DataFrame, ndists: int, pop: str = "pop") -> Penalty:
@@ -88,7 +113,7 @@ def incumbency(strength: float, incumbents: DataFrame) -> Penalty:
     """Incumbents (unit_id) in a district beyond the first."""
 
     def of(asg: DataFrame, units: DataFrame) -> DataFrame:
-        n = asg.join(F.broadcast(incumbents.select("unit_id").withColumn("here", F.lit(1))), "unit_id", "left").groupBy(*BY).agg(F.count("here").alias("n"))
+        n = asg.join(small(incumbents.select("unit_id").withColumn("here", F.lit(1))), "unit_id", "left").groupBy(*BY).agg(F.count("here").alias("n"))
         return n.select(*BY, F.greatest(F.col("n") - 1, F.lit(0)).cast("double").alias("penalty"))
 
     return Penalty("incumbency", strength, of)
@@ -103,7 +128,11 @@ def splits(strength: float, county: str = "county", kind: str = "splits") -> Pen
         touched = tally.placed(asg, units, county).select(*BY, county).distinct()
         return touched.join(n, ["draw", county]).groupBy(*BY).agg(F.sum(value).alias("penalty"))
 
-    return Penalty(kind, strength, of)
+    def local(c: dict, inside: np.ndarray, plan: np.ndarray, g) -> float:
+        found = [len(set(plan[(c[county] == k) & (plan > 0)].tolist())) for k in set(c[county][inside].tolist())]
+        return float(sum({"splits": n > 1, "multisplits": n > 2, "total_splits": n - 1}[kind] for n in found))
+
+    return Penalty(kind, strength, of, local, (county,))
 
 
 def polsby(strength: float, perimeters: DataFrame, area: str = "area") -> Penalty:
@@ -121,16 +150,31 @@ def edges_removed(strength: float, edges: DataFrame) -> Penalty:
         cut = graph.cut_edges(edges, asg).select("draw", F.explode(F.array("a", "b")).alias("district")).groupBy(*BY).agg((F.count(F.lit(1)) / 2).alias("penalty"))
         return asg.select(*BY).distinct().join(cut, BY, "left").select(*BY, F.coalesce("penalty", F.lit(0.0)).alias("penalty"))
 
-    return Penalty("edges_removed", strength, of)
+    def local(c: dict, inside: np.ndarray, plan: np.ndarray, g) -> float:
+        return sum(int((~inside[g.near[v]]).sum()) for v in np.flatnonzero(inside)) / 2
+
+    return Penalty("edges_removed", strength, of, local)
 
 
 def log_st(strength: float, edges: DataFrame) -> Penalty:
     return Penalty("log_st", strength, lambda a, u: graph.log_trees(edges, a).select(*BY, F.col("log_trees").alias("penalty")))
 
 
-def custom(name: str, strength: float, fn: Callable[[DataFrame, DataFrame], DataFrame]) -> Penalty:
-    """A user's own penalty, over the whole ensemble at once."""
-    return Penalty(name, strength, fn)
+def qps(strength: float, cities: str, ndists: int, pop: str = "pop") -> Penalty:
+    """Cities (0: none) in parts: sum of p (1 - p) over a city's shares, by districts, and the log of the number of cities."""
+
+    def of(asg: DataFrame, units: DataFrame) -> DataFrame:
+        own = tally.placed(asg, units, cities, pop).filter(F.col(cities) > 0).groupBy(*BY, cities).agg(F.sum(pop).alias("p"))
+        share = F.col("p") / F.sum("p").over(W.partitionBy("draw", cities))
+        told = own.select(*BY, cities, (share * (1 - share)).alias("v")).groupBy(*BY).agg((F.sum("v") / ndists + F.log(F.count(F.lit(1)).cast("double"))).alias("penalty"))
+        return asg.select(*BY).distinct().join(told, BY, "left").select(*BY, F.coalesce("penalty", F.lit(0.0)).alias("penalty"))
+
+    return Penalty("qps", strength, of)
+
+
+def custom(name: str, strength: float, fn: Callable[[DataFrame, DataFrame], DataFrame], local: Callable | None = None, needs: tuple[str, ...] = ()) -> Penalty:
+    """A user's own penalty: ``fn`` over the whole ensemble at once, ``local`` for one district inside a sampler."""
+    return Penalty(name, strength, fn, local, needs)
 
 
 def evaluate(asg: DataFrame, units: DataFrame, penalties: list[Penalty]) -> DataFrame:

@@ -1,13 +1,18 @@
 """Sampling of plans: sequential Monte Carlo and Markov chains, as rounds of Spark jobs.
 
-Particles and chains are rows. A round draws candidates, joins them to their parents, cuts a
-random spanning tree in each (a small numpy helper) and keeps the first that is valid; the
-rounds in between are tables in the shared folder. Random numbers depend on (seed, row, round)
-alone, so results don't change with the partitioning or when a task runs again.
+Particles and chains are rows. A round draws candidates, cuts a random spanning tree in each (a
+small numpy helper) and keeps the first that is valid. Parents are drawn in the tasks while all
+plans of a generation together are small (``MOST_CELLS``), else by joins on tables in the
+shared folder. Random numbers depend on (seed, row, round) alone, so results don't change with
+the partitioning or when a task runs again.
+
+With counties a tree is drawn in two levels (within each connected part of a county, then
+between the parts), so that a cut splits one county at most.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +23,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_table
 from .model import PlanMap
 
-#: Units of a map that may be sent to every task.
-MOST_UNITS = 200_000
+#: Units of a map that may be sent to every task; particles x units that may be; redraws of a particle.
+MOST_UNITS, MOST_CELLS, MOST_TRIES = 200_000, 8_000_000, 20_000
 TRIES = 8
 
 
@@ -29,44 +34,88 @@ class Graph:
     pop: np.ndarray
     bounds: tuple[float, float, float]
     ndists: int
+    county: np.ndarray | None = None
 
 
-def graph_of(m: PlanMap) -> Graph:
-    """The map's graph for the tasks; refused beyond ``MOST_UNITS``."""
-    rows = m.units.select("unit_id", m.pop).orderBy("unit_id").limit(MOST_UNITS + 1).collect()
+def graph_of(m: PlanMap, counties: str | None = None) -> Graph:
+    """The map's graph for the tasks; refused beyond ``MOST_UNITS`` (edges are bounded with the units, as maps are planar)."""
+    rows = m.units.select("unit_id", m.pop, *([counties] if counties else [])).orderBy("unit_id").limit(MOST_UNITS + 1).collect()
     if len(rows) > MOST_UNITS:
         raise ValueError(f"a map of more than {MOST_UNITS} units")
     near: list[list[int]] = [[] for _ in rows]
     for r in m.edges.collect():
         near[r["src"]].append(r["dst"])
-    return Graph([np.array(sorted(x), np.int64) for x in near], np.array([r[m.pop] for r in rows], float), m.bounds, m.ndists)
+    county = np.unique([str(r[counties]) for r in rows], return_inverse=True)[1] if counties else None
+    return Graph([np.array(sorted(x), np.int64) for x in near], np.array([r[m.pop] for r in rows], float), m.bounds, m.ndists, county)
 
 
 def random_for(*key: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(np.random.SeedSequence([abs(int(k)) for k in key])))
 
 
-def spanning_tree(g: Graph, inside: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """A uniform spanning tree of the units inside, by loop-erased walks: order from the root, and parents."""
-    units = np.flatnonzero(inside)
-    near = {v: [w for w in g.near[v] if inside[w]] for v in units.tolist()}
-    parent = np.full(len(inside), -1)
-    done = np.zeros(len(inside), bool)
-    root = int(units[rng.integers(len(units))])
-    done[root] = True
-    order = [root]
-    for start in rng.permutation(units).tolist():
+def _walked(nodes: list[int], ways: dict[int, list], to, root: int, rng: np.random.Generator) -> dict[int, object]:
+    """The exit of each node of a uniform spanning tree but the root's, by loop-erased walks."""
+    done, exits = {root}, {}
+    for start in (nodes[i] for i in rng.permutation(len(nodes))):
+        v = start
+        while v not in done:  # the last exit of each node is the loop-erased path
+            own = ways[v]
+            exits[v] = own[int(rng.random() * len(own))]
+            v = to(exits[v])
         v = start
-        while not done[v]:  # the last exit of each unit is the loop-erased path
-            ways = near[v]
-            parent[v] = ways[int(rng.random() * len(ways))]
-            v = int(parent[v])
-        path, v = [], start
-        while not done[v]:
-            done[v] = True
-            path.append(v)
-            v = int(parent[v])
-        order.extend(reversed(path))
+        while v not in done:
+            done.add(v)
+            v = to(exits[v])
+    return exits
+
+
+def county_parts(g: Graph, inside: np.ndarray) -> np.ndarray:
+    """Number of each inside unit's connected part of its county; -1 elsewhere."""
+    part = np.full(len(inside), -1)
+    n = 0
+    for v in np.flatnonzero(inside).tolist():
+        if part[v] < 0:
+            part[v], stack = n, [v]
+            while stack:
+                x = stack.pop()
+                for w in g.near[x].tolist():
+                    if inside[w] and part[w] < 0 and g.county[w] == g.county[v]:
+                        part[w] = n
+                        stack.append(w)
+            n += 1
+    return part
+
+
+def spanning_tree(g: Graph, inside: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A uniform spanning tree of the units inside (with counties, uniform at both levels): order from the root, and parents."""
+    units = np.flatnonzero(inside).tolist()
+    near = {v: [w for w in g.near[v].tolist() if inside[w]] for v in units}
+    root = units[int(rng.integers(len(units)))]
+    links: dict[int, list[int]] = {v: [] for v in units}
+    if g.county is None:
+        edges = _walked(units, near, lambda w: w, root, rng).items()
+    else:
+        part = county_parts(g, inside)
+        of = part.tolist()
+        members: dict[int, list[int]] = {}
+        for v in units:
+            members.setdefault(of[v], []).append(v)
+        crossing = {k: [(v, w) for v in own for w in near[v] if of[w] != k] for k, own in members.items()}
+        edges = list(_walked(list(members), crossing, lambda e: of[e[1]], of[root], rng).values())
+        for k, own in members.items():
+            within = {v: [w for w in near[v] if of[w] == k] for v in own}
+            edges += _walked(own, within, lambda w: w, own[int(rng.integers(len(own)))], rng).items()
+    for v, w in edges:
+        links[v].append(w)
+        links[w].append(v)
+    parent, order, stack = np.full(len(inside), -1), [], [root]
+    while stack:
+        v = stack.pop()
+        order.append(v)
+        for w in links[v]:
+            if w != parent[v]:
+                parent[w] = v
+                stack.append(w)
     return np.array(order), parent
 
 
@@ -100,68 +149,148 @@ def connected(g: Graph, inside: np.ndarray) -> bool:
     return len(seen) == len(units)
 
 
+def _kirchhoff(pairs: list[tuple[int, int]], n: int) -> float:
+    lap = np.zeros((n, n))
+    for a, b in pairs:
+        lap[a, a] += 1
+        lap[a, b] -= 1
+    return float(np.linalg.slogdet(lap[1:, 1:])[1]) if n > 1 else 0.0
+
+
 def log_trees(g: Graph, inside: np.ndarray) -> float:
-    at = np.flatnonzero(inside)
-    index = {v: i for i, v in enumerate(at.tolist())}
-    lap = np.zeros((len(at), len(at)))
-    for v in at.tolist():
-        for w in g.near[v].tolist():
-            if w in index:
-                lap[index[v], index[v]] += 1
-                lap[index[v], index[w]] -= 1
-    return float(np.linalg.slogdet(lap[1:, 1:])[1]) if len(at) > 1 else 0.0
+    """Log number of spanning trees of the units inside; with counties, of trees in two levels."""
+    part = np.zeros(len(inside), np.int64) - ~inside if g.county is None else county_parts(g, inside)
+    part = np.where(inside, part, -1)
+    index = np.full(len(inside), -1)
+    total, between = 0.0, []
+    for k in range(int(part.max()) + 1):
+        own = np.flatnonzero(part == k)
+        index[own] = np.arange(len(own))
+        total += _kirchhoff([(index[v], index[w]) for v in own for w in g.near[v] if part[w] == k], len(own))
+        between += [(k, part[w]) for v in own for w in g.near[v] if part[w] >= 0 and part[w] != k]
+    return total + _kirchhoff(between, int(part.max()) + 1)
 
 
 def boundary(g: Graph, plan: np.ndarray, a: int, b: int) -> int:
     return sum(int((plan[g.near[v]] == b).sum()) for v in np.flatnonzero(plan == a))
 
 
-def split(g: Graph, plan: np.ndarray, label: int, k: int, rng: np.random.Generator) -> np.ndarray | None:
-    """Cut one district off the unassigned units at one of the k best edges of a random tree."""
-    low, target, high = g.bounds
+def _cuts(g: Graph, order: np.ndarray, parent: np.ndarray, inside: np.ndarray, least: float, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of a tree by the unit below: both sides' populations, and whether one side is a district and the other fits."""
+    low, _, high = g.bounds
+    under, tops = below(g, order, parent), order[1:]
+    sizes = np.stack([under[tops], g.pop[inside].sum() - under[tops]])
+    fits = (sizes >= low) & (sizes <= high) & (sizes[::-1] >= least) & (sizes[::-1] <= most)
+    return tops, sizes, fits
+
+
+def split(g: Graph, plan: np.ndarray, label: int, k: int, rng: np.random.Generator) -> tuple[np.ndarray | None, int]:
+    """A district cut off the unassigned units at one of the k best edges of a random tree, and how many edges would do."""
+    target, more = g.bounds[1], g.ndists - label
     rest = plan == 0
     order, parent = spanning_tree(g, rest, rng)
-    under = below(g, order, parent)
-    total = g.pop[rest].sum()
-    tops = order[1:]
-    if not len(tops):
-        return None
-    sizes = np.stack([under[tops], total - under[tops]])
+    tops, sizes, fits = _cuts(g, order, parent, rest, g.bounds[0] * more, g.bounds[2] * more)
+    valid = int(fits.any(0).sum())
     gap = np.abs(sizes - target)
     pick = np.argsort(gap.min(0), kind="stable")[: min(k, len(tops))]
-    if rng.random() * k >= len(pick):
-        return None
+    if not len(tops) or rng.random() * k >= len(pick):
+        return None, valid
     at = int(pick[rng.integers(len(pick))])
     side = int(gap[1, at] < gap[0, at])
-    own, left = sizes[side, at], sizes[1 - side, at]
-    more = g.ndists - label
-    if not (low <= own <= high and low * more <= left <= high * more):
-        return None
+    if not fits[side, at]:
+        return None, valid
     member = _under(order, parent, int(tops[at]))
     out = plan.copy()
     out[(member if side == 0 else rest & ~member)] = label
-    return out
+    return out, valid
 
 
-def _best_k(spark: SparkSession, g: Graph, seed: int, trials: int = 100) -> int:
-    """The most edges of a trial tree that would give a district within bounds."""
-    low, _, high = g.bounds
+def _enough(counts: np.ndarray, thresh: float) -> int:
+    """The least k that covers all valid edges of a share ``thresh`` of the trees, and one more."""
+    return int(np.quantile(counts, thresh, method="higher")) + 1 if len(counts) else 1
+
+
+def _best_k(spark: SparkSession, g: Graph, seed: int, trials: int = 100, thresh: float = 0.99) -> int:
+    """How many of a tree's best edges to cut among, from trial trees of the whole map."""
+    sent = spark.sparkContext.broadcast(g)
 
     def count(batches):
+        graph = sent.value
         for pdf in batches:
             out = []
             for i in pdf["id"]:
-                order, parent = spanning_tree(g, np.ones(len(g.pop), bool), random_for(seed, i, 999))
-                under = below(g, order, parent)[order[1:]]
-                fits = lambda x: (x >= low) & (x <= high)
-                out.append(int((fits(under) | fits(g.pop.sum() - under)).sum()))
+                inside = np.ones(len(graph.pop), bool)
+                order, parent = spanning_tree(graph, inside, random_for(seed, i, 999))
+                out.append(int(_cuts(graph, order, parent, inside, 0, np.inf)[2].any(0).sum()))
             yield pd.DataFrame({"n": out})
 
-    return max(1, (spark.range(trials).mapInPandas(count, "n int").agg(F.max("n").alias("n")).first()["n"] or 0) + 1)
+    return _enough(np.array([r["n"] for r in spark.range(trials).mapInPandas(count, "n int").collect()]), thresh)
+
+
+def kernel(m: PlanMap, g: Graph, penalty) -> Callable[[np.ndarray, int], float] | None:
+    """``penalty`` (None, a function of plan and label, or a list of ``Penalty``) as a function for the tasks."""
+    if penalty is None or callable(penalty):
+        return penalty
+    names = sorted({c for p in penalty for c in p.needs})
+    rows = m.units.select("unit_id", *names).orderBy("unit_id").collect()  # as many as the graph has
+    columns = {c: np.array([r[c] for r in rows]) for c in names}
+    parts = [(p.strength, p.local) for p in penalty]
+    if missing := [p.name for p in penalty if p.local is None]:
+        raise ValueError(f"no form for single districts: {missing}")
+    return lambda plan, d: float(sum(x * fn(columns, plan == d, plan, g) for x, fn in parts))
+
+
+def _increment(g: Graph, new: np.ndarray, label: int, compactness: float, penalty) -> float:
+    """What a new district adds to a particle's log weight."""
+    last = label == g.ndists - 1
+    # the chance of this cut, and of this district having been the one drawn last
+    more = np.log(boundary(g, new, 0, label))
+    drawn = {int(x) for v in np.flatnonzero(new == 0) for x in new[g.near[v]]} - {0}
+    more += np.log(len(drawn))
+    if compactness != 1:
+        more += (1 - compactness) * (log_trees(g, new == label) + (log_trees(g, new == 0) if last else 0.0))
+    if penalty is not None:
+        more += penalty(new, label) + (penalty(np.where(new == 0, label + 1, new), label + 1) if last else 0.0)
+    return float(more)
+
+
+@dataclass(frozen=True)
+class Run:
+    """What sampling gave: plans (chain, draw, plan, wgt) and, by chain and step, how it went."""
+
+    plans: DataFrame
+    steps: DataFrame
+
+
+STEPS = "chain int, step int, k int, n_eff double, accept_rate double, sd_lp double, unique_parents long, n long"
+
+
+def _generation_in_tasks(spark, sent, plans: np.ndarray, lp: np.ndarray, w: np.ndarray, label: int, k: int, seed: int, compactness: float, penalty) -> pd.DataFrame:
+    """Every particle redraws its parent until a cut is valid, in one job: id, parent, tries, valid, plan, lp."""
+    pool = spark.sparkContext.broadcast((plans, lp, np.cumsum(w)))
+
+    def cut(batches):
+        g, (plans_, lp_, upto) = sent.value, pool.value
+        for pdf in batches:
+            out = []
+            for i in pdf["id"]:
+                for a in range(MOST_TRIES):
+                    rng = random_for(seed, label, i, a)
+                    parent = min(int(np.searchsorted(upto, rng.random() * upto[-1], "right")), len(upto) - 1)
+                    new, valid = split(g, plans_[parent].astype(np.int64), label, k, rng)
+                    if new is not None:
+                        out.append((i, parent, a + 1, valid, new.tolist(), lp_[parent] + _increment(g, new, label, compactness, penalty)))
+                        break
+                else:
+                    raise ValueError("no valid split found: the bounds may be too tight")
+            yield pd.DataFrame(out, columns=["id", "parent", "tries", "valid", "plan", "lp"])
+
+    slots = max(1, min(len(lp) // 8, spark.sparkContext.defaultParallelism))
+    return spark.range(len(lp), numPartitions=slots).mapInPandas(cut, "id long, parent long, tries long, valid int, plan array<int>, lp double").orderBy("id").toPandas()
 
 
 def _chosen(parents: DataFrame, n: int, top: float, first: int, missing: DataFrame, seed: int, step: int) -> DataFrame:
-    """Candidates id, attempt, plan, lp: a parent with chance in proportion to its weight, by rejection.
+    """Candidates id, attempt, parent, plan, lp: a parent with chance in proportion to its weight, by rejection.
 
     An index is drawn evenly and kept with chance weight / largest weight, so a draw needs a
     join on one id and no running sum over all particles.
@@ -169,74 +298,116 @@ def _chosen(parents: DataFrame, n: int, top: float, first: int, missing: DataFra
     u = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(step), F.lit(salt), "id", "attempt"), F.lit(1 << 40)) / float(1 << 40)
     tries = missing.select("id", F.explode(F.sequence(F.lit(first), F.lit(first + TRIES - 1))).alias("attempt"))
     drawn = tries.select("id", "attempt", F.floor(u(1) * n).alias("parent"), (u(2) * top).alias("mark"))
-    return drawn.join(parents.select(F.col("id").alias("parent"), "plan", "lp", "w"), "parent").filter("mark < w").select("id", "attempt", "plan", "lp")
+    return drawn.join(parents.select(F.col("id").alias("parent"), "plan", "lp", "w"), "parent").filter("mark < w").select("id", "attempt", "parent", "plan", "lp")
 
 
-def smc(m: PlanMap, nsims: int, seed: int = 1, compactness: float = 1.0, seq_alpha: float = 0.5, penalty=None, resample: bool = True) -> DataFrame:
-    """Sequential Monte Carlo: draw, plan (array), wgt (1 if resampled).
+def _generation_by_joins(spark, sent, parents: DataFrame, n: int, label: int, k: int, seed: int, compactness: float, penalty) -> DataFrame:
+    """The same for any number of particles: rounds of candidates, joined to their parents."""
+
+    def cut(batches):
+        g = sent.value
+        for pdf in batches:
+            out = []
+            for i, a, q, p, lp in zip(pdf["id"], pdf["attempt"], pdf["parent"], pdf["plan"], pdf["lp"]):
+                new, valid = split(g, np.asarray(p), label, k, random_for(seed, label, i, a))
+                if new is not None:
+                    out.append((i, a, q, valid, new.tolist(), lp + _increment(g, new, label, compactness, penalty)))
+            yield pd.DataFrame(out, columns=["id", "attempt", "parent", "valid", "plan", "lp"])
+
+    top = parents.agg(F.max("w").alias("w")).first()["w"]
+    missing, first, found = parents.select("id"), 0, None
+    while True:
+        cuts = _chosen(parents, n, top, first, missing, seed, label).mapInPandas(cut, "id long, attempt long, parent long, valid int, plan array<int>, lp double")
+        won = shared_table(cuts.groupBy("id").agg(F.min_by(F.struct("parent", (F.col("attempt") + 1).alias("tries"), "valid", "plan", "lp"), "attempt").alias("x")).select("id", "x.*"))
+        found = won if found is None else found.union(won)
+        missing = missing.join(won, "id", "left_anti")
+        if not missing.limit(1).count():
+            return found
+        missing = shared_table(missing)
+        first += TRIES
+        if first > MOST_TRIES:
+            raise ValueError("no valid split found: the bounds may be too tight, or few particles hold most of the weight")
+
+
+def smc_run(m: PlanMap, nsims: int, seed: int = 1, compactness: float = 1.0, seq_alpha: float = 0.5, penalty=None, resample: bool = True, counties: str | None = None, runs: int = 1, truncate: Callable[[DataFrame], DataFrame] | None = None, adapt_k: float = 0.99, steps: int | None = None, most_cells: int = MOST_CELLS) -> Run:
+    """Sequential Monte Carlo: ``runs`` independent chains of ``nsims`` draws.
 
     Every step splits one district off each particle; an attempt that fails redraws its
-    parent. ``penalty(plan, label)`` adds a Gibbs term for each new district.
+    parent. ``penalty`` adds Gibbs terms for each new district (a list of ``Penalty`` or a
+    function of plan and label). ``truncate`` maps the last weights (draw, wgt) before
+    resampling. ``steps`` below the number of districts less one leaves partial plans, whose
+    units without a district have label 0. The number of edges to cut among adapts to the
+    valid edges of a share ``adapt_k`` of the trees met in the step before.
     """
     spark = m.units.sparkSession
-    g = graph_of(m)
-    k = _best_k(spark, g, seed)
+    g = graph_of(m, counties)
+    local = kernel(m, g, penalty)
     sent = spark.sparkContext.broadcast(g)
-    zero = F.array_repeat(F.lit(0), len(g.pop))
-    parents = spark.range(nsims).select("id", zero.alias("plan"), F.lit(0.0).alias("lp"), F.lit(1.0).alias("w"))
-    for label in range(1, g.ndists):
-
-        def cut(batches, label=label):
-            graph = sent.value
-            for pdf in batches:
-                out = []
-                for i, a, p, lp in zip(pdf["id"], pdf["attempt"], pdf["plan"], pdf["lp"]):
-                    new = split(graph, np.asarray(p), label, k, random_for(seed, label, i, a))
-                    if new is None:
-                        continue
-                    # the chance of this cut, and of this district having been the one drawn last
-                    more = np.log(boundary(graph, new, 0, label))
-                    drawn = {int(x) for v in np.flatnonzero(new == 0) for x in new[graph.near[v]]} - {0}
-                    more += np.log(len(drawn))
-                    if compactness != 1:
-                        more += (1 - compactness) * log_trees(graph, new == label)
-                        if label == graph.ndists - 1:
-                            more += (1 - compactness) * log_trees(graph, new == 0)
-                    if penalty is not None:
-                        more += penalty(new, label) + (penalty(np.where(new == 0, label + 1, new), label + 1) if label == graph.ndists - 1 else 0.0)
-                    out.append((i, a, new.tolist(), lp + more))
-                yield pd.DataFrame(out, columns=["id", "attempt", "plan", "lp"])
-
-        top = parents.agg(F.max("w").alias("w")).first()["w"]
-        missing, first, found = parents.select("id"), 0, None
-        while True:
-            cuts = _chosen(parents, nsims, top, first, missing, seed, label).mapInPandas(cut, "id long, attempt long, plan array<int>, lp double")
-            won = shared_table(cuts.groupBy("id").agg(F.min_by(F.struct("plan", "lp"), "attempt").alias("x")).select("id", "x.*"))
-            found = won if found is None else found.union(won)
-            missing = missing.join(won, "id", "left_anti")
-            if not missing.limit(1).count():
-                break
-            missing = shared_table(missing)
-            first += TRIES
-            if first > 400 * TRIES:
-                raise ValueError("no valid split found: the bounds may be too tight")
-        last = label == g.ndists - 1
-        alpha = 1.0 if last else seq_alpha
-        least = found.agg(F.min("lp").alias("l")).first()["l"]
-        parents = shared_table(found.select("id", "plan", (F.col("lp") * (1.0 if last else 1 - alpha)).alias("lp"), F.exp(-alpha * (F.col("lp") - least)).alias("w")))
-    done = parents.select("id", F.transform("plan", lambda d: F.when(d == 0, g.ndists).otherwise(d)).alias("plan"), "w")
-    if not resample:
-        return done.select((F.col("id") + 1).cast("int").alias("draw"), "plan", F.col("w").alias("wgt"))
+    first_k = _best_k(spark, g, seed, thresh=adapt_k)
+    in_tasks = nsims * len(g.pop) <= most_cells
+    upto = g.ndists - 1 if steps is None else min(steps, g.ndists - 1)
+    whole, told = None, []
+    for chain in range(1, runs + 1):
+        own, k = seed + 7_919 * (chain - 1), first_k
+        if in_tasks:
+            plans, lp, w = np.zeros((nsims, len(g.pop)), np.int16), np.zeros(nsims), np.ones(nsims)
+        else:
+            parents = spark.range(nsims).select("id", F.array_repeat(F.lit(0), len(g.pop)).alias("plan"), F.lit(0.0).alias("lp"), F.lit(1.0).alias("w"))
+        for label in range(1, upto + 1):
+            last = label == g.ndists - 1
+            alpha = 1.0 if last else seq_alpha
+            if in_tasks:
+                new = _generation_in_tasks(spark, sent, plans, lp, w, label, k, own, compactness, local)
+                plans, at = np.array(new["plan"].tolist(), np.int16), new["lp"].to_numpy()
+                w = np.exp(-alpha * (at - at.min()))
+                lp = at * (1.0 if last else 1 - alpha)
+                told.append((chain, label, k, float(w.sum() ** 2 / (w**2).sum()), float(nsims / new["tries"].sum()), float(at.std()), int(new["parent"].nunique()), nsims))
+                k = _enough(new["valid"].to_numpy(), adapt_k)
+            else:
+                found = _generation_by_joins(spark, sent, parents, nsims, label, k, own, compactness, local)
+                low = found.agg(F.min("lp").alias("l")).first()["l"]
+                parents = shared_table(found.select("id", "parent", "tries", "valid", "plan", F.col("lp").alias("at"), (F.col("lp") * (1.0 if last else 1 - alpha)).alias("lp"), F.exp(-alpha * (F.col("lp") - low)).alias("w")))
+                r = parents.agg((F.sum("w") ** 2 / F.sum(F.col("w") ** 2)).alias("n"), (F.count(F.lit(1)) / F.sum("tries")).alias("a"), F.stddev_pop("at").alias("s"), F.countDistinct("parent").alias("u"), F.percentile("valid", adapt_k).alias("v")).first()
+                told.append((chain, label, k, r["n"], r["a"], r["s"], r["u"], nsims))
+                k = int(np.ceil(r["v"])) + 1
+        if in_tasks:
+            parents = spark.createDataFrame(pd.DataFrame({"id": np.arange(nsims), "plan": plans.tolist(), "w": w}), "id long, plan array<int>, w double")
+        rest = F.transform("plan", lambda d: F.when(d == 0, g.ndists).otherwise(d)) if upto == g.ndists - 1 else F.col("plan")
+        done = parents.select("id", rest.alias("plan"), "w")
+        if truncate is not None:
+            cut = truncate(done.select((F.col("id") + 1).alias("draw"), F.col("w").alias("wgt")))
+            done = done.drop("w").join(cut.select((F.col("draw") - 1).alias("id"), F.col("wgt").alias("w")), "id")
+        if resample:
+            done = _resampled(done, nsims, own, in_tasks)
+        done = done.select(F.lit(chain).alias("chain"), (F.col("id") + 1 + (chain - 1) * nsims).cast("int").alias("draw"), "plan", F.col("w").alias("wgt"))
+        whole = done if whole is None else whole.union(done)
+    return Run(whole, spark.createDataFrame(told, STEPS))
+
+
+def _resampled(done: DataFrame, n: int, seed: int, in_tasks: bool) -> DataFrame:
+    """n draws with replacement, in proportion to w: id, plan, w = 1."""
+    if in_tasks:  # weights of few particles: the driver draws the indexes
+        w = done.select("id", "w").orderBy("id").toPandas()["w"].to_numpy()
+        picks = np.minimum(np.searchsorted(np.cumsum(w), random_for(seed, 10_000).random(n) * w.sum(), "right"), n - 1)
+        chosen = done.sparkSession.createDataFrame(pd.DataFrame({"new": np.arange(n), "id": picks}), "new long, id long")
+        return done.join(F.broadcast(chosen), "id").select(F.col("new").alias("id"), "plan", F.lit(1.0).alias("w"))
+    ready = done.withColumn("lp", F.lit(0.0))
     top = done.agg(F.max("w").alias("w")).first()["w"]
     missing, first, found = done.select("id"), 0, None
-    ready = done.withColumn("lp", F.lit(0.0))
     while True:
-        won = shared_table(_chosen(ready, nsims, top, first, missing, seed, 10_000).groupBy("id").agg(F.min_by("plan", "attempt").alias("plan")))
+        won = shared_table(_chosen(ready, n, top, first, missing, seed, 10_000).groupBy("id").agg(F.min_by("plan", "attempt").alias("plan")))
         found = won if found is None else found.union(won)
         missing = missing.join(won, "id", "left_anti")
         if not missing.limit(1).count():
-            return found.select((F.col("id") + 1).cast("int").alias("draw"), "plan", F.lit(1.0).alias("wgt"))
+            return found.select("id", "plan", F.lit(1.0).alias("w"))
         first += TRIES
+        if first > MOST_TRIES:
+            raise ValueError("few particles hold most of the weight: ask for truncated weights")
+
+
+def smc(m: PlanMap, nsims: int, seed: int = 1, compactness: float = 1.0, seq_alpha: float = 0.5, penalty=None, resample: bool = True, counties: str | None = None, **more) -> DataFrame:
+    """draw, plan, wgt of ``smc_run``."""
+    return smc_run(m, nsims, seed, compactness, seq_alpha, penalty, resample, counties, **more).plans.drop("chain")
 
 
 def recombine(g: Graph, plan: np.ndarray, k: int, compactness: float, penalty, rng: np.random.Generator) -> np.ndarray:
@@ -298,15 +469,73 @@ def flip(g: Graph, plan: np.ndarray, beta: float, energy, rng: np.random.Generat
     return new if np.log(rng.random()) <= log else plan
 
 
-def chains(m: PlanMap, starts: DataFrame, nsims: int, step: str = "mergesplit", seed: int = 1, warmup: int = 0, thin: int = 1, compactness: float = 1.0, penalty=None, energy=None, beta=lambda t: 1.0, per_round: int = 200) -> DataFrame:
-    """Markov chains from ``starts`` (chain, plan): chain, draw, plan.
+def flip_components(g: Graph, plan: np.ndarray, beta: float, energy, rng: np.random.Generator, eprob: float = 0.05, lam: float = 0.0) -> np.ndarray:
+    """One Swendsen-Wang step: edges within districts stay with chance ``eprob``; some boundary components move.
+
+    1 + Poisson(``lam``) components that don't touch each other go to a neighbouring district
+    each. The step is refused if bounds or contiguity break; else it is accepted by the ratio
+    of boundary components, of the edges that had to be off, and of the energies.
+    """
+    n = len(plan)
+    label = np.arange(n)
+
+    def top(v: int) -> int:
+        while label[v] != v:
+            label[v] = label[label[v]]
+            v = int(label[v])
+        return v
+
+    for v in range(n):
+        for w in g.near[v].tolist():
+            if v < w and plan[v] == plan[w] and rng.random() < eprob:
+                label[top(v)] = top(w)
+    root = np.array([top(v) for v in range(n)])
+    edge = lambda p: sorted({int(root[v]) for v in range(n) if (p[g.near[v]] != p[v]).any()})
+    border, want = edge(plan), 1 + int(rng.poisson(lam))
+    taken: list[int] = []
+    touched: set[int] = set()
+    for c in (border[i] for i in rng.permutation(len(border))):
+        if len(taken) == want:
+            break
+        around = {int(root[w]) for v in np.flatnonzero(root == c) for w in g.near[v]}
+        if not around & set(taken) and c not in touched:
+            taken.append(c)
+            touched |= around
+    if len(taken) < want:
+        return plan
+    new, log = plan.copy(), 0.0
+    for c in taken:
+        inside = root == c
+        was = int(plan[c])
+        beside = [int(plan[w]) for v in np.flatnonzero(inside) for w in g.near[v] if not inside[w]]
+        to = sorted(set(beside) - {was})
+        own = to[int(rng.integers(len(to)))]
+        new[inside] = own
+        # chances that the component's outer edges are off: before to its old, after to its new district
+        log += (beside.count(own) - beside.count(was)) * np.log1p(-eprob)
+        log += np.log(len(to)) - np.log(max(1, len(set(beside) - {own})))
+    for d in {int(plan[c]) for c in taken} | {int(new[c]) for c in taken}:
+        inside = new == d
+        if not (g.bounds[0] <= g.pop[inside].sum() <= g.bounds[2] and connected(g, inside)):
+            return plan
+    log += want * (np.log(len(border)) - np.log(len(edge(new))))
+    if energy is not None:
+        log -= beta * (energy(new) - energy(plan))
+    return new if np.log(rng.random()) <= log else plan
+
+
+def chains(m: PlanMap, starts: DataFrame, nsims: int, step: str = "mergesplit", seed: int = 1, warmup: int = 0, thin: int = 1, compactness: float = 1.0, penalty=None, energy=None, beta=lambda t: 1.0, per_round: int = 200, counties: str | None = None, k: int | None = None, accepted: bool = False, eprob: float = 0.05, lam: float = 0.0) -> DataFrame:
+    """Markov chains from ``starts`` (chain, plan): chain, draw, plan; with ``accepted``, also whether the step moved.
 
     Chains are rows; a round advances each by ``per_round`` steps and leaves a table, so a
     lost executor costs one round. ``beta`` of the step number gives tempering schedules.
     """
     spark = m.units.sparkSession
-    g = graph_of(m)
-    k = _best_k(spark, g, seed) if step == "mergesplit" else 0
+    g = graph_of(m, counties)
+    k = k or (_best_k(spark, g, seed) if step == "mergesplit" else 0)
+    local = kernel(m, g, penalty)
+    if energy is None and step == "flip" and local is not None:
+        energy = lambda plan: sum(local(plan, d) for d in range(1, g.ndists + 1))
     sent = spark.sparkContext.broadcast(g)
     state, kept = starts.select("chain", F.lit(0).alias("t"), "plan"), None
     for start in range(0, nsims, per_round):
@@ -319,16 +548,27 @@ def chains(m: PlanMap, starts: DataFrame, nsims: int, step: str = "mergesplit",
                     plan = np.asarray(p)
                     for t in range(start + 1, min(start + per_round, nsims) + 1):
                         rng = random_for(seed, 7, c, t)
-                        plan = recombine(graph, plan, k, compactness, penalty, rng) if step == "mergesplit" else flip(graph, plan, beta(t), energy, rng)
+                        was = plan
+                        if step == "mergesplit":
+                            plan = recombine(graph, plan, k, compactness, local, rng)
+                        elif step == "components":
+                            plan = flip_components(graph, plan, beta(t), energy, rng, eprob, lam)
+                        else:
+                            plan = flip(graph, plan, beta(t), energy, rng)
                         if t > warmup and (t - warmup - 1) % thin == 0 or t in (start + per_round, nsims):
-                            out.append((c, t, plan.tolist()))
-                yield pd.DataFrame(out, columns=["chain", "t", "plan"])
+                            out.append((c, t, plan.tolist(), plan is not was))
+                yield pd.DataFrame(out, columns=["chain", "t", "plan", "moved"])
 
         last = min(start + per_round, nsims)
-        done = shared_table(state.repartition("chain").mapInPandas(advance, "chain int, t int, plan array<int>"))
+        done = shared_table(state.repartition("chain").mapInPandas(advance, "chain int, t int, plan array<int>, moved boolean"))
         state = done.filter(F.col("t") == last)
         kept = done if kept is None else kept.union(done)
-    return kept.filter((F.col("t") > warmup) & ((F.col("t") - warmup - 1) % thin == 0)).select("chain", F.col("t").alias("draw"), "plan")
+    return kept.filter((F.col("t") > warmup) & ((F.col("t") - warmup - 1) % thin == 0)).select("chain", F.col("t").alias("draw"), "plan", *(["moved"] if accepted else []))
+
+
+def acceptance(moves: DataFrame) -> DataFrame:
+    """Share of steps that moved, by chain (of ``chains`` with ``accepted``)."""
+    return moves.groupBy("chain").agg(F.avg(F.col("moved").cast("int")).alias("rate"))
 
 
 def annealing(hot: int, cooling: int, cold: int):
