@@ -83,3 +83,54 @@ def histogram(draws: DataFrame, column: str, bins: int) -> DataFrame:
     width = (F.col("b") - F.col("a")) / bins
     at = F.least(F.floor(F.coalesce(F.try_divide(F.col(column) - F.col("a"), width), F.lit(0.0))), F.lit(bins - 1)).cast("int")
     return draws.crossJoin(F.broadcast(ends)).groupBy(at.alias("bin")).agg((F.count(F.lit(1)) / F.max("n")).alias("share"))
+
+
+def split_chains(draws: DataFrame) -> DataFrame:
+    """Each chain as two: its first and its second half (a middle draw goes to the first)."""
+    place, n = F.row_number().over(W.partitionBy("chain").orderBy("draw")), F.count(F.lit(1)).over(W.partitionBy("chain"))
+    return draws.withColumn("chain", F.when(place <= (n + 1) / 2, F.col("chain") * 2 - 1).otherwise(F.col("chain") * 2))
+
+
+def interval_by_ancestors(draws: DataFrame, column: str, ancestor: str = "ancestor", conf: float = 0.9) -> DataFrame:
+    """Mean of one run and its error from residuals summed by ancestor: draws of one ancestor are not independent."""
+    z = NormalDist().inv_cdf(0.5 + conf / 2)
+    whole = draws.agg(F.avg(column).alias("estimate"), F.count(F.lit(1)).alias("n"))
+    sums = draws.crossJoin(F.broadcast(whole)).groupBy(ancestor).agg(F.sum(F.col(column) - F.col("estimate")).alias("r"), F.max("estimate").alias("estimate"), F.max("n").alias("n"))
+    own = sums.agg(F.max("estimate").alias("estimate"), (F.sqrt(F.sum(F.col("r") ** 2)) / F.max("n")).alias("se"))
+    return own.select("estimate", "se", (F.col("estimate") - z * F.col("se")).alias("low"), (F.col("estimate") + z * F.col("se")).alias("high"))
+
+
+def diversity_flags(pairs: DataFrame) -> DataFrame:
+    """low, high, mean, is_low: the middle 80 % of plan diversity; low if the mean is 0.35 or less or over 10 % are 0.25 or less."""
+    told = pairs.agg(F.percentile("diversity", 0.1).alias("low"), F.percentile("diversity", 0.9).alias("high"), F.avg("diversity").alias("mean"), F.avg((F.col("diversity") <= 0.25).cast("int")).alias("few"))
+    return told.select("low", "high", "mean", ((F.col("mean") <= 0.35) | (F.col("few") > 0.1)).alias("is_low"))
+
+
+def step_flags(steps: DataFrame) -> DataFrame:
+    """Steps of a sampler's run with ``bottleneck``: fewer effective or surviving particles than 5 % of n, or than the lesser of 40 % of n and 100."""
+    least = F.greatest(0.05 * F.col("n"), F.least(0.4 * F.col("n"), F.lit(100.0)))
+    return steps.withColumn("bottleneck", F.least(F.col("n_eff"), F.col("unique_parents").cast("double")) < least)
+
+
+def rhats(stats: DataFrame, columns: list[str], split: bool = False) -> DataFrame:
+    """column, rhat: of each statistic (chain, draw, columns)."""
+    own = split_chains(stats) if split else stats
+    parts = [rhat(own.select("chain", "draw", c), c).select(F.lit(c).alias("column"), "rhat") for c in columns]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def false_discovery(p_values: DataFrame, key: str, p: str = "p") -> DataFrame:
+    """key, p, q: positive false discovery rates, with the share of true nulls from p-values above one half.
+
+    q of a p-value is the least of share * n * p' / #(p <= p') over p' at or above it.
+    """
+    whole = p_values.agg(F.count(F.lit(1)).alias("n"), F.least(F.lit(1.0), F.avg((F.col(p) > 0.5).cast("double")) / 0.5).alias("nulls"))
+    values = p_values.groupBy(p).agg(F.count(F.lit(1)).alias("c"))
+    # distinct p-values are at most the draws plus one
+    upto = values.withColumn("k", F.sum("c").over(W.orderBy(p)))
+    rate = upto.crossJoin(F.broadcast(whole)).withColumn("r", F.least(F.lit(1.0), F.col("nulls") * F.col("n") * F.col(p) / F.col("k")))
+    q = rate.select(p, F.min("r").over(W.orderBy(p).rowsBetween(W.currentRow, W.unboundedFollowing)).alias("q"))
+    return p_values.join(q, p).select(key, p, "q")

@@ -100,7 +100,7 @@ def partisan(shares: DataFrame, tau: float = 1.0, bias_at: float = 0.5, respond_
     """Published partisan measures of each draw (seats by uniform swing where votes move).
 
     seats, dvs, eff_gap, eff_gap_equal, tau_gap, mean_median, bias, declination,
-    responsiveness, lopsided, ranked_marginal.
+    responsiveness, lopsided. ``ranked_marginal`` compares draws with one another.
     """
     won, v = F.col("dvs") > 0.5, F.col("dvs")
     total = F.col("d") + F.col("r")
@@ -133,6 +133,19 @@ def partisan(shares: DataFrame, tau: float = 1.0, bias_at: float = 0.5, respond_
     )
 
 
+def ranked_marginal(shares: DataFrame) -> DataFrame:
+    """draw, ranked_marginal: distance of a draw's sorted vote shares from the mean of all draws at each rank."""
+    place = F.row_number().over(W.partitionBy("draw").orderBy("dvs", "district"))
+    ranked = shares.select("draw", "dvs", place.alias("place"))
+    mean = ranked.groupBy("place").agg(F.avg("dvs").alias("mean"))  # a row a district
+    return ranked.join(F.broadcast(mean), "place").groupBy("draw").agg(F.sqrt(F.sum(F.pow(F.col("dvs") - F.col("mean"), 2))).alias("ranked_marginal"))
+
+
+def extremes(stats: DataFrame, column: str) -> DataFrame:
+    """draw, low, high of a statistic over the districts."""
+    return stats.groupBy("draw").agg(F.min(column).alias("low"), F.max(column).alias("high"))
+
+
 def outlines(assignments: DataFrame, perimeters: DataFrame) -> DataFrame:
     """District outline lengths from unit borders (from_id, to_id, edge); -1 is the outside.
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.sizes import small
+
 #: Names searched for the population column, in this order.
 POPULATION_NAMES = ("pop", "population", "total_pop", "POP100")
 
@@ -83,9 +85,29 @@ class PlanMap:
             ndists = units.select(F.countDistinct(self.existing).alias("n")).first()["n"]
         return replace(self, units=units, edges=reduce_edges(self.edges, ids), ndists=ndists, merge_index=None)
 
+    def transmute(self, **columns: Column) -> PlanMap:
+        """Only these columns, besides the ones that a map needs."""
+        needed = ["unit_id", self.pop, *([self.existing] if self.existing else [])]
+        return replace(self, units=self.units.select(*needed, *[c.alias(n) for n, c in columns.items() if n not in needed]))
+
+    def arrange(self, *keys: str | Column) -> PlanMap:
+        """Units listed by ``keys``; ids, and so the graph and all plans, stay as they are."""
+        return replace(self, units=self.units.orderBy(*keys))
+
+    def distinct(self, *keys: str) -> PlanMap:
+        """The first unit (by id) of each combination of ``keys``, with the edges among them."""
+        first = self.units.groupBy(*keys).agg(F.min("unit_id").alias("unit_id")).select("unit_id").withColumn("_first", F.lit(True))
+        marked = replace(self, units=self.units.join(first, "unit_id", "left"))
+        kept = marked.filter(F.col("_first"))
+        return replace(kept, units=kept.units.drop("_first"))
+
     def slice(self, low: int, high: int) -> PlanMap:
         return self.filter(F.col("unit_id").between(low, high))
 
+    def take(self, *ids: int) -> PlanMap:
+        """Units by id, in any order and number."""
+        return self.filter(F.col("unit_id").isin(*ids))
+
     def join(self, other: DataFrame, on: str | list[str], how: str = "left") -> PlanMap:
         return replace(self, units=self.units.join(other, on, how))
 
@@ -100,6 +122,24 @@ class PlanMap:
     def bounds_hold(self) -> bool:
         return self.bounds[0] < self.bounds[1] < self.bounds[2]
 
+    def problems(self) -> list[str]:
+        """What keeps this from being a map: bounds, missing or odd columns, one-way edges, ends without a unit."""
+        out = [] if self.bounds_hold() else ["bounds are not lower < target < upper"]
+        kinds = dict(self.units.dtypes)
+        out += [f"{c} is not a numeric column" for c in (self.pop, self.existing) if c and kinds.get(c, "string") == "string"]
+        back = self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        if self.edges.join(back, ["src", "dst"], "left_anti").limit(1).count():
+            out.append("an edge has no way back")
+        if self.edges.join(self.units.select(F.col("unit_id").alias("src")), "src", "left_anti").limit(1).count():
+            out.append("an edge ends in no unit")
+        return out
+
+    def subset(self, condition: Column, ndists: int) -> PlanMap:
+        """The units that match as a map of ``ndists`` districts of its own, under the tolerance of this one."""
+        kept, tol = self.filter(condition), self.pop_tol
+        target = kept.units.agg(F.sum(self.pop).alias("p")).first()["p"] / ndists
+        return replace(kept, ndists=ndists, bounds=(target * (1 - tol), target, target * (1 + tol)))
+
 
 def build_map(units: DataFrame, edges: DataFrame, ndists: int | None = None, existing: str | None = None, pop_tol: float | None = None, pop: str | None = None) -> PlanMap:
     """A map with inferred roles: population by name, districts from the existing plan, tolerance 1 % or its parity."""
@@ -131,9 +171,10 @@ def dense_ids(ids: DataFrame) -> DataFrame:
     """
     ranged = ids.withColumn("block", F.floor(F.col("unit_id") / 65_536))
     counts = ranged.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.block") < F.col("a.block"), "left").groupBy(F.col("a.block").alias("block")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    # one row for 65,536 units
+    before = counts.select("block", (F.sum("n").over(W.orderBy("block")) - F.col("n")).alias("before"))
     own = ranged.withColumn("k", F.row_number().over(W.partitionBy("block").orderBy("unit_id")) - 1)
-    return own.join(F.broadcast(before), "block").select("unit_id", (F.col("k") + F.col("before")).cast("int").alias("new_id"))
+    return own.join(small(before), "block").select("unit_id", (F.col("k") + F.col("before")).cast("int").alias("new_id"))
 
 
 def reduce_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -170,6 +211,37 @@ class Ensemble:
         keep = lambda df: df.join(draws, "draw", "left_semi")
         return replace(self, assignments=keep(self.assignments), stats=keep(self.stats) if stats is None else stats, draws=keep(self.draws))
 
+    def transmute(self, **columns: Column) -> Ensemble:
+        return replace(self, stats=self.stats.select("draw", "district", *[c.alias(n) for n, c in columns.items() if n not in ("draw", "district")]))
+
+    def arrange(self, *keys: str | Column) -> Ensemble:
+        """Statistics listed by ``keys``; everything is keyed by (draw, district), so no order is relied on."""
+        return replace(self, stats=self.stats.orderBy(*keys))
+
+    def distinct(self, *keys: str) -> Ensemble:
+        """The first row (by draw and district) of each combination of ``keys``; draws without a row go."""
+        first = self.stats.groupBy(*keys).agg(F.min(F.struct("draw", "district")).alias("_at")).select("_at.draw", "_at.district")
+        stats = self.stats.join(first, ["draw", "district"], "left_semi")
+        return self._only(stats.select("draw").distinct(), stats)
+
+    def slice(self, low: int, high: int) -> Ensemble:
+        """Rows ``low`` to ``high`` of the statistics, by draw and district."""
+        n = self.map.ndists
+        return self.filter(((F.col("draw") - 1) * n + F.col("district")).between(low, high))
+
+    def with_assignments(self, assignments: DataFrame) -> Ensemble:
+        """Other plans under the same draws, with the population tally done anew; other statistics go."""
+        return ensemble(assignments, self.map, self.draws, **self.info)
+
+    def acceptance_rate(self) -> DataFrame:
+        """Share of steps that moved, by chain; null where the sampler doesn't note moves."""
+        moved = F.col("moved").cast("int") if "moved" in self.draws.columns else F.lit(None).cast("int")
+        return self.draws.groupBy("chain").agg(F.avg(moved).alias("rate"))
+
+    def sampling_info(self) -> dict:
+        """What is known of the sampling: its arguments, and districts, population column and bounds of the map."""
+        return {**self.info, "ndists": self.map.ndists, "pop": self.map.pop, "bounds": self.map.bounds, "existing": self.map.existing}
+
     def sampled(self) -> Ensemble:
         return self._only(self.draws.filter(~F.col("is_ref")).select("draw"))
 
@@ -230,7 +302,7 @@ def ensemble(assignments: DataFrame, map_: PlanMap, draws: DataFrame | None = No
     every = shifted.select("draw").distinct()
     if draws is None:
         draws = every.select("draw", F.lit(None).cast("string").alias("draw_name"), F.lit(False).alias("is_ref"), F.lit(1).alias("chain"), F.lit(None).cast("double").alias("wgt"))
-    tally = shifted.join(F.broadcast(map_.units.select("unit_id", map_.pop)), "unit_id").groupBy("draw", "district").agg(F.sum(map_.pop).alias("total_pop"))
+    tally = shifted.join(small(map_.units.select("unit_id", map_.pop)), "unit_id").groupBy("draw", "district").agg(F.sum(map_.pop).alias("total_pop"))
     grid = every.select("draw", F.explode(F.sequence(F.lit(1), F.lit(map_.ndists))).alias("district"))
     stats = grid.join(tally, ["draw", "district"], "left").select("draw", "district", F.coalesce("total_pop", F.lit(0)).alias("total_pop"))
     return Ensemble(shifted, stats, draws, map_, info)

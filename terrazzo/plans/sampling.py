@@ -594,42 +594,3 @@ def short_bursts(m: PlanMap, start: DataFrame, score, bursts: int, burst_size: i
         best = top.select("plan")
         rows = top if rows is None else rows.union(top)
     return rows
-
-
-def seed_and_grow(m: PlanMap, n: int, seed: int = 1, max_moves: int = 5_000) -> DataFrame:
-    """draw, plan: merge random neighbouring clusters down to the districts, then move units out of the largest until bounds hold. Draws that do not get there are left out."""
-    g = graph_of(m)
-    sent = m.units.sparkSession.sparkContext.broadcast(g)
-
-    def grow(batches):
-        graph = sent.value
-        low, _, high = graph.bounds
-        for pdf in batches:
-            out = []
-            for i in pdf["id"]:
-                rng = random_for(seed, 31, i)
-                own = np.arange(len(graph.pop))
-                while len(np.unique(own)) > graph.ndists:
-                    v = int(rng.integers(len(own)))
-                    others = np.unique(own[graph.near[v]])
-                    others = others[others != own[v]]
-                    if len(others):
-                        own[own == own[v]] = others[rng.integers(len(others))]
-                plan = np.unique(own, return_inverse=True)[1] + 1
-                for _ in range(max_moves):
-                    size = np.bincount(plan, graph.pop, graph.ndists + 1)[1:]
-                    if size.min() >= low and size.max() <= high:
-                        out.append((int(i) + 1, plan.tolist()))
-                        break
-                    big = int(size.argmax()) + 1
-                    edge = [v for v in np.flatnonzero(plan == big) if (plan[graph.near[v]] != big).any()]
-                    v = int(edge[rng.integers(len(edge))])
-                    to = np.unique(plan[graph.near[v]])
-                    to = to[to != big]
-                    new = plan.copy()
-                    new[v] = to[np.argmin(size[to - 1])]
-                    if connected(graph, new == big):
-                        plan = new
-            yield pd.DataFrame(out, columns=["draw", "plan"])
-
-    return m.units.sparkSession.range(n).mapInPandas(grow, "draw int, plan array<int>")
