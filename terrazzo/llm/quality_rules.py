@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import annotate, blobs, bounded_batches, joined, quoted, slices
+from .scratch import Scratch
 
 #: A word is common from this share of a language's words on; counters that a summary keeps.
 COMMON_SHARE, COUNTERS = 0.004, 2_000
@@ -206,8 +207,8 @@ def candidates(docs: DataFrame, text: str = "text", lang: str = "lang", share: f
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(words), pa.string()), pa.array(words, pa.binary()), pa.array([summary.total, *summary.counts.values()], pa.int64()), pa.array([summary.lost] + [0] * (len(words) - 1), pa.int64())], names=["l", "w", "n", "lost"])
 
     parts = _labelled(docs, text, lang).mapInArrow(run, "l string, w binary, n long, lost long")
-    sums = parts.groupBy("l", "w").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost"))
-    # one row a language
+    # written once, as both of what follows would read the texts again; one row a language is broadcast
+    sums = Scratch(docs.sparkSession, "common").write(parts.groupBy("l", "w").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost")), "sums")
     whole = sums.filter(F.col("w").isNull()).select(F.col("l").alias("of"), F.col("n").alias("total"), F.col("lost").alias("undercount"))
     often = sums.filter(F.col("w").isNotNull()).join(F.broadcast(whole), F.col("l") == F.col("of")).filter(F.col("n") >= share * F.col("total") - F.col("undercount"))
     return sorted({bytes(r["w"]) for r in often.select("w").distinct().collect()} - {b""})
