@@ -47,11 +47,20 @@ def normal_quantile(p: pd.Series) -> pd.Series:
     return p.map(lambda x: None if pd.isna(x) else inverse(min(max(x, 1e-12), 1 - 1e-12)))
 
 
-def average_ranks(draws: DataFrame, column: str) -> DataFrame:
-    """Ranks of values, ties shared: the distinct values are ranked, not the rows."""
+def average_ranks(draws: DataFrame, column: str, buckets: int = 4_096) -> DataFrame:
+    """Ranks of values, ties shared: the distinct values are ranked, not the rows.
+
+    Values are dealt to even ranges; sums of the ranges before (``buckets`` rows) and ranks
+    within a range add up, so no task orders all values.
+    """
     values = draws.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(column).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return draws.join(values.select(column, (before + (F.col("n") + 1) / 2).alias("rank")), column)
+    ends = values.agg(F.min(column).alias("_a"), F.max(column).alias("_z"))
+    place = F.floor(F.coalesce(F.try_divide(F.col(column) - F.col("_a"), F.col("_z") - F.col("_a")), F.lit(0.0)) * (buckets - 1))
+    dealt = values.crossJoin(F.broadcast(ends)).select(column, "n", place.alias("_bucket"))
+    sums = dealt.groupBy("_bucket").agg(F.sum("n").alias("s")).select("_bucket", (F.sum("s").over(W.orderBy("_bucket")) - F.col("s")).alias("_before"))
+    within = F.sum("n").over(W.partitionBy("_bucket").orderBy(column)) - F.col("n")
+    ranks = dealt.withColumn("_within", within).join(F.broadcast(sums), "_bucket")
+    return draws.join(ranks.select(column, (F.col("_before") + F.col("_within") + (F.col("n") + 1) / 2).alias("rank")), column)
 
 
 def _scale_reduction(draws: DataFrame, column: str) -> DataFrame:

@@ -96,11 +96,22 @@ def match_to(assignments: DataFrame, plan: DataFrame, units: DataFrame, ndists:
 def not_dominated(scores: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows that no other dominates (smaller is better); of equal rows the first stays.
 
-    Rows are first reduced to the best last score for each combination of the others, so the
-    anti-join meets as few rows as possible.
+    Rows are first reduced to the best last score for each combination of the others, then
+    batches to their own frontiers, so that the anti-join meets frontiers alone.
     """
     head, tail = columns[:-1], columns[-1]
     best = scores.withColumn("k", F.row_number().over(W.partitionBy(*head).orderBy(tail, key))).filter("k = 1").drop("k")
+
+    def frontiers(batches):
+        for pdf in batches:
+            pdf = pdf.sort_values([*columns, key], kind="stable").reset_index(drop=True)
+            x, kept = pdf[columns].to_numpy(float), []
+            for i in range(len(x)):  # what beats a row comes before it in this order
+                if not kept or not (x[kept] <= x[i]).all(1).any():
+                    kept.append(i)
+            yield pdf.iloc[kept]
+
+    best = best.mapInPandas(frontiers, best.schema)
     other = best.select(*[F.col(c).alias(f"o_{c}") for c in [key, *columns]])
     beats = F.lit(True)
     strictly = F.lit(False)

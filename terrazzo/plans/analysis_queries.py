@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import permutations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import estimates
 from ..operators import compare, frames, graph, labels, nearest, overlap, penalties, tally
 from ..sources import customer_grid, enumeration_files
+from ..sources import nation_grid as grid
 from ..sources.shared import shared_folder
-from . import model, sampling, search
+from . import enumeration, model, sampling, search
 from .queries import _CUT, _JOINT, _PERIMS, _SHARES, _VOTES, ORACLES, QUERIES, _checked, _existing, _numbered, _perimeters, _r, _sampled, query
 
 
@@ -239,6 +241,36 @@ def contrast_discoveries(e):
     return estimates.false_discovery(found, "unit_id").select("unit_id", _r("q"))
 
 
+ORACLES["rank_rhat"] = grid.SQL + _rhat_sql("half") + "SELECT ROUND(MAX(rhat), 5) AS rhat FROM k"
+
+
+# labels and cores: SQL for what has one value whatever the ties
+
+_CELLS = ", ".join(f"COALESCE(SUM(p) FILTER (WHERE district = {d} AND ref = {r}), 0) AS c{d}{r}" for d in range(1, 6) for r in range(1, 6))
+_BEST = "GREATEST(" + ", ".join("+".join(f"c{d}{r}" for d, r in enumerate(to, 1)) for to in permutations(range(1, 6))) + ")"
+
+
+@query(_JOINT + f", cells AS (SELECT draw, SUM(p) AS whole, {_CELLS} FROM joint GROUP BY draw) SELECT draw, ROUND(CAST({_BEST} AS DOUBLE) / whole, 6) AS pop_overlap FROM cells")
+def matched_overlap(e):
+    found = labels.match_to(e.assignments, e.map.existing_plan(), e.map.units, e.map.ndists)
+    return found.select("draw", _r("pop_overlap")).distinct()
+
+
+ORACLES["district_cores"] = (
+    grid.SQL
+    + _CUT
+    + """, outer_ AS (SELECT draw, src AS unit_id FROM cut UNION SELECT draw, dst FROM cut), own AS (SELECT a.* FROM asg a WHERE NOT EXISTS (SELECT 1 FROM outer_ o WHERE o.draw = a.draw AND o.unit_id = a.unit_id)),
+roots AS (
+  WITH RECURSIVE reach(draw, district, root, unit_id) AS (
+    SELECT draw, district, unit_id, unit_id FROM own
+    UNION
+    SELECT r.draw, r.district, r.root, a.unit_id FROM reach r JOIN edges e ON e.src = r.unit_id JOIN own a ON a.draw = r.draw AND a.unit_id = e.dst AND a.district = r.district
+  ) SELECT draw, unit_id, MIN(root) AS first FROM reach GROUP BY 1, 2
+), every AS (SELECT draw, unit_id, unit_id AS first FROM outer_ UNION ALL SELECT draw, unit_id, first FROM roots)
+SELECT draw, unit_id, CAST(DENSE_RANK() OVER (PARTITION BY draw ORDER BY first) AS BIGINT) AS core FROM every"""
+)
+
+
 # verbs
 
 
@@ -329,12 +361,31 @@ _CORNERS = "".join(f", c{i}" for i in range(9))
 _PARTITIONS = ORACLES["enumerated_corner"].replace("SELECT CAST(COUNT(*) // 6 AS BIGINT) AS n FROM p", "SELECT CONCAT_WS(','" + "".join(f", c{i} + 1" for i in range(9)) + ") AS plan, TRUE AS as_often FROM p") + " AND c0 = 0 AND STRPOS(CONCAT(" + _CORNERS[2:] + "), '1') < STRPOS(CONCAT(" + _CORNERS[2:] + "), '2')"
 
 
+def _threes(m: model.PlanMap) -> model.PlanMap:
+    """The 3 x 3 corner, a unit's weight being one, for districts of three."""
+    corner = m.filter((F.col("gx") < 3) & (F.col("gy") < 3)).mutate(one=F.lit(1))
+    return model.PlanMap(corner.units, corner.edges, 3, (3.0, 3.0, 3.0), "one")
+
+
+@_sampled(_PARTITIONS.replace(", TRUE AS as_often", ""))
+def listed_partitions(m):
+    even = _threes(m)
+    found = enumeration.list_partitions(even.units.sparkSession, even.edges, even.units, 3, "one", 3, 3)
+    return found.select(F.array_join(F.col("plan").cast("array<string>"), ",").alias("plan"))
+
+
+@_sampled(_PARTITIONS)
+def sampled_partitions(m):
+    """Even draws of the ten partitions of the corner: each within five standard deviations of a tenth."""
+    even, n = _threes(m), 1_000
+    found = enumeration.sample_partitions(even.units.sparkSession, even.edges, even.units, 3, "one", 3, 3, n, seed=3)
+    return found.groupBy(F.array_join(F.col("plan").cast("array<string>"), ",").alias("plan")).agg((F.abs(F.count(F.lit(1)) / n - 0.1) < 5 * (0.09 / n) ** 0.5).alias("as_often"))
+
+
 @_sampled(_PARTITIONS)
 def smc_frequencies(m):
     """Every partition of a 3 x 3 corner into threes has one spanning tree a district, so all ten come equally often."""
-    corner = m.filter((F.col("gx") < 3) & (F.col("gy") < 3)).mutate(one=F.lit(1))
-    even = model.PlanMap(corner.units, corner.edges, 3, (3.0, 3.0, 3.0), "one")
-    n = 1_000
+    even, n = _threes(m), 1_000
     found = labels.by_first_appearance(model.from_arrays(sampling.smc(even, n, seed=21), even).assignments)
     plans = found.groupBy("draw").agg(F.array_sort(F.collect_list(F.struct("unit_id", "district"))).alias("p"))
     text = F.array_join(F.transform("p", lambda x: x["district"].cast("string")), ",")

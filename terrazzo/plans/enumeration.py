@@ -4,6 +4,10 @@ A state holds what later units need to know: the connected piece of every fronti
 district of each piece, the weight of each open district and the number of closed ones. One
 step decides the next unit: every state is expanded by all choices, and equal states meet in
 a ``groupBy`` that adds their counts. States, not partitions, are the rows.
+
+Partitions are listed by the same steps with each row's choices so far, and sampled evenly by
+walking back from the last state: a step back is taken in proportion to the ways that lead to
+where it comes from.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_table
@@ -30,8 +35,8 @@ def _tidy(pieces: list[int], district: dict[int, int], weight: dict[int, int], c
     return tuple(new_piece[p] for p in pieces), tuple(new_district[district[p]] for p in new_piece), tuple(weight[d] for d in new_district), closed
 
 
-def choices(state: State, beside: list[int], leaving: list[int], own: int, k: int, low: int, high: int) -> Iterator[State]:
-    """States after a unit of weight ``own`` joins: ``beside`` and ``leaving`` are frontier places, the new unit's the last."""
+def choices(state: State, beside: list[int], leaving: list[int], own: int, k: int, low: int, high: int) -> Iterator[tuple[int, State]]:
+    """Districts of a new unit and the states after a unit of weight ``own`` joins: ``beside`` and ``leaving`` are frontier places, the new unit's the last."""
     pieces, districts, weights, closed = state
     for d in range(len(weights) + (len(weights) + closed < k)):
         weight = dict(enumerate(weights))
@@ -54,7 +59,7 @@ def choices(state: State, beside: list[int], leaving: list[int], own: int, k: in
                 break
             done += 1
         if fine:
-            yield _tidy([p for p in now if p >= 0], district, weight, done)
+            yield d, _tidy([p for p in now if p >= 0], district, weight, done)
 
 
 def _text(state: State) -> str:
@@ -101,8 +106,88 @@ def count_partitions(spark: SparkSession, edges: DataFrame, units: DataFrame, k:
 
         def expand(batches, beside=beside, leaving=leaving, own=own):
             for pdf in batches:
-                out = [(_text(s), n) for t, n in zip(pdf["state"], pdf["n"]) for s in choices(_state(t), beside, leaving, own, k, low, high)]
+                out = [(_text(s), n) for t, n in zip(pdf["state"], pdf["n"]) for _, s in choices(_state(t), beside, leaving, own, k, low, high)]
                 yield pd.DataFrame(out, columns=["state", "n"])
 
         states = shared_table(states.mapInPandas(expand, "state string, n decimal(38,0)").groupBy("state").agg(F.sum("n").cast("decimal(38,0)").alias("n")))
     return states.filter(F.col("state") == _text(((), (), (), k))).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
+
+
+_FIRST = ((), (), (), 0)
+
+
+def _labels(path: list[int], steps: list[tuple[int, list[int], list[int], int]]) -> list[int]:
+    """Districts by unit (from 1, by unit order) that a path of choices stands for."""
+    out = [0] * len(steps)
+    front: list[tuple[int, int]] = []  # piece and true district of each frontier place
+    fresh = made = 0
+    for d, (v, beside, leaving, _) in zip(path, steps, strict=True):
+        named: list[int] = []  # districts as the state numbers them: by their first piece's place
+        for _, t in front:
+            if t not in named:
+                named.append(t)
+        if d < len(named):
+            true = named[d]
+        else:
+            true, made = made, made + 1
+        fresh += 1
+        touched = {front[i][0] for i in beside if front[i][1] == true}
+        front = [(fresh, t) if p in touched else (p, t) for p, t in front] + [(fresh, true)]
+        out[v] = true
+        front = [x for i, x in enumerate(front) if i not in leaving]
+    order: dict[int, int] = {}
+    return [order.setdefault(t, len(order) + 1) for t in out]
+
+
+def _plans(paths: DataFrame, steps: list[tuple[int, list[int], list[int], int]]) -> DataFrame:
+    """draw, plan from draw, path."""
+
+    def name(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(r, _labels(list(p), steps)) for r, p in zip(pdf["draw"], pdf["path"])], columns=["draw", "plan"])
+
+    return paths.mapInPandas(name, "draw long, plan array<int>")
+
+
+def list_partitions(spark: SparkSession, edges: DataFrame, units: DataFrame, k: int, weight: str, low: int, high: int) -> DataFrame:
+    """draw, plan: every connected partition; a row each, so for maps that have few."""
+    steps = _steps(edges, units, weight)
+    states = spark.createDataFrame([(_text(_FIRST), [])], "state string, path array<int>")
+    for _, beside, leaving, own in steps:
+
+        def expand(batches, beside=beside, leaving=leaving, own=own):
+            for pdf in batches:
+                out = [(_text(s), [*p, d]) for t, p in zip(pdf["state"], pdf["path"]) for d, s in choices(_state(t), beside, leaving, own, k, low, high)]
+                yield pd.DataFrame(out, columns=["state", "path"])
+
+        states = shared_table(states.mapInPandas(expand, "state string, path array<int>"))
+    done = states.filter(F.col("state") == _text(((), (), (), k))).select(F.monotonically_increasing_id().alias("draw"), "path")
+    return _plans(done, steps)
+
+
+def sample_partitions(spark: SparkSession, edges: DataFrame, units: DataFrame, k: int, weight: str, low: int, high: int, n: int, seed: int = 1) -> DataFrame:
+    """draw, plan: ``n`` connected partitions, each as likely as any other, with replacement."""
+    steps = _steps(edges, units, weight)
+    states = spark.createDataFrame([(_text(_FIRST),)], "state string").select("state", F.lit(1.0).alias("n"))
+    layers = []
+    for _, beside, leaving, own in steps:
+
+        def expand(batches, beside=beside, leaving=leaving, own=own):
+            for pdf in batches:
+                out = [(t, d, _text(s), n_) for t, n_ in zip(pdf["state"], pdf["n"]) for d, s in choices(_state(t), beside, leaving, own, k, low, high)]
+                yield pd.DataFrame(out, columns=["was", "d", "state", "n"])
+
+        ways = shared_table(states.mapInPandas(expand, "was string, d int, state string, n double"))
+        layers.append(ways)
+        states = ways.groupBy("state").agg(F.sum("n").alias("n"))
+    walk = spark.range(1, n + 1).select(F.col("id").alias("draw"), F.lit(_text(((), (), (), k))).alias("state"), F.array().cast("array<int>").alias("path"))
+    if not layers[-1].filter(F.col("state") == _text(((), (), (), k))).limit(1).count():
+        raise ValueError("there is no such partition")
+    for t in range(len(layers) - 1, -1, -1):
+        # of the ways into a state, the one on which the mark falls: a state has few ways in
+        run = W.partitionBy("state").orderBy("was", "d")
+        ways = layers[t].select("state", "was", "d", (F.sum("n").over(run) - F.col("n")).alias("a"), F.sum("n").over(run).alias("z"), F.sum("n").over(W.partitionBy("state")).alias("total"))
+        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(t), "draw"), F.lit(1 << 40)) / float(1 << 40)
+        met = walk.withColumn("u", u).join(ways, "state").filter((F.col("u") * F.col("total") >= F.col("a")) & (F.col("u") * F.col("total") < F.col("z")))
+        walk = shared_table(met.select("draw", F.col("was").alias("state"), F.concat(F.array("d"), "path").alias("path")))
+    return _plans(walk.select("draw", "path"), steps)

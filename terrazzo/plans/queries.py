@@ -292,7 +292,7 @@ def autocorrelation(e):
 @query()
 def rank_rhat(e):
     draws = e.stats.groupBy("draw").agg(F.max("total_pop").cast("double").alias("x")).withColumn("chain", F.when(F.col("draw") <= 25, 1).otherwise(2))
-    return estimates.rhat(draws, "x")
+    return estimates.rhat(draws, "x").select(F.round("rhat", 5).alias("rhat"))
 
 
 @query()
