@@ -141,6 +141,27 @@ def classify(pairs: DataFrame, k: int = 8, column: str = "vi") -> DataFrame:
     return pairs.sparkSession.createDataFrame(rows, "draw int, label string, height double")
 
 
+def contrast_of_classes(classes: DataFrame, assignments: DataFrame, ndists: int, thresh: float = 0.1) -> DataFrame:
+    """parent and ``compare_sets`` of the two groups under each name that classification split.
+
+    Groups are few (the ``k`` of ``classify``), so the parents are a short loop of Spark jobs.
+    """
+    names = [r["label"] for r in classes.select("label").distinct().orderBy("label").collect()]
+    parents = sorted({".".join(n.split(".")[:d]) for n in names for d in range(len(n.split(".")))})
+    out = None
+    for parent in parents:
+        depth = len(parent.split(".")) if parent else 0
+        under = classes.filter(F.col("label").startswith(parent + ".")) if parent else classes
+        side = F.element_at(F.split("label", r"\."), depth + 1)
+        ends = [r["s"] for r in under.select(side.alias("s")).distinct().orderBy("s").collect()]
+        one, two = (assignments.join(under.filter(side == s).select("draw"), "draw", "left_semi") for s in ends)
+        found = compare_sets(one, two, ndists, thresh).select(F.lit(parent).alias("parent"), "*")
+        out = found if out is None else out.union(found)
+    if out is None:
+        raise ValueError("a single group has no split")
+    return out
+
+
 def plane(pairs: DataFrame, column: str = "vi") -> DataFrame:
     """draw, x, y: classical scaling of pairwise distances to two dimensions."""
     ids, distance = _dense(pairs, column)

@@ -41,11 +41,3 @@ def core_sizes(cores: DataFrame) -> DataFrame:
     """draw, unit_id, core, size: null for cores of one unit."""
     n = F.count(F.lit(1)).over(W.partitionBy("draw", "core"))
     return cores.select("draw", "unit_id", "core", F.when(n > 1, n).alias("size"))
-
-
-def group_members(classes: DataFrame, assignments: DataFrame) -> DataFrame:
-    """label, draws, units together: how many draws a class has, and how often neighbours by id share a district in it."""
-    sizes = classes.groupBy("label").agg(F.count(F.lit(1)).alias("draws"))
-    pairs = assignments.join(assignments.select("draw", (F.col("unit_id") - 1).alias("unit_id"), F.col("district").alias("next")), ["draw", "unit_id"])
-    kept = pairs.join(classes.select("draw", "label"), "draw").groupBy("label").agg(F.avg((F.col("district") == F.col("next")).cast("int")).alias("together"))
-    return sizes.join(kept, "label")

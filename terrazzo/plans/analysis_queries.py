@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import estimates
-from ..operators import compare, frames, graph, labels, nearest, overlap, penalties, tally
+from ..operators import compare, frames, graph, labels, nearest, overlap, penalties, shapes, tally
 from ..sources import customer_grid, enumeration_files
 from ..sources import nation_grid as grid
 from ..sources.shared import shared_folder
@@ -101,11 +101,53 @@ def great_circles(e):
     return nearest.great_circle(at, e.map.edges.select(F.col("src").alias("i"), F.col("dst").alias("j"))).select("i", "j", F.round("km", 4).alias("km"))
 
 
+def _corners(e: model.Ensemble) -> DataFrame:
+    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("pos"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for k, (x, y) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))])).alias("s")
+    return e.map.units.select("unit_id", "gx", "gy", steps).select("unit_id", F.lit(0).alias("ring"), "s.pos", (F.col("gx") + F.col("s.dx")).alias("x"), (F.col("gy") + F.col("s.dy")).alias("y"))
+
+
 @query("SELECT src, dst FROM edges")
 def outline_adjacency(e):
-    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("pos"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for k, (x, y) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))])).alias("s")
-    squares = e.map.units.select("unit_id", "gx", "gy", steps).select("unit_id", F.lit(0).alias("ring"), "s.pos", (F.col("gx") + F.col("s.dx")).alias("x"), (F.col("gy") + F.col("s.dy")).alias("y"))
-    return nearest.adjacency_of_outlines(squares)
+    return nearest.adjacency_of_outlines(_corners(e))
+
+
+# a convex polygon's area from the widths at its corners' heights, in halves: between neighbouring heights a hull is a trapezium
+@query(
+    """, pts AS (SELECT DISTINCT draw, district, gx + dx AS x, gy + dy AS y FROM asg JOIN units USING (unit_id), (VALUES (0, 0), (1, 0), (1, 1), (0, 1)) c(dx, dy)),
+hs AS (SELECT DISTINCT draw, district, y FROM pts),
+lines AS (SELECT a.draw, a.district, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM pts a JOIN pts b ON a.draw = b.draw AND a.district = b.district AND a.y < b.y),
+span AS (SELECT h.draw, h.district, h.y, GREATEST(MAX(p.x) FILTER (WHERE p.y = h.y), MAX(l.ax + (l.bx - l.ax) * (h.y - l.ay) / CAST(l.by_ - l.ay AS DOUBLE))) AS hi, LEAST(MIN(p.x) FILTER (WHERE p.y = h.y), MIN(l.ax + (l.bx - l.ax) * (h.y - l.ay) / CAST(l.by_ - l.ay AS DOUBLE))) AS lo
+  FROM hs h JOIN pts p ON p.draw = h.draw AND p.district = h.district AND p.y = h.y JOIN lines l ON l.draw = h.draw AND l.district = h.district AND l.ay <= h.y AND l.by_ >= h.y GROUP BY 1, 2, 3),
+strips AS (SELECT draw, district, (hi - lo + LEAD(hi - lo) OVER w) / 2 * (LEAD(y) OVER w - y) AS s FROM span WINDOW w AS (PARTITION BY draw, district ORDER BY y)),
+n AS (SELECT draw, district, COUNT(*) AS n FROM asg GROUP BY 1, 2)
+SELECT draw, district, ROUND(MIN(n) / SUM(s), 6) AS hull_ratio FROM strips JOIN n USING (draw, district) GROUP BY 1, 2"""
+)
+def hull_ratios(e):
+    return shapes.hulls(e.assignments, e.map.units.withColumn("area", F.lit(1.0)), _corners(e)).select("draw", "district", _r("hull_ratio"))
+
+
+# the least circle runs through two or three corners: of all such circles around every corner the smallest
+@query(
+    """, pts AS (SELECT DISTINCT draw, district, CAST(gx + dx AS DOUBLE) AS x, CAST(gy + dy AS DOUBLE) AS y FROM asg JOIN units USING (unit_id), (VALUES (0, 0), (1, 0), (1, 1), (0, 1)) c(dx, dy)),
+shown AS (SELECT draw, district, LIST({'x': x, 'y': y}) AS pts FROM pts GROUP BY 1, 2),
+pairs AS (SELECT a.draw, a.district, (a.x + b.x) / 2 AS cx, (a.y + b.y) / 2 AS cy, SQRT((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 2 AS r FROM pts a JOIN pts b ON a.draw = b.draw AND a.district = b.district AND (a.x, a.y) < (b.x, b.y)),
+three AS (SELECT a.draw, a.district, a.x AS ax, a.y AS ay, b.x - a.x AS bx, b.y - a.y AS by_, c.x - a.x AS cx, c.y - a.y AS cy, 2 * ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) AS d
+  FROM pts a JOIN pts b ON a.draw = b.draw AND a.district = b.district AND (a.x, a.y) < (b.x, b.y) JOIN pts c ON b.draw = c.draw AND b.district = c.district AND (b.x, b.y) < (c.x, c.y)),
+round_ AS (SELECT draw, district, ax, ay, (cy * (bx ** 2 + by_ ** 2) - by_ * (cx ** 2 + cy ** 2)) / d AS ux, (bx * (cx ** 2 + cy ** 2) - cx * (bx ** 2 + by_ ** 2)) / d AS uy FROM three WHERE d <> 0),
+every AS (SELECT DISTINCT draw, district, ROUND(cx, 9) AS cx, ROUND(cy, 9) AS cy, ROUND(r, 9) AS r FROM pairs UNION SELECT draw, district, ROUND(ax + ux, 9), ROUND(ay + uy, 9), ROUND(SQRT(ux ** 2 + uy ** 2), 9) FROM round_),
+fits AS (SELECT e.draw, e.district, MIN(e.r) AS r FROM every e WHERE NOT EXISTS (SELECT 1 FROM pts p WHERE p.draw = e.draw AND p.district = e.district AND SQRT((p.x - e.cx) ** 2 + (p.y - e.cy) ** 2) > e.r + 1e-6) GROUP BY 1, 2),
+n AS (SELECT draw, district, COUNT(*) AS n FROM asg GROUP BY 1, 2)
+SELECT draw, district, ROUND(n / (PI() * r * r), 5) AS reock FROM fits JOIN n USING (draw, district)"""
+)
+def reock(e):
+    return shapes.hulls(e.assignments, e.map.units.withColumn("area", F.lit(1.0)), _corners(e)).select("draw", "district", F.round("reock", 5).alias("reock"))
+
+
+@query("SELECT CAST(50 AS BIGINT) AS rows_a_split, TRUE AS apart")
+def contrasted_classes(e):
+    found = compare.contrast_of_classes(compare.classify(overlap.distances(e.assignments, e.map.units), 3), e.assignments, 5)
+    by = found.groupBy("parent").agg(F.count(F.lit(1)).alias("n"), F.max("separation").alias("s"))
+    return by.agg(F.max("n").alias("rows_a_split"), F.bool_and(F.col("s") > 0).alias("apart"))
 
 
 @query("SELECT src, dst, a.gx AS x, a.gy AS y, b.gx AS to_x, b.gy AS to_y FROM edges JOIN units a ON a.unit_id = src JOIN units b ON b.unit_id = dst WHERE src < dst")
