@@ -143,3 +143,16 @@ def false_discovery(p_values: DataFrame, key: str, p: str = "p") -> DataFrame:
     rate = upto.crossJoin(F.broadcast(whole)).withColumn("r", F.least(F.lit(1.0), F.col("nulls") * F.col("n") * F.col(p) / F.col("k")))
     q = rate.select(p, F.min("r").over(W.orderBy(p).rowsBetween(W.currentRow, W.unboundedFollowing)).alias("q"))
     return p_values.join(q, p).select(key, p, "q")
+
+
+def interval_of_chains(draws: DataFrame, column: str, lags: int, conf: float = 0.9) -> DataFrame:
+    """Mean over Markov chains and its error from each chain's long-run variance.
+
+    The variance of a chain's mean is its own times 1 + 2 sum (1 - k / (lags + 1)) acf(k), over n.
+    """
+    z = NormalDist().inv_cdf(0.5 + conf / 2)
+    acf = autocorrelation(draws, column, lags).filter("lag > 0").groupBy("chain").agg(F.sum((1 - F.col("lag") / (lags + 1)) * F.col("acf")).alias("s"))
+    by = draws.groupBy("chain").agg(F.avg(column).alias("m"), F.var_pop(column).alias("v"), F.count(F.lit(1)).alias("n")).join(acf, "chain", "left")
+    own = by.select("m", "n", (F.col("v") * F.greatest(1 + 2 * F.coalesce("s", F.lit(0.0)), F.lit(0.0)) / F.col("n")).alias("e"))
+    whole = own.agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("estimate"), (F.sqrt(F.sum(F.col("e") * F.col("n") * F.col("n"))) / F.sum("n")).alias("se"))
+    return whole.select("estimate", "se", (F.col("estimate") - z * F.col("se")).alias("low"), (F.col("estimate") + z * F.col("se")).alias("high"))

@@ -277,6 +277,11 @@ def interval_by_ancestors(e):
     return estimates.interval_by_ancestors(draws, "x").select(_r("estimate"), _r("se"))
 
 
+@query(", c AS (SELECT draw, CASE WHEN draw <= 25 THEN 1 ELSE 2 END AS chain, CAST(MAX(pop) AS DOUBLE) AS x FROM tally GROUP BY 1), b AS (SELECT chain, draw, x - AVG(x) OVER (PARTITION BY chain) AS x FROM c), s AS (SELECT chain, SUM(x * x) AS s FROM b GROUP BY 1), a AS (SELECT a.chain, SUM((1 - (z.draw - a.draw) / 5.0) * a.x * z.x) AS t FROM b a JOIN b z ON a.chain = z.chain AND z.draw - a.draw BETWEEN 1 AND 4 GROUP BY 1), e AS (SELECT chain, AVG(x) AS m, VAR_POP(x) AS v, COUNT(*) AS n FROM c GROUP BY 1) SELECT ROUND(SUM(m * n) / SUM(n), 6) AS estimate, ROUND(SQRT(SUM(v * GREATEST(1 + 2 * t / s, 0) * n)) / SUM(n), 6) AS se FROM e JOIN a USING (chain) JOIN s USING (chain)")
+def interval_of_chains(e):
+    return estimates.interval_of_chains(_two_chains(e), "x", 4).select(_r("estimate"), _r("se"))
+
+
 @query(_SHARES + ", g AS (SELECT draw, unit_id, ABS(ROUND(s - (SELECT AVG(q.s) FROM proj q WHERE q.unit_id = proj.unit_id AND q.draw <> 1), 12)) AS g FROM proj), p AS (SELECT a.unit_id, AVG(CASE WHEN b.g >= a.g THEN 1.0 ELSE 0.0 END) AS p FROM g a JOIN g b ON a.unit_id = b.unit_id WHERE a.draw = 1 GROUP BY 1), n AS (SELECT COUNT(*) AS n, LEAST(1.0, AVG(CAST(p > 0.5 AS DOUBLE)) / 0.5) AS nulls FROM p), r AS (SELECT DISTINCT p, LEAST(1.0, nulls * n * p / COUNT(*) OVER (ORDER BY p)) AS r FROM p, n) SELECT unit_id, ROUND((SELECT MIN(r.r) FROM r WHERE r.p >= p.p), 6) AS q FROM p")
 def contrast_discoveries(e):
     found = overlap.contrast_p_values(e.assignments, tally.group_share(e.assignments, e.map.units, "grp"), "share", 1)
@@ -456,6 +461,13 @@ def smc_diagnostics(m):
     return run.select("chain", "step", "n", good.alias("plausible"))
 
 
+@_sampled(_plans_sql(40))
+def smc_resumed(m):
+    """Partial plans that are taken up again and finished, with population tempering on the way."""
+    begun = sampling.smc_run(m, 40, seed=14, steps=2, pop_temper=0.05).plans.select("draw", "plan")
+    return _checked(m, sampling.smc(m, 40, seed=15, start=begun, pop_temper=0.05))
+
+
 @_sampled("SELECT CAST(40 AS BIGINT) AS plans, TRUE AS partial, TRUE AS truncated")
 def smc_partial(m):
     run = sampling.smc_run(m, 40, seed=10, steps=2, resample=False, truncate=estimates.truncated)

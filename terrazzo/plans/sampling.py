@@ -13,7 +13,7 @@ between the parts), so that a cut splits one county at most.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -240,8 +240,8 @@ def kernel(m: PlanMap, g: Graph, penalty) -> Callable[[np.ndarray, int], float]
     return lambda plan, d: float(sum(x * fn(columns, plan == d, plan, g) for x, fn in parts))
 
 
-def _increment(g: Graph, new: np.ndarray, label: int, compactness: float, penalty) -> float:
-    """What a new district adds to a particle's log weight."""
+def _increment(g: Graph, new: np.ndarray, label: int, compactness: float, penalty, pop_temper: float = 0.0) -> float:
+    """What a new district adds to a particle's log weight; population tempering goes again with the last."""
     last = label == g.ndists - 1
     # the chance of this cut, and of this district having been the one drawn last
     more = np.log(boundary(g, new, 0, label))
@@ -265,7 +265,7 @@ class Run:
 STEPS = "chain int, step int, k int, n_eff double, accept_rate double, sd_lp double, unique_parents long, n long"
 
 
-def _generation_in_tasks(spark, sent, plans: np.ndarray, lp: np.ndarray, w: np.ndarray, label: int, k: int, seed: int, compactness: float, penalty) -> pd.DataFrame:
+def _generation_in_tasks(spark, sent, plans: np.ndarray, lp: np.ndarray, w: np.ndarray, label: int, k: int, seed: int, compactness: float, penalty, pop_temper: float) -> pd.DataFrame:
     """Every particle redraws its parent until a cut is valid, in one job: id, parent, tries, valid, plan, lp."""
     pool = spark.sparkContext.broadcast((plans, lp, np.cumsum(w)))
 
@@ -279,7 +279,7 @@ def _generation_in_tasks(spark, sent, plans: np.ndarray, lp: np.ndarray, w: np.n
                     parent = min(int(np.searchsorted(upto, rng.random() * upto[-1], "right")), len(upto) - 1)
                     new, valid = split(g, plans_[parent].astype(np.int64), label, k, rng)
                     if new is not None:
-                        out.append((i, parent, a + 1, valid, new.tolist(), lp_[parent] + _increment(g, new, label, compactness, penalty)))
+                        out.append((i, parent, a + 1, valid, new.tolist(), lp_[parent] + _increment(g, new, label, compactness, penalty, pop_temper)))
                         break
                 else:
                     raise ValueError("no valid split found: the bounds may be too tight")
@@ -301,7 +301,7 @@ def _chosen(parents: DataFrame, n: int, top: float, first: int, missing: DataFra
     return drawn.join(parents.select(F.col("id").alias("parent"), "plan", "lp", "w"), "parent").filter("mark < w").select("id", "attempt", "parent", "plan", "lp")
 
 
-def _generation_by_joins(spark, sent, parents: DataFrame, n: int, label: int, k: int, seed: int, compactness: float, penalty) -> DataFrame:
+def _generation_by_joins(spark, sent, parents: DataFrame, n: int, label: int, k: int, seed: int, compactness: float, penalty, pop_temper: float) -> DataFrame:
     """The same for any number of particles: rounds of candidates, joined to their parents."""
 
     def cut(batches):
@@ -311,7 +311,7 @@ def _generation_by_joins(spark, sent, parents: DataFrame, n: int, label: int, k:
             for i, a, q, p, lp in zip(pdf["id"], pdf["attempt"], pdf["parent"], pdf["plan"], pdf["lp"]):
                 new, valid = split(g, np.asarray(p), label, k, random_for(seed, label, i, a))
                 if new is not None:
-                    out.append((i, a, q, valid, new.tolist(), lp + _increment(g, new, label, compactness, penalty)))
+                    out.append((i, a, q, valid, new.tolist(), lp + _increment(g, new, label, compactness, penalty, pop_temper)))
             yield pd.DataFrame(out, columns=["id", "attempt", "parent", "valid", "plan", "lp"])
 
     top = parents.agg(F.max("w").alias("w")).first()["w"]
@@ -329,14 +329,16 @@ def _generation_by_joins(spark, sent, parents: DataFrame, n: int, label: int, k:
             raise ValueError("no valid split found: the bounds may be too tight, or few particles hold most of the weight")
 
 
-def smc_run(m: PlanMap, nsims: int, seed: int = 1, compactness: float = 1.0, seq_alpha: float = 0.5, penalty=None, resample: bool = True, counties: str | None = None, runs: int = 1, truncate: Callable[[DataFrame], DataFrame] | None = None, adapt_k: float = 0.99, steps: int | None = None, most_cells: int = MOST_CELLS) -> Run:
+def smc_run(m: PlanMap, nsims: int, seed: int = 1, compactness: float = 1.0, seq_alpha: float = 0.5, penalty=None, resample: bool = True, counties: str | None = None, runs: int = 1, truncate: Callable[[DataFrame], DataFrame] | None = None, adapt_k: float = 0.99, steps: int | None = None, pop_temper: float = 0.0, final_infl: float = 1.0, start: DataFrame | None = None, most_cells: int = MOST_CELLS) -> Run:
     """Sequential Monte Carlo: ``runs`` independent chains of ``nsims`` draws.
 
     Every step splits one district off each particle; an attempt that fails redraws its
     parent. ``penalty`` adds Gibbs terms for each new district (a list of ``Penalty`` or a
     function of plan and label). ``truncate`` maps the last weights (draw, wgt) before
     resampling. ``steps`` below the number of districts less one leaves partial plans, whose
-    units without a district have label 0. The number of edges to cut among adapts to the
+    units without a district have label 0, and ``start`` (draw, plan) takes such plans up again, as
+    many as ``nsims``. ``pop_temper`` favours populations near the target until the last step,
+    whose bounds are widened by ``final_infl``. The number of edges to cut among adapts to the
     valid edges of a share ``adapt_k`` of the trees met in the step before.
     """
     spark = m.units.sparkSession
@@ -345,28 +347,39 @@ def smc_run(m: PlanMap, nsims: int, seed: int = 1, compactness: float = 1.0, seq
     sent = spark.sparkContext.broadcast(g)
     first_k = _best_k(spark, g, seed, thresh=adapt_k)
     in_tasks = nsims * len(g.pop) <= most_cells
-    upto = g.ndists - 1 if steps is None else min(steps, g.ndists - 1)
+    drawn = 0
+    if start is not None:
+        found = start.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max("plan")).alias("d")).first()
+        if found["n"] != nsims:
+            raise ValueError(f"{nsims} plans are needed to start from, not {found['n']}")
+        drawn = found["d"]
+    upto = g.ndists - 1 if steps is None else min(drawn + steps, g.ndists - 1)
+    low, target, high = g.bounds
+    wide = spark.sparkContext.broadcast(replace(g, bounds=(target - (target - low) * final_infl, target, target + (high - target) * final_infl))) if final_infl != 1 else sent
+    begun = (start if start is not None else spark.range(1, nsims + 1).select(F.col("id").alias("draw"), F.array_repeat(F.lit(0), len(g.pop)).alias("plan"))).orderBy("draw")
     whole, told = None, []
     for chain in range(1, runs + 1):
         own, k = seed + 7_919 * (chain - 1), first_k
         if in_tasks:
             plans, lp, w = np.zeros((nsims, len(g.pop)), np.int16), np.zeros(nsims), np.ones(nsims)
+            if start is not None:
+                plans = np.array([r["plan"] for r in begun.collect()], np.int16)  # small, as ``in_tasks`` says
         else:
-            parents = spark.range(nsims).select("id", F.array_repeat(F.lit(0), len(g.pop)).alias("plan"), F.lit(0.0).alias("lp"), F.lit(1.0).alias("w"))
-        for label in range(1, upto + 1):
+            parents = shared_table(begun.select((F.col("draw") - 1).cast("long").alias("id"), "plan", F.lit(0.0).alias("lp"), F.lit(1.0).alias("w")))
+        for label in range(drawn + 1, upto + 1):
             last = label == g.ndists - 1
             alpha = 1.0 if last else seq_alpha
             if in_tasks:
-                new = _generation_in_tasks(spark, sent, plans, lp, w, label, k, own, compactness, local)
+                new = _generation_in_tasks(spark, wide if last else sent, plans, lp, w, label, k, own, compactness, local, pop_temper)
                 plans, at = np.array(new["plan"].tolist(), np.int16), new["lp"].to_numpy()
                 w = np.exp(-alpha * (at - at.min()))
                 lp = at * (1.0 if last else 1 - alpha)
                 told.append((chain, label, k, float(w.sum() ** 2 / (w**2).sum()), float(nsims / new["tries"].sum()), float(at.std()), int(new["parent"].nunique()), nsims))
                 k = _enough(new["valid"].to_numpy(), adapt_k)
             else:
-                found = _generation_by_joins(spark, sent, parents, nsims, label, k, own, compactness, local)
-                low = found.agg(F.min("lp").alias("l")).first()["l"]
-                parents = shared_table(found.select("id", "parent", "tries", "valid", "plan", F.col("lp").alias("at"), (F.col("lp") * (1.0 if last else 1 - alpha)).alias("lp"), F.exp(-alpha * (F.col("lp") - low)).alias("w")))
+                found = _generation_by_joins(spark, wide if last else sent, parents, nsims, label, k, own, compactness, local, pop_temper)
+                least = found.agg(F.min("lp").alias("l")).first()["l"]
+                parents = shared_table(found.select("id", "parent", "tries", "valid", "plan", F.col("lp").alias("at"), (F.col("lp") * (1.0 if last else 1 - alpha)).alias("lp"), F.exp(-alpha * (F.col("lp") - least)).alias("w")))
                 r = parents.agg((F.sum("w") ** 2 / F.sum(F.col("w") ** 2)).alias("n"), (F.count(F.lit(1)) / F.sum("tries")).alias("a"), F.stddev_pop("at").alias("s"), F.countDistinct("parent").alias("u"), F.percentile("valid", adapt_k).alias("v")).first()
                 told.append((chain, label, k, r["n"], r["a"], r["s"], r["u"], nsims))
                 k = int(np.ceil(r["v"])) + 1

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, tally
 from ..sources.shared import shared_table
 from .model import PlanMap
-from .sampling import Graph, chains, connected, flip, graph_of, random_for
+from .sampling import Graph, chains, connected, flip, graph_of, random_for, smc
 
 
 # growth
@@ -134,6 +134,22 @@ def random_subgraph(m: PlanMap, n: int, seed: int = 1) -> PlanMap:
     return m.take(*sorted(inside))
 
 
+def flip_inputs(m: PlanMap, plans: DataFrame | None = None, n: int = 1, betas: int = 10, seed: int = 1) -> tuple[DataFrame, list[float]]:
+    """What chains need: starts (chain, plan) whose districts are connected and as many as the map's, and a ladder.
+
+    Without ``plans`` (draw, plan) the starts are drawn by sequential Monte Carlo.
+    """
+    if found := m.problems():
+        raise ValueError("; ".join(found))
+    if plans is None:
+        return smc(m, n, seed=seed).select(F.col("draw").alias("chain"), "plan"), ladder(betas)
+    asg = plans.select("draw", F.posexplode("plan").alias("unit_id", "district"))
+    by = graph.pieces(m.edges, asg).groupBy("draw").agg(F.max("n_pieces").alias("most"), F.count(F.lit(1)).alias("k"))
+    if odd := by.filter((F.col("most") > 1) | (F.col("k") != m.ndists)).limit(1).collect():
+        raise ValueError(f"plan {odd[0]['draw']} is not {m.ndists} connected districts")
+    return plans.select(F.col("draw").alias("chain"), "plan"), ladder(betas)
+
+
 # tempering
 
 

@@ -169,3 +169,37 @@ def test_growth_gives_every_draw(spark):
 def test_flags_of_a_run(spark):
     steps = spark.createDataFrame([(1, 1, 3, 90.0, 0.5, 1.0, 70, 100), (1, 2, 3, 3.0, 0.5, 1.0, 70, 100)], sampling.STEPS)
     assert [r.bottleneck for r in estimates.step_flags(steps).orderBy("step").collect()] == [False, True]
+
+
+def test_tempered_runs_reach_the_same_plans_alike(spark):
+    m = _map(spark, EIGHT, [1] * 8, 4, 0.05)
+    begun = sampling.smc_run(m, 200, seed=2, steps=1, pop_temper=0.1).plans
+    assert all(set(r.plan) == {0, 1} for r in begun.collect())
+    found = labels.by_first_appearance(model.from_arrays(sampling.smc(m, 200, seed=3, start=begun.select("draw", "plan"), pop_temper=0.1), m).assignments)
+    by = found.groupBy("draw").agg(F.array_sort(F.collect_list(F.struct("unit_id", "district"))).alias("p")).groupBy("p").count().collect()
+    assert len(by) == 5 and all(abs(r["count"] / 200 - 0.2) < 0.17 for r in by)
+    with pytest.raises(ValueError):
+        sampling.smc_run(m, 10, start=begun.select("draw", "plan"))
+
+
+def test_inputs_of_chains_are_checked(spark):
+    m = _map(spark, _square(2), [1] * 4, 2, 0.5)
+    starts, betas = search.flip_inputs(m, n=2, betas=4)
+    assert starts.count() == 2 and len(betas) == 4
+    with pytest.raises(ValueError):
+        search.flip_inputs(m, spark.createDataFrame([(1, [1, 2, 2, 1])], "draw int, plan array<int>"))
+
+
+def test_long_runs_of_equal_values_widen_intervals(spark):
+    r = np.random.default_rng(3)
+    free, x = r.standard_normal(400), 0.0
+    slow = []
+    for e in free:
+        x = 0.9 * x + e
+        slow.append(x)
+    se = []
+    for v in (free, slow):
+        v = (np.array(v) - np.mean(v)) / np.std(v)
+        draws = spark.createDataFrame([(1, k, float(y)) for k, y in enumerate(v)], "chain int, draw int, x double")
+        se.append(estimates.interval_of_chains(draws, "x", 20).first()["se"])
+    assert se[0] == pytest.approx(0.05, rel=0.4) and se[1] > 2.5 * se[0]
