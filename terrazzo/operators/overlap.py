@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,11 +52,8 @@ def information_to(assignments: DataFrame, plan: DataFrame, units: DataFrame, po
     return _information(joint_population(assignments, plan, units, pop), ["draw"], "ref", "district")
 
 
-def distances(assignments: DataFrame, units: DataFrame, pop: str = "pop") -> DataFrame:
-    """Hamming, Manhattan and Euclidean distance and variation of information of all pairs of draws i < j.
-
-    One row per pair and joint district is formed, by a join on the unit.
-    """
+def _distances_by_joins(assignments: DataFrame, units: DataFrame, pop: str) -> DataFrame:
+    """The same for maps of any size: one row per pair and joint district, by a join on the unit."""
     a = assignments.select("unit_id", F.col("draw").alias("i"), F.col("district").alias("a"))
     b = assignments.select("unit_id", F.col("draw").alias("j"), F.col("district").alias("b"))
     met = a.join(b, "unit_id").filter("i < j").join(small(units.select("unit_id", F.col(pop).alias("p"))), "unit_id")
@@ -64,6 +63,58 @@ def distances(assignments: DataFrame, units: DataFrame, pop: str = "pop") -> Dat
     return plain.join(_information(joint, ["i", "j"], "a", "b"), ["i", "j"])
 
 
+#: Units up to which whole plans meet in a task; draws of a block.
+MOST_UNITS, BLOCK = 200_000, 64
+DISTANCES = "i int, j int, hamming long, manhattan long, euclidean double, vi double"
+
+
+def _pair_rows(i: int, a: np.ndarray, others: np.ndarray, draws: list[int], p: np.ndarray, k: int) -> list[tuple]:
+    """Distances of plan ``a`` from other plans; districts are numbered below ``k``."""
+    gap = np.abs(others - a)
+    out = []
+    for j, b, g in zip(draws, others, gap):
+        joint = np.bincount(a * k + b, p, k * k).reshape(k, k)
+        pa, pb = np.broadcast_to(joint.sum(1)[:, None], joint.shape), np.broadcast_to(joint.sum(0)[None, :], joint.shape)
+        on = joint >= 1
+        vi = float((-joint[on] * (2 * np.log(joint[on]) - np.log(pa[on]) - np.log(pb[on]))).sum() / p.sum())
+        out.append((min(i, j), max(i, j), int((g > 0).sum()), int(g.sum()), float(np.sqrt((g * g).sum())), 0.0 if abs(vi) <= 1e-9 else vi))
+    return out
+
+
+def distances(assignments: DataFrame, units: DataFrame, pop: str = "pop") -> DataFrame:
+    """Hamming, Manhattan and Euclidean distance and variation of information of all pairs of draws i < j.
+
+    Plans are rows of arrays and meet in tiles of two blocks of draws, so what is shuffled are
+    plans times blocks, not pairs times units. All draws must have the same units.
+    """
+    if units.limit(MOST_UNITS + 1).count() > MOST_UNITS:
+        return _distances_by_joins(assignments, units, pop)
+    own = assignments.join(small(units.select("unit_id", F.col(pop).cast("double").alias("p"))), "unit_id")
+    plans = own.groupBy("draw").agg(F.array_sort(F.collect_list(F.struct("unit_id", "district", "p"))).alias("u"))
+    blocks = max(1, -(-assignments.select("draw").distinct().count() // BLOCK))
+    block = F.pmod(F.xxhash64("draw"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with")
+    dealt = plans.select("draw", block.alias("block"), F.transform("u", lambda x: x["unit_id"]).alias("ids"), F.transform("u", lambda x: x["district"]).alias("plan"), F.transform("u", lambda x: x["p"]).alias("p")).select("*", every)
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        plan, ids, p = np.stack(pdf["plan"]), np.stack(pdf["ids"]), np.asarray(pdf["p"].iloc[0], float)
+        if (ids != ids[0]).any():
+            raise ValueError("draws of unlike units")
+        least, draws, of = plan.min(), pdf["draw"].tolist(), pdf["block"].to_numpy()
+        plan, k = plan - least, int(plan.max() - least) + 1
+        left, right = (of == of.min()), (of == of.max())
+        rows = []
+        for i in np.flatnonzero(left):
+            to = [j for j in np.flatnonzero(right) if (j > i if of.min() == of.max() else True)]
+            if to:
+                rows += _pair_rows(draws[i], plan[i], plan[to], [draws[j] for j in to], p, k)
+        return pd.DataFrame(rows, columns=["i", "j", "hamming", "manhattan", "euclidean", "vi"])
+
+    met = dealt.select(F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "draw", "block", "ids", "plan", "p")
+    # a tile of two blocks needs both: a block without draws leaves none
+    return met.groupBy("x", "y").applyInPandas(lambda key, pdf: tile(pdf) if key[0] == key[1] or pdf["block"].nunique() == 2 else pd.DataFrame([], columns=["i", "j", "hamming", "manhattan", "euclidean", "vi"]), DISTANCES)
+
+
 def diversity(assignments: DataFrame, units: DataFrame, pop: str = "pop", n_max: int = 100, seed: int = 1) -> DataFrame:
     """Half the variation of information of pairs among at most ``n_max`` draws, picked by hash."""
     some = assignments.select("draw").distinct().orderBy(F.xxhash64("draw", F.lit(seed))).limit(n_max)

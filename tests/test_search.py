@@ -203,3 +203,16 @@ def test_long_runs_of_equal_values_widen_intervals(spark):
         draws = spark.createDataFrame([(1, k, float(y)) for k, y in enumerate(v)], "chain int, draw int, x double")
         se.append(estimates.interval_of_chains(draws, "x", 20).first()["se"])
     assert se[0] == pytest.approx(0.05, rel=0.4) and se[1] > 2.5 * se[0]
+
+
+def test_tiles_of_plans_give_the_distances_of_joins(spark, monkeypatch):
+    from terrazzo.operators import overlap
+
+    r = np.random.default_rng(5)
+    units = spark.createDataFrame([(v, int(p)) for v, p in enumerate(r.integers(0, 9, 20))], "unit_id int, pop long")
+    asg = spark.createDataFrame([(d, v, int(x)) for d in range(1, 15) for v, x in enumerate(r.integers(1, 4, 20))], "draw int, unit_id int, district int")
+    rows = lambda df: sorted((x.i, x.j, x.hamming, x.manhattan, round(x.euclidean, 9), round(x.vi, 9)) for x in df.collect())
+    plain = rows(overlap._distances_by_joins(asg, units, "pop"))
+    assert len(plain) == 14 * 13 / 2 and rows(overlap.distances(asg, units)) == plain
+    monkeypatch.setattr(overlap, "BLOCK", 3)
+    assert rows(overlap.distances(asg, units)) == plain
