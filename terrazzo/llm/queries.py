@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, knn_quality, langid, maxent_lm, media, packing, probminhash, quality_rules, spelling, suffix_dedup, tiers, url_filter
+from . import bpe, collocations, knn_quality, langid, maxent_lm, media, packing, probminhash, quality_rules, spelling, suffix_dedup, tiers, url_filter
 from .columns import bucket_of
 
 
@@ -67,9 +67,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_quality_rules, op3_best_fit_packing, op4_language_id, op5_suffix_dedup, op6_media, op7_quality_classifier, op8_maxent_lm, op9_byte_bpe, op10_url_filter, op11_spelling_variants, op13_tiered_packing)}
-ORACLES = {"op10_url_filter": url_filter.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_quality_rules, op3_best_fit_packing, op4_language_id, op5_suffix_dedup, op6_media, op7_quality_classifier, op8_maxent_lm, op9_byte_bpe, op10_url_filter, op11_spelling_variants, op12_collocations, op13_tiered_packing)}
+ORACLES = {"op10_url_filter": url_filter.ORACLE, "op12_collocations": collocations.ORACLE}
