@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.sizes import small
+from ..sources.shared import shared_table
+
 
 def truncated(draws: DataFrame, column: str = "wgt") -> DataFrame:
     """Weights cut at their quantile 1 - n^(-1/2)."""
@@ -47,19 +51,19 @@ def normal_quantile(p: pd.Series) -> pd.Series:
     return p.map(lambda x: None if pd.isna(x) else inverse(min(max(x, 1e-12), 1 - 1e-12)))
 
 
-def average_ranks(draws: DataFrame, column: str, buckets: int = 4_096) -> DataFrame:
+def average_ranks(draws: DataFrame, column: str) -> DataFrame:
     """Ranks of values, ties shared: the distinct values are ranked, not the rows.
 
-    Values are dealt to even ranges; sums of the ranges before (``buckets`` rows) and ranks
-    within a range add up, so no task orders all values.
+    Distinct values are sorted into ranges of about equal counts, whose splitters Spark samples;
+    rows of the ranges before (a row a range) and ranks within a range add up. However skewed
+    or clustered the values are, no range holds more than its share of distinct ones.
     """
     values = draws.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    ends = values.agg(F.min(column).alias("_a"), F.max(column).alias("_z"))
-    place = F.floor(F.coalesce(F.try_divide(F.col(column) - F.col("_a"), F.col("_z") - F.col("_a")), F.lit(0.0)) * (buckets - 1))
-    dealt = values.crossJoin(F.broadcast(ends)).select(column, "n", place.alias("_bucket"))
-    sums = dealt.groupBy("_bucket").agg(F.sum("n").alias("s")).select("_bucket", (F.sum("s").over(W.orderBy("_bucket")) - F.col("s")).alias("_before"))
-    within = F.sum("n").over(W.partitionBy("_bucket").orderBy(column)) - F.col("n")
-    ranks = dealt.withColumn("_within", within).join(F.broadcast(sums), "_bucket")
+    # written once, so that ranges stay as they are
+    dealt = shared_table(values.repartitionByRange(column).select(column, "n", F.spark_partition_id().alias("_range")))
+    sums = dealt.groupBy("_range").agg(F.sum("n").alias("s")).select("_range", (F.sum("s").over(W.orderBy("_range")) - F.col("s")).alias("_before"))
+    within = F.sum("n").over(W.partitionBy("_range").orderBy(column)) - F.col("n")
+    ranks = dealt.withColumn("_within", within).join(small(sums), "_range")
     return draws.join(ranks.select(column, (F.col("_before") + F.col("_within") + (F.col("n") + 1) / 2).alias("rank")), column)
 
 
@@ -156,3 +160,111 @@ def interval_of_chains(draws: DataFrame, column: str, lags: int, conf: float = 0
     own = by.select("m", "n", (F.col("v") * F.greatest(1 + 2 * F.coalesce("s", F.lit(0.0)), F.lit(0.0)) / F.col("n")).alias("e"))
     whole = own.agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("estimate"), (F.sqrt(F.sum(F.col("e") * F.col("n") * F.col("n"))) / F.sum("n")).alias("se"))
     return whole.select("estimate", "se", (F.col("estimate") - z * F.col("se")).alias("low"), (F.col("estimate") + z * F.col("se")).alias("high"))
+
+
+def student_quantile(p: float, df: float) -> float:
+    """Quantile of Student's t distribution: its density integrated by Simpson's rule, and bisection."""
+    if p < 0.5:
+        return -student_quantile(1 - p, df)
+    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+
+    def below(t: float, n: int = 2_000) -> float:
+        h = t / n
+        f = [(1 + (k * h) ** 2 / df) ** (-(df + 1) / 2) for k in range(n + 1)]
+        return 0.5 + scale * h / 3 * (f[0] + f[-1] + 4 * sum(f[1::2]) + 2 * sum(f[2:-1:2]))
+
+    low, high = 0.0, 1.0
+    while below(high) < p:
+        high *= 2
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if below(mid) < p else (low, mid)
+    return (low + high) / 2
+
+
+def _interval(estimate: float, se: float, n: int, conf: float, spark) -> DataFrame:
+    t = student_quantile(0.5 + conf / 2, n - 1) if n > 1 else float("nan")
+    return spark.createDataFrame([(estimate, se, estimate - t * se, estimate + t * se)], "estimate double, se double, low double, high double")
+
+
+def interval_by_lags(draws: DataFrame, ancestors: DataFrame, column: str, conf: float = 0.9) -> DataFrame:
+    """Interval of one run of sequential Monte Carlo: estimate, se, low, high.
+
+    ``draws`` has (draw, column), ``ancestors`` (draw, lag, ancestor) as ``sampling.smc_run``
+    returns them. Draws of one ancestor are not independent: at each lag residuals are summed by
+    ancestor, and the error is the root of the mean over draws of their ancestor's squared sum,
+    over n. The 75th percentile over lags counts.
+    """
+    whole = draws.agg(F.avg(column).alias("estimate"), F.count(F.lit(1)).alias("n")).first()
+    if not whole["n"]:
+        raise ValueError("no draws")
+    residual = draws.select("draw", (F.col(column) - whole["estimate"]).alias("r"))
+    sums = ancestors.join(residual, "draw").groupBy("lag", "ancestor").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("c"))
+    errors = sums.groupBy("lag").agg((F.sqrt(F.sum(F.col("c") * F.col("s") * F.col("s"))) / whole["n"]).alias("e"))
+    return _interval(whole["estimate"], errors.agg(F.percentile("e", 0.75).alias("e")).first()["e"], whole["n"], conf, draws.sparkSession)
+
+
+def interval_of_runs(draws: DataFrame, column: str, conf: float = 0.9, by_chain: bool = False) -> DataFrame:
+    """Interval of several runs: the spread of their means over the root of one less than the runs (of one run, if ``by_chain``)."""
+    whole = draws.agg(F.avg(column).alias("estimate"), F.count(F.lit(1)).alias("n")).first()
+    spread = draws.groupBy("chain").agg(F.avg(column).alias("m")).agg(F.stddev_samp("m").alias("s"), F.count(F.lit(1)).alias("k")).first()
+    if spread["k"] < 2:
+        raise ValueError("one run has no spread: see interval_by_lags")
+    se = spread["s"] if by_chain else spread["s"] / math.sqrt(spread["k"] - 1)
+    return _interval(whole["estimate"], se, whole["n"], conf, draws.sparkSession)
+
+
+def monotone_curve(x: list[float], y: list[float]) -> list[float]:
+    """Slopes at the knots of a monotone piecewise cubic: means of the secants beside a knot, held back where a piece would turn."""
+    secants = [(y[k + 1] - y[k]) / (x[k + 1] - x[k]) for k in range(len(x) - 1)]
+    if not secants:
+        return [0.0] * len(x)
+    m = [secants[0], *[(a + b) / 2 for a, b in zip(secants, secants[1:])], secants[-1]]
+    for k, s in enumerate(secants):
+        if s == 0:
+            m[k] = m[k + 1] = 0.0
+            continue
+        a, b = m[k] / s, m[k + 1] / s
+        over = 2 * a + b - 3
+        if over > 0 and a + 2 * b - 3 > 0 and a * (over + a + 2 * b - 3) < over * over:
+            m[k], m[k + 1] = (3 * s / math.hypot(a, b) * v for v in (a, b))
+    return m
+
+
+def curve_value(at: Column, x: list[float], y: list[float], m: list[float]) -> Column:
+    """The curve through the knots, at values between the first and the last."""
+    out = F.lit(float(y[-1]))
+    for k in reversed(range(len(x) - 1)):
+        h = x[k + 1] - x[k]
+        t = (at - x[k]) / h
+        up = t * t * (3 - 2 * t)
+        piece = y[k] * (1 - up) + y[k + 1] * up + h * m[k] * t * (t - 1) * (t - 1) + h * m[k + 1] * t * t * (t - 1)
+        out = F.when(at <= x[k + 1], piece).otherwise(out)
+    return out
+
+
+def rank_discoveries(draw_ranks: DataFrame, p_counts: DataFrame, n: int, key: str, knots: int = 15) -> DataFrame:
+    """key, p, q: false discovery rates of p-values against the ranks of all draws.
+
+    ``p_counts`` has (key, c): p is (c + 1) / n, c being the draws that depart as far as the
+    compared plan. ``draw_ranks`` has (key, rank): how many draws depart no farther than a draw,
+    which is what p-values look like where nothing is to be found. The share of true nulls is
+    estimated at p above one half. Rates are taken at quantiles of p, made monotone from above,
+    and a monotone curve through them gives q. Counts are compared as integers. The driver
+    sees the knots alone.
+    """
+    c = F.col("c") + 1
+    at = p_counts.agg(F.count(F.lit(1)).alias("m"), *[F.expr(f"percentile_disc({k / (knots - 1)}) WITHIN GROUP (ORDER BY c)").alias(f"k{k}") for k in range(knots)]).first()
+    if not at["m"]:
+        return p_counts.select(key, F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
+    ends = sorted({int(at[f"k{k}"]) + 1 for k in range(knots)})
+    upto = p_counts.agg(F.count_if(2 * c <= n).alias("half"), *[F.count_if(c <= e).alias(f"e{e}") for e in ends]).first()
+    null = draw_ranks.agg(F.count_if(2 * F.col("rank") <= n).alias("half"), *[F.count_if(F.col("rank") <= e).alias(f"e{e}") for e in ends]).first()
+    rest = at["m"] - null["half"] / n
+    share = min(1.0, (at["m"] - upto["half"]) / rest) if rest > 0 else 1.0
+    rates = [share * null[f"e{e}"] / n / upto[f"e{e}"] for e in ends]
+    for k in reversed(range(len(rates) - 1)):
+        rates[k] = min(rates[k], rates[k + 1])
+    x = [e / n for e in ends]
+    p = c / F.lit(float(n))
+    return p_counts.select(key, p.alias("p"), curve_value(p, x, rates, monotone_curve(x, rates)).alias("q"))

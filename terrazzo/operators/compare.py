@@ -8,11 +8,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import overlap
+from ..sources.shared import shared_table
+from . import overlap, spectral
 from .sizes import small
 
-#: Units of which a dense matrix of pairs may be formed on the driver, and draws likewise.
-MOST_UNITS, MOST_DRAWS = 3_000, 2_000
+#: Draws whose matrix of distances may be formed on the driver, for linkage.
+MOST_DRAWS = 2_000
 
 _WEIGHTS = {
     # a pair's weight as x_i * y_j + y_i * x_j, from a unit's population
@@ -54,33 +55,44 @@ def smoothed_cooccurrence(assignments: DataFrame, ndists: int) -> DataFrame:
     return overlap.cooccurrence(assignments).select("unit_i", "unit_j", ((F.col("p") * n + 1 / ndists) / (n + 1)).alias("p"))
 
 
+def _splits(sets: DataFrame, ndists: int, thresh: float) -> DataFrame:
+    """grp, split, unit_id, value, part, separation of pairs of sets: rows grp, side (1 or 2), draw, unit_id, district.
+
+    The difference of the two smoothed co-occurrences is applied to a vector without forming
+    it: co-occurrence times a vector is the vector's sum over each district, sent back to the
+    district's units, and smoothing adds a share of the whole sum and of the vector itself.
+    """
+    spark = sets.sparkSession
+    counts = {(r["grp"], r["side"]): r["n"] for r in sets.groupBy("grp", "side").agg(F.countDistinct("draw").alias("n")).collect()}
+    groups, share = sorted({g for g, _ in counts}), 1 / ndists
+    n = {k: counts.get(k, 0) for g in groups for k in ((g, 1), (g, 2))}
+    scalars = small(spark.createDataFrame([(g, share / (n[g, 1] + 1) - share / (n[g, 2] + 1), (n[g, 2] + share) / (n[g, 2] + 1) - (n[g, 1] + share) / (n[g, 1] + 1)) for g in groups], "grp string, all_ double, own double"))
+    weights = small(spark.createDataFrame([(g, side, (1 if side == 1 else -1) / (k + 1)) for (g, side), k in n.items()], "grp string, side int, weight double"))
+    placed = shared_table(sets.join(weights, ["grp", "side"]).select("grp", "side", "draw", F.col("unit_id").cast("long").alias("node"), "district", "weight"))
+    by = ["grp", "side", "draw", "district"]
+
+    def apply(v: DataFrame) -> DataFrame:
+        sums = placed.join(small(v), ["grp", "node"]).groupBy(*by).agg(F.sum("x").alias("s"))
+        back = placed.join(sums, by).groupBy("grp", "node").agg(F.sum(F.col("weight") * F.col("s")).alias("c"))
+        total = v.groupBy("grp").agg(F.sum("x").alias("t"))
+        return v.join(back, ["grp", "node"], "left").join(small(total), "grp").join(scalars, "grp").select("grp", "node", (F.coalesce("c", F.lit(0.0)) + F.col("all_") * F.col("t") + F.col("own") * F.col("x")).alias("w"))
+
+    found = spectral.leading(placed.select("grp", "node").distinct(), apply, high=1, low=1)
+    part = (F.col("value") > F.col("cut")).cast("int") - (F.col("value") < -F.col("cut")).cast("int")
+    tops = small(found.groupBy("grp", "place").agg((thresh * F.max(F.abs("value"))).alias("cut")))
+    # split 2 is the largest eigenvalue of the negative, so the smallest of the difference
+    return found.join(tops, ["grp", "place"]).select("grp", F.when(F.col("place") == 1, 1).otherwise(2).alias("split"), F.col("node").cast("int").alias("unit_id"), "value", part.alias("part"), (F.col("eigenvalue") * F.signum(F.col("place").cast("double"))).alias("separation"))
+
+
 def compare_sets(one: DataFrame, two: DataFrame, ndists: int, thresh: float = 0.1) -> DataFrame:
     """split, unit_id, value, part, separation: where two sets of draws keep units together unlike each other.
 
     Split 1 is the leading eigenvector of the difference of smoothed co-occurrences, split 2
-    that of its negative; parts 1 and -1 are units beyond ``thresh`` of the largest entry.
+    that of its negative; parts 1 and -1 are units beyond ``thresh`` of the largest entry. No
+    matrix of pairs of units is formed.
     """
-    ids = [r["unit_id"] for r in one.select("unit_id").distinct().orderBy("unit_id").limit(MOST_UNITS + 1).collect()]
-    if len(ids) > MOST_UNITS:
-        raise ValueError(f"more than {MOST_UNITS} units")
-    at = {u: k for k, u in enumerate(ids)}
-
-    def matrix(asg: DataFrame) -> np.ndarray:
-        n = asg.select("draw").distinct().count()
-        p = np.full((len(ids), len(ids)), 1 / ndists / (n + 1))
-        for r in smoothed_cooccurrence(asg, ndists).collect():
-            p[at[r["unit_i"]], at[r["unit_j"]]] = p[at[r["unit_j"]], at[r["unit_i"]]] = r["p"]
-        np.fill_diagonal(p, 1.0)
-        return p
-
-    gap = matrix(one) - matrix(two)
-    rows = []
-    for k, sign in ((1, 1), (2, -1)):
-        value, vector = np.linalg.eigh(sign * gap)
-        v = vector[:, -1] * (1 if vector[np.abs(vector[:, -1]).argmax(), -1] > 0 else -1)
-        cut = thresh * np.abs(v).max()
-        rows += [(k, u, float(x), int(x > cut) - int(x < -cut), float(value[-1])) for u, x in zip(ids, v)]
-    return one.sparkSession.createDataFrame(rows, "split int, unit_id int, value double, part int, separation double")
+    sets = [d.select(F.lit("").alias("grp"), F.lit(side).alias("side"), "draw", "unit_id", "district") for side, d in ((1, one), (2, two))]
+    return _splits(sets[0].union(sets[1]), ndists, thresh).drop("grp")
 
 
 def _dense(pairs: DataFrame, column: str) -> tuple[list[int], np.ndarray]:
@@ -144,33 +156,35 @@ def classify(pairs: DataFrame, k: int = 8, column: str = "vi") -> DataFrame:
 def contrast_of_classes(classes: DataFrame, assignments: DataFrame, ndists: int, thresh: float = 0.1) -> DataFrame:
     """parent and ``compare_sets`` of the two groups under each name that classification split.
 
-    Groups are few (the ``k`` of ``classify``), so the parents are a short loop of Spark jobs.
+    A draw belongs to one side of every name above its own; all names go through the same rounds.
     """
-    names = [r["label"] for r in classes.select("label").distinct().orderBy("label").collect()]
-    parents = sorted({".".join(n.split(".")[:d]) for n in names for d in range(len(n.split(".")))})
-    out = None
-    for parent in parents:
-        depth = len(parent.split(".")) if parent else 0
-        under = classes.filter(F.col("label").startswith(parent + ".")) if parent else classes
-        side = F.element_at(F.split("label", r"\."), depth + 1)
-        ends = [r["s"] for r in under.select(side.alias("s")).distinct().orderBy("s").collect()]
-        one, two = (assignments.join(under.filter(side == s).select("draw"), "draw", "left_semi") for s in ends)
-        found = compare_sets(one, two, ndists, thresh).select(F.lit(parent).alias("parent"), "*")
-        out = found if out is None else out.union(found)
-    if out is None:
+    steps = F.split("label", r"\.")
+    above = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda k: F.struct(F.array_join(F.slice(steps, 1, k), ".").alias("grp"), F.element_at(steps, (k + 1).cast("int")).alias("name")))
+    sides = classes.select("draw", F.explode(above).alias("s")).select("draw", "s.grp", "s.name")
+    ends = sides.groupBy("grp").agg(F.min("name").alias("a"), F.max("name").alias("b")).filter("a <> b")
+    if ends.isEmpty():
         raise ValueError("a single group has no split")
-    return out
+    sets = sides.join(small(ends), "grp").select("grp", F.when(F.col("name") == F.col("a"), 1).otherwise(2).alias("side"), "draw").join(assignments, "draw")
+    return _splits(sets.select("grp", "side", "draw", "unit_id", "district"), ndists, thresh).withColumnRenamed("grp", "parent")
 
 
 def plane(pairs: DataFrame, column: str = "vi") -> DataFrame:
-    """draw, x, y: classical scaling of pairwise distances to two dimensions."""
-    ids, distance = _dense(pairs, column)
-    middle = np.eye(len(ids)) - 1 / max(len(ids), 1)
-    value, vector = np.linalg.eigh(-0.5 * middle @ (distance**2) @ middle)
-    top = [len(ids) - 1, len(ids) - 2]
-    xy = vector[:, top] * np.sqrt(np.maximum(value[top], 0))
-    xy *= np.where(xy[np.abs(xy).argmax(0), [0, 1]] < 0, -1, 1)  # signs are fixed by the largest entry
-    return pairs.sparkSession.createDataFrame([(d, float(a), float(b)) for d, (a, b) in zip(ids, xy)], "draw int, x double, y double")
+    """draw, x, y: classical scaling of pairwise distances to two dimensions.
+
+    Centred squared distances are applied to a vector as sums over pairs, so no matrix is formed.
+    """
+    both = shared_table(pairs.select("i", "j", (F.col(column).cast("double") ** 2).alias("d")).select(F.explode(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("node"), "d"), F.struct(F.col("j").alias("a"), F.col("i").alias("node"), "d"))).alias("p")).select(F.col("p.a").cast("long").alias("a"), F.col("p.node").cast("long").alias("node"), "p.d"))
+
+    def centred(v: DataFrame, c: str) -> DataFrame:
+        return v.crossJoin(F.broadcast(v.agg(F.avg(c).alias("_mean")))).withColumn(c, F.col(c) - F.col("_mean")).drop("_mean")
+
+    def apply(v: DataFrame) -> DataFrame:
+        sums = both.join(small(centred(v, "x")), "node").groupBy("grp", "a").agg((-0.5 * F.sum(F.col("d") * F.col("x"))).alias("w"))
+        return centred(sums.select("grp", F.col("a").alias("node"), "w"), "w")
+
+    found = spectral.leading(both.select(F.lit("").alias("grp"), "node").distinct(), apply, high=2)
+    at = lambda k: F.coalesce(F.max(F.when(F.col("place") == k, F.col("value") * F.sqrt(F.greatest("eigenvalue", F.lit(0.0))))), F.lit(0.0))
+    return found.groupBy(F.col("node").cast("int").alias("draw")).agg(at(1).alias("x"), at(2).alias("y"))
 
 
 def clustered_plane(pairs: DataFrame, k: int = 5, column: str = "vi", seed: int = 1) -> DataFrame:

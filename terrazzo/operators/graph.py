@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+from heapq import heapify, heappop, heappush
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -76,15 +78,30 @@ def boundary_units(edges: DataFrame, assignments: DataFrame) -> DataFrame:
     return cut.select("draw", F.explode(F.array("src", "dst")).alias("unit_id")).distinct()
 
 
-def cores(edges: DataFrame, assignments: DataFrame, within: int = 1) -> DataFrame:
+def within_steps(edges: DataFrame, start: DataFrame, steps: int) -> DataFrame:
+    """draw, unit_id: units up to ``steps`` edges from any of ``start`` (draw, unit_id), draw by draw.
+
+    Breadth first in layers from all starts at once; only the newest layer spreads.
+    """
+    seen = layer = start.select("draw", "unit_id").distinct()
+    for _ in range(steps):
+        beyond = layer.withColumnRenamed("unit_id", "src").join(small(edges), "src").select("draw", F.col("dst").alias("unit_id")).distinct()
+        layer = shared_table(beyond.join(seen, ["draw", "unit_id"], "left_anti"))
+        seen = seen.union(layer)
+    return seen
+
+
+def cores(edges: DataFrame, assignments: DataFrame, within: int = 1, focus: int | None = None) -> DataFrame:
     """Core ids: interior units share an id with their piece of the district's interior.
 
     Units up to ``within`` steps from another district are on the boundary and stand alone.
+    With ``focus``, only those in that district or up to ``within`` steps from it are; the
+    boundary elsewhere belongs to the cores.
     """
-    edge = boundary_units(edges, assignments)
-    for _ in range(within - 1):
-        nearer = edge.withColumnRenamed("unit_id", "src").join(small(edges), "src").select("draw", F.col("dst").alias("unit_id"))
-        edge = edge.union(nearer).distinct()
+    edge = within_steps(edges, boundary_units(edges, assignments), within - 1)
+    if focus is not None:
+        near = within_steps(edges, assignments.filter(F.col("district") == focus), within)
+        edge = edge.join(near, ["draw", "unit_id"], "left_semi")
     marked = assignments.join(edge.withColumn("outer", F.lit(True)), ["draw", "unit_id"], "left").withColumn("outer", F.coalesce("outer", F.lit(False)))
     inner = marked.filter(~F.col("outer")).select("draw", "unit_id", F.col("district").alias("grp"))
     piece = components(edges, inner, ["draw"]).select("draw", "unit_id", F.col("component"))
@@ -147,27 +164,93 @@ def frontier_sizes(ordered: DataFrame) -> DataFrame:
     return change.select("pos", F.sum("d").over(W.orderBy("pos")).alias("frontier"))
 
 
-def log_trees(edges: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Log number of spanning trees of each district (matrix-tree theorem); null if disconnected."""
+def log_tree_count(pairs: list[tuple[int, int]], n: int) -> float | None:
+    """Log number of spanning trees of a graph of n vertices (edges may repeat); None if it isn't connected.
+
+    Vertices are taken out one by one, those of least degree first: the trees of a graph are
+    the vertex's degree times those of the graph without it, with weight w * w' / degree
+    between any two of its neighbours. Memory is what fills in, not n squared.
+    """
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for a, b in pairs:
+        if a != b:
+            near[a][b] = near[a].get(b, 0.0) + 1.0
+            near[b][a] = near[b].get(a, 0.0) + 1.0
+    queue = [(len(x), v) for v, x in enumerate(near)]
+    heapify(queue)
+    gone, total, left = [False] * n, 0.0, n
+    while left > 1:
+        size, v = heappop(queue)
+        if gone[v] or size != len(near[v]):
+            continue
+        own, degree = list(near[v].items()), sum(near[v].values())
+        if degree <= 0:
+            return None
+        gone[v], left, total = True, left - 1, total + math.log(degree)
+        for i, (x, w) in enumerate(own):
+            del near[x][v]
+            for y, u in own[:i]:
+                near[x][y] = near[y][x] = near[x].get(y, 0.0) + w * u / degree
+        for x, _ in own:
+            heappush(queue, (len(near[x]), x))
+    return total
+
+
+def _two_level_trees(members: list[int], pairs: list[tuple[int, int]], county: dict[int, object] | None) -> float | None:
+    """Trees of each connected part of a county, and of the graph of those parts."""
+    if county is None:
+        at = {v: k for k, v in enumerate(members)}
+        return log_tree_count([(at[a], at[b]) for a, b in pairs], len(members))
+    root = {v: v for v in members}
+
+    def top(v: int) -> int:
+        while root[v] != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    for a, b in pairs:
+        if county[a] == county[b]:
+            root[top(a)] = top(b)
+    parts: dict[int, dict[int, int]] = {}
+    for v in members:
+        own = parts.setdefault(top(v), {})
+        own[v] = len(own)
+    inner: dict[int, list[tuple[int, int]]] = {k: [] for k in parts}
+    number, between = {k: i for i, k in enumerate(parts)}, []
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        if x == y and county[a] == county[b]:
+            inner[x].append((parts[x][a], parts[x][b]))
+        else:
+            between.append((number[x], number[y]))
+    logs = [log_tree_count(between, len(parts)), *[log_tree_count(inner[k], len(own)) for k, own in parts.items()]]
+    return None if None in logs else sum(logs)
+
+
+def log_trees(edges: DataFrame, assignments: DataFrame, units: DataFrame | None = None, county: str | None = None) -> DataFrame:
+    """Log number of spanning trees of each district; null if it isn't connected.
+
+    With ``county`` (a column of ``units``) trees have two levels: one within each connected
+    part of a county in the district, and one of the parts. A district's edges meet in a task,
+    which takes vertices out one by one, so a large district needs the memory of its fill.
+    """
+    of = assignments.select("draw", F.col("unit_id").alias("src"), "district")
     inner = same_label_edges(edges, assignments.withColumnRenamed("district", "grp"), ["draw"]).filter("src < dst")
-    listed = inner.join(assignments.select("draw", F.col("unit_id").alias("src"), "district"), ["draw", "src"]).groupBy("draw", "district").agg(F.collect_list(F.struct("src", "dst")).alias("pairs"))
-    sized = assignments.groupBy("draw", "district").agg(F.collect_list("unit_id").alias("members")).join(listed, ["draw", "district"], "left")
-
-    @F.pandas_udf("double")
-    def kirchhoff(members: pd.Series, pairs: pd.Series) -> pd.Series:
-        out = []
-        for m, p in zip(members, pairs):
-            at = {v: k for k, v in enumerate(m)}
-            lap = np.zeros((len(at), len(at)))
-            for e in () if p is None else p:
-                a, b = at[e["src"]], at[e["dst"]]
-                lap[[a, b], [a, b]] += 1
-                lap[[a, b], [b, a]] -= 1
-            sign, log = np.linalg.slogdet(lap[1:, 1:]) if len(at) > 1 else (1, 0.0)
-            out.append(log if sign > 0 and log > -20 else None)
-        return pd.Series(out, dtype="float64")
-
-    return sized.select("draw", "district", kirchhoff("members", "pairs").alias("log_trees"))
+    listed = inner.join(of, ["draw", "src"]).groupBy("draw", "district").agg(F.collect_list(F.struct("src", "dst")).alias("pairs"))
+    named = assignments.join(small(units.select("unit_id", F.col(county).cast("string").alias("c"))), "unit_id") if county else assignments.withColumn("c", F.lit(None).cast("string"))
+    sized = named.groupBy("draw", "district").agg(F.collect_list(F.struct("unit_id", "c")).alias("members")).join(listed, ["draw", "district"], "left")
+    kinds = {f.name: f.dataType.simpleString() for f in assignments.schema.fields}
+
+    def kirchhoff(batches):
+        for pdf in batches:
+            out = []
+            for draw, district, members, pairs in zip(pdf["draw"], pdf["district"], pdf["members"], pdf["pairs"]):
+                ids = [m["unit_id"] for m in members]
+                own = {m["unit_id"]: m["c"] for m in members} if county else None
+                out.append((draw, district, _two_level_trees(ids, [] if pairs is None else [(e["src"], e["dst"]) for e in pairs], own)))
+            yield pd.DataFrame(out, columns=["draw", "district", "log_trees"]).astype({"log_trees": "float64"})
+
+    return sized.mapInPandas(kirchhoff, f"draw {kinds['draw']}, district {kinds['district']}, log_trees double")
 
 
 def colours(edges: DataFrame, assignments: DataFrame) -> DataFrame:

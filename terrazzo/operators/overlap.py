@@ -11,16 +11,49 @@ from pyspark.sql import functions as F
 from .sizes import small
 
 
-def cooccurrence(assignments: DataFrame) -> DataFrame:
-    """Share of draws in which two units (i < j) have one district; pairs never together are absent.
+#: Units whose plans meet in a tile of pairs; draws that a tile compares at once.
+TILE, AT_ONCE = 512, 256
 
-    Equi-joined on (draw, district): rows are pairs within districts, not all pairs of units.
+
+def cooccurrence(assignments: DataFrame, least: float = 0.0, tile: int = TILE) -> DataFrame:
+    """unit_i < unit_j, p: share of draws in which two units have one district; pairs never together, or below ``least``, are absent.
+
+    Units are dealt to blocks of about ``tile``, and two blocks meet in a task, as arrays of
+    districts by draw: their pairs are counted by products of one-hot rows, and those below the
+    floor don't leave the task. No pair of rows is joined.
     """
-    n = assignments.agg(F.countDistinct("draw").alias("n"))
-    a = assignments.select("draw", "district", F.col("unit_id").alias("unit_i"))
-    b = assignments.select("draw", "district", F.col("unit_id").alias("unit_j"))
-    both = a.join(b, ["draw", "district"]).filter("unit_i < unit_j").groupBy("unit_i", "unit_j").agg(F.count(F.lit(1)).alias("k"))
-    return both.crossJoin(F.broadcast(n)).select("unit_i", "unit_j", (F.col("k") / F.col("n")).alias("p"))
+    draws = assignments.select("draw").distinct()
+    whole = small(draws.agg(F.count(F.lit(1)).alias("n")))
+    numbered = draws.select("draw", (F.row_number().over(W.orderBy("draw")) - 1).alias("at"))  # one row a draw
+    plans = assignments.join(small(numbered), "draw").groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("at", "district"))).alias("d"))
+    blocks = max(1, -(-assignments.select("unit_id").distinct().count() // tile))
+    block = F.pmod(F.xxhash64("unit_id"), F.lit(blocks)).cast("int")
+    dealt = plans.crossJoin(F.broadcast(whole)).select("unit_id", block.alias("block"), "n", F.transform("d", lambda x: x["at"]).alias("at"), F.transform("d", lambda x: x["district"]).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("with"))
+    met = dealt.select(F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "unit_id", "block", "n", "at", "d")
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["n"].iloc[0])
+        sides = []
+        for k in key:
+            own = pdf[pdf["block"] == k].sort_values("unit_id")
+            plan = np.full((len(own), n), -1, np.int64)
+            for row, at, d in zip(plan, own["at"], own["d"]):
+                row[at] = d
+            sides.append((own["unit_id"].to_numpy(), plan))
+        (a, left), (b, right) = sides
+        together = np.zeros((len(a), len(b)), np.float32)
+        for s in range(0, n, AT_ONCE):
+            labels, code = np.unique(np.concatenate([left[:, s : s + AT_ONCE], right[:, s : s + AT_ONCE]]), return_inverse=True)
+            code = code.reshape(len(a) + len(b), -1)
+            for k in np.flatnonzero(labels >= 0):
+                hot = (code == k).astype(np.float32)
+                together += hot[: len(a)] @ hot[len(a) :].T
+        i, j = np.nonzero((together > 0) & (together >= least * n) & ((a[:, None] < b[None, :]) if key[0] == key[1] else True))
+        p = together[i, j].astype(float) / n
+        return pd.DataFrame({"unit_i": np.minimum(a[i], b[j]), "unit_j": np.maximum(a[i], b[j]), "p": p})
+
+    kind = assignments.schema["unit_id"].dataType.simpleString()
+    return met.groupBy("x", "y").applyInPandas(count, f"unit_i {kind}, unit_j {kind}, p double")
 
 
 def population_overlap(old: DataFrame, new: DataFrame, units: DataFrame, pop: str = "pop", rows: bool | None = True) -> DataFrame:
@@ -148,6 +181,23 @@ def contrast_p_values(assignments: DataFrame, stats: DataFrame, column: str, ref
     return gap.join(own, "unit_id").groupBy("unit_id").agg(F.avg((F.col("gap") >= F.col("own")).cast("int")).alias("p"))
 
 
+def contrast_departures(assignments: DataFrame, stats: DataFrame, column: str, reference: int) -> tuple[DataFrame, DataFrame, int]:
+    """What ``estimates.rank_discoveries`` asks for: (unit_id, rank) of all draws but ``reference``, (unit_id, c) of that one, and the number of draws.
+
+    A draw departs at a unit by its value less the mean over the draws; sizes are compared to
+    twelve digits. Ranks count draws of one unit, so no unit's draws meet another's.
+    """
+    every = projected(assignments, stats, column)
+    mean = every.filter(F.col("draw") != reference).groupBy("unit_id").agg(F.avg("value").alias("mean"))
+    gap = every.join(mean, "unit_id").select("draw", "unit_id", F.abs(F.round(F.col("value") - F.col("mean"), 12)).alias("gap"))
+    drawn = gap.filter(F.col("draw") != reference)
+    upto = F.count(F.lit(1)).over(W.partitionBy("unit_id").orderBy("gap").rangeBetween(W.unboundedPreceding, W.currentRow))
+    own = gap.filter(F.col("draw") == reference).select("unit_id", F.col("gap").alias("own"))
+    as_far = drawn.join(own, "unit_id").groupBy("unit_id").agg(F.count_if(F.col("gap") >= F.col("own")).alias("c"))
+    n = assignments.filter(F.col("draw") != reference).select("draw").distinct().count()
+    return drawn.select("unit_id", upto.alias("rank")), as_far, n
+
+
 def share_unchanged(assignments: DataFrame, plan: DataFrame) -> DataFrame:
     """Share of units whose label is that of a plan, by draw."""
     ref = plan.select("unit_id", F.col("district").alias("ref"))

@@ -5,14 +5,16 @@ district of each piece, the weight of each open district and the number of close
 step decides the next unit: every state is expanded by all choices, and equal states meet in
 a ``groupBy`` that adds their counts. States, not partitions, are the rows.
 
-Partitions are listed by the same steps with each row's choices so far, and sampled evenly by
-walking back from the last state: a step back is taken in proportion to the ways that lead to
-where it comes from.
+The states and choices also make a graph in which partitions are numbered paths: they are
+listed, sampled evenly, found by number and numbered by walks through its layers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
+from functools import cached_property, reduce
+from random import Random
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -139,6 +141,24 @@ def _labels(path: list[int], steps: list[tuple[int, list[int], list[int], int]])
     return [order.setdefault(t, len(order) + 1) for t in out]
 
 
+def _path(plan: list[int], steps: list[tuple[int, list[int], list[int], int]], k: int, low: int, high: int) -> list[tuple[str, int]] | None:
+    """States and choices that lead to a plan (labels by unit), or None if they don't."""
+    state, front, out = _FIRST, [], []
+    for v, beside, leaving, own in steps:
+        named: list[int] = []
+        for t in front:
+            if t not in named:
+                named.append(t)
+        d = named.index(plan[v]) if plan[v] in named else len(named)
+        after = dict(choices(state, beside, leaving, own, k, low, high)).get(d)
+        if after is None:
+            return None
+        out.append((_text(state), d))
+        front = [x for i, x in enumerate([*front, plan[v]]) if i not in leaving]
+        state = after
+    return out if state == ((), (), (), k) else None
+
+
 def _plans(paths: DataFrame, steps: list[tuple[int, list[int], list[int], int]]) -> DataFrame:
     """draw, plan from draw, path."""
 
@@ -149,45 +169,92 @@ def _plans(paths: DataFrame, steps: list[tuple[int, list[int], list[int], int]])
     return paths.mapInPandas(name, "draw long, plan array<int>")
 
 
-def list_partitions(spark: SparkSession, edges: DataFrame, units: DataFrame, k: int, weight: str, low: int, high: int) -> DataFrame:
-    """draw, plan: every connected partition; a row each, so for maps that have few."""
-    steps = _steps(edges, units, weight)
-    states = spark.createDataFrame([(_text(_FIRST), [])], "state string, path array<int>")
-    for _, beside, leaving, own in steps:
+_COUNT = "decimal(38,0)"
+
+
+class PartitionDag:
+    """All connected partitions of a map, as a graph of states in layers.
+
+    Nodes are what the units so far leave open, edges the choices of the next unit's district.
+    Each edge knows how many partitions lie behind it and behind the choices before it, so
+    partitions are numbered from 0 and any of them can be found by its number, or its number
+    from its labels, without a row for every partition: the tables grow with states.
+    """
+
+    def __init__(self, spark: SparkSession, edges: DataFrame, units: DataFrame, k: int, weight: str, low: int, high: int) -> None:
+        self.spark, self.k, self.low, self.high = spark, k, low, high
+        self.steps = _steps(edges, units, weight)
+        self.end = _text(((), (), (), k))
+        nodes, ways = spark.createDataFrame([(_text(_FIRST),)], "state string"), []
+        for _, beside, leaving, own in self.steps:
+
+            def expand(batches, beside=beside, leaving=leaving, own=own):
+                for pdf in batches:
+                    out = [(t, d, _text(s)) for t in pdf["state"] for d, s in choices(_state(t), beside, leaving, own, k, low, high)]
+                    yield pd.DataFrame(out, columns=["was", "d", "state"])
+
+            ways.append(shared_table(nodes.mapInPandas(expand, "was string, d int, state string")))
+            nodes = ways[-1].select("state").distinct()
+        behind = spark.createDataFrame([(self.end,)], "state string").withColumn("n", F.lit(1).cast(_COUNT))
+        #: A layer's edges: was, d, state, and ``a`` (partitions before them) up to ``z``, of those behind ``was``.
+        self.layers: list[DataFrame] = []
+        before = W.partitionBy("was").orderBy("d")  # as many rows as a unit has choices
+        for own in reversed(ways):
+            met = own.join(behind, "state").select("was", "d", "state", "n", F.sum("n").over(before).cast(_COUNT).alias("z"))
+            self.layers.append(shared_table(met.select("was", "d", "state", (F.col("z") - F.col("n")).cast(_COUNT).alias("a"), "z")))
+            behind = self.layers[-1].groupBy(F.col("was").alias("state")).agg(F.max("z").alias("n"))
+        self.layers.reverse()
+
+    @cached_property
+    def count(self) -> int:
+        """How many partitions there are."""
+        return int((self.layers[0].agg(F.max("z").alias("n")).first()["n"] or 0) if self.layers else 0)
+
+    def at(self, ranks: DataFrame) -> DataFrame:
+        """draw, plan of the partitions with given numbers (draw, rank); numbers beyond the last give no row."""
+        walk = ranks.select("draw", F.col("rank").cast(_COUNT).alias("rank"), F.lit(_text(_FIRST)).alias("was"), F.array().cast("array<int>").alias("path"))
+        for layer in self.layers:
+            met = walk.join(layer, "was").filter((F.col("rank") >= F.col("a")) & (F.col("rank") < F.col("z")))
+            walk = shared_table(met.select("draw", (F.col("rank") - F.col("a")).cast(_COUNT).alias("rank"), F.col("state").alias("was"), F.concat("path", F.array("d")).alias("path")))
+        return _plans(walk.select("draw", "path"), self.steps)
+
+    def slice(self, first: int, n: int) -> DataFrame:
+        """draw (the number), plan of ``n`` partitions from number ``first`` on."""
+        upto = min(first + n, self.count)
+        return self.at(self.spark.range(first, max(first, upto)).select(F.col("id").alias("draw"), F.col("id").alias("rank")))
+
+    def sample(self, n: int, seed: int = 1) -> DataFrame:
+        """draw, plan of ``n`` partitions with replacement, each as likely as any other."""
+        total = self.count
+        if not total:
+            raise ValueError("there is no such partition")
+
+        def draw(batches):
+            for pdf in batches:
+                yield pd.DataFrame({"draw": pdf["id"], "rank": [Decimal(Random(f"{seed}:{i}").randrange(total)) for i in pdf["id"]]})
 
-        def expand(batches, beside=beside, leaving=leaving, own=own):
+        return self.at(self.spark.range(1, n + 1).mapInPandas(draw, f"draw long, rank {_COUNT}"))
+
+    def rank(self, plans: DataFrame) -> DataFrame:
+        """draw, rank of plans (draw, plan: labels by unit); plans that are none of the partitions have no row."""
+        steps, k, low, high = self.steps, self.k, self.low, self.high
+
+        def walk(batches):
             for pdf in batches:
-                out = [(_text(s), [*p, d]) for t, p in zip(pdf["state"], pdf["path"]) for d, s in choices(_state(t), beside, leaving, own, k, low, high)]
-                yield pd.DataFrame(out, columns=["state", "path"])
+                out = [(r, t, was, d) for r, p in zip(pdf["draw"], pdf["plan"]) for t, (was, d) in enumerate(_path(list(p), steps, k, low, high) or [])]
+                yield pd.DataFrame(out, columns=["draw", "layer", "was", "d"])
+
+        taken = shared_table(plans.select(F.col("draw").cast("long").alias("draw"), "plan").mapInPandas(walk, "draw long, layer int, was string, d int"))
+        met = [taken.filter(F.col("layer") == t).join(own.select("was", "d", "a"), ["was", "d"]).select("draw", "a") for t, own in enumerate(self.layers)]
+        return reduce(DataFrame.union, met).groupBy("draw").agg(F.sum("a").cast(_COUNT).alias("rank"))
 
-        states = shared_table(states.mapInPandas(expand, "state string, path array<int>"))
-    done = states.filter(F.col("state") == _text(((), (), (), k))).select(F.monotonically_increasing_id().alias("draw"), "path")
-    return _plans(done, steps)
+
+def list_partitions(spark: SparkSession, edges: DataFrame, units: DataFrame, k: int, weight: str, low: int, high: int) -> DataFrame:
+    """draw, plan: every connected partition; a row each, so for maps that have few."""
+    dag = PartitionDag(spark, edges, units, k, weight, low, high)
+    return dag.slice(0, dag.count)
 
 
 def sample_partitions(spark: SparkSession, edges: DataFrame, units: DataFrame, k: int, weight: str, low: int, high: int, n: int, seed: int = 1) -> DataFrame:
     """draw, plan: ``n`` connected partitions, each as likely as any other, with replacement."""
-    steps = _steps(edges, units, weight)
-    states = spark.createDataFrame([(_text(_FIRST),)], "state string").select("state", F.lit(1.0).alias("n"))
-    layers = []
-    for _, beside, leaving, own in steps:
-
-        def expand(batches, beside=beside, leaving=leaving, own=own):
-            for pdf in batches:
-                out = [(t, d, _text(s), n_) for t, n_ in zip(pdf["state"], pdf["n"]) for d, s in choices(_state(t), beside, leaving, own, k, low, high)]
-                yield pd.DataFrame(out, columns=["was", "d", "state", "n"])
-
-        ways = shared_table(states.mapInPandas(expand, "was string, d int, state string, n double"))
-        layers.append(ways)
-        states = ways.groupBy("state").agg(F.sum("n").alias("n"))
-    walk = spark.range(1, n + 1).select(F.col("id").alias("draw"), F.lit(_text(((), (), (), k))).alias("state"), F.array().cast("array<int>").alias("path"))
-    if not layers[-1].filter(F.col("state") == _text(((), (), (), k))).limit(1).count():
-        raise ValueError("there is no such partition")
-    for t in range(len(layers) - 1, -1, -1):
-        # of the ways into a state, the one on which the mark falls: a state has few ways in
-        run = W.partitionBy("state").orderBy("was", "d")
-        ways = layers[t].select("state", "was", "d", (F.sum("n").over(run) - F.col("n")).alias("a"), F.sum("n").over(run).alias("z"), F.sum("n").over(W.partitionBy("state")).alias("total"))
-        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(t), "draw"), F.lit(1 << 40)) / float(1 << 40)
-        met = walk.withColumn("u", u).join(ways, "state").filter((F.col("u") * F.col("total") >= F.col("a")) & (F.col("u") * F.col("total") < F.col("z")))
-        walk = shared_table(met.select("draw", F.col("was").alias("state"), F.concat(F.array("d"), "path").alias("path")))
-    return _plans(walk.select("draw", "path"), steps)
+    return PartitionDag(spark, edges, units, k, weight, low, high).sample(n, seed)

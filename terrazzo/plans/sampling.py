@@ -1,10 +1,9 @@
 """Sampling of plans: sequential Monte Carlo and Markov chains, as rounds of Spark jobs.
 
-Particles and chains are rows. A round draws candidates, cuts a random spanning tree in each (a
-small numpy helper) and keeps the first that is valid. Parents are drawn in the tasks while all
-plans of a generation together are small (``MOST_CELLS``), else by joins on tables in the
-shared folder. Random numbers depend on (seed, row, round) alone, so results don't change with
-the partitioning or when a task runs again.
+Particles and chains are rows. A round draws candidates by low-variance resampling of the
+parents, cuts a random spanning tree in each (a small numpy helper) and keeps the first that is
+valid. Generations are tables in the shared folder. Random numbers depend on (seed, row, round)
+alone, so results don't change with the partitioning or when a task runs again.
 
 With counties a tree is drawn in two levels (within each connected part of a county, then
 between the parts), so that a cut splits one county at most.
@@ -12,20 +11,23 @@ between the parts), so that a cut splits one county at most.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import log_tree_count
+from ..operators.resample import cumulative, low_variance, picks
+from ..operators.sizes import small
 from ..sources.shared import shared_table
 from .model import PlanMap
 
-#: Units of a map that may be sent to every task; particles x units that may be; redraws of a particle.
-MOST_UNITS, MOST_CELLS, MOST_TRIES = 200_000, 8_000_000, 20_000
-TRIES = 8
+#: Units of a map that may be sent to every task; redraws of a particle.
+MOST_UNITS, MOST_TRIES = 200_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -150,11 +152,8 @@ def connected(g: Graph, inside: np.ndarray) -> bool:
 
 
 def _kirchhoff(pairs: list[tuple[int, int]], n: int) -> float:
-    lap = np.zeros((n, n))
-    for a, b in pairs:
-        lap[a, a] += 1
-        lap[a, b] -= 1
-    return float(np.linalg.slogdet(lap[1:, 1:])[1]) if n > 1 else 0.0
+    """Log number of spanning trees; edges come from both of their ends."""
+    return log_tree_count([(a, b) for a, b in pairs if a < b], n) or 0.0
 
 
 def log_trees(g: Graph, inside: np.ndarray) -> float:
@@ -240,8 +239,8 @@ def kernel(m: PlanMap, g: Graph, penalty) -> Callable[[np.ndarray, int], float]
     return lambda plan, d: float(sum(x * fn(columns, plan == d, plan, g) for x, fn in parts))
 
 
-def _increment(g: Graph, new: np.ndarray, label: int, compactness: float, penalty, pop_temper: float = 0.0) -> float:
-    """What a new district adds to a particle's log weight; population tempering goes again with the last."""
+def _increment(g: Graph, new: np.ndarray, label: int, compactness: float, penalty) -> float:
+    """What a new district adds to a particle's log weight."""
     last = label == g.ndists - 1
     # the chance of this cut, and of this district having been the one drawn last
     more = np.log(boundary(g, new, 0, label))
@@ -254,99 +253,117 @@ def _increment(g: Graph, new: np.ndarray, label: int, compactness: float, penalt
     return float(more)
 
 
+def _temper(g: Graph, new: np.ndarray, label: int, pop_temper: float) -> float:
+    """What population tempering adds: a new district near the target makes a particle likelier until the end."""
+    off = abs(g.pop[new == label].sum() - g.bounds[1]) / g.bounds[1]
+    return float(pop_temper * np.sqrt(g.ndists - 2) * np.log(1e-12 + off)) if pop_temper else 0.0
+
+
 @dataclass(frozen=True)
 class Run:
-    """What sampling gave: plans (chain, draw, plan, wgt) and, by chain and step, how it went."""
+    """What sampling gave: plans (chain, draw, plan, wgt), how each step of a chain went, and the
+    ancestors of draws: chain, draw, lag (a step) and the particle of that step it stems from."""
 
     plans: DataFrame
     steps: DataFrame
+    ancestors: DataFrame
 
 
 STEPS = "chain int, step int, k int, n_eff double, accept_rate double, sd_lp double, unique_parents long, n long"
+PARTICLE = "id long, parent long, tries long, valid int, plan array<int>, lp double, temper double, ancestors array<long>"
 
 
-def _generation_in_tasks(spark, sent, plans: np.ndarray, lp: np.ndarray, w: np.ndarray, label: int, k: int, seed: int, compactness: float, penalty, pop_temper: float) -> pd.DataFrame:
-    """Every particle redraws its parent until a cut is valid, in one job: id, parent, tries, valid, plan, lp."""
-    pool = spark.sparkContext.broadcast((plans, lp, np.cumsum(w)))
+def lags_of(ndists: int) -> list[int]:
+    """Steps whose particles are remembered as ancestors: few, and early ones."""
+    return [1 + x for x in sorted({round((ndists - 1) ** 0.8 * x**0.9) for x in (0, 0.7 / 3, 1.4 / 3, 0.7)})]
 
-    def cut(batches):
-        g, (plans_, lp_, upto) = sent.value, pool.value
-        for pdf in batches:
-            out = []
-            for i in pdf["id"]:
-                for a in range(MOST_TRIES):
-                    rng = random_for(seed, label, i, a)
-                    parent = min(int(np.searchsorted(upto, rng.random() * upto[-1], "right")), len(upto) - 1)
-                    new, valid = split(g, plans_[parent].astype(np.int64), label, k, rng)
-                    if new is not None:
-                        out.append((i, parent, a + 1, valid, new.tolist(), lp_[parent] + _increment(g, new, label, compactness, penalty, pop_temper)))
-                        break
-                else:
-                    raise ValueError("no valid split found: the bounds may be too tight")
-            yield pd.DataFrame(out, columns=["id", "parent", "tries", "valid", "plan", "lp"])
-
-    slots = max(1, min(len(lp) // 8, spark.sparkContext.defaultParallelism))
-    return spark.range(len(lp), numPartitions=slots).mapInPandas(cut, "id long, parent long, tries long, valid int, plan array<int>, lp double").orderBy("id").toPandas()
-
-
-def _chosen(parents: DataFrame, n: int, top: float, first: int, missing: DataFrame, seed: int, step: int) -> DataFrame:
-    """Candidates id, attempt, parent, plan, lp: a parent with chance in proportion to its weight, by rejection.
-
-    An index is drawn evenly and kept with chance weight / largest weight, so a draw needs a
-    join on one id and no running sum over all particles.
-    """
-    u = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(step), F.lit(salt), "id", "attempt"), F.lit(1 << 40)) / float(1 << 40)
-    tries = missing.select("id", F.explode(F.sequence(F.lit(first), F.lit(first + TRIES - 1))).alias("attempt"))
-    drawn = tries.select("id", "attempt", F.floor(u(1) * n).alias("parent"), (u(2) * top).alias("mark"))
-    return drawn.join(parents.select(F.col("id").alias("parent"), "plan", "lp", "w"), "parent").filter("mark < w").select("id", "attempt", "parent", "plan", "lp")
 
+def _shuffled(m: int, rng: np.random.Generator) -> tuple[int, int]:
+    """a and b of a permutation x -> (a * x + b) mod m."""
+    a = int(rng.integers(1, m)) if m > 1 else 1
+    while math.gcd(a, m) > 1:
+        a = a % m + 1
+    return a, int(rng.integers(m))
 
-def _generation_by_joins(spark, sent, parents: DataFrame, n: int, label: int, k: int, seed: int, compactness: float, penalty, pop_temper: float) -> DataFrame:
-    """The same for any number of particles: rounds of candidates, joined to their parents."""
+
+def _candidates(parents: DataFrame, found: DataFrame | None, n: int, first: int, tries: int, seed: int, label: int) -> DataFrame:
+    """``tries`` candidates for each particle that has none: a parent in proportion to its weight, drawn anew each time.
+
+    An attempt draws n parents by one low-variance resample, and deals them to the particles in
+    an order of its own, so that who failed draws again from all parents.
+    """
+    dealt = []
+    for t in range(first, first + tries):
+        rng = random_for(seed, 20_000 + label, t)
+        a, b = _shuffled(n, rng)
+        dealt.append((t, a, b, rng.random()))
+    attempts = parents.sparkSession.createDataFrame(dealt, "attempt long, a long, b long, offset double")
+    drawn = parents.crossJoin(F.broadcast(attempts)).withColumn("pick", F.explode(picks(n, F.col("offset"))))
+    slot = F.pmod(F.col("a") * F.col("pick") + F.col("b"), F.lit(n))
+    drawn = drawn.select(slot.alias("id"), "attempt", F.col("id").alias("parent"), "plan", "lp", "temper", "ancestors")
+    return drawn if found is None else drawn.join(small(found.select("id")), "id", "left_anti")
+
+
+def _generation(spark, sent, parents: DataFrame, n: int, label: int, k: int, seed: int, compactness: float, penalty, pop_temper: float, tries: int, at: Column, adapt_k: float) -> tuple[DataFrame, dict]:
+    """The next particles, each of which redraws its parent until a cut is valid, and how it went.
+
+    Candidates meet by particle, in the order of attempts, and a task stops at the first valid
+    one. Particles without any go to a further round, with more attempts.
+    """
 
     def cut(batches):
-        g = sent.value
+        g, done = sent.value, None
         for pdf in batches:
             out = []
-            for i, a, q, p, lp in zip(pdf["id"], pdf["attempt"], pdf["parent"], pdf["plan"], pdf["lp"]):
+            for i, a, q, p, lp, temper, ancestors in zip(*(pdf[c] for c in ("id", "attempt", "parent", "plan", "lp", "temper", "ancestors")), strict=True):
+                if i == done:
+                    continue
                 new, valid = split(g, np.asarray(p), label, k, random_for(seed, label, i, a))
                 if new is not None:
-                    out.append((i, a, q, valid, new.tolist(), lp + _increment(g, new, label, compactness, penalty, pop_temper)))
-            yield pd.DataFrame(out, columns=["id", "attempt", "parent", "valid", "plan", "lp"])
+                    done, more = i, _temper(g, new, label, pop_temper)
+                    out.append((i, q, a + 1, valid, new.tolist(), lp + _increment(g, new, label, compactness, penalty) + more, temper + more, ancestors))
+            yield pd.DataFrame(out, columns=["id", "parent", "tries", "valid", "plan", "lp", "temper", "ancestors"])
 
-    top = parents.agg(F.max("w").alias("w")).first()["w"]
-    missing, first, found = parents.select("id"), 0, None
+    m, first, found = n, 0, None
     while True:
-        cuts = _chosen(parents, n, top, first, missing, seed, label).mapInPandas(cut, "id long, attempt long, parent long, valid int, plan array<int>, lp double")
-        won = shared_table(cuts.groupBy("id").agg(F.min_by(F.struct("parent", (F.col("attempt") + 1).alias("tries"), "valid", "plan", "lp"), "attempt").alias("x")).select("id", "x.*"))
+        # enough tasks for the cores, and not too many particles in one
+        parts = max(1, min(-(-m // 8), max(spark.sparkContext.defaultParallelism, -(-m // 5_000))))
+        drawn = _candidates(parents, found, n, first, tries, seed, label).repartition(parts, "id").sortWithinPartitions("id", "attempt")
+        won = shared_table(drawn.mapInPandas(cut, PARTICLE))
         found = won if found is None else found.union(won)
-        missing = missing.join(won, "id", "left_anti")
-        if not missing.limit(1).count():
-            return found
-        missing = shared_table(missing)
-        first += TRIES
+        told = found.agg(F.count(F.lit(1)).alias("count"), F.min(at).alias("least"), (F.count(F.lit(1)) / F.sum("tries")).alias("accept_rate"), F.stddev_pop("lp").alias("sd_lp"), F.percentile("valid", adapt_k).alias("valid")).first().asDict()
+        m = n - told["count"]
+        if not m:
+            return found, told
+        first += tries
         if first > MOST_TRIES:
-            raise ValueError("no valid split found: the bounds may be too tight, or few particles hold most of the weight")
+            raise ValueError("no valid split found: the bounds may be too tight")
+        tries = min(2 * tries, 64)
 
 
-def smc_run(m: PlanMap, nsims: int, seed: int = 1, compactness: float = 1.0, seq_alpha: float = 0.5, penalty=None, resample: bool = True, counties: str | None = None, runs: int = 1, truncate: Callable[[DataFrame], DataFrame] | None = None, adapt_k: float = 0.99, steps: int | None = None, pop_temper: float = 0.0, final_infl: float = 1.0, start: DataFrame | None = None, most_cells: int = MOST_CELLS) -> Run:
+def smc_run(m: PlanMap, nsims: int, seed: int = 1, compactness: float = 1.0, seq_alpha: float = 0.5, penalty=None, resample: bool = True, counties: str | None = None, runs: int = 1, truncate: Callable[[DataFrame], DataFrame] | None = None, adapt_k: float = 0.99, steps: int | None = None, pop_temper: float = 0.0, final_infl: float = 1.0, start: DataFrame | None = None) -> Run:
     """Sequential Monte Carlo: ``runs`` independent chains of ``nsims`` draws.
 
     Every step splits one district off each particle; an attempt that fails redraws its
     parent. ``penalty`` adds Gibbs terms for each new district (a list of ``Penalty`` or a
     function of plan and label). ``truncate`` maps the last weights (draw, wgt) before
-    resampling. ``steps`` below the number of districts less one leaves partial plans, whose
-    units without a district have label 0, and ``start`` (draw, plan) takes such plans up again, as
-    many as ``nsims``. ``pop_temper`` favours populations near the target until the last step,
-    whose bounds are widened by ``final_infl``. The number of edges to cut among adapts to the
-    valid edges of a share ``adapt_k`` of the trees met in the step before.
+    resampling, which has low variance. ``steps`` below the number of districts less one leaves
+    partial plans, whose units without a district have label 0, and ``start`` (draw from 1 to
+    ``nsims``, plan) takes such plans up again. Weights count in full at the run's last step,
+    whose bounds are widened by ``final_infl``; before it, a share ``seq_alpha`` is resampled at
+    each step. ``pop_temper`` changes how likely particles with districts near the target are on
+    the way (``_temper``); the weights given back are
+    free of it. The number of edges to cut among adapts to the valid edges of a share
+    ``adapt_k`` of the trees met in the step before.
+
+    Particles are rows of tables in the shared folder; the same seed gives the same draws
+    whatever their number of partitions.
     """
     spark = m.units.sparkSession
     g = graph_of(m, counties)
     local = kernel(m, g, penalty)
     sent = spark.sparkContext.broadcast(g)
     first_k = _best_k(spark, g, seed, thresh=adapt_k)
-    in_tasks = nsims * len(g.pop) <= most_cells
     drawn = 0
     if start is not None:
         found = start.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max("plan")).alias("d")).first()
@@ -356,66 +373,38 @@ def smc_run(m: PlanMap, nsims: int, seed: int = 1, compactness: float = 1.0, seq
     upto = g.ndists - 1 if steps is None else min(drawn + steps, g.ndists - 1)
     low, target, high = g.bounds
     wide = spark.sparkContext.broadcast(replace(g, bounds=(target - (target - low) * final_infl, target, target + (high - target) * final_infl))) if final_infl != 1 else sent
-    begun = (start if start is not None else spark.range(1, nsims + 1).select(F.col("id").alias("draw"), F.array_repeat(F.lit(0), len(g.pop)).alias("plan"))).orderBy("draw")
-    whole, told = None, []
+    lags = lags_of(g.ndists)
+    begun = start.select((F.col("draw") - 1).cast("long").alias("id"), "plan") if start is not None else spark.range(nsims).withColumn("plan", F.array_repeat(F.lit(0), len(g.pop)))
+    small_plans = nsims * len(g.pop) <= 1_000_000
+    whole, origins, told = None, None, None
     for chain in range(1, runs + 1):
-        own, k = seed + 7_919 * (chain - 1), first_k
-        if in_tasks:
-            plans, lp, w = np.zeros((nsims, len(g.pop)), np.int16), np.zeros(nsims), np.ones(nsims)
-            if start is not None:
-                plans = np.array([r["plan"] for r in begun.collect()], np.int16)  # small, as ``in_tasks`` says
-        else:
-            parents = shared_table(begun.select((F.col("draw") - 1).cast("long").alias("id"), "plan", F.lit(0.0).alias("lp"), F.lit(1.0).alias("w")))
+        own, k, tries = seed + 7_919 * (chain - 1), first_k, 24 if small_plans else 8
+        parents = cumulative(begun.select("id", "plan", F.lit(0.0).alias("lp"), F.lit(0.0).alias("temper"), F.array_repeat(F.col("id"), len(lags)).alias("ancestors"), F.lit(1.0).alias("w")), n=nsims)
         for label in range(drawn + 1, upto + 1):
-            last = label == g.ndists - 1
-            alpha = 1.0 if last else seq_alpha
-            if in_tasks:
-                new = _generation_in_tasks(spark, wide if last else sent, plans, lp, w, label, k, own, compactness, local, pop_temper)
-                plans, at = np.array(new["plan"].tolist(), np.int16), new["lp"].to_numpy()
-                w = np.exp(-alpha * (at - at.min()))
-                lp = at * (1.0 if last else 1 - alpha)
-                told.append((chain, label, k, float(w.sum() ** 2 / (w**2).sum()), float(nsims / new["tries"].sum()), float(at.std()), int(new["parent"].nunique()), nsims))
-                k = _enough(new["valid"].to_numpy(), adapt_k)
-            else:
-                found = _generation_by_joins(spark, wide if last else sent, parents, nsims, label, k, own, compactness, local, pop_temper)
-                least = found.agg(F.min("lp").alias("l")).first()["l"]
-                parents = shared_table(found.select("id", "parent", "tries", "valid", "plan", F.col("lp").alias("at"), (F.col("lp") * (1.0 if last else 1 - alpha)).alias("lp"), F.exp(-alpha * (F.col("lp") - least)).alias("w")))
-                r = parents.agg((F.sum("w") ** 2 / F.sum(F.col("w") ** 2)).alias("n"), (F.count(F.lit(1)) / F.sum("tries")).alias("a"), F.stddev_pop("at").alias("s"), F.countDistinct("parent").alias("u"), F.percentile("valid", adapt_k).alias("v")).first()
-                told.append((chain, label, k, r["n"], r["a"], r["s"], r["u"], nsims))
-                k = int(np.ceil(r["v"])) + 1
-        if in_tasks:
-            parents = spark.createDataFrame(pd.DataFrame({"id": np.arange(nsims), "plan": plans.tolist(), "w": w}), "id long, plan array<int>, w double")
+            final = label == upto
+            at = F.col("lp") - F.col("temper") if final else seq_alpha * F.col("lp")
+            found, r = _generation(spark, wide if final else sent, parents, nsims, label, k, own, compactness, local, pop_temper, tries, at, adapt_k)
+            stems = F.array(*[F.col("id") if label <= lag else F.col("ancestors")[j] for j, lag in enumerate(lags)])
+            w = F.exp(F.lit(r["least"]) - at)
+            left = found.select("id", "plan", "lp" if final else (F.col("lp") * (1 - seq_alpha)).alias("lp"), "temper", stems.alias("ancestors"), w.alias("w"))
+            parents = left if final else cumulative(left, n=nsims)
+            spread = found.agg((F.sum(w) ** 2 / F.sum(w * w)).alias("n_eff"), F.countDistinct("parent").alias("unique_parents"))
+            step = spread.select(F.lit(chain).alias("chain"), F.lit(label).alias("step"), F.lit(k).alias("k"), "n_eff", F.lit(r["accept_rate"]).alias("accept_rate"), F.lit(r["sd_lp"]).alias("sd_lp"), "unique_parents", F.lit(nsims).cast("long").alias("n"))
+            told = step if told is None else told.union(step)
+            # enough attempts for most particles; how many make a round changes no draw
+            k, tries = int(np.ceil(r["valid"])) + 1, int(min(max(np.ceil((6 if small_plans else 2) / r["accept_rate"]), 4), 64))
         rest = F.transform("plan", lambda d: F.when(d == 0, g.ndists).otherwise(d)) if upto == g.ndists - 1 else F.col("plan")
-        done = parents.select("id", rest.alias("plan"), "w")
+        done = parents.select("id", rest.alias("plan"), "w", "ancestors")
         if truncate is not None:
             cut = truncate(done.select((F.col("id") + 1).alias("draw"), F.col("w").alias("wgt")))
             done = done.drop("w").join(cut.select((F.col("draw") - 1).alias("id"), F.col("wgt").alias("w")), "id")
         if resample:
-            done = _resampled(done, nsims, own, in_tasks)
-        done = done.select(F.lit(chain).alias("chain"), (F.col("id") + 1 + (chain - 1) * nsims).cast("int").alias("draw"), "plan", F.col("w").alias("wgt"))
+            done = low_variance(done, nsims, random_for(own, 10_000).random(), keys_below=nsims).select(F.col("pick").alias("id"), "plan", F.lit(1.0).alias("w"), "ancestors")
+        done = done.select(F.lit(chain).alias("chain"), (F.col("id") + 1 + (chain - 1) * nsims).cast("int").alias("draw"), "plan", F.col("w").alias("wgt"), "ancestors")
+        stem = done.select("chain", "draw", F.explode(F.arrays_zip(F.array(*map(F.lit, lags)).alias("lag"), F.col("ancestors").alias("ancestor"))).alias("s")).select("chain", "draw", "s.lag", "s.ancestor")
         whole = done if whole is None else whole.union(done)
-    return Run(whole, spark.createDataFrame(told, STEPS))
-
-
-def _resampled(done: DataFrame, n: int, seed: int, in_tasks: bool) -> DataFrame:
-    """n draws with replacement, in proportion to w: id, plan, w = 1."""
-    if in_tasks:  # weights of few particles: the driver draws the indexes
-        w = done.select("id", "w").orderBy("id").toPandas()["w"].to_numpy()
-        picks = np.minimum(np.searchsorted(np.cumsum(w), random_for(seed, 10_000).random(n) * w.sum(), "right"), n - 1)
-        chosen = done.sparkSession.createDataFrame(pd.DataFrame({"new": np.arange(n), "id": picks}), "new long, id long")
-        return done.join(F.broadcast(chosen), "id").select(F.col("new").alias("id"), "plan", F.lit(1.0).alias("w"))
-    ready = done.withColumn("lp", F.lit(0.0))
-    top = done.agg(F.max("w").alias("w")).first()["w"]
-    missing, first, found = done.select("id"), 0, None
-    while True:
-        won = shared_table(_chosen(ready, n, top, first, missing, seed, 10_000).groupBy("id").agg(F.min_by("plan", "attempt").alias("plan")))
-        found = won if found is None else found.union(won)
-        missing = missing.join(won, "id", "left_anti")
-        if not missing.limit(1).count():
-            return found.select("id", "plan", F.lit(1.0).alias("w"))
-        first += TRIES
-        if first > MOST_TRIES:
-            raise ValueError("few particles hold most of the weight: ask for truncated weights")
+        origins = stem if origins is None else origins.union(stem)
+    return Run(whole.drop("ancestors"), told if told is not None else spark.createDataFrame([], STEPS), origins)
 
 
 def smc(m: PlanMap, nsims: int, seed: int = 1, compactness: float = 1.0, seq_alpha: float = 0.5, penalty=None, resample: bool = True, counties: str | None = None, **more) -> DataFrame:
