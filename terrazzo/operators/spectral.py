@@ -42,7 +42,7 @@ class _Group:
         self.beta.append(beta)
         told = self.extremes(high, low)
         scale = max(max(abs(x) for x in self.alpha + self.beta), 1e-300)
-        self.done = beta <= 1e-10 * scale or (len(self.alpha) > high + low and all(beta * abs(v[-1]) <= ENOUGH * scale for _, v in told))
+        self.done = beta <= 1e-7 * scale or (len(self.alpha) > high + low and all(beta * abs(v[-1]) <= ENOUGH * scale for _, v in told))
 
 
 def _dot(q: Column, h: Column) -> Column:
