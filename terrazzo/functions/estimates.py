@@ -268,3 +268,26 @@ def rank_discoveries(draw_ranks: DataFrame, p_counts: DataFrame, n: int, key: st
     x = [e / n for e in ends]
     p = c / F.lit(float(n))
     return p_counts.select(key, p.alias("p"), curve_value(p, x, rates, monotone_curve(x, rates)).alias("q"))
+
+
+def run_summary(steps: DataFrame, stats: DataFrame, columns: list[str], pairs: DataFrame) -> DataFrame:
+    """One table on a run of several chains: part, chain, step, item, value, warn.
+
+    ``steps`` as ``sampling.smc_run`` returns them, ``stats`` (chain, draw, columns), ``pairs``
+    (diversity). Parts: ``split`` (effective and surviving particles as shares, acceptance,
+    spread of log weights, k; warned of where a step is a bottleneck), ``diversity`` (middle
+    80 %, mean; warned of if low) and ``rhat`` (warned of from 1.05 on; columns without spread
+    in some chain are left out).
+    """
+    told = {"n_eff": F.col("n_eff") / F.col("n"), "survivors": F.col("unique_parents") / F.col("n"), "accept_rate": F.col("accept_rate"), "sd_lp": F.col("sd_lp"), "k": F.col("k").cast("double")}
+    items = F.explode(F.array(*[F.struct(F.lit(n).alias("item"), c.alias("value")) for n, c in told.items()])).alias("x")
+    split = step_flags(steps).select(F.lit("split").alias("part"), "chain", "step", items, F.col("bottleneck").alias("warn")).select("part", "chain", "step", "x.item", "x.value", "warn")
+    none = F.lit(None).cast("int")
+    ends = F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).alias("value")) for c in ("low", "high", "mean")])).alias("x")
+    spread = diversity_flags(pairs).select(F.lit("diversity"), none, none, ends, F.col("is_low").alias("warn")).select("diversity", none, none, "x.item", "x.value", "warn")
+    alike = stats.groupBy("chain").agg(*[F.countDistinct(c).alias(c) for c in columns]).agg(*[F.min(c).alias(c) for c in columns]).first()
+    kept = [c for c in columns if (alike[c] or 0) > 1]
+    out = split.union(spread)
+    if kept and stats.select("chain").distinct().count() > 1:
+        out = out.union(rhats(stats, kept).select(F.lit("rhat"), none, none, "column", "rhat", F.col("rhat") >= 1.05))
+    return out

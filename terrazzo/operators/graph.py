@@ -140,9 +140,21 @@ def together_on_edges(edges: DataFrame, assignments: DataFrame) -> DataFrame:
     return a.join(small(edges.filter("src < dst")), "src").join(b, ["draw", "dst"]).groupBy("src", "dst").agg(F.avg((F.col("a") == F.col("b")).cast("int")).alias("weight"))
 
 
+def share_columns(units: DataFrame) -> list[str]:
+    """Columns of floating-point numbers that are all shares, from 0 to 1; one pass over the units."""
+    real = [c for c, kind in units.dtypes if kind in ("double", "float")]
+    if not real:
+        return []
+    ends = units.agg(*[F.bool_and(F.col(c).between(0, 1)).alias(c) for c in real]).first()
+    return [c for c in real if ends[c]]
+
+
 def merge_units(units: DataFrame, keys: list[str], pop: str = "pop", shares: list[str] | None = None) -> DataFrame:
-    """One row per key: shares by population, numbers summed, texts joined by ``~``."""
-    shares = shares or []
+    """One row per key: shares by population, other numbers summed, texts joined by ``~``.
+
+    ``shares`` are told by ``share_columns`` unless given.
+    """
+    shares = share_columns(units.drop(*keys)) if shares is None else shares
     kinds = dict(units.dtypes)
     rest = [c for c in units.columns if c not in (*keys, "unit_id")]
     agg = []
@@ -196,7 +208,7 @@ def log_tree_count(pairs: list[tuple[int, int]], n: int) -> float | None:
     return total
 
 
-def _two_level_trees(members: list[int], pairs: list[tuple[int, int]], county: dict[int, object] | None) -> float | None:
+def two_level_trees(members: list[int], pairs: list[tuple[int, int]], county: dict[int, object] | None) -> float | None:
     """Trees of each connected part of a county, and of the graph of those parts."""
     if county is None:
         at = {v: k for k, v in enumerate(members)}
@@ -247,7 +259,7 @@ def log_trees(edges: DataFrame, assignments: DataFrame, units: DataFrame | None
             for draw, district, members, pairs in zip(pdf["draw"], pdf["district"], pdf["members"], pdf["pairs"]):
                 ids = [m["unit_id"] for m in members]
                 own = {m["unit_id"]: m["c"] for m in members} if county else None
-                out.append((draw, district, _two_level_trees(ids, [] if pairs is None else [(e["src"], e["dst"]) for e in pairs], own)))
+                out.append((draw, district, two_level_trees(ids, [] if pairs is None else [(e["src"], e["dst"]) for e in pairs], own)))
             yield pd.DataFrame(out, columns=["draw", "district", "log_trees"]).astype({"log_trees": "float64"})
 
     return sized.mapInPandas(kirchhoff, f"draw {kinds['draw']}, district {kinds['district']}, log_trees double")

@@ -2,7 +2,7 @@
 
 A ``Penalty`` gives (draw, district, penalty) for an ensemble; ``evaluate`` sums strengths. Inside
 a sampler's step the same penalty is asked for one district of one plan: ``local`` takes unit
-columns (``needs``), the district's mask, the plan and the graph. A
+columns (``needs``, and ``given``), the district's mask, the plan and the graph. A
 ``Scorer`` gives (draw, score) and adds, subtracts, scales and stacks.
 """
 
@@ -30,6 +30,7 @@ class Penalty:
     of: Callable[[DataFrame, DataFrame], DataFrame]  # assignments, units -> draw, district, penalty
     local: Callable | None = None
     needs: tuple[str, ...] = ()
+    given: Callable[[], dict] | None = None  # what ``local`` needs beside unit columns, by name; as small as the map
 
 
 def _local_share(group: str, total: tuple[str, ...], fn: Callable[[float], float]) -> dict:
@@ -106,7 +107,16 @@ def status_quo(strength: float, plan: DataFrame, ndists: int, pop: str = "pop")
         f = F.col("p") / F.sum("p").over(W.partitionBy(*BY))
         return joint.withColumn("f", f).groupBy(*BY).agg((-F.sum(F.when(F.col("f") > 0, F.col("f") * F.log("f"))) / ndists / F.log(F.lit(float(n)))).alias("penalty"))
 
-    return Penalty("status_quo", strength, of)
+    def given() -> dict:
+        return {"status_quo": np.array([r["district"] for r in plan.orderBy("unit_id").collect()])}
+
+    def local(c: dict, inside: np.ndarray, plan_: np.ndarray, g) -> float:
+        current = c["status_quo"]
+        p = np.array([float(c[pop][inside & (current == d)].sum()) for d in np.unique(current)])
+        f = p[p > 0] / p.sum()
+        return float(-(f * np.log(f)).sum() / ndists / np.log(len(np.unique(current))))
+
+    return Penalty("status_quo", strength, of, local, (pop,), given)
 
 
 def incumbency(strength: float, incumbents: DataFrame) -> Penalty:
@@ -116,7 +126,13 @@ def incumbency(strength: float, incumbents: DataFrame) -> Penalty:
         n = asg.join(small(incumbents.select("unit_id").withColumn("here", F.lit(1))), "unit_id", "left").groupBy(*BY).agg(F.count("here").alias("n"))
         return n.select(*BY, F.greatest(F.col("n") - 1, F.lit(0)).cast("double").alias("penalty"))
 
-    return Penalty("incumbency", strength, of)
+    def given() -> dict:
+        return {"incumbents": [r["unit_id"] for r in incumbents.select("unit_id").collect()]}
+
+    def local(c: dict, inside: np.ndarray, plan: np.ndarray, g) -> float:
+        return max(float(inside[c["incumbents"]].sum()) - 1, 0.0)
+
+    return Penalty("incumbency", strength, of, local, (), given)
 
 
 def splits(strength: float, county: str = "county", kind: str = "splits") -> Penalty:
@@ -136,11 +152,23 @@ def splits(strength: float, county: str = "county", kind: str = "splits") -> Pen
 
 
 def polsby(strength: float, perimeters: DataFrame, area: str = "area") -> Penalty:
-    return Penalty("polsby", strength, lambda a, u: tally.polsby_popper(a, u, perimeters, area).select(*BY, (1 - F.col("polsby")).alias("penalty")))
+    def given() -> dict:
+        return {"borders": np.array([(r["from_id"], r["to_id"], r["edge"]) for r in perimeters.select("from_id", "to_id", "edge").collect()], float)}
+
+    def local(c: dict, inside: np.ndarray, plan: np.ndarray, g) -> float:
+        beside, own = c["borders"][:, 0].astype(int), c["borders"][:, 1].astype(int)
+        out = c["borders"][inside[own] & ((beside < 0) | ~inside[beside]), 2].sum()
+        return 1 - 4 * 3.14159265 * float(c[area][inside].sum()) / out**2
 
+    return Penalty("polsby", strength, lambda a, u: tally.polsby_popper(a, u, perimeters, area).select(*BY, (1 - F.col("polsby")).alias("penalty")), local, (area,), given)
 
-def spread(strength: float, denominator: float = 1.0, pop: str = "pop") -> Penalty:
-    return Penalty("spread", strength, lambda a, u: tally.squared_spread(a, u, pop=pop, denominator=denominator).select(*BY, F.col("spread").alias("penalty")))
+
+def spread(strength: float, denominator: float = 1.0, pop: str = "pop", x: str = "gx", y: str = "gy") -> Penalty:
+    def local(c: dict, inside: np.ndarray, plan: np.ndarray, g) -> float:
+        w, px, py = (c[k][inside].astype(float) for k in (pop, x, y))
+        return float((w.sum() * (w * (px**2 + py**2)).sum() - (w * px).sum() ** 2 - (w * py).sum() ** 2) / denominator)
+
+    return Penalty("spread", strength, lambda a, u: tally.squared_spread(a, u, x, y, pop, denominator).select(*BY, F.col("spread").alias("penalty")), local, (pop, x, y))
 
 
 def edges_removed(strength: float, edges: DataFrame) -> Penalty:
@@ -156,8 +184,15 @@ def edges_removed(strength: float, edges: DataFrame) -> Penalty:
     return Penalty("edges_removed", strength, of, local)
 
 
-def log_st(strength: float, edges: DataFrame) -> Penalty:
-    return Penalty("log_st", strength, lambda a, u: graph.log_trees(edges, a).select(*BY, F.col("log_trees").alias("penalty")))
+def log_st(strength: float, edges: DataFrame, county: str | None = None) -> Penalty:
+    """Log number of spanning trees of each district, in two levels with ``county``; those of a plan are their sum."""
+
+    def local(c: dict, inside: np.ndarray, plan: np.ndarray, g) -> float:
+        ids = np.flatnonzero(inside).tolist()
+        pairs = [(v, int(w)) for v in ids for w in g.near[v] if inside[w] and v < w]
+        return graph.two_level_trees(ids, pairs, {v: c[county][v] for v in ids} if county else None) or 0.0
+
+    return Penalty("log_st", strength, lambda a, u: graph.log_trees(edges, a, u if county else None, county).select(*BY, F.col("log_trees").alias("penalty")), local, (county,) if county else ())
 
 
 def qps(strength: float, cities: str, ndists: int, pop: str = "pop") -> Penalty:
@@ -169,7 +204,12 @@ def qps(strength: float, cities: str, ndists: int, pop: str = "pop") -> Penalty:
         told = own.select(*BY, cities, (share * (1 - share)).alias("v")).groupBy(*BY).agg((F.sum("v") / ndists + F.log(F.count(F.lit(1)).cast("double"))).alias("penalty"))
         return asg.select(*BY).distinct().join(told, BY, "left").select(*BY, F.coalesce("penalty", F.lit(0.0)).alias("penalty"))
 
-    return Penalty("qps", strength, of)
+    def local(c: dict, inside: np.ndarray, plan: np.ndarray, g) -> float:
+        own = np.unique(c[cities][inside & (c[cities] > 0)])
+        share = np.array([float(c[pop][inside & (c[cities] == k)].sum()) / float(c[pop][c[cities] == k].sum()) for k in own])
+        return float((share * (1 - share)).sum() / ndists + np.log(len(own))) if len(own) else 0.0
+
+    return Penalty("qps", strength, of, local, (cities, pop))
 
 
 def custom(name: str, strength: float, fn: Callable[[DataFrame, DataFrame], DataFrame], local: Callable | None = None, needs: tuple[str, ...] = ()) -> Penalty:

@@ -7,6 +7,7 @@ from itertools import permutations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import estimates
@@ -470,9 +471,12 @@ def smc_resumed(m):
 
 @_sampled("SELECT CAST(40 AS BIGINT) AS plans, TRUE AS partial, TRUE AS truncated")
 def smc_partial(m):
-    run = sampling.smc_run(m, 40, seed=10, steps=2, resample=False, truncate=estimates.truncated)
-    top = run.plans.agg(F.max("wgt").alias("a"), F.max_by("wgt", F.col("wgt")).alias("b"))
-    return run.plans.agg(F.count(F.lit(1)).alias("plans"), F.bool_and(F.array_contains("plan", 0) & (F.array_max("plan") == 2)).alias("partial")).crossJoin(top).select("plans", "partial", (F.col("a") == F.col("b")).alias("truncated"))
+    """Partial plans with truncated weights: those of the same run untruncated, cut at their quantile."""
+    plain, cut = (sampling.smc_run(m, 40, seed=10, steps=2, resample=False, truncate=t).plans for t in (None, estimates.truncated))
+    top = plain.agg(F.percentile("wgt", 1 - 40**-0.5).alias("top"))
+    met = cut.join(plain.select("draw", F.col("wgt").alias("whole")), "draw").crossJoin(F.broadcast(top))
+    held = F.abs(F.col("wgt") - F.least("whole", "top")) < 1e-12
+    return met.agg(F.count(F.lit(1)).alias("plans"), F.bool_and(F.array_contains("plan", 0) & (F.array_max("plan") == 2)).alias("partial"), (F.bool_and(held) & F.bool_or(F.col("whole") > F.col("top"))).alias("truncated"))
 
 
 @_sampled(_plans_sql(120))
@@ -541,16 +545,26 @@ def parameter_report(m):
     return found.select("eprob", "quartile", (F.col("median_parity").between(0, 0.2001) & F.col("acceptance").between(0, 1)).alias("plausible"))
 
 
-@query("SELECT TRUE AS within_bounds")
+#: By duality the least sum is the largest sum of k / 5 times the gaps, over whole k from -5 to 5 that differ by one at most between neighbours.
+_DUAL = (
+    ", near AS (SELECT DISTINCT a.draw, a.district AS a, b.district AS b FROM edges e JOIN asg a ON a.unit_id = e.src JOIN asg b ON b.unit_id = e.dst AND b.draw = a.draw WHERE a.district < b.district), "
+    "gaps AS (SELECT draw, " + ", ".join(f"MAX(CASE WHEN district = {d} THEN pop END) - AVG(pop) AS g{d}" for d in range(1, 6)) + " FROM tally GROUP BY draw), "
+    "beside AS (SELECT draw, " + ", ".join(f"BOOL_OR(a = {a} AND b = {b}) AS n{a}{b}" for a in range(1, 6) for b in range(a + 1, 6)) + " FROM near GROUP BY draw), "
+    "k AS (SELECT " + ", ".join(f"k{d}.range AS k{d}" for d in range(1, 6)) + " FROM " + ", ".join(f"range(-5, 6) k{d}" for d in range(1, 6)) + ") "
+    "SELECT draw, ROUND(MAX(" + " + ".join(f"k{d} * g{d}" for d in range(1, 6)) + ") / 5, 4) AS cost FROM k, gaps JOIN beside USING (draw) WHERE " + " AND ".join(f"(NOT n{a}{b} OR ABS(k{a} - k{b}) <= 1)" for a in range(1, 6) for b in range(a + 1, 6)) + " GROUP BY draw"
+)
+
+
+@query(_DUAL)
 def least_moves(e):
-    """Existing districts after the moves that least_moves asks for."""
-    m = e.map
-    moves = search.least_moves(m.existing_plan(), m)
-    flows = moves.select(F.col("a").alias("district"), (-F.col("move")).alias("d")).union(moves.select("b", "move"))
-    pops = tally.tally(m.existing_plan().withColumn("draw", F.lit(1)), m.units, p="pop").select("district", F.col("p").cast("double").alias("d"))
-    after = pops.union(flows).groupBy("district").agg(F.sum("d").alias("p"))
-    slack = 2.0 + 5  # moves are whole people
-    return after.agg(F.bool_and(F.col("p").between(m.bounds[0] - slack, m.bounds[2] + slack)).alias("within_bounds"))
+    """What is left of every gap after the moves, and a fifth of the people moved."""
+    moves = search.least_moves(e.assignments, e.map, 0.2, whole=False)
+    flows = moves.select("draw", F.col("a").alias("district"), (-F.col("move")).alias("d")).union(moves.select("draw", "b", "move"))
+    mean = F.avg("p").over(W.partitionBy("draw"))
+    gaps = tally.tally(e.assignments, e.map.units, p="pop").select("draw", "district", (F.col("p") - mean).alias("d"))
+    left = gaps.union(flows).groupBy("draw", "district").agg(F.sum("d").alias("d")).groupBy("draw").agg(F.sum(F.abs("d")).alias("left"))
+    moved = moves.groupBy("draw").agg(F.sum("move").alias("moved"))
+    return left.join(moved, "draw", "left").select("draw", F.round(F.col("left") + 0.2 * F.coalesce("moved", F.lit(0.0)), 4).alias("cost"))
 
 
 # the customers' grid

@@ -99,6 +99,18 @@ def smc_tempered_frequencies(m):
     return _as_often(sampling.smc(wide, n, seed=43, pop_temper=0.02), even, n, 5)
 
 
+_SUMMARY_STEPS = ", t AS (SELECT draw, CASE WHEN draw <= 25 THEN 1 ELSE 2 END AS chain, CAST(MAX(pop) AS DOUBLE) AS x FROM tally GROUP BY 1), steps AS (SELECT chain, CAST(draw AS INT) AS step, 3 AS k, x / 10 AS n_eff, 0.5::DOUBLE AS accept_rate, x / 100 AS sd_lp, draw AS unique_parents, 100 AS n FROM t WHERE draw % 10 = 0), flagged AS (SELECT *, LEAST(n_eff, unique_parents) < GREATEST(5, LEAST(40, 100.0)) AS warn FROM steps), lines AS (SELECT 'split' AS part, chain, step, UNNEST([{'item': 'n_eff', 'value': n_eff / n}, {'item': 'survivors', 'value': unique_parents / CAST(n AS DOUBLE)}, {'item': 'accept_rate', 'value': accept_rate}, {'item': 'sd_lp', 'value': sd_lp}, {'item': 'k', 'value': k::DOUBLE}], recursive := true), warn FROM flagged) SELECT part, chain, step, item, ROUND(value, 6) + 0.0 AS value, warn FROM lines"
+
+
+@query(_SUMMARY_STEPS)
+def summary_of_steps(e):
+    """The lines on splits of a run's summary, for steps made from the plans' statistics."""
+    stats = e.stats.groupBy("draw").agg(F.max("total_pop").cast("double").alias("x")).withColumn("chain", F.when(F.col("draw") <= 25, 1).otherwise(2))
+    steps = stats.filter("draw % 10 = 0").select("chain", F.col("draw").cast("int").alias("step"), F.lit(3).alias("k"), (F.col("x") / 10).alias("n_eff"), F.lit(0.5).alias("accept_rate"), (F.col("x") / 100).alias("sd_lp"), F.col("draw").cast("long").alias("unique_parents"), F.lit(100).cast("long").alias("n"))
+    told = estimates.run_summary(steps, stats, ["x"], overlap.diversity(e.assignments, e.map.units))
+    return told.filter("part = 'split'").select("part", "chain", "step", "item", _z("value"), "warn")
+
+
 # discoveries by ranks
 
 _RANKED = (

@@ -342,4 +342,7 @@ def bind(first: Ensemble, *rest: Ensemble) -> Ensemble:
         for x in p[1:]:
             whole = whole.unionByName(x, allowMissingColumns=True)
         joined.append(whole)
-    return Ensemble(*joined, first.map, first.info)
+    info = dict(first.info)
+    if all("n_eff" in e.info for e in (first, *rest)):
+        info["n_eff"] = sum(e.info["n_eff"] for e in (first, *rest))
+    return Ensemble(*joined, first.map, info)

@@ -233,6 +233,8 @@ def kernel(m: PlanMap, g: Graph, penalty) -> Callable[[np.ndarray, int], float]
     names = sorted({c for p in penalty for c in p.needs})
     rows = m.units.select("unit_id", *names).orderBy("unit_id").collect()  # as many as the graph has
     columns = {c: np.array([r[c] for r in rows]) for c in names}
+    for p in penalty:
+        columns |= p.given() if p.given else {}
     parts = [(p.strength, p.local) for p in penalty]
     if missing := [p.name for p in penalty if p.local is None]:
         raise ValueError(f"no form for single districts: {missing}")

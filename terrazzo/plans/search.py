@@ -309,26 +309,67 @@ def parameter_report(m: PlanMap, starts: DataFrame, nsims: int, grid: dict[str,
     return told.groupBy("combination", *names, "quartile").agg(F.percentile("parity", 0.5).alias("median_parity"), F.avg(F.col("moved").cast("int")).alias("acceptance"))
 
 
-def least_moves(plan: DataFrame, m: PlanMap, penalty: float = 0.2) -> DataFrame:
-    """a, b, move: population to move between adjacent districts so that all get within bounds, with few people moved.
+def cheapest_flow(excess: list[float], pairs: list[tuple[int, int]], penalty: float) -> list[float]:
+    """Flows along ``pairs`` (a to b) with the least sum of what is left of every excess, plus ``penalty`` a unit and edge.
 
-    The flow over the district graph that evens out populations with the least squares, scaled
-    down as far as bounds allow. ``penalty`` weighs moving against imbalance: flows below that
-    share of the tolerance are not worth it. Districts of one plan are few.
+    Flow is sent from excess to want along the cheapest path left, going back on earlier flow
+    where that saves, as long as a unit saves more (2) than its path costs.
     """
-    asg = plan.withColumn("draw", F.lit(1))
-    pops = {r["district"]: float(r["p"]) for r in tally.tally(asg, m.units, p=m.pop).collect()}
-    pairs = [(r["a"], r["b"]) for r in graph.district_graph(m.edges, asg).select("a", "b").orderBy("a", "b").collect()]
-    names = sorted(pops)
-    at = {d: k for k, d in enumerate(names)}
-    need = np.array([pops[d] - m.target for d in names])
-    out = np.zeros((len(names), len(pairs)))
-    for k, (a, b) in enumerate(pairs):
-        out[at[a], k], out[at[b], k] = 1, -1
-    flow = np.linalg.lstsq(out, need, rcond=None)[0] if pairs else np.zeros(0)
-    worst = np.abs(need).max() if len(need) else 0.0
-    room = m.target * m.pop_tol
-    share = max(0.0, 1 - room / worst) if worst else 0.0  # what is left of every gap is then within bounds
-    flow = np.where(np.abs(flow * share) < penalty * room * 1e-3, 0.0, flow * share)
-    rows = [(a, b, float(np.round(f))) if f >= 0 else (b, a, float(np.round(-f))) for (a, b), f in zip(pairs, flow) if round(abs(f))]
-    return plan.sparkSession.createDataFrame(rows, "a int, b int, move double")
+    left, flow = list(excess), [0.0] * len(pairs)
+    small_, n = 1e-9 * max(map(abs, excess), default=0.0), len(excess)
+    while True:
+        cost = [0.0 if x > small_ else np.inf for x in left]
+        came: list[tuple[int, int, int] | None] = [None] * n
+        for _ in range(n):  # shortest paths; going back on flow has negative cost, but no cycle has
+            moved = False
+            for e, (a, b) in enumerate(pairs):
+                for x, y, way in ((a, b, 1), (b, a, -1)):
+                    step = -penalty if flow[e] * way < -small_ else penalty
+                    if cost[x] + step < cost[y] - 1e-12:
+                        cost[y], came[y], moved = cost[x] + step, (x, e, way), True
+            if not moved:
+                break
+        ends = [d for d in range(n) if left[d] < -small_ and cost[d] < 2 - 1e-12]
+        if not ends:
+            return flow
+        end = min(ends, key=lambda d: (cost[d], d))
+        path, at = [], end
+        while came[at] is not None:
+            at, e, way = came[at]
+            path.append((e, way))
+        room = min(left[at], -left[end], *[abs(flow[e]) for e, way in path if flow[e] * way < -small_], np.inf)
+        for e, way in path:
+            flow[e] += way * room
+        left[at], left[end] = left[at] - room, left[end] + room
+
+
+def least_moves(assignments: DataFrame, m: PlanMap, penalty: float = 0.2, county: str | None = None, whole: bool = True) -> DataFrame:
+    """draw, a, b, move: people to move from district a to its neighbour b, so that all come near the mean with few moved.
+
+    For each draw, the sum over districts of what is left between population and mean, plus
+    ``penalty`` times the people moved, is least. With ``county`` only districts that share one
+    exchange people. Moves are whole people unless ``whole`` is false. A draw's districts and
+    their borders meet in a task; units don't.
+    """
+    mean = F.avg("p").over(W.partitionBy("draw"))
+    pops = tally.tally(assignments, m.units, p=m.pop).select("draw", "district", (F.col("p") - mean).alias("gap"))
+    pairs = graph.district_graph(m.edges, assignments).select("draw", "a", "b")
+    if county is not None:
+        own = assignments.join(m.units.select("unit_id", F.col(county).alias("c")), "unit_id").select("draw", "district", "c").distinct()
+        a, b = (own.select("draw", F.col("district").alias(x), "c") for x in "ab")
+        pairs = pairs.join(a.join(b, ["draw", "c"]).filter("a < b").select("draw", "a", "b").distinct(), ["draw", "a", "b"], "left_semi")
+    listed = pops.groupBy("draw").agg(F.array_sort(F.collect_list(F.struct("district", "gap"))).alias("gaps")).join(pairs.groupBy("draw").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("pairs")), "draw")
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for draw, gaps, pairs_ in zip(pdf["draw"], pdf["gaps"], pdf["pairs"]):
+                at = {g["district"]: k for k, g in enumerate(gaps)}
+                ends = [(p["a"], p["b"]) for p in pairs_]
+                for (a, b), x in zip(ends, cheapest_flow([float(g["gap"]) for g in gaps], [(at[a], at[b]) for a, b in ends], penalty)):
+                    x = float(round(x)) if whole else x
+                    if x:
+                        out.append((draw, a, b, x) if x > 0 else (draw, b, a, -x))
+            yield pd.DataFrame(out, columns=["draw", "a", "b", "move"])
+
+    return listed.mapInPandas(solve, "draw int, a int, b int, move double")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrazzo.functions import estimates
 from terrazzo.operators import compare, graph, labels, nearest, overlap, resample, shapes, spectral
-from terrazzo.plans import enumeration, model, sampling
+from terrazzo.plans import enumeration, model, sampling, search
 
 from .test_plans import EIGHT, _map, _square
 
@@ -299,3 +299,63 @@ def test_there_may_be_no_partition(spark):
     assert dag.count == 0 and dag.slice(0, 5).count() == 0
     with pytest.raises(ValueError):
         dag.sample(3)
+
+
+def test_flows_are_the_cheapest(spark):
+    # 100, 200 and 330 people on a triangle: the two lighter districts take from the third
+    assert search.cheapest_flow([-110.0, -10.0, 120.0], [(0, 1), (0, 2), (1, 2)], 0.2) == pytest.approx([0, -110, -10])
+    # a path of eleven edges costs more than moving saves
+    path = [(k, k + 1) for k in range(11)]
+    assert search.cheapest_flow([5.0, *[0.0] * 10, -5.0], path, 0.2) == [0.0] * 11
+    assert search.cheapest_flow([5.0, *[0.0] * 8, -5.0], path[:9], 0.2) == pytest.approx([5.0] * 9)
+    r = random.Random(7)
+    for _ in range(40):
+        n = r.randint(2, 4)
+        pairs = [(a, b) for a in range(n) for b in range(a + 1, n) if r.random() < 0.7]
+        pops = [r.randint(0, 8) * n for _ in range(n)]
+        gaps = [p - sum(pops) / n for p in pops]
+        flow = search.cheapest_flow(gaps, pairs, 0.5)
+        left = list(gaps)
+        for (a, b), x in zip(pairs, flow):
+            left[a] -= x
+            left[b] += x
+        cost = sum(map(abs, left)) + 0.5 * sum(map(abs, flow))
+        # by duality: potentials in halves from -1 to 1, half a unit apart at most along edges
+        dual = max(sum(k * g for k, g in zip(own, gaps)) / 2 for own in np.ndindex(*[5] * n) for own in [[k - 2 for k in own]] if all(abs(own[a] - own[b]) <= 1 for a, b in pairs))
+        assert cost == pytest.approx(dual)
+
+
+def test_moves_keep_to_counties_and_whole_people(spark):
+    m = _map(spark, _square(2), [10, 5, 5, 1], 4, 0.9)
+    m = model.PlanMap(m.units.withColumn("county", F.when(F.col("unit_id") < 2, "x").otherwise("y")), m.edges, 4, m.bounds)
+    asg = spark.createDataFrame([(1, v, v + 1) for v in range(4)], "draw int, unit_id int, district int")
+    free = {(r.a, r.b) for r in search.least_moves(asg, m).collect()}
+    held = search.least_moves(asg, m, county="county").collect()
+    assert len(free) > 1 and {tuple(sorted((r.a, r.b))) for r in held} <= {(1, 2), (3, 4)}
+    assert all(r.move == round(r.move) > 0 for r in held)
+
+
+def test_summaries_warn(spark):
+    steps = spark.createDataFrame([(1, 1, 3, 90.0, 0.5, 1.0, 70, 100), (2, 1, 3, 3.0, 0.5, 1.0, 70, 100)], sampling.STEPS)
+    stats = spark.createDataFrame([(c, d, float(d % 5 + 9 * (c == 2)), 1.0) for c in (1, 2) for d in range(1, 21)], "chain int, draw int, x double, same double")
+    pairs = spark.createDataFrame([(1, 2, 0.1), (1, 3, 0.2)], "i int, j int, diversity double")
+    found = {(r.part, r.chain, r.item): r for r in estimates.run_summary(steps, stats, ["x", "same"], pairs).collect()}
+    assert not found["split", 1, "n_eff"].warn and found["split", 2, "n_eff"].warn
+    assert found["split", 2, "survivors"].value == 0.7
+    assert found["diversity", None, "mean"].warn and found["rhat", None, "x"].warn
+    assert ("rhat", None, "same") not in found
+
+
+def test_shares_are_told_from_numbers(spark):
+    units = spark.createDataFrame([(0, "k", 10, 0.5, 2.0, "a"), (1, "k", 30, 0.1, 0.5, "b")], "unit_id int, key string, pop long, share double, rate double, name string")
+    assert graph.share_columns(units) == ["share"]
+    r = graph.merge_units(units, ["key"]).first()
+    assert (r["share"], r["rate"], r["name"], r["pop"]) == (pytest.approx(0.2), 2.5, "a~b", 40)
+
+
+def test_bound_ensembles_add_their_effective_sizes(spark):
+    m = _map(spark, _square(2), [1] * 4, 2, 0.1)
+    asg = spark.createDataFrame([(1, v, 1 + v // 2) for v in range(4)], "draw int, unit_id int, district int")
+    one, two = (model.ensemble(asg, m, n_eff=n) for n in (3.5, 4.0))
+    assert model.bind(one, two).info["n_eff"] == 7.5
+    assert "n_eff" not in model.bind(model.ensemble(asg, m), two).info

@@ -41,11 +41,14 @@ def test_cuts_split_few_counties(spark):
 
 
 def test_penalties_of_one_district_are_those_of_the_ensemble(spark):
-    units = spark.createDataFrame([(v, 10 + v, v % 4, 5 + v, 20 - v, "ab"[v % 2]) for v in range(9)], "unit_id int, pop long, grp long, dvote long, rvote long, county string")
+    units = spark.createDataFrame([(v, 10 + v, v % 4, 5 + v, 20 - v, "ab"[v % 2], 1.0, v // 3) for v in range(9)], "unit_id int, pop long, grp long, dvote long, rvote long, county string, area double, gy int")
     m = model.PlanMap(units, _map(spark, _square(3), [1] * 9, 3, 0.1).edges, 3, (0.0, 42.0, 99.0))
     plan = [1, 1, 2, 1, 2, 2, 3, 3, 3]
     asg = spark.createDataFrame([(1, v, d) for v, d in enumerate(plan)], "draw int, unit_id int, district int")
     every = [penalties.pop_dev(2.0, 42.0), penalties.grp_pow(1.0, "grp"), penalties.grp_hinge(3.0, "grp", targets=(0.2, 0.4)), penalties.grp_inv_hinge(1.0, "grp", targets=(0.05,)), penalties.compet(1.0, "dvote", "rvote"), penalties.segregation(1.0, "grp"), penalties.splits(1.0), penalties.splits(1.0, kind="total_splits"), penalties.edges_removed(0.5, m.edges)]
+    borders = spark.createDataFrame([(w, v, 1.0) for v, own in enumerate(_square(3)) for w in own] + [(-1, v, float(4 - len(own))) for v, own in enumerate(_square(3))], "from_id int, to_id int, edge double")
+    existing = spark.createDataFrame([(v, v % 3 + 1) for v in range(9)], "unit_id int, district int")
+    every += [penalties.status_quo(2.0, existing, 3), penalties.incumbency(1.0, spark.createDataFrame([(0,), (1,), (4,), (3,)], "unit_id int")), penalties.polsby(1.0, borders), penalties.spread(0.01, x="grp", y="gy"), penalties.log_st(1.0, m.edges), penalties.log_st(1.0, m.edges, "county"), penalties.qps(1.0, "grp", 3)]
     local = sampling.kernel(m, sampling.graph_of(m), every)
     whole = sum(local(np.array(plan), d) for d in (1, 2, 3))
     assert whole == pytest.approx(penalties.evaluate(asg, units, every).first()["penalty"])
