@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_table
 from .overlap import joint_population
+from .sizes import small
 
 
 def by_first_appearance(assignments: DataFrame) -> DataFrame:
@@ -93,32 +95,50 @@ def match_to(assignments: DataFrame, plan: DataFrame, units: DataFrame, ndists:
     return listed.mapInPandas(solve, "draw int, district int, label int, pop_overlap double")
 
 
+def _lowest_so_far(scores: DataFrame, key: str, first: str, second: str) -> DataFrame:
+    """Of rows in order of both scores and the key, those whose second score is below all before.
+
+    Rows are range-sorted by the first score; the least second score of the ranges before (a
+    row a range) and of the rows before within a range are all that is asked for.
+    """
+    dealt = shared_table(scores.repartitionByRange(first).withColumn("_range", F.spark_partition_id()))
+    lows = dealt.groupBy("_range").agg(F.min(second).alias("_low"))
+    ahead = lows.select("_range", F.min("_low").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_ahead"))
+    within = F.min(second).over(W.partitionBy("_range").orderBy(first, second, key).rowsBetween(W.unboundedPreceding, -1))
+    before = F.least("_ahead", "_within")  # nulls (nothing before) are left out
+    kept = dealt.withColumn("_within", within).join(small(ahead), "_range").filter(before.isNull() | (F.col(second) < before))
+    return kept.select(*scores.columns)
+
+
 def not_dominated(scores: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows that no other dominates (smaller is better); of equal rows the first stays.
 
-    Rows are first reduced to the best last score for each combination of the others, then
-    batches to their own frontiers, so that the anti-join meets frontiers alone.
+    With two scores, rows in order of the first are kept while the second falls. With more,
+    batches are reduced to their own frontiers, in ever fewer tasks, so that frontiers alone
+    meet; the last task holds as many rows as its frontier and those it is compared with.
     """
-    head, tail = columns[:-1], columns[-1]
-    best = scores.withColumn("k", F.row_number().over(W.partitionBy(*head).orderBy(tail, key))).filter("k = 1").drop("k")
+    if len(columns) == 1:
+        return scores.orderBy(*columns, key).limit(1)
+    if len(columns) == 2:
+        return _lowest_so_far(scores, key, *columns)
 
     def frontiers(batches):
+        front = None
         for pdf in batches:
-            pdf = pdf.sort_values([*columns, key], kind="stable").reset_index(drop=True)
+            pdf = (pdf if front is None else pd.concat([front, pdf])).sort_values([*columns, key], kind="stable").reset_index(drop=True)
             x, kept = pdf[columns].to_numpy(float), []
             for i in range(len(x)):  # what beats a row comes before it in this order
                 if not kept or not (x[kept] <= x[i]).all(1).any():
                     kept.append(i)
-            yield pdf.iloc[kept]
-
-    best = best.mapInPandas(frontiers, best.schema)
-    other = best.select(*[F.col(c).alias(f"o_{c}") for c in [key, *columns]])
-    beats = F.lit(True)
-    strictly = F.lit(False)
-    for c in columns:
-        beats = beats & (F.col(f"o_{c}") <= F.col(c))
-        strictly = strictly | (F.col(f"o_{c}") < F.col(c))
-    return best.join(other, beats & (strictly | (F.col(f"o_{key}") < F.col(key))) & (F.col(f"o_{key}") != F.col(key)), "left_anti")
+            front = pdf.iloc[kept]
+        if front is not None:
+            yield front
+
+    parts, best = 64, scores.mapInPandas(frontiers, scores.schema)
+    while parts >= 1:
+        best = best.repartition(parts, F.xxhash64(key)).mapInPandas(frontiers, scores.schema)
+        parts //= 8
+    return best
 
 
 def closest_to_centres(points: DataFrame) -> DataFrame:

@@ -266,3 +266,16 @@ def large_average_ranks(e):
     return estimates.average_ranks(own, "x").select("draw", "district", "rank")
 
 
+
+
+@large(", p AS (SELECT draw, district, CAST(SUM(pop) AS DOUBLE) AS a, CAST(SUM(grp) AS DOUBLE) AS b FROM asg JOIN units USING (unit_id) GROUP BY 1, 2), m AS (SELECT draw * 100 + district AS id, a, b FROM p), o AS (SELECT *, MIN(b) OVER (ORDER BY a, b, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM m) SELECT id, a, b FROM o WHERE low IS NULL OR b < low")
+def large_frontier(e):
+    """Districts of the large grid that no other beats both in population and in the group's."""
+    both = tally.tally(e.assignments, e.map.units, a="pop", b="grp").select((F.col("draw") * 100 + F.col("district")).alias("id"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+    return labels.not_dominated(both, "id", ["a", "b"])
+
+
+@query("SELECT a.unit_id AS src, b.unit_id AS dst FROM units a JOIN units b ON ABS(a.gx - b.gx) + ABS(a.gy - b.gy) = 1")
+def map_of_outlines(e):
+    """A map's graph from its units' outlines."""
+    return model.build_map(e.map.units, ndists=5, corners=_tiles(e)).edges

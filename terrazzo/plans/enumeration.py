@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_table
 
+#: Units of a map whose partitions are enumerated, unit by unit.
+MOST_UNITS = 10_000
 State = tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...], int]  # pieces, districts, weights, closed
 
 
@@ -75,7 +77,9 @@ def _state(text: str) -> State:
 
 def _steps(edges: DataFrame, units: DataFrame, weight: str) -> list[tuple[int, list[int], list[int], int]]:
     """Unit by unit: the unit, its frontier neighbours' places, places that leave, its weight. The map is one small graph."""
-    load = {r["unit_id"]: int(r["w"]) for r in units.select("unit_id", F.col(weight).alias("w")).collect()}
+    load = {r["unit_id"]: int(r["w"]) for r in units.select("unit_id", F.col(weight).alias("w")).limit(MOST_UNITS + 1).collect()}
+    if len(load) > MOST_UNITS:
+        raise ValueError(f"a map of more than {MOST_UNITS} units")
     near: dict[int, set[int]] = {v: set() for v in load}
     for r in edges.collect():
         near[r["src"]].add(r["dst"])

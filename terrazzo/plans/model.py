@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import nearest
 from ..operators.sizes import small
+from ..sources.shared import shared_table
 
 #: Names searched for the population column, in this order.
 POPULATION_NAMES = ("pop", "population", "total_pop", "POP100")
@@ -141,8 +143,25 @@ class PlanMap:
         return replace(kept, ndists=ndists, bounds=(target * (1 - tol), target, target * (1 + tol)))
 
 
-def build_map(units: DataFrame, edges: DataFrame, ndists: int | None = None, existing: str | None = None, pop_tol: float | None = None, pop: str | None = None) -> PlanMap:
-    """A map with inferred roles: population by name, districts from the existing plan, tolerance 1 % or its parity."""
+def check_kinds(**wanted: tuple[object, type]) -> None:
+    """Raise ``TypeError`` for every argument (name=(value, kind)) of another kind."""
+    wrong = [f"{name} must be {kind.__name__}, not {type(value).__name__}" for name, (value, kind) in wanted.items() if not isinstance(value, kind)]
+    if wrong:
+        raise TypeError("; ".join(wrong))
+
+
+def build_map(units: DataFrame, edges: DataFrame | None = None, ndists: int | None = None, existing: str | None = None, pop_tol: float | None = None, pop: str | None = None, corners: DataFrame | None = None) -> PlanMap:
+    """A map with inferred roles: population by name, districts from the existing plan, tolerance 1 % or its parity.
+
+    Without ``edges`` the graph comes from outlines: ``corners`` with unit_id, ring, pos, x, y.
+    """
+    check_kinds(units=(units, DataFrame))
+    if edges is None:
+        if corners is None:
+            raise ValueError("either edges or corners of outlines are needed")
+        check_kinds(corners=(corners, DataFrame))
+        edges = shared_table(nearest.adjacency_of_outlines(corners))
+    check_kinds(edges=(edges, DataFrame))
     pop = pop or next((c for c in POPULATION_NAMES if c in units.columns), None)
     if pop is None:
         raise ValueError(f"no population column among {POPULATION_NAMES}")

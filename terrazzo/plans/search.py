@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from itertools import product
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import graph, tally
+from ..operators.penalties import Penalty
 from ..sources.shared import shared_table
 from .model import PlanMap
 from .sampling import Graph, chains, connected, flip, graph_of, random_for, smc
@@ -286,18 +288,23 @@ def frontier_bursts(m: PlanMap, start: DataFrame, scores: Callable[[DataFrame],
 # parameters and parity
 
 
-def parameter_report(m: PlanMap, starts: DataFrame, nsims: int, grid: dict[str, list], seed: int = 1, pop: str | None = None) -> DataFrame:
-    """A row for each combination of ``grid`` (eprob, lam, pop_tol) and quartile of steps: median parity, acceptance.
+def parameter_report(m: PlanMap, starts: DataFrame, nsims: int, grid: dict[str, list], seed: int = 1, pop: str | None = None, penalties: list[Penalty] | None = None) -> DataFrame:
+    """A row for each combination of ``grid`` and quartile of steps: median parity, acceptance.
 
-    Combinations are rows of one job; the chains of all of them run beside one another.
+    Keys of ``grid`` are eprob, lam, pop_tol, or the name of one of ``penalties``, whose
+    strength it gives. Each combination is a run of chains (rows of its jobs); their draws are
+    measured together.
     """
     spark, pop = m.units.sparkSession, pop or m.pop
-    names = list(grid)
+    names, named = list(grid), {p.name for p in penalties or []}
+    if unknown := set(names) - {"eprob", "lam", "pop_tol"} - named:
+        raise ValueError(f"unknown parameters {sorted(unknown)}")
     parts = []
     for k, values in enumerate(product(*grid.values())):
         own = dict(zip(names, values))
         on = m.with_pop_tol(own.pop("pop_tol")) if "pop_tol" in own else m
-        run = chains(on, starts, nsims, "components", seed=seed + k, accepted=True, **own)
+        weighed = [replace(p, strength=own.pop(p.name)) if p.name in own else p for p in penalties or []]
+        run = chains(on, starts, nsims, "components", seed=seed + k, accepted=True, penalty=weighed or None, **own)
         parts.append(run.select(F.lit(k).alias("combination"), *[F.lit(v).alias(n) for n, v in zip(names, values)], (F.col("chain") * 1_000_000 + F.col("draw")).alias("draw"), "chain", "plan", "moved"))
     whole = parts[0]
     for p in parts[1:]:

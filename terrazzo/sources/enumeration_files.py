@@ -44,6 +44,10 @@ def combine_checkpoints(spark: SparkSession, folder: str, thin: int = 1, chain:
     return kept.withColumn("draw", F.row_number().over(W.partitionBy(chain).orderBy(step)))
 
 
+#: Edges (both directions) of a map that is ordered for enumeration.
+MOST_EDGES = 100_000
+
+
 def low_frontier_order(edges: DataFrame) -> DataFrame:
     """pos, a, b: edges of one map in an order with a small frontier.
 
@@ -52,7 +56,10 @@ def low_frontier_order(edges: DataFrame) -> DataFrame:
     are one graph, as small as a sampler's.
     """
     near: dict[int, set[int]] = {}
-    for r in edges.collect():
+    rows_ = edges.limit(MOST_EDGES + 1).collect()
+    if len(rows_) > MOST_EDGES:
+        raise ValueError(f"a map of more than {MOST_EDGES} edges")
+    for r in rows_:
         near.setdefault(r["src"], set()).add(r["dst"])
         near.setdefault(r["dst"], set()).add(r["src"])
     done: dict[int, int] = {}

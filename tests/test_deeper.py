@@ -359,3 +359,39 @@ def test_bound_ensembles_add_their_effective_sizes(spark):
     one, two = (model.ensemble(asg, m, n_eff=n) for n in (3.5, 4.0))
     assert model.bind(one, two).info["n_eff"] == 7.5
     assert "n_eff" not in model.bind(model.ensemble(asg, m), two).info
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_frontiers_are_those_of_all_pairs(spark, n):
+    r = random.Random(n)
+    rows = [(k, *[float(r.randrange(9)) for _ in range(n)]) for k in range(300)]
+    columns = ["a", "b", "c"][:n]
+    found = labels.not_dominated(spark.createDataFrame(rows, "id int, " + ", ".join(f"{c} double" for c in columns)).repartition(5), "id", columns).collect()
+
+    def beats(x, y):
+        return all(p <= q for p, q in zip(x[1:], y[1:])) and (x[1:] != y[1:] or x[0] < y[0])
+
+    assert sorted(x["id"] for x in found) == [y[0] for y in rows if not any(beats(x, y) for x in rows)]
+    assert labels.not_dominated(spark.createDataFrame([], "id int, " + ", ".join(f"{c} double" for c in columns)), "id", columns).collect() == []
+
+
+def test_maps_are_built_from_outlines(spark):
+    rings = {k: [[(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1)]] for k, (x, y) in enumerate(((0, 0), (1, 0), (1.5, 1)))}
+    units = spark.createDataFrame([(0, 5), (1, 6), (2, 7)], "unit_id int, pop long")
+    assert {tuple(r) for r in model.build_map(units, ndists=1, corners=_corners(spark, rings)).edges.collect()} == {(0, 1), (1, 0), (1, 2), (2, 1)}
+    with pytest.raises(ValueError, match="edges or corners"):
+        model.build_map(units, ndists=1)
+    with pytest.raises(TypeError, match="edges must be DataFrame, not list"):
+        model.build_map(units, [(0, 1)], 1)
+
+
+def test_reports_weigh_penalties(spark):
+    from terrazzo.operators import penalties
+
+    m = _map(spark, _square(3), [1] * 9, 3, 0.7)
+    starts = spark.createDataFrame([(1, [1, 1, 1, 2, 2, 2, 3, 3, 3])], "chain int, plan array<int>")
+    found = search.parameter_report(m, starts, 24, {"pop_dev": [0.0, 60.0]}, seed=4, penalties=[penalties.pop_dev(1.0, 3.0)]).collect()
+    parity = {w: np.mean([r.median_parity for r in found if r.pop_dev == w]) for w in (0.0, 60.0)}
+    assert len(found) == 8 and parity[60.0] < parity[0.0]
+    with pytest.raises(ValueError, match="unknown"):
+        search.parameter_report(m, starts, 4, {"speed": [1]})
