@@ -73,8 +73,22 @@ class Tokens:
     sizes: np.ndarray  # by row
 
 
-def _class(word: bytes) -> int:
-    return 0 if word == END else 1 + zlib.crc32(word.rstrip(b".,;:!?")[-2:]) % (CLASSES - 1)
+class _Endings(dict):
+    """Classes of endings, as they are met (at most 2^16 and some)."""
+
+    def __missing__(self, ending: bytes) -> int:
+        self[ending] = kind = 1 + zlib.crc32(ending) % (CLASSES - 1)
+        return kind
+
+
+_ENDINGS = _Endings()
+
+
+def _classes(words) -> np.ndarray:
+    """Classes of words, the first of which is the end token: by the last two bytes before marks."""
+    kinds = np.array([_ENDINGS[w.rstrip(b".,;:!?")[-2:]] for w in words], np.int64)
+    kinds[0] = 0
+    return kinds
 
 
 def tokens(rows: list[bytes]) -> Tokens:
@@ -84,7 +98,7 @@ def tokens(rows: list[bytes]) -> Tokens:
     word = np.fromiter(map(known.__getitem__, b"".join([x + _CLOSE for x in rows]).split()), np.int64)
     sizes = np.diff(np.flatnonzero(word == end), prepend=-1)
     hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in known], np.uint64)
-    return Tokens(np.repeat(np.arange(len(rows)), sizes), word, hashes, np.array([_class(w) for w in known], np.int64), sizes)
+    return Tokens(np.repeat(np.arange(len(rows)), sizes), word, hashes, _classes(known), sizes)
 
 
 def _lowered(column: pa.Array):
@@ -94,7 +108,7 @@ def _lowered(column: pa.Array):
 
 
 def features(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of weights of each token: tokens x 5 for its class, tokens x 3 for its slot."""
+    """Rows of weights of each token: 5 x tokens for its class, 3 x tokens for its slot."""
     n = len(t.word)
     start = np.concatenate([[0], np.cumsum(t.sizes)[:-1]])
     at = np.arange(n) - np.repeat(start, t.sizes)
@@ -104,9 +118,9 @@ def features(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         c1, c2 = (np.where(b >= 0, t.classes[t.word[b]], CLASSES) for b in before)
         both = h1 ^ (h2 * _U(0xC2B2AE3D27D4EB4F)) ^ (h2 >> _U(31))
     one, two, skip = ((h >> _U(40)).astype(np.int64) % m for h, m in ((h1, ONE), (both, TWO), (h2, SKIP)))
-    of_class = np.stack([c1, STARTS[1] + one, STARTS[2] + two, STARTS[3] + skip, STARTS[4] + c1 * (CLASSES + 1) + c2], 1)
-    of_slot = np.stack([c1, SLOT_STARTS[1] + one % SLOT_ONE, SLOT_STARTS[2] + skip % SLOT_SKIP], 1)
-    return of_class, FEATURES + of_slot * CLASSES + t.classes[t.word][:, None]
+    of_class = np.stack([c1, STARTS[1] + one, STARTS[2] + two, STARTS[3] + skip, STARTS[4] + c1 * (CLASSES + 1) + c2])
+    of_slot = np.stack([c1, SLOT_STARTS[1] + one % SLOT_ONE, SLOT_STARTS[2] + skip % SLOT_SKIP])
+    return of_class, FEATURES + of_slot * CLASSES + t.classes[t.word]
 
 
 @dataclass(frozen=True)
@@ -145,22 +159,34 @@ class Slots:
         return np.where(own, self.slots[at], 0), np.where(own, self.counts[at], 0)
 
 
+#: Logits that lie no farther apart can share one shift: exponentials of 32-bit numbers neither overflow nor vanish.
+WIDE = 80
+
+
 def _activations(weights: np.ndarray, found: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
-    """Sums of the features' weights, less the largest of each token."""
-    z = weights[found[:, 0]]
-    for k in range(1, found.shape[1]):
-        z += weights[found[:, k]]
+    """Sums of the features' weights, shifted so that exponentials are bounded: by the largest of all, or of each token if they lie far apart.
+
+    ``more`` closes slots; the first slot of a token is always open.
+    """
+    z = weights.take(found[0], axis=0)
+    own = np.empty_like(z)
+    for f in found[1:]:
+        z += weights.take(f, axis=0, out=own, mode="clip")
+    top, low = (z.max(), z.min()) if len(z) else (0, 0)
     if more is not None:
         z += more
-    z -= z.max(1, keepdims=True)
+    z -= top if top - low < WIDE else z.max(1, keepdims=True)
     return z
 
 
+_ONES = np.ones(CLASSES, np.float32)
+
+
 def log_share(weights: np.ndarray, found: np.ndarray, target: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
     """Natural log of the probability of each token's class or slot."""
     z = _activations(weights, found, more)
     own = z[np.arange(len(z)), target]
-    return own - np.log(np.exp(z, out=z).sum(1))
+    return own - np.log(np.exp(z, out=z) @ _ONES)
 
 
 def token_logs(weights: np.ndarray, slots: Slots, t: Tokens) -> np.ndarray:
@@ -171,27 +197,62 @@ def token_logs(weights: np.ndarray, slots: Slots, t: Tokens) -> np.ndarray:
     out = np.empty(len(kind))
     for a in range(0, len(kind), BATCH):
         s = slice(a, a + BATCH)
-        out[s] = log_share(weights, of_class[s], kind[s]) + log_share(weights, of_slot[s], own[s], slots.closed[kind[s]])
+        out[s] = log_share(weights, of_class[:, s], kind[s]) + log_share(weights, of_slot[:, s], own[s], slots.closed.take(kind[s], axis=0))
     return out / np.log(10) - np.where(own > 0, np.log10(count + 1)[t.word], slots.rest[kind])
 
 
+#: Groups of rows up to this size are added up side by side, all groups of one size at once.
+SHORT = 6
+
+
+def _sums(rows: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of ``rows`` by groups: each is a run of ``order`` from one of ``first`` on."""
+    size = np.diff(first, append=len(order))
+    out = np.empty((len(first), rows.shape[1]), rows.dtype)
+    for m in range(1, SHORT + 1):
+        own = np.flatnonzero(size == m)
+        if len(own):
+            at = first[own]
+            total = rows.take(order[at], axis=0)
+            for k in range(1, m):
+                total += rows.take(order[at + k], axis=0)
+            out[own] = total
+    own = np.flatnonzero(size > SHORT)
+    if len(own):
+        out[own] = np.add.reduceat(rows.take(order[np.repeat(size > SHORT, size)], axis=0), np.cumsum(size[own]) - size[own], axis=0)
+    return out
+
+
+def _step(weights: np.ndarray, squares: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
+    s = squares.take(at, axis=0)
+    s += g * g
+    squares[at] = s
+    s += np.float32(1e-6)
+    w = weights.take(at, axis=0)
+    w -= np.float32(RATE) * g / np.sqrt(s, out=s)
+    weights[at] = w
+
+
 def train_part(weights: np.ndarray, squares: np.ndarray, found: np.ndarray, target: np.ndarray, closed: np.ndarray | None = None, kind: np.ndarray | None = None) -> None:
     """AdaGrad steps in place, one for every batch of tokens."""
-    for at in range(0, len(found), BATCH):
-        f, y = found[at : at + BATCH], target[at : at + BATCH]
-        slope = _activations(weights, f, None if closed is None else closed[kind[at : at + BATCH]])
+    nested = closed is None  # the last feature of classes is the first with one more: its sums add up to the first's
+    for a in range(0, found.shape[1], BATCH):
+        f, y = found[:, a : a + BATCH], target[a : a + BATCH]
+        slope = _activations(weights, f, None if closed is None else closed.take(kind[a : a + BATCH], axis=0))
         np.exp(slope, out=slope)
-        slope /= slope.sum(1, keepdims=True)
+        slope *= (1 / (slope @ _ONES))[:, None]
         slope[np.arange(len(y)), y] -= 1
-        for k in range(f.shape[1]):
-            key = f[:, k].astype(np.uint16)  # 16 bits: sorted by radix
+        for k in range(int(nested), len(f)):
+            key = f[k].astype(np.uint16)  # 16 bits: sorted by radix
             order = np.argsort(key, kind="stable")
             own = key[order]
             new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            g = np.add.reduceat(slope[order], new, axis=0)
-            own = own[new]
-            squares[own] += g * g
-            weights[own] -= np.float32(RATE) * g / np.sqrt(squares[own] + np.float32(1e-6))
+            g, own = _sums(slope, order, new), own[new]
+            _step(weights, squares, own, g)
+            if nested and k == len(f) - 1:
+                before = (own - np.uint16(STARTS[4])) // np.uint16(CLASSES + 1)
+                new = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
+                _step(weights, squares, before[new], np.add.reduceat(g, new, axis=0))
 
 
 def train(docs: DataFrame, slots: Slots, rounds: int = ROUNDS) -> np.ndarray:

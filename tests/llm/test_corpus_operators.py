@@ -578,6 +578,25 @@ def _trained(texts):
     return t, count, slots, weights, before
 
 
+def test_sums_of_groups_are_plain_sums():
+    r = np.random.default_rng(6)
+    for n in (1, 50, 3_000):
+        rows, key = r.normal(size=(n, 32)).astype(np.float32), np.sort(r.integers(0, max(1, n // 4), n) ** 2 // max(1, n // 8))
+        order = r.permutation(n)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        assert np.allclose(maxent_lm._sums(rows, order, first), np.add.reduceat(rows[order], first, axis=0), atol=1e-4)
+
+
+def test_logits_that_lie_far_apart_are_shifted_one_by_one():
+    r = np.random.default_rng(7)
+    found = r.integers(0, 40, (3, 500))
+    for scale in (1, 60):
+        weights = (scale * r.normal(size=(40, 32))).astype(np.float32)
+        z = weights[found].astype(float).sum(0)
+        plain = z[:, 5] - z.max(1) - np.log(np.exp(z - z.max(1, keepdims=True)).sum(1))
+        assert np.allclose(maxent_lm.log_share(weights, found, np.full(500, 5)), plain, atol=1e-3, rtol=1e-4)
+
+
 def test_words_of_a_history_are_a_distribution_and_training_helps():
     words = [f"{a}{b}{c}" for a in "klmnp" for b in ("a", "er", "ing", "ot") for c in ("", "n", "s", "t", "um")]
     t, count, slots, weights, before = _trained([_prose(k, 300, WORDS + words) for k in range(20)])
@@ -604,7 +623,7 @@ def _unseen_end(weights, slots, history):
     u = maxent_lm.tokens([history.encode()])
     of_class, of_slot = maxent_lm.features(u)
     zero = np.zeros(1, np.int64)
-    return float(np.exp(maxent_lm.log_share(weights, of_class[-1:], zero) + maxent_lm.log_share(weights, of_slot[-1:], zero, slots.closed[:1]))[0] / 10 ** slots.rest[0])
+    return float(np.exp(maxent_lm.log_share(weights, of_class[:, -1:], zero) + maxent_lm.log_share(weights, of_slot[:, -1:], zero, slots.closed[:1]))[0] / 10 ** slots.rest[0])
 
 
 def test_context_lifts_held_out_scores(spark):
@@ -723,6 +742,12 @@ def test_long_texts_and_clashing_names(clashing, spark, encoding):
     path3 = public_tokenizers.path("word_bpe_49k.json")
     ids = Tokenizer.from_file(path3).encode(rows_[1].text, add_special_tokens=False).ids
     assert sum(r.length for r in packing.pack(clashing, path3).collect() if r.doc_id == 1) == len(ids) + 1
+    stored = clashing.withColumnRenamed("score", "media_sha256").withColumnRenamed("n_tokens", "n_bytes").withColumnRenamed("lang_pred", "feature")
+    for k, r in by(media.media_digest(stored)).items():
+        payload = (rows_[k].text or "").encode()
+        padded = payload + bytes(-len(payload) % 64 or (0 if payload else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert len(r.media_sha256) == 64 and r.feature != "a"
     pages = spark.createDataFrame([(1, "http://a.org/" + "x/" * 50_000, "h", "p", "r")], "page_id long, url string, host string, path string, rule string")
     assert [(r.host, r.rule, len(r.path)) for r in url_filter.filter_urls(pages).collect()] == [("a.org", "org/", 100_001)]
 

@@ -118,3 +118,27 @@ def test_the_whole_run_is_that_of_plain_stages(spark, tmp_path):
     for own in by.values():
         assert [a for a, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 4096
     assert len(by) <= -(-sum(map(len, ids.values())) // 4096) + 1
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long, id string, sequence_id long, rejected int"
+
+
+def test_an_empty_table_goes_through_all_stages(spark):
+    docs = spark.createDataFrame([], EXTRA)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == EXTRA.replace(" long", "").replace(" string", "").replace(" boolean", "").replace(" int", "").split(", ")
+        assert docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_columns_named_like_results_stay_as_they_are(spark, stages):
+    some = stages[0].limit(120)
+    docs = some.withColumn("kept", F.lit(False)).withColumn("size", F.lit(7).cast("long")).withColumn("id", F.lit("x")).withColumn("sequence_id", F.lit(3).cast("long")).withColumn("rejected", F.lit(5))
+    wide, plain = docs, some
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        wide, plain = stage(spark, wide, SF).cache(), stage(spark, plain, SF).cache()
+        assert wide.columns == docs.columns
+        assert sorted(r.doc_id for r in wide.collect()) == sorted(r.doc_id for r in plain.collect())
+    assert wide.filter(~F.col("kept") & (F.col("size") == 7) & (F.col("id") == "x") & (F.col("sequence_id") == 3) & (F.col("rejected") == 5)).count() == wide.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, SF).count() == corpus_pipeline.STAGES[-1][1](spark, plain, SF).count()
