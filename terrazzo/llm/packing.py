@@ -1,17 +1,19 @@
 """Best-fit packing of token sequences, in bulk-synchronous supersteps.
 
-Texts are tokenised and cut into pieces of at most ``capacity`` tokens. Pieces over half the
-capacity open a sequence each; of the smaller ones a share does, told by best fit over the
-counts by size. The first superstep range-sorts the pieces and the gaps of open sequences by
-size, so that each range holds pieces and gaps of like sizes. Within a range a successor
-sweep gives the pieces, largest first, the smallest gap that holds them, with what is left of
-a gap going back at once. The second superstep matches what ranges can't place, across all of
-them, by rank: rows of one size are alike, so the sweep runs over counts by size, updating
-gaps and repeating until nothing is left, and every row looks up its sequence by its rank
-within its size. Supersteps are two, whatever the number of ranges.
-
-Each superstep leaves a table in the shared folder. The driver sees counts by size (twice
-``capacity`` at most), never pieces; the runs of ranks it sends back don't grow with the corpus.
+Texts are tokenised and cut into pieces of at most ``capacity`` tokens. The largest pieces open
+a sequence each, a little fewer than the total needs (but all over half the capacity, which
+never share one). In a superstep pieces and gaps are range-sorted by size, from the largest
+down. A sweep through each range gives every piece the smallest gap before it that no other
+piece has taken; what a range leaves over is matched across ranges by rank: of the pieces
+that want the same gaps, the first ranks get the nearest ranges with gaps left. Each gap takes
+one piece a superstep; then gaps are updated and the next superstep begins. After
+``SUPERSTEPS`` of them the pieces left over, the smallest ones, are fitted by counts: rows of
+one size are alike, so a last best-fit sweep runs over counts by size, and every row looks up
+its sequence by its rank within its size.
+
+The number of supersteps is fixed, whatever the number of ranges. Each leaves tables in the
+shared folder. The driver sees counts by size (twice ``capacity`` at most) and two counts a
+range, never pieces.
 
 Defined cases: a null or empty text is the closing id alone; a document of n tokens gives
 ceil(n / capacity) pieces; null ids and repeated rows are documents of their own; an empty
@@ -20,7 +22,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import os
 import unicodedata
 import zlib
@@ -42,7 +43,8 @@ CAPACITY = 4096
 END = 1
 CACHED = 400_000
 RANGE_ROWS = 60_000
-PIECE, GAP, PLACED = 0, 1, 2
+SUPERSTEPS = 3
+PIECE, GAP, PLACED, UPDATED = 0, 1, 2, 3
 _TAIL = ".,;:!?)]}\"|*#$%&"
 
 
@@ -150,6 +152,7 @@ def pieces(df: DataFrame, path: str, keep: list[str], text: str = "text", capaci
 
 
 SWEPT = T.StructType([T.StructField("what", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("range", T.IntegerType()), T.StructField("rank", T.LongType())])
+_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
 
 
 class Gaps:
@@ -178,39 +181,115 @@ class Gaps:
 
 
 def _sweeper(capacity: int):
-    """A range's rows (largest first) to placed pieces, and what is left by rank within its size."""
+    """A range's rows, largest first and gaps before pieces of their size, to placed pieces, updated gaps, and ranks of what is left.
+
+    Pieces left are ranked as they come, gaps from the largest, so the last ranks are the
+    smallest gaps.
+    """
 
     def sweep(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        table = pa.Table.from_batches(rows)
-        what, ids, size = (table.column(c).to_numpy() for c in ("what", "id", "size"))
-        own, gaps, out = TaskContext.get().partitionId(), Gaps(), []
-        for g, s in zip(size[what == GAP].tolist(), ids[what == GAP].tolist(), strict=True):
-            gaps.push(g, s)
-        rank: dict[tuple[int, int], int] = {}
-
-        def left(kind: int, i: int, n: int) -> None:
-            k = rank[kind, n] = rank.get((kind, n), -1) + 1
-            out.append((kind, i, n, None, None, own, k))
+        own, open_, wanting = TaskContext.get().partitionId(), [], 0
+        for b in batches:
+            out = []
+            for kind, i, n in zip(*(b.column(c).to_pylist() for c in ("what", "id", "size")), strict=True):
+                if kind == GAP:
+                    open_.append((i, n))
+                elif open_:
+                    seq, gap = open_.pop()
+                    out.append((PLACED, i, n, seq, capacity - gap, own, 0))
+                    if gap > n:
+                        out.append((UPDATED, seq, gap - n, None, None, own, 0))
+                else:
+                    out.append((PIECE, i, n, None, None, own, wanting))
+                    wanting += 1
+            yield from _rows(out)
+        yield from _rows([(GAP, seq, gap, None, None, own, k) for k, (seq, gap) in enumerate(open_)])
 
-        for n, i in zip(size[what == PIECE].tolist(), ids[what == PIECE].tolist(), strict=True):
-            g = gaps.successor(n)
-            if g:
-                seq = gaps.pop(g)
-                out.append((PLACED, i, n, seq, capacity - g, own, 0))
-                gaps.push(g - n, seq)
-            else:
-                left(PIECE, i, n)
-        for g in sorted(gaps.stacks):
-            for seq in gaps.stacks[g]:
-                left(GAP, seq, g)
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        whole = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=SWEPT.names)
+    return sweep
+
+
+def _rows(out: list[tuple]):
+    if out:
+        whole = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=SWEPT.names)
         yield from whole.to_batches(max_chunksize=50_000)
 
-    return sweep
+
+def match_ranges(left: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Ranges (range, pieces left, gaps left), largest sizes first, to runs of pieces and of gaps: (range, first rank, first match, n).
+
+    Pieces of a range take the gaps of the nearest ranges before it, the smallest gaps first.
+    Matches are numbers; a run of gaps counts down from its first rank.
+    """
+    open_: list[list[int]] = []
+    pieces_, gaps_, match = [], [], 0
+    for at, wanting, gaps in left:
+        rank = 0
+        while rank < wanting and open_:
+            before, n = open_[-1]
+            used = min(n, wanting - rank)
+            pieces_.append((at, rank, match, used))
+            gaps_.append((before, n - 1, match, used))
+            rank, match = rank + used, match + used
+            open_[-1][1] -= used
+            if not open_[-1][1]:
+                open_.pop()
+        if gaps:
+            open_.append([at, gaps])
+    return pieces_, gaps_
+
+
+def _numbered(pieces_: list[tuple], gaps_: list[tuple]):
+    """Rows left over to ``number``: the match that their range and rank belong to, or -1."""
+
+    def table(runs: list[tuple], down: bool) -> tuple:
+        rows = sorted((r, first - n + 1 if down else first, first, match, n) for r, first, match, n in runs)
+        r, low, first, match, n = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 5
+        return r << 40 | low, r, low, first, match, n
+
+    sides = {PIECE: table(pieces_, False), GAP: table(gaps_, True)}
+
+    def look(batches):
+        for b in batches:
+            what, at, rank = (b.column(c).to_numpy().astype(np.int64) for c in ("what", "range", "rank"))
+            number = np.full(len(what), -1)
+            for kind, (marks, r, low, first, match, n) in sides.items():
+                own = np.flatnonzero(what == kind)
+                if not len(marks) or not len(own):
+                    continue
+                run = np.maximum(np.searchsorted(marks, at[own] << 40 | rank[own], "right") - 1, 0)
+                fits = (r[run] == at[own]) & (rank[own] >= low[run]) & (rank[own] < low[run] + n[run])
+                step = first[run] - rank[own] if kind == GAP else rank[own] - first[run]
+                number[own] = np.where(fits, match[run] + step, -1)
+            yield pa.RecordBatch.from_arrays([b.column("what"), b.column("id"), b.column("size"), pa.array(number)], names=["what", "id", "size", "number"])
+
+    return look
+
+
+def superstep(state: DataFrame, scratch: Scratch, capacity: int, ranges: int, name: str = "") -> tuple[DataFrame, DataFrame]:
+    """Placed pieces (id, seq, at), and the state (what, id, size) of what is left, after one round of matches."""
+    order = [F.col("size").desc(), F.col("what").desc(), F.col("id")]
+    swept = scratch.write(state.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweeper(capacity), SWEPT), f"swept{name}")
+    rest = swept.filter(F.col("what").isin(PIECE, GAP))
+    # two numbers a range
+    left = rest.groupBy("range").agg(F.count_if(F.col("what") == PIECE).alias("p"), F.count_if(F.col("what") == GAP).alias("g")).collect()
+    numbered = rest.select("what", "id", "size", "range", "rank").mapInArrow(_numbered(*match_ranges(sorted(tuple(r) for r in left))), "what int, id long, size int, number long")
+    pieces_, gaps_ = (numbered.filter((F.col("what") == kind) & (F.col("number") >= 0)).select("number", F.col("id").alias(i), F.col("size").alias(n)) for kind, i, n in ((PIECE, "id", "size"), (GAP, "seq", "gap")))
+    met = scratch.write(pieces_.join(gaps_, "number").select("id", "size", "seq", "gap"), f"met{name}")
+    placed = swept.filter(F.col("what") == PLACED).select("id", "seq", "at").union(met.select("id", "seq", (capacity - F.col("gap")).alias("at")))
+    over = numbered.filter(F.col("number") < 0).select("what", "id", "size")
+    updated = swept.filter(F.col("what") == UPDATED).select(F.lit(GAP).alias("what"), "id", "size").union(met.filter("gap > size").select(F.lit(GAP), "seq", F.col("gap") - F.col("size")))
+    return placed, over.union(updated)
+
+
+def _ranked(batches):
+    """Rows (what, id, size) with their rank among the task's rows of that kind and size."""
+    own, met = TaskContext.get().partitionId(), {}
+    for b in batches:
+        out = []
+        for kind, i, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            k = met[kind, n] = met.get((kind, n), -1) + 1
+            out.append((kind, i, n, None, None, own, k))
+        yield from _rows(out)
 
 
 def match_by_rank(pieces_: dict[int, int], gaps_: dict[int, int], capacity: int) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]], dict[int, int]]:
@@ -278,32 +357,38 @@ def _counts(rows: DataFrame) -> dict[int, dict[int, int]]:
     return out
 
 
-def place(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> DataFrame:
+def place(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS, supersteps: int = SUPERSTEPS) -> DataFrame:
     """Sequences for ``items`` (id, length): rows id, seq, at for all that joined a sequence.
 
     An item without a row here opened the sequence that bears its id; sequences opened by
-    rank have numbers below 0.
+    counts have numbers below 0.
     """
     state = items.filter((F.col("length") < capacity) & (F.col("length") > 0)).select(F.lit(PIECE).alias("what"), "id", F.col("length").cast("int").alias("size"))
     sizes = _counts(state.withColumn("n", F.lit(1)))[PIECE]
     if not sizes:
         return items.select("id", F.col("id").alias("seq"), F.lit(0).alias("at")).limit(0)
-    # pieces over half the capacity never share a sequence, so each opens one; of the others
-    # a share by hash, a little less than best fit of the counts opens
-    share = {s: min(1.0, max(0.0, (m - 4 * math.sqrt(m)) / sizes[s])) for s, m in match_by_rank(sizes, {}, capacity)[2].items() if 2 * s <= capacity}
-    dealt = F.create_map(*[F.lit(x) for s, p in share.items() for x in (s, int(p * (1 << 20)))])[F.col("size")] if share else F.lit(0)
-    opens = (2 * F.col("size") > capacity) | (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.coalesce(dealt, F.lit(0)))
-    now = state.select(F.when(opens, GAP).otherwise(PIECE).alias("what"), "id", F.when(opens, capacity - F.col("size")).otherwise(F.col("size")).alias("size"))
-    ranges = max(1, -(-sum(sizes.values()) // range_rows))
-    order = [F.col("size").desc(), F.col("what"), F.col("id")]
-    swept = scratch.write(now.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweeper(capacity), SWEPT), "swept")
-    left = swept.filter(F.col("what") != PLACED)
+    # the largest pieces open a sequence: all over half the capacity, and nearly as many as the total needs
+    need, count_ = sum(s * n for s, n in sizes.items()) // capacity, sum(sizes.values())
+    need -= need // 100
+    least, share = capacity, 1.0
+    for size in sorted(sizes, reverse=True):
+        if 2 * size <= capacity and need <= 0:
+            break
+        least, share = size, 1.0 if 2 * size > capacity else min(1.0, need / sizes[size])
+        need -= sizes[size]
+    some = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))
+    opens = (F.col("size") > least) | ((F.col("size") == least) & some)
+    state = state.select(F.when(opens, GAP).otherwise(PIECE).alias("what"), "id", F.when(opens, capacity - F.col("size")).otherwise(F.col("size")).alias("size"))
+    ranges, done = max(1, -(-count_ // range_rows)), None
+    for k in range(supersteps):
+        placed, state = superstep(state, scratch, capacity, ranges, str(k))
+        done = placed if done is None else done.union(placed)
+    left = scratch.write(state.mapInArrow(_ranked, SWEPT), "left")
     counts = left.groupBy("what", "size", "range").agg(F.count(F.lit(1)).alias("n"))
     totals = _counts(counts)
-    done = swept.filter(F.col("what") == PLACED).select("id", "seq", "at")
     if not totals[PIECE]:
         return done
-    # ranks across ranges: rows of a size before a range
+    # ranks across tasks: rows of a size before a task's
     before = counts.select("what", "size", "range", (F.sum("n").over(W.partitionBy("what", "size").orderBy("range")) - F.col("n")).alias("before"))
     ranked = left.join(before, ["what", "size", "range"]).select("what", "id", "size", (F.col("rank") + F.col("before")).alias("rank"))
     told, runs_of_gaps, _ = match_by_rank(totals[PIECE], totals[GAP], capacity)
@@ -311,7 +396,8 @@ def place(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, range_ro
     old = sum(totals[GAP].values())
     joined = met.filter((F.col("what") == PIECE) & (F.col("number") < old)).join(met.filter(F.col("what") == GAP).select("number", F.col("id").alias("seq")), "number").select("id", "seq", "at")
     new = met.filter(F.col("number") >= old).select("id", (old - 1 - F.col("number")).alias("seq"), "at")
-    return done.union(joined).union(new)
+    last = joined.union(new)
+    return last if done is None else done.union(last)
 
 
 def pack(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:

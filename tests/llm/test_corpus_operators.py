@@ -326,17 +326,9 @@ def _best_fit(sizes, capacity):
     return n
 
 
-@pytest.mark.parametrize("rows_a_range", [15, 400, 100_000])
-def test_supersteps_over_any_ranges_lose_nothing(spark, rows_a_range, monkeypatch):
-    r = random.Random(4)
-    items = spark.createDataFrame([(k, r.choice([3, 5, 700, 1500, 2100, r.randint(1, 4095)])) for k in range(3000)], "id long, length long")
-    tables = []
-    write = packing.Scratch.write
-    monkeypatch.setattr(packing.Scratch, "write", lambda self, df, name: tables.append(name) or write(self, df, name))
-    met = packing.place(items, packing.Scratch(spark, "test"), range_rows=rows_a_range)
-    assert tables == ["swept", "met"]  # 1 or 200 ranges, supersteps are two
+def _places(items, met, capacity=4096):
     whole = items.join(met, "id", "left").select("id", "length", F.coalesce("seq", "id").alias("seq"), F.coalesce("at", F.lit(0)).alias("at")).collect()
-    assert len(whole) == 3000
+    assert len(whole) == items.count()
     by = {}
     for x in whole:
         by.setdefault(x.seq, []).append((x["at"], x.length))
@@ -345,10 +337,80 @@ def test_supersteps_over_any_ranges_lose_nothing(spark, rows_a_range, monkeypatc
         for a, n in sorted(own):
             assert a == at
             at += n
-        assert at <= 4096
+        assert at <= capacity
+    return whole, by
+
+
+@pytest.mark.parametrize("rows_a_range", [15, 400, 100_000])
+def test_supersteps_over_any_ranges_lose_nothing(spark, rows_a_range, monkeypatch):
+    r = random.Random(4)
+    items = spark.createDataFrame([(k, r.choice([3, 5, 700, 1500, 2100, r.randint(1, 4095)])) for k in range(3000)], "id long, length long")
+    tables = []
+    write = packing.Scratch.write
+    monkeypatch.setattr(packing.Scratch, "write", lambda self, df, name: tables.append(name) or write(self, df, name))
+    met = packing.place(items, packing.Scratch(spark, "test"), range_rows=rows_a_range)
+    assert len(tables) == 2 * packing.SUPERSTEPS + 2  # 1 or 200 ranges
+    whole, by = _places(items, met)
     assert len(by) <= _best_fit([x.length for x in whole], 4096) * 1.01 + 1
 
 
+@pytest.mark.parametrize("ranges", [1, 200])
+def test_most_pieces_are_placed_by_sweeps(spark, ranges, monkeypatch):
+    r = random.Random(5)
+    sizes = [min(4095, int(r.lognormvariate(6, 1)) + 1) for _ in range(8_000)]
+    items = spark.createDataFrame(list(enumerate(sizes)), "id long, length long")
+    by_counts = []
+    told = packing.match_by_rank
+    monkeypatch.setattr(packing, "match_by_rank", lambda p, g, c: by_counts.append(sum(p.values())) or told(p, g, c))
+    _, by = _places(items, packing.place(items, packing.Scratch(spark, "test"), range_rows=8_000 // ranges))
+    assert len(by) <= math.ceil(sum(sizes) / 4096) + 1  # the lower bound and one
+    assert by_counts[0] < len(sizes) / 2
+    # as many pieces are left, wherever ranges are cut
+    assert abs(by_counts[0] - (len(sizes) - _swept(sizes))) <= 40
+
+
+def _swept(sizes, capacity=4096, supersteps=packing.SUPERSTEPS):
+    """Pieces that open a sequence, and those that plain stacks place in all supersteps (ties of the last size that opens aside)."""
+    need = sum(sizes) // capacity
+    need -= need // 100
+    order = sorted(sizes, reverse=True)
+    opened = max(need, sum(2 * x > capacity for x in order))
+    gaps, left = [capacity - x for x in order[:opened]], order[opened:]
+    placed = opened
+    for _ in range(supersteps):
+        stack, new, rest = [], [], []
+        for size, kind in sorted([(g, 1) for g in gaps if g] + [(x, 0) for x in left], reverse=True):
+            if kind:
+                stack.append(size)
+            elif stack:
+                new.append(stack.pop() - size)
+                placed += 1
+            else:
+                rest.append(size)
+        gaps, left = stack + new, rest
+    return placed
+
+
+def test_ranges_are_matched_as_brackets():
+    r = random.Random(11)
+    for _ in range(60):
+        left = [(k, r.randint(0, 4), r.randint(0, 4)) for k in range(r.randint(1, 7))]
+        pieces_, gaps_ = packing.match_ranges(left)
+        pairs = {}
+        for at, first, match, n in pieces_:
+            pairs |= {match + i: [(at, first + i)] for i in range(n)}
+        for at, first, match, n in gaps_:
+            for i in range(n):
+                pairs[match + i].append((at, first - i))
+        stack, plain = [], []
+        for at, wanting, gaps in left:
+            for k in range(wanting):
+                if stack:
+                    plain.append([(at, k), stack.pop()])
+            stack += [(at, k) for k in range(gaps)]
+        assert sorted(pairs.values()) == sorted(plain)
+
+
 def test_matching_by_rank_is_best_fit_decreasing():
     r = random.Random(8)
     for k in range(40):
