@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
+from array import array
 from functools import cache
 from itertools import batched, chain
 
@@ -48,6 +49,20 @@ PIECE, GAP, PLACED, UPDATED = 0, 1, 2, 3
 _TAIL = ".,;:!?)]}\"|*#$%&"
 
 
+_TAIL_BYTES, _HIGH = _TAIL.encode(), [bytes([b | 0x80]) for b in range(256)]
+_WORD_END = "</w>"
+
+
+def _plain(word: str) -> bool:
+    return word.isascii() and word.isalpha() and word.islower()
+
+
+def _closed(word: str, end: bool) -> bytes:
+    """A token's letters as bytes, that which closes a word with its high bit set."""
+    letters = word.encode()
+    return letters[:-1] + _HIGH[letters[-1]] if end else letters
+
+
 class WordTokens:
     """A tokenizer's ids (packed 32-bit little-endian) by word between ASCII white space.
 
@@ -57,11 +72,18 @@ class WordTokens:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # words of ASCII letters by the same ranks with a faster library: the letter that closes
+        # a word is a byte of its own
+        ranks = {_closed(x.removesuffix(_WORD_END), x.endswith(_WORD_END)): i for x, i in self.tokenizer.get_vocab().items() if _plain(x.removesuffix(_WORD_END))}
+        self.letters = tiktoken.Encoding(path, pat_str=".", mergeable_ranks=ranks, special_tokens={})
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
         self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closing[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
 
@@ -76,6 +98,26 @@ class WordTokens:
         return (core, word[len(core) :]) if len(core) < len(word) else (core,)
 
     def learn(self, new: set[bytes]) -> None:
+        """Ids of words: ASCII letters and a tail of marks at once, all others in parts by the tokenizer."""
+        encode, cores, tails, words, others = self.letters._core_bpe.encode_single_piece, self.cores, self.tails, self.words, []
+        for w in new:
+            core = w.rstrip(_TAIL_BYTES)
+            if not (core.isalpha() and core.islower()):
+                others.append(w)
+                continue
+            own = cores.get(core)
+            if own is None:
+                own = cores[core] = array("I", encode(core[:-1] + _HIGH[core[-1]])).tobytes()
+            if len(core) < len(w):
+                tail = w[len(core) :]
+                if tail not in tails:
+                    tails[tail] = np.array(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                own += tails[tail]
+            words[w] = own
+        if others:
+            self._learn_others(others)
+
+    def _learn_others(self, new: list[bytes]) -> None:
         cut, parts, odd = [], set(), []
         for w in new:
             own = self.split(w.decode())
@@ -112,8 +154,9 @@ class WordTokens:
             every = set(chain.from_iterable(some))
             if len(self.words) + len(every) > CACHED:
                 self.words.clear()
-            if len(self.parts) > CACHED:
-                self.parts.clear()
+            for own in (self.parts, self.cores, self.tails):
+                if len(own) > CACHED:
+                    own.clear()
             self.learn(every - self.words.keys())
             get = self.words.__getitem__
             yield from (b"".join(map(get, r)) for r in some)
