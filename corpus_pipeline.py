@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's documents. All but the last return the columns of
-documents.
+documents. An empty table goes through all stages. Further columns stay as they are, but for
+those named ``rejected`` or ``kept``, which come back as the verdicts that let a row stay.
 """
 
 from __future__ import annotations
