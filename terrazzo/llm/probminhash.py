@@ -359,7 +359,7 @@ def _joined(links: DataFrame, root: DataFrame, scratch: Scratch, k: int) -> Data
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """Per document (k0, k1 as in ``keyed``): class_id, class_size, kept."""
+    """Per document (k0, k1 as in ``keyed``): class_id, kept."""
     scratch = Scratch(docs.sparkSession, "near")
     base = keyed(docs, text, key)
     signed = scratch.write(annotate(base, sign, ["t"], SIGNED, ["k0", "k1"]), "signed")

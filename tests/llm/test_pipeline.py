@@ -134,11 +134,11 @@ def test_an_empty_table_goes_through_all_stages(spark):
 
 def test_columns_named_like_results_stay_as_they_are(spark, stages):
     some = stages[0].limit(120)
-    docs = some.withColumn("kept", F.lit(False)).withColumn("size", F.lit(7).cast("long")).withColumn("id", F.lit("x")).withColumn("sequence_id", F.lit(3).cast("long")).withColumn("rejected", F.lit(5))
+    docs = some.withColumn("size", F.lit(7).cast("long")).withColumn("id", F.lit("x")).withColumn("sequence_id", F.lit(3).cast("long")).withColumn("class_id", F.lit(5))
     wide, plain = docs, some
     for _, stage in corpus_pipeline.STAGES[:-1]:
         wide, plain = stage(spark, wide, SF).cache(), stage(spark, plain, SF).cache()
         assert wide.columns == docs.columns
         assert sorted(r.doc_id for r in wide.collect()) == sorted(r.doc_id for r in plain.collect())
-    assert wide.filter(~F.col("kept") & (F.col("size") == 7) & (F.col("id") == "x") & (F.col("sequence_id") == 3) & (F.col("rejected") == 5)).count() == wide.count() > 0
+    assert wide.filter((F.col("size") == 7) & (F.col("id") == "x") & (F.col("sequence_id") == 3) & (F.col("class_id") == 5)).count() == wide.count() > 0
     assert corpus_pipeline.STAGES[-1][1](spark, wide, SF).count() == corpus_pipeline.STAGES[-1][1](spark, plain, SF).count()
