@@ -53,11 +53,30 @@ def is_connected(edges: DataFrame, units: DataFrame) -> bool:
     return whole.filter("component > 1").limit(1).count() == 0
 
 
+#: Draws whose districts of a unit make one row.
+SLOTS = 32
+
+
+def unit_rows(assignments: DataFrame) -> DataFrame:
+    """unit_id, block, plan: the unit's districts in draws ``SLOTS * block`` and on, null where a draw lacks it."""
+    slot = F.pmod(F.col("draw"), F.lit(SLOTS))
+    plan = F.array(*[F.max(F.when(slot == k, F.col("district"))) for k in range(SLOTS)])
+    return assignments.groupBy("unit_id", F.floor(F.col("draw") / SLOTS).alias("block")).agg(plan.alias("plan"))
+
+
 def cut_edges(edges: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Undirected edges between districts: draw, src, dst, a, b."""
-    a = assignments.select("draw", F.col("unit_id").alias("src"), F.col("district").alias("a"))
-    b = assignments.select("draw", F.col("unit_id").alias("dst"), F.col("district").alias("b"))
-    return a.join(small(edges.filter("src < dst")), "src").join(b, ["draw", "dst"]).filter("a <> b").select("draw", "src", "dst", "a", "b")
+    """Undirected edges between districts: draw, src, dst, a, b.
+
+    Ends meet as rows of many draws, of which only those that differ become rows of their own.
+    """
+    rows = unit_rows(assignments)
+    a = rows.select(F.col("unit_id").alias("src"), "block", F.col("plan").alias("a"))
+    b = rows.select(F.col("unit_id").alias("dst"), "block", F.col("plan").alias("b"))
+    met = a.join(small(edges.filter("src < dst")), "src").join(b.hint("merge"), ["block", "dst"])
+    ends = F.transform(F.arrays_zip("a", "b"), lambda x, k: F.struct(k.alias("k"), x["a"].alias("a"), x["b"].alias("b")))
+    cut = met.select("block", "src", "dst", F.explode(F.filter(ends, lambda x: x["a"] != x["b"])).alias("c"))
+    draw = (F.col("block") * SLOTS + F.col("c.k")).cast(assignments.schema["draw"].dataType)
+    return cut.select(draw.alias("draw"), "src", "dst", "c.a", "c.b")
 
 
 def edges_removed(edges: DataFrame, assignments: DataFrame) -> DataFrame:
