@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .sizes import small
+from .sizes import counted, small
 
 
 #: Units whose plans meet in a tile of pairs; draws that a tile compares at once.
@@ -156,7 +156,7 @@ def diversity(assignments: DataFrame, units: DataFrame, pop: str = "pop", n_max:
 
 def projected(assignments: DataFrame, stats: DataFrame, column: str) -> DataFrame:
     """The district's value at each unit, draw by draw."""
-    return assignments.join(stats.select("draw", "district", F.col(column).alias("value")), ["draw", "district"]).select("draw", "unit_id", "value")
+    return assignments.join(counted(stats.select("draw", "district", F.col(column).alias("value"))), ["draw", "district"]).select("draw", "unit_id", "value")
 
 
 def projective_average(assignments: DataFrame, stats: DataFrame, column: str) -> DataFrame:

@@ -33,3 +33,13 @@ def test_cut_edges_are_those_of_each_draw(spark, draws):
     assert sorted(map(tuple, found.collect())) == sorted(plain)
     e = customer_grid.customer_plans(spark, SF)
     assert "hashpartitioning(draw" not in _plan(graph.cut_edges(e.map.edges, e.assignments))  # no row a draw is shuffled
+
+
+def test_projection_does_not_shuffle_the_rows_of_units(spark):
+    e = customer_grid.customer_plans(spark, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(overlap.projective_average(e.assignments, tally.group_share(e.assignments, e.map.units, "grp"), "share"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
