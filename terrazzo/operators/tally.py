@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .sizes import small
+from .sizes import by_key, small
 
 BY = ["draw", "district"]
 #: Fixed value: the constant of circular compactness scores.
@@ -22,12 +22,12 @@ def _col(x: str | Column) -> Column:
 
 
 def placed(assignments: DataFrame, units: DataFrame, *columns: str) -> DataFrame:
-    return assignments.join(small(units.select("unit_id", *dict.fromkeys(columns))), "unit_id")
+    return assignments.join(by_key(units.select("unit_id", *dict.fromkeys(columns))), "unit_id")
 
 
 def tally(assignments: DataFrame, units: DataFrame, **sums: str | Column) -> DataFrame:
     """Sums over the units of each district: ``tally(asg, units, people="pop")``."""
-    return assignments.join(small(units), "unit_id").groupBy(*BY).agg(*[F.sum(_col(x)).alias(n) for n, x in sums.items()])
+    return assignments.join(by_key(units), "unit_id").groupBy(*BY).agg(*[F.sum(_col(x)).alias(n) for n, x in sums.items()])
 
 
 def share(top: str | Column, bottom: str | Column) -> Column:

@@ -43,3 +43,13 @@ def test_projection_does_not_shuffle_the_rows_of_units(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_tallies_of_large_maps_neither_sort_nor_shuffle_assignments(spark):
+    e = customer_grid.customer_plans(spark, SF)
+    large = e.map.units.crossJoin(spark.range(1 << 20).limit(1).select())  # one row, which Catalyst takes for many
+    wide = large.crossJoin(spark.range(1 << 24).filter("id = 0").select())
+    found = tally.tally(e.assignments, wide, x="pop")
+    plan = _plan(found)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin [unit_id" not in plan
+    assert found.agg(F.sum("x")).first()[0] == 100 * e.map.units.agg(F.sum("pop")).first()[0]
