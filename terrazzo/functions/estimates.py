@@ -58,6 +58,8 @@ def average_ranks(draws: DataFrame, column: str) -> DataFrame:
     rows of the ranges before (a row a range) and ranks within a range add up. However skewed
     or clustered the values are, no range holds more than its share of distinct ones.
     """
+    # written once: a range sort reads its input twice (once for a sample), and ranks join it again
+    draws = shared_table(draws)
     values = draws.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     # written once, so that ranges stay as they are
     dealt = shared_table(values.repartitionByRange(column).select(column, "n", F.spark_partition_id().alias("_range")))

@@ -53,3 +53,21 @@ def test_tallies_of_large_maps_neither_sort_nor_shuffle_assignments(spark):
     plan = _plan(found)
     assert "ShuffledHashJoin" in plan and "SortMergeJoin [unit_id" not in plan
     assert found.agg(F.sum("x")).first()[0] == 100 * e.map.units.agg(F.sum("pop")).first()[0]
+
+
+def _told(spark, rows, schema):
+    """Rows that count how often they are computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    return spark.createDataFrame(rows, schema).mapInPandas(count, schema), seen
+
+
+def test_ranks_compute_their_rows_once(spark):
+    draws, seen = _told(spark, [(k, float(k % 5)) for k in range(40)], "draw int, x double")
+    found = {r.draw: r["rank"] for r in estimates.average_ranks(draws, "x").collect()}
+    assert seen.value == 40 and found == {k: 8 * (k % 5) + 4.5 for k in range(40)}
