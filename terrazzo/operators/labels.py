@@ -101,7 +101,8 @@ def _lowest_so_far(scores: DataFrame, key: str, first: str, second: str) -> Data
     Rows are range-sorted by the first score; the least second score of the ranges before (a
     row a range) and of the rows before within a range are all that is asked for.
     """
-    dealt = shared_table(scores.repartitionByRange(first).withColumn("_range", F.spark_partition_id()))
+    # written first, as a range sort reads its input twice, once for a sample
+    dealt = shared_table(shared_table(scores).repartitionByRange(first).withColumn("_range", F.spark_partition_id()))
     lows = dealt.groupBy("_range").agg(F.min(second).alias("_low"))
     ahead = lows.select("_range", F.min("_low").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_ahead"))
     within = F.min(second).over(W.partitionBy("_range").orderBy(first, second, key).rowsBetween(W.unboundedPreceding, -1))

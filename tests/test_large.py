@@ -71,3 +71,10 @@ def test_ranks_compute_their_rows_once(spark):
     draws, seen = _told(spark, [(k, float(k % 5)) for k in range(40)], "draw int, x double")
     found = {r.draw: r["rank"] for r in estimates.average_ranks(draws, "x").collect()}
     assert seen.value == 40 and found == {k: 8 * (k % 5) + 4.5 for k in range(40)}
+
+
+def test_frontiers_compute_their_rows_once(spark):
+    rows = [(k, float(k), float(abs(k - 20))) for k in range(40)]
+    scores, seen = _told(spark, rows, "draw int, a double, b double")
+    found = sorted(r.draw for r in labels.not_dominated(scores, "draw", ["a", "b"]).collect())
+    assert seen.value == 40 and found == list(range(21))
