@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_table
 from . import overlap, spectral
-from .sizes import small
+from .sizes import ROWS, small
 
 #: Draws whose matrix of distances may be formed on the driver, for linkage.
 MOST_DRAWS = 2_000
@@ -61,23 +62,35 @@ def _splits(sets: DataFrame, ndists: int, thresh: float) -> DataFrame:
     The difference of the two smoothed co-occurrences is applied to a vector without forming
     it: co-occurrence times a vector is the vector's sum over each district, sent back to the
     district's units, and smoothing adds a share of the whole sum and of the vector itself.
+    A unit's row holds the numbers of all its districts, so a round is one pass over units.
     """
     spark = sets.sparkSession
-    counts = {(r["grp"], r["side"]): r["n"] for r in sets.groupBy("grp", "side").agg(F.countDistinct("draw").alias("n")).collect()}
+    by = ["grp", "side", "draw", "district"]
+    every = shared_table(sets.select(*by).distinct())
+    counts = {(r["grp"], r["side"]): r["n"] for r in every.groupBy("grp", "side").agg(F.countDistinct("draw").alias("n")).collect()}
     groups, share = sorted({g for g, _ in counts}), 1 / ndists
     n = {k: counts.get(k, 0) for g in groups for k in ((g, 1), (g, 2))}
     scalars = small(spark.createDataFrame([(g, share / (n[g, 1] + 1) - share / (n[g, 2] + 1), (n[g, 2] + share) / (n[g, 2] + 1) - (n[g, 1] + share) / (n[g, 1] + 1)) for g in groups], "grp string, all_ double, own double"))
     weights = small(spark.createDataFrame([(g, side, (1 if side == 1 else -1) / (k + 1)) for (g, side), k in n.items()], "grp string, side int, weight double"))
-    placed = shared_table(sets.join(weights, ["grp", "side"]).select("grp", "side", "draw", F.col("unit_id").cast("long").alias("node"), "district", "weight"))
-    by = ["grp", "side", "draw", "district"]
+    # numbers from 0 in each group; a row a district and draw
+    cells = shared_table(every.join(weights, ["grp", "side"]).select(*by, "weight", (F.row_number().over(W.partitionBy("grp").orderBy(*by[1:])) - 1).cast("int").alias("cell")))
+    few = cells.count() <= ROWS
+    cells = F.broadcast(cells) if few else cells.hint("merge")
+    nodes = sets.join(cells, by).groupBy("grp", F.col("unit_id").cast("long").alias("node")).agg(F.collect_list("cell").alias("cells"))
 
     def apply(v: DataFrame) -> DataFrame:
-        sums = placed.join(small(v), ["grp", "node"]).groupBy(*by).agg(F.sum("x").alias("s"))
-        back = placed.join(sums, by).groupBy("grp", "node").agg(F.sum(F.col("weight") * F.col("s")).alias("c"))
-        total = v.groupBy("grp").agg(F.sum("x").alias("t"))
-        return v.join(back, ["grp", "node"], "left").join(small(total), "grp").join(scalars, "grp").select("grp", "node", (F.coalesce("c", F.lit(0.0)) + F.col("all_") * F.col("t") + F.col("own") * F.col("x")).alias("w"))
-
-    found = spectral.leading(placed.select("grp", "node").distinct(), apply, high=1, low=1)
+        sums = v.select("grp", F.explode("cells").alias("cell"), "x").groupBy("grp", "cell").agg(F.sum("x").alias("s"))
+        sums = sums.join(cells.select("grp", "cell", "weight"), ["grp", "cell"]).select("grp", "cell", (F.col("weight") * F.col("s")).alias("s"))
+        whole = v.groupBy("grp").agg(F.sum("x").alias("t")).join(scalars, "grp")
+        if few:  # all sums of a group go to its units as one array
+            whole = whole.join(sums.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "s"))), lambda x: x["s"]).alias("s")), "grp")
+            back, c = v, F.aggregate("cells", F.lit(0.0), lambda a, x: a + F.get("s", x))
+        else:
+            met = v.select("grp", "node", F.explode("cells").alias("cell")).join(sums.hint("merge"), ["grp", "cell"])
+            back, c = v.join(met.groupBy("grp", "node").agg(F.sum("s").alias("c")).hint("merge"), ["grp", "node"]), F.col("c")
+        return back.join(F.broadcast(whole), "grp").select(*v.columns, (c + F.col("all_") * F.col("t") + F.col("own") * F.col("x")).alias("w"))
+
+    found = spectral.leading(nodes, apply, high=1, low=1)
     part = (F.col("value") > F.col("cut")).cast("int") - (F.col("value") < -F.col("cut")).cast("int")
     tops = small(found.groupBy("grp", "place").agg((thresh * F.max(F.abs("value"))).alias("cut")))
     # split 2 is the largest eigenvalue of the negative, so the smallest of the difference

@@ -61,10 +61,11 @@ def _products(own: DataFrame, k: int) -> dict[str, tuple[np.ndarray, np.ndarray,
             for g, rows in pdf.groupby("grp"):
                 q, w = np.stack(rows["q"].to_numpy()), rows["w"].to_numpy()
                 sums[g] = sums.get(g, 0.0) + np.concatenate([w @ q, q[:, -1] @ q, [w @ w]])
-        yield pd.DataFrame({"grp": list(sums), "s": list(sums.values())})
+        if sums:
+            yield pd.DataFrame({"grp": list(sums), "s": list(sums.values())})
 
     out: dict[str, np.ndarray] = {}
-    for r in own.mapInPandas(add, "grp string, s array<double>").collect():
+    for r in own.select("grp", "q", "w").mapInPandas(add, "grp string, s array<double>").collect():
         out[r["grp"]] = out.get(r["grp"], 0.0) + np.array(r["s"])
     return {g: (s[:k], s[k : 2 * k], float(s[-1])) for g, s in out.items()}
 
@@ -73,22 +74,28 @@ def leading(nodes: DataFrame, apply: Callable[[DataFrame], DataFrame], high: int
     """grp, place, eigenvalue, node, value: unit eigenvectors of the ``high`` largest and ``low`` smallest eigenvalues.
 
     ``nodes`` has (grp string, node long); ``apply`` maps (grp, node, x) to (grp, node, w), nodes
-    without a row being 0. Places count from 1 at the largest, and from -1 at the smallest.
+    without a row being 0. Further columns of ``nodes`` go along with their node: then ``apply``
+    gets whole rows with x and adds w to them, and no round joins nodes. Places count from 1 at the largest, and from -1 at the smallest.
     The entry of largest size is positive (ties, to nine digits: the first node).
     """
     spark = nodes.sparkSession
     start = (F.pmod(F.xxhash64("node"), F.lit(1 << 20)) + 1).cast("double") / (1 << 20) - 0.4
-    first = shared_table(nodes.select("grp", "node", start.alias("x")))
+    further = [c for c in nodes.columns if c not in ("grp", "node")]
+    first = shared_table(nodes.select("grp", "node", start.alias("x"), *further))
     size = {r["grp"]: r for r in first.groupBy("grp").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("s"), F.count(F.lit(1)).alias("n")).collect()}
     if not size:
         return spark.createDataFrame([], "grp string, place int, eigenvalue double, node long, value double")
     groups = {g: _Group() for g in size}
     scale = small(spark.createDataFrame([(g, r["s"]) for g, r in size.items()], "grp string, s double"))
-    now = first.join(scale, "grp").select("grp", "node", F.array(F.col("x") / F.col("s")).alias("q"))
+    now = first.join(scale, "grp").select("grp", "node", F.array(F.col("x") / F.col("s")).alias("q"), *further)
     grams = {g: np.zeros((0, 0)) for g in size}
     for k in range(1, rounds + 1):
-        w = apply(now.select("grp", "node", F.element_at("q", -1).alias("x")))
-        own = shared_table(now.join(w, ["grp", "node"], "left").select("grp", "node", "q", F.coalesce("w", F.lit(0.0)).alias("w")))
+        last_of = F.element_at("q", -1).alias("x")
+        if further:
+            applied = apply(now.select("*", last_of))
+        else:
+            applied = now.join(apply(now.select("grp", "node", last_of)), ["grp", "node"], "left")
+        own = shared_table(applied.select("grp", "node", "q", F.coalesce("w", F.lit(0.0)).alias("w"), *further))
         told = {}
         for g, (h, last, square) in _products(own, k).items():
             gram = grams[g] = np.block([[grams[g], last[:-1, None]], [last[None, :]]])
@@ -102,7 +109,7 @@ def leading(nodes: DataFrame, apply: Callable[[DataFrame], DataFrame], high: int
         if all(g.done for g in groups.values()) or k == rounds:
             break
         known = small(spark.createDataFrame(list(told.items()), "grp string, h array<double>"))
-        now = own.join(known, "grp").select("grp", "node", F.concat("q", F.array((F.col("w") - _dot(F.col("q"), F.slice("h", 1, k))) * F.element_at("h", -1))).alias("q"))
+        now = own.join(known, "grp").select("grp", "node", F.concat("q", F.array((F.col("w") - _dot(F.col("q"), F.slice("h", 1, k))) * F.element_at("h", -1))).alias("q"), *further)
     mixes = []
     for g, own_group in groups.items():
         for at, (value, mix) in enumerate(own_group.extremes(high, low)):

@@ -78,3 +78,30 @@ def test_frontiers_compute_their_rows_once(spark):
     scores, seen = _told(spark, rows, "draw int, a double, b double")
     found = sorted(r.draw for r in labels.not_dominated(scores, "draw", ["a", "b"]).collect())
     assert seen.value == 40 and found == list(range(21))
+
+
+def test_nodes_bring_what_their_operator_asks_for(spark):
+    r = np.random.default_rng(4)
+    a = r.normal(size=(10, 10))
+    a = a + a.T
+    nodes = spark.createDataFrame([("", i, [float(x) for x in a[i]]) for i in range(10)], "grp string, node long, row array<double>")
+
+    def apply(v):
+        whole = v.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "x"))), lambda p: p["x"]).alias("all"))
+        own = F.aggregate(F.zip_with("row", "all", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        return v.join(F.broadcast(whole), "grp").select(*v.columns, own.alias("w"))
+
+    found = spectral.leading(nodes, apply).collect()
+    value, vector = np.linalg.eigh(a)
+    own = [x["value"] for x in sorted(found, key=lambda x: x["node"])]
+    assert found[0]["eigenvalue"] == pytest.approx(value[-1], abs=1e-6) and abs(vector[:, -1] @ own) == pytest.approx(1, abs=1e-6)
+
+
+def test_sets_of_many_districts_are_compared_alike(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = [(d, u, int(r.integers(1, 4))) for d in range(6) for u in range(7)]
+    asg = spark.createDataFrame(rows, "draw int, unit_id int, district int")
+    told = lambda: sorted((x.split, x.unit_id, round(x.value, 6), round(x.separation, 6)) for x in compare.compare_sets(asg.filter("draw < 3"), asg.filter("draw >= 3"), 3).collect())
+    few = told()
+    monkeypatch.setattr(compare, "ROWS", 0)
+    assert told() == few
