@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import replace
 from itertools import product
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import graph, tally
+from ..operators import graph, resample, tally
 from ..operators.penalties import Penalty
 from ..sources.shared import shared_table
 from .model import PlanMap
@@ -243,20 +244,18 @@ def parallel_tempering(m: PlanMap, starts: DataFrame, nsims: int, energy: Callab
 def reweighted(draws: DataFrame, energies: DataFrame, beta: float, n: int, seed: int = 1) -> DataFrame:
     """draw, pick: ``n`` draws with replacement, weighted by exp(beta * energy), which undoes the target's exp(-beta * energy).
 
-    Weights are summed along ranges of draws, so picks meet draws by range and place.
+    Picks are of low variance: each draw comes ``n`` times its share of the weight, rounded up
+    or down, so what they tell of the target is not left to chance. Any run of consecutive pick
+    numbers is spread evenly over the draws.
     """
     w = draws.select("draw").join(energies.select("draw", "energy"), "draw")
     top = w.agg(F.max(F.col("energy") * beta).alias("m")).first()["m"]
-    w = w.select("draw", F.exp(F.col("energy") * beta - top).alias("w"), F.floor(F.col("draw") / 10_000).alias("block"))
-    blocks = w.groupBy("block").agg(F.sum("w").alias("s"))
-    # one row for 10,000 draws
-    before = blocks.select("block", (F.sum("s").over(W.orderBy("block")) - F.col("s")).alias("before"), F.sum("s").over(W.orderBy("block")).alias("upto"), F.sum("s").over(W.partitionBy()).alias("total"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) / float(1 << 40)
-    picks = draws.sparkSession.range(n).select((F.col("id") + 1).cast("int").alias("pick"), u.alias("u"))
-    placed = picks.join(F.broadcast(before), (F.col("u") * F.col("total") >= F.col("before")) & (F.col("u") * F.col("total") < F.col("upto"))).select("pick", "block", (F.col("u") * F.col("total") - F.col("before")).alias("mark"))
-    run = W.partitionBy("block").orderBy("draw")
-    spans = w.select("draw", "block", (F.sum("w").over(run) - F.col("w")).alias("a"), F.sum("w").over(run).alias("z"))
-    return placed.join(spans, "block").filter("mark >= a AND mark < z").select("draw", "pick")
+    w = w.select(F.col("draw").cast("long").alias("id"), F.exp(F.col("energy") * beta - top).alias("w"))
+    drawn = resample.low_variance(w, n, float(np.random.default_rng(seed).random()), name="place")
+    # pick k lies at place k * step, with a step near the golden section of n and prime to it
+    step = next(k for k in range(max(1, round(n * 0.618)), n + 2) if math.gcd(k, n) == 1)
+    pick = F.pmod(F.col("place") * pow(step, -1, n), F.lit(n)) + 1
+    return drawn.select(F.col("id").cast(draws.schema["draw"].dataType).alias("draw"), pick.cast("int").alias("pick"))
 
 
 # bursts with several scores

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terrazzo.functions import estimates
 from terrazzo.operators import compare, graph, labels, overlap, spectral, tally
+from terrazzo.plans import search
 from terrazzo.sources import customer_grid
 
 SF = "/root/testdata/sf0.001"
@@ -105,3 +106,18 @@ def test_sets_of_many_districts_are_compared_alike(spark, monkeypatch):
     few = told()
     monkeypatch.setattr(compare, "ROWS", 0)
     assert told() == few
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_reweighted_draws_come_as_often_as_they_weigh(spark, seed):
+    energy = {d: 1 + (d * 7 % 11) / 300 for d in range(1, 51)}
+    draws = spark.createDataFrame([(d,) for d in energy], "draw int")
+    found = search.reweighted(draws, spark.createDataFrame(list(energy.items()), "draw int, energy double"), 8.0, 400, seed=seed).collect()
+    assert sorted(r.pick for r in found) == list(range(1, 401))
+    w = np.exp([8 * x for x in energy.values()])
+    for d, share in zip(energy, w / w.sum()):
+        assert abs(sum(r.draw == d for r in found) - 400 * share) < 1
+    # the gain that is expected is a tenth of the spread: single draws by chance miss it often
+    assert np.mean([energy[r.draw] for r in found]) > np.mean(list(energy.values()))
+    early = [sum(r.draw <= 25 for r in found if r.pick <= k) / k for k in (20, 100)]
+    assert all(abs(x - 0.5) < 0.12 for x in early)
