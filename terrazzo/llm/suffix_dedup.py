@@ -48,7 +48,7 @@ from .columns import annotate, blobs, bounded_batches, joined, quoted, slices
 from .scratch import Scratch
 
 SPAN, LEAD = 100, 32
-CHUNK = 1_500_000
+CHUNK = 600_000
 #: Suffixes in a bucket, splitters at most (ranges beyond are parted by hash), sampled suffixes a bucket.
 IN_BUCKET, SPLITTERS, SAMPLED = 150_000, 4_096, 16
 #: Leading tokens that are kept out of buckets: this many of the largest at most, which bounds all
@@ -218,6 +218,19 @@ def _sorted(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, common
 
 
+def surroundings(data: np.ndarray, place: np.ndarray, steps: np.ndarray, n: np.ndarray, at_once: int = 8_192) -> np.ndarray:
+    """A row a place: the bytes at ``steps`` from it, 0 after the first ``n``.
+
+    Some thousand rows at a time, as a place takes eight times the memory of its byte.
+    """
+    out = np.zeros((len(place), len(steps)), np.uint8)
+    for a in range(0, len(place), at_once):
+        x = slice(a, a + at_once)
+        at = np.clip(place[x, None] + steps, 0, len(data) - 1)
+        out[x] = np.where(np.arange(len(steps)) < n[x, None], data[at], 0)
+    return out
+
+
 def compare(k0, k1, start, low, high, left: np.ndarray, right: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Of suffixes with their bytes behind (reversed) and ahead: least and largest covered offset (-1: none)."""
     n = len(k0)
@@ -378,10 +391,8 @@ def covered(keyed: DataFrame, span: int = SPAN, lead: int = LEAD) -> DataFrame:
         place = np.concatenate([[0], np.cumsum(length)[:-1]]) + high  # of the suffix in the data
         _, keep = np.unique(np.stack([k0, k1, start]), axis=1, return_index=True)  # rows that repeat
         k0, k1, start, low, high, place = (c[keep] for c in (k0, k1, start, low, high, place))
-        ahead = np.arange(span)
-        right = np.where(ahead < (span - low)[:, None], data[np.minimum(place[:, None] + ahead, len(data) - 1)], 0).astype(np.uint8)
-        back = np.arange(span - lead)
-        left = np.where(back < high[:, None], data[np.maximum(place[:, None] - 1 - back, 0)], 0).astype(np.uint8)
+        right = surroundings(data, place, np.arange(span), span - low)
+        left = surroundings(data, place, -1 - np.arange(span - lead), high)
         least, most = compare(k0, k1, start, low, high, left, right, span)
         dup = np.flatnonzero(most >= 0)
         return pa.Table.from_batches([_batch([(k0[dup], k1[dup], _run(start[dup] - most[dup], start[dup] - least[dup] + span))], ["k0", "k1", "run"], [pa.int64()] * 3)])

@@ -1,10 +1,13 @@
 """What keeps work on large maps whole: estimates, joins and passes over assignment rows."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from terrazzo.functions import estimates
+from terrazzo.llm import suffix_dedup
 from terrazzo.operators import compare, graph, labels, overlap, spectral, tally
 from terrazzo.plans import search
 from terrazzo.sources import customer_grid
@@ -121,3 +124,16 @@ def test_reweighted_draws_come_as_often_as_they_weigh(spark, seed):
     assert np.mean([energy[r.draw] for r in found]) > np.mean(list(energy.values()))
     early = [sum(r.draw <= 25 for r in found if r.pick <= k) / k for k in (20, 100)]
     assert all(abs(x - 0.5) < 0.12 for x in early)
+
+
+def test_surroundings_take_little_more_memory_than_they_are(spark):
+    r = np.random.default_rng(1)
+    data, place, n = r.integers(1, 255, 2_000_000, dtype=np.uint8), r.integers(100, 1_999_900, 60_000), r.integers(0, 101, 60_000)
+    tracemalloc.start()
+    right, left = (suffix_dedup.surroundings(data, place, steps, n) for steps in (np.arange(100), -1 - np.arange(68)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * (right.nbytes + left.nbytes) + 24e6  # whole grids of places would take 8 times the bytes
+    for k in (0, 1, 59_999):
+        assert right[k].tolist() == [int(data[place[k] + i]) if i < n[k] else 0 for i in range(100)]
+        assert left[k].tolist() == [int(data[place[k] - 1 - i]) if i < n[k] else 0 for i in range(68)]
