@@ -137,3 +137,26 @@ def test_surroundings_take_little_more_memory_than_they_are(spark):
     for k in (0, 1, 59_999):
         assert right[k].tolist() == [int(data[place[k] + i]) if i < n[k] else 0 for i in range(100)]
         assert left[k].tolist() == [int(data[place[k] - 1 - i]) if i < n[k] else 0 for i in range(68)]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1000])
+def test_units_of_one_plan_are_compared_once(spark, chunk):
+    """Sixty units of four plans, one without its district in a draw; the tasks meet classes, and all pairs of units come back."""
+    plan = {0: (1, 1, 1, 2, 1), 1: (1, 1, 1, 2, 2), 2: (1, 1, 1, None, 1), 3: (2, 2, 2, 1, 2)}
+    at = {u: plan[u * 7 % 13 % 4] for u in range(60)} | {60: (3, 3, 3, 3, 3)}
+    asg = spark.createDataFrame([(d, u, k) for u, own in at.items() for d, k in enumerate(own, 1) if k], "draw int, unit_id long, district int")
+    found = overlap.cooccurrence(asg, least=0.6, tile=2, chunk=chunk)
+    plain = {(u, v): n / 5 for u in at for v in at if u < v and (n := sum(x == y and x is not None for x, y in zip(at[u], at[v]))) >= 3}
+    rows = found.collect()
+    assert len(rows) == len(plain) and {(r.unit_i, r.unit_j): r.p for r in rows} == plain
+    assert found.schema["unit_i"].dataType == asg.schema["unit_id"].dataType
+
+
+def test_equal_plans_cost_no_products(spark, monkeypatch):
+    """Sixty-four units of one plan are one class: a single task of one class, whatever the tile."""
+    asg = spark.createDataFrame([(d, u, 1) for u in range(64) for d in range(3)], "draw int, unit_id int, district int")
+    written = []
+    keep = overlap.shared_table
+    monkeypatch.setattr(overlap, "shared_table", lambda df: written.append(keep(df)) or written[-1])
+    assert overlap.cooccurrence(asg, tile=2).count() == 64 * 63 // 2
+    assert [t.count() for t in written if "rows" in t.columns] == [1]
