@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import annotate, quoted
+from .columns import annotate, frugal, quoted
 from .scratch import Scratch
 
 CAPACITY = 4096
@@ -311,11 +311,11 @@ def _numbered(pieces_: list[tuple], gaps_: list[tuple]):
 def superstep(state: DataFrame, scratch: Scratch, capacity: int, ranges: int, name: str = "") -> tuple[DataFrame, DataFrame]:
     """Placed pieces (id, seq, at), and the state (what, id, size) of what is left, after one round of matches."""
     order = [F.col("size").desc(), F.col("what").desc(), F.col("id")]
-    swept = scratch.write(state.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweeper(capacity), SWEPT), f"swept{name}")
+    swept = scratch.write(state.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(frugal(_sweeper(capacity)), SWEPT), f"swept{name}")
     rest = swept.filter(F.col("what").isin(PIECE, GAP))
     # two numbers a range
     left = rest.groupBy("range").agg(F.count_if(F.col("what") == PIECE).alias("p"), F.count_if(F.col("what") == GAP).alias("g")).collect()
-    numbered = rest.select("what", "id", "size", "range", "rank").mapInArrow(_numbered(*match_ranges(sorted(tuple(r) for r in left))), "what int, id long, size int, number long")
+    numbered = rest.select("what", "id", "size", "range", "rank").mapInArrow(frugal(_numbered(*match_ranges(sorted(tuple(r) for r in left)))), "what int, id long, size int, number long")
     pieces_, gaps_ = (numbered.filter((F.col("what") == kind) & (F.col("number") >= 0)).select("number", F.col("id").alias(i), F.col("size").alias(n)) for kind, i, n in ((PIECE, "id", "size"), (GAP, "seq", "gap")))
     met = scratch.write(pieces_.join(gaps_, "number").select("id", "size", "seq", "gap"), f"met{name}")
     placed = swept.filter(F.col("what") == PLACED).select("id", "seq", "at").union(met.select("id", "seq", (capacity - F.col("gap")).alias("at")))
@@ -426,7 +426,8 @@ def place(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, range_ro
     for k in range(supersteps):
         placed, state = superstep(state, scratch, capacity, ranges, str(k))
         done = placed if done is None else done.union(placed)
-    left = scratch.write(state.mapInArrow(_ranked, SWEPT), "left")
+    # written first, else a task has a second Python worker for the numbers, and both stay for the session
+    left = scratch.write(scratch.write(state, "unranked").mapInArrow(frugal(_ranked), SWEPT), "left")
     counts = left.groupBy("what", "size", "range").agg(F.count(F.lit(1)).alias("n"))
     totals = _counts(counts)
     if not totals[PIECE]:
@@ -435,7 +436,7 @@ def place(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, range_ro
     before = counts.select("what", "size", "range", (F.sum("n").over(W.partitionBy("what", "size").orderBy("range")) - F.col("n")).alias("before"))
     ranked = left.join(before, ["what", "size", "range"]).select("what", "id", "size", (F.col("rank") + F.col("before")).alias("rank"))
     told, runs_of_gaps, _ = match_by_rank(totals[PIECE], totals[GAP], capacity)
-    met = scratch.write(ranked.mapInArrow(_looked_up(told, runs_of_gaps), "what int, id long, number long, at int"), "met")
+    met = scratch.write(ranked.mapInArrow(frugal(_looked_up(told, runs_of_gaps)), "what int, id long, number long, at int"), "met")
     old = sum(totals[GAP].values())
     joined = met.filter((F.col("what") == PIECE) & (F.col("number") < old)).join(met.filter(F.col("what") == GAP).select("number", F.col("id").alias("seq")), "number").select("id", "seq", "at")
     new = met.filter(F.col("number") >= old).select("id", (old - 1 - F.col("number")).alias("seq"), "at")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import annotate, blobs, quoted, slices
+from .columns import annotate, blobs, frugal, quoted, slices
 from .scratch import Scratch
 
 WORDS, REGISTERS, BANDS, ROWS = 5, 128, 25, 5
@@ -348,7 +348,7 @@ def _across(shared: DataFrame, root: DataFrame, sets: DataFrame, reps: DataFrame
 
     dealt = tiles(shared, root, block, scratch).join(sets, "rid").join(reps.select("rid", "bands"), "rid")
     order = ["band", "x", "y"]
-    return dealt.repartition(*order).sortWithinPartitions(*order).select(*order, "block", "rid", "root", "sig", "bands", "shingles").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(*order).sortWithinPartitions(*order).select(*order, "block", "rid", "root", "sig", "bands", "shingles").mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def _joined(links: DataFrame, root: DataFrame, scratch: Scratch, k: int) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import annotate, blobs, bounded_batches, joined, quoted, slices
+from .columns import annotate, blobs, bounded_batches, frugal, joined, quoted, slices
 from .scratch import Scratch
 
 #: A word is common from this share of a language's words on; counters that a summary keeps.
@@ -206,7 +206,7 @@ def candidates(docs: DataFrame, text: str = "text", lang: str = "lang", share: f
             words = [None, *summary.counts]
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(words), pa.string()), pa.array(words, pa.binary()), pa.array([summary.total, *summary.counts.values()], pa.int64()), pa.array([summary.lost] + [0] * (len(words) - 1), pa.int64())], names=["l", "w", "n", "lost"])
 
-    parts = _labelled(docs, text, lang).mapInArrow(run, "l string, w binary, n long, lost long")
+    parts = _labelled(docs, text, lang).mapInArrow(frugal(run), "l string, w binary, n long, lost long")
     # written once, as both of what follows would read the texts again; one row a language is broadcast
     sums = Scratch(docs.sparkSession, "common").write(parts.groupBy("l", "w").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost")), "sums")
     whole = sums.filter(F.col("w").isNull()).select(F.col("l").alias("of"), F.col("n").alias("total"), F.col("lost").alias("undercount"))
@@ -235,7 +235,7 @@ def learn_references(docs: DataFrame, text: str = "text", lang: str = "lang", sh
                         sums.setdefault(label, np.zeros(scaled.shape[1], np.int64))[:] += scaled[at]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["l", "v"])
 
-    parts = _labelled(docs, text, lang).mapInArrow(run, "l string, v array<long>")
+    parts = _labelled(docs, text, lang).mapInArrow(frugal(run), "l string, v array<long>")
     sums = parts.select("l", F.posexplode("v").alias("k", "v")).groupBy("l", "k").agg(F.sum("v").alias("v"))
     found: dict[str, dict[int, int]] = {}
     for r in sums.collect():

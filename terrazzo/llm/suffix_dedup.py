@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import annotate, blobs, bounded_batches, joined, quoted, slices
+from .columns import annotate, blobs, bounded_batches, frugal, frugal_group, joined, quoted, slices
 from .scratch import Scratch
 
 SPAN, LEAD = 100, 32
@@ -278,7 +278,7 @@ def covered(keyed: DataFrame, span: int = SPAN, lead: int = LEAD) -> DataFrame:
     # texts are thinned before suffixes, so that the sample reads few of them
     part = min(every, 64)
     thin = max(1, every // part)
-    sample = keyed.filter(F.pmod(F.xxhash64("k0", "k1"), F.lit(part)) == 0).select("t").mapInArrow(sampled, "lead binary, whole long")
+    sample = keyed.filter(F.pmod(F.xxhash64("k0", "k1"), F.lit(part)) == 0).select("t").mapInArrow(frugal(sampled), "lead binary, whole long")
     kinds = scratch.write(sample.distinct().groupBy("lead").agg(F.count(F.lit(1)).alias("n")), "sample")
     crowded = kinds.filter(F.col("n") * every > IN_BUCKET).orderBy(F.col("n").desc(), "lead").limit(MOST_HOT)
     hot = np.sort(np.array([bytes(r["lead"]) for r in crowded.select("lead").collect()], dtype=f"S{lead}"))
@@ -352,10 +352,10 @@ def covered(keyed: DataFrame, span: int = SPAN, lead: int = LEAD) -> DataFrame:
         out.append((np.ones(len(ask), np.int64), k0[ask], k1[ask], start[ask] << 16 | low[ask] << 8 | high[ask]))
         return pa.Table.from_batches([_batch(out, ["kind", "k0", "k1", "run"], [pa.int32(), pa.int64(), pa.int64(), pa.int64()])])
 
-    first = keyed.select("k0", "k1", "t").mapInArrow(suffix_rows, "bucket int, what int, blob binary")
+    first = keyed.select("k0", "k1", "t").mapInArrow(frugal(suffix_rows), "bucket int, what int, blob binary")
     if len(hot):
         first = scratch.write(first, "first")
-    met = scratch.write(first.filter(F.col("what") != CROWD).groupBy("bucket").applyInArrow(alike, ASKED), "met")
+    met = scratch.write(first.filter(F.col("what") != CROWD).groupBy("bucket").applyInArrow(frugal_group(alike), ASKED), "met")
     asked = met.filter(F.col("kind") == 1).groupBy("k0", "k1").agg(F.collect_list("run").alias("places"))
 
     def contexts(batches):
@@ -399,10 +399,10 @@ def covered(keyed: DataFrame, span: int = SPAN, lead: int = LEAD) -> DataFrame:
 
     # as the last join has the same columns, the texts are shuffled once for both
     told = keyed.join(asked.hint("shuffle_hash"), ["k0", "k1"]).select("k0", "k1", "t", "places", "row")
-    swept = told.mapInArrow(contexts, "bucket int, head binary, bytes binary").groupBy("bucket").applyInArrow(sweep, COVERED)
+    swept = told.mapInArrow(frugal(contexts), "bucket int, head binary, bytes binary").groupBy("bucket").applyInArrow(frugal_group(sweep), COVERED)
     runs = met.filter(F.col("kind") == 0).select("k0", "k1", "run").union(swept)
     if len(hot):
-        crowd = first.filter(F.col("what") == CROWD).select("blob").mapInArrow(crowd_rows, "h0 long, h1 long, k0 long, k1 long, at long")
+        crowd = first.filter(F.col("what") == CROWD).select("blob").mapInArrow(frugal(crowd_rows), "h0 long, h1 long, k0 long, k1 long, at long")
         places = crowd.groupBy("h0", "h1").agg(F.min(F.struct("k0", "k1", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h0", "h1", "first")
         # a window that everyone has is a long row of one key: Spark splits those (AQE)
         later = crowd.join(places.hint("merge"), ["h0", "h1"]).filter(F.struct("k0", "k1", "at") != F.col("first"))

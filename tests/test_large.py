@@ -1,13 +1,17 @@
 """What keeps work on large maps whole: estimates, joins and passes over assignment rows."""
 
+import os
+import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrazzo.functions import estimates
-from terrazzo.llm import suffix_dedup
+from terrazzo.llm import columns, suffix_dedup
 from terrazzo.operators import compare, graph, labels, overlap, spectral, tally
 from terrazzo.plans import search
 from terrazzo.sources import customer_grid
@@ -139,6 +143,30 @@ def test_surroundings_take_little_more_memory_than_they_are(spark):
         assert left[k].tolist() == [int(data[place[k] - 1 - i]) if i < n[k] else 0 for i in range(68)]
 
 
+def test_workers_give_back_what_a_task_has_freed(spark):
+    """2,000 blocks of 100 KB, of which a task keeps the last, which would keep the memory of all."""
+
+    def held() -> int:
+        return next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("RssAnon")) >> 10
+
+    def run(texts):
+        import sys
+
+        blocks = [np.ones(100_000, np.uint8) for _ in range(2_000)]
+        sys.kept, peak = blocks[-1], held()
+        return [[os.getpid()] * len(texts), [peak] * len(texts)]
+
+    def told(batches):
+        for b in batches:
+            time.sleep(0.5)  # so that no worker takes two tasks
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([held()])], names=["pid", "mb"])
+
+    fields = T.StructType([T.StructField("pid", T.LongType()), T.StructField("mb", T.LongType())])
+    first = columns.annotate(spark.range(1).selectExpr("cast(id as string) AS t").coalesce(1), run, ["t"], fields).collect()[0]
+    later = {r.pid: r.mb for r in spark.range(0, 4, 1, 4).mapInArrow(told, fields).collect()}
+    assert first.pid in later and later[first.pid] < first.mb - 150
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 1000])
 def test_units_of_one_plan_are_compared_once(spark, chunk):
     """Sixty units of four plans, one without its district in a draw; the tasks meet classes, and all pairs of units come back."""
