@@ -27,9 +27,8 @@ equally often that with the smaller hash gets a slot.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from dataclasses import dataclass
-from itertools import count
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,13 +54,15 @@ SLOTS, SLOT_ONE, SLOT_SKIP = 32, 256, 128
 SLOT_STARTS = np.cumsum([0, CLASSES + 1, SLOT_ONE])
 #: Rows of weights: class features, then slot features by class; below 2^16. Both softmaxes are as wide.
 WEIGHTS = FEATURES + int(SLOT_STARTS[-1] + SLOT_SKIP) * CLASSES
-assert SLOTS == CLASSES
+assert SLOTS == CLASSES and TWO & (TWO - 1) == 0
 ROUNDS, BATCH, RATE = 2, 16_384, 0.15
 CHUNK = 1_500_000
 END = b"\xff"  # no word: never in UTF-8
 _CLOSE = b" " + END + b" "
 _LOWEST = -(1 << 63)
 _U = np.uint64
+_BLANKS = b"\t\n\x0b\x0c\r "
+_LANES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first bytes of eight
 
 
 @dataclass(frozen=True)
@@ -73,32 +74,70 @@ class Tokens:
     sizes: np.ndarray  # by row
 
 
-class _Endings(dict):
-    """Classes of endings, as they are met (at most 2^16 and some)."""
+_MARKS = b".,;:!?"
+_IS_MARK = np.isin(np.arange(256), list(_MARKS))
+#: Longer words are hashed and classed one by one.
+LONG = 64
 
-    def __missing__(self, ending: bytes) -> int:
-        self[ending] = kind = 1 + zlib.crc32(ending) % (CLASSES - 1)
-        return kind
 
+@cache
+def _kinds() -> np.ndarray:
+    """Class of each ending: two bytes, one byte (from 2^16 on), none (last)."""
+    endings = [*(k.to_bytes(2, "big") for k in range(1 << 16)), *(bytes([k]) for k in range(256)), b""]
+    return np.array([1 + zlib.crc32(x) % (CLASSES - 1) for x in endings], np.int64)
 
-_ENDINGS = _Endings()
 
-
-def _classes(words) -> np.ndarray:
+def _classes(raw: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Classes of words, the first of which is the end token: by the last two bytes before marks."""
-    kinds = np.array([_ENDINGS[w.rstrip(b".,;:!?")[-2:]] for w in words], np.int64)
+    end = at + sizes
+    more = np.flatnonzero(sizes <= LONG)
+    while len(more):  # those that may end in a mark
+        more = more[_IS_MARK[raw[end[more] - 1]]]
+        end[more] -= 1
+        more = more[end[more] > at[more]]
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        end[k] = at[k] + len(raw[at[k] : end[k]].tobytes().rstrip(_MARKS))
+    left = end - at
+    ending = np.where(left > 1, raw[end - 2].astype(np.int64) << 8 | raw[end - 1], np.where(left > 0, (1 << 16) + raw[end - 1].astype(np.int64), -1))
+    kinds = _kinds()[ending]
     kinds[0] = 0
     return kinds
 
 
+def _hashes(raw: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: eight bytes at a time, each time mixed by steps that can be undone."""
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    hashes = sizes.astype(np.uint64) * _U(0x9E3779B97F4A7C15)
+    own = np.flatnonzero(sizes <= LONG)
+    for k in range(0, LONG, 8):
+        own = own[sizes[own] > k]
+        if not len(own):
+            break
+        h = hashes[own] ^ (eight[at[own] + k] & _LANES[np.minimum(sizes[own] - k, 8)])
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h ^= h >> _U(shift)
+            h *= _U(factor)
+        hashes[own] = h ^ (h >> _U(31))
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(raw[at[k] : at[k] + sizes[k]].tobytes())
+    return hashes
+
+
 def tokens(rows: list[bytes]) -> Tokens:
-    """Words of lower-cased rows, each row closed by an end token."""
-    known: dict[bytes, int] = defaultdict(count().__next__)  # numbers words as they come
-    end = known[END]
-    word = np.fromiter(map(known.__getitem__, b"".join([x + _CLOSE for x in rows]).split()), np.int64)
-    sizes = np.diff(np.flatnonzero(word == end), prepend=-1)
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in known], np.uint64)
-    return Tokens(np.repeat(np.arange(len(rows)), sizes), word, hashes, _classes(known), sizes)
+    """Words of lower-cased rows, each row closed by an end token; words are numbered as they come, the end token first."""
+    data = b"".join([END, b" ", *[x + _CLOSE for x in rows]])
+    byte = np.frombuffer(data, np.uint8)
+    inside = (byte - np.uint8(9) > 4) & (byte != 32)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # ends and starts by turns: the first start is 0
+    at = np.concatenate([[0], np.cumsum(edges[::2] - np.concatenate([[0], edges[1::2]]))])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data.translate(None, _BLANKS))]).dictionary_encode()
+    word = words.indices.to_numpy()[1:].astype(np.int64)
+    known = words.dictionary
+    at = np.frombuffer(known.buffers()[1], np.int64, len(known) + 1)
+    raw = np.concatenate([np.frombuffer(known.buffers()[2], np.uint8, at[-1]), np.zeros(8, np.uint8)])
+    at, own = at[:-1], np.diff(at)
+    sizes = np.diff(np.flatnonzero(word == 0), prepend=-1)
+    return Tokens(np.repeat(np.arange(len(rows)), sizes), word, _hashes(raw, at, own), _classes(raw, at, own), sizes)
 
 
 def _lowered(column: pa.Array):
@@ -109,18 +148,27 @@ def _lowered(column: pa.Array):
 
 def features(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """Rows of weights of each token: 5 x tokens for its class, 3 x tokens for its slot."""
-    n = len(t.word)
-    start = np.concatenate([[0], np.cumsum(t.sizes)[:-1]])
-    at = np.arange(n) - np.repeat(start, t.sizes)
-    before = [np.where(at >= k, np.arange(n) - k, -1) for k in (1, 2)]
-    with np.errstate(over="ignore"):
-        h1, h2 = (np.where(b >= 0, t.hashes[t.word[b]], _U(k + 1)) * _U(0x9E3779B97F4A7C15) for k, b in enumerate(before))
-        c1, c2 = (np.where(b >= 0, t.classes[t.word[b]], CLASSES) for b in before)
-        both = h1 ^ (h2 * _U(0xC2B2AE3D27D4EB4F)) ^ (h2 >> _U(31))
-    one, two, skip = ((h >> _U(40)).astype(np.int64) % m for h, m in ((h1, ONE), (both, TWO), (h2, SKIP)))
-    of_class = np.stack([c1, STARTS[1] + one, STARTS[2] + two, STARTS[3] + skip, STARTS[4] + c1 * (CLASSES + 1) + c2])
-    of_slot = np.stack([c1, SLOT_STARTS[1] + one % SLOT_ONE, SLOT_STARTS[2] + skip % SLOT_SKIP])
-    return of_class, FEATURES + of_slot * CLASSES + t.classes[t.word]
+    n, none = len(t.word), len(t.hashes)  # none: the number of no word
+    start = np.cumsum(t.sizes) - t.sizes
+    one, two = (np.concatenate([np.full(k, none), t.word])[:n] for k in (1, 2))
+    one[start] = two[start] = two[start[t.sizes > 1] + 1] = none
+    # what depends on a word alone is told once a word
+    h1, h2 = (np.append(t.hashes, _U(k)) * _U(0x9E3779B97F4A7C15) for k in (1, 2))
+    kinds = np.append(t.classes, CLASSES)
+    by_one, by_skip = ((h >> _U(40)).astype(np.int64) % m for h, m in ((h1, ONE), (h2, SKIP)))
+    both = h1.take(one) ^ ((h2 * _U(0xC2B2AE3D27D4EB4F)) ^ (h2 >> _U(31))).take(two)
+    of_class, of_slot = np.empty((5, n), np.int64), np.empty((3, n), np.int64)
+    of_class[0] = c1 = kinds.take(one)
+    of_class[1] = (STARTS[1] + by_one).take(one)
+    of_class[2] = (both >> _U(40) & _U(TWO - 1)).astype(np.int64)
+    of_class[2] += STARTS[2]
+    of_class[3] = (STARTS[3] + by_skip).take(two)
+    of_class[4] = (STARTS[4] + kinds * (CLASSES + 1)).take(one) + kinds.take(two)
+    kind = FEATURES + t.classes.take(t.word)
+    of_slot[0] = c1 * CLASSES + kind
+    of_slot[1] = ((SLOT_STARTS[1] + by_one % SLOT_ONE) * CLASSES).take(one) + kind
+    of_slot[2] = ((SLOT_STARTS[2] + by_skip % SLOT_SKIP) * CLASSES).take(two) + kind
+    return of_class, of_slot
 
 
 @dataclass(frozen=True)
@@ -159,19 +207,23 @@ class Slots:
         return np.where(own, self.slots[at], 0), np.where(own, self.counts[at], 0)
 
 
-#: Logits that lie no farther apart can share one shift: exponentials of 32-bit numbers neither overflow nor vanish.
+#: Logits that lie no farther apart, or from 0, need no shift of their own: exponentials of 32-bit numbers neither overflow nor vanish.
 WIDE = 80
 
 
-def _activations(weights: np.ndarray, found: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+def _activations(weights: np.ndarray, found: np.ndarray, more: np.ndarray | None = None, near: bool = False, room: np.ndarray | None = None) -> np.ndarray:
     """Sums of the features' weights, shifted so that exponentials are bounded: by the largest of all, or of each token if they lie far apart.
 
-    ``more`` closes slots; the first slot of a token is always open.
+    ``more`` closes slots; the first slot of a token is always open. ``near`` sums are known
+    to lie within ``WIDE`` of 0, closed slots apart, and stay as they are.
     """
-    z = weights.take(found[0], axis=0)
-    own = np.empty_like(z)
+    n = found.shape[1]
+    z, own = np.empty((2, n, weights.shape[1]), np.float32) if room is None else (room[-1, :n], room[0, :n])
+    weights.take(found[0], axis=0, out=z, mode="clip")
     for f in found[1:]:
         z += weights.take(f, axis=0, out=own, mode="clip")
+    if near:
+        return z
     top, low = (z.max(), z.min()) if len(z) else (0, 0)
     if more is not None:
         z += more
@@ -180,12 +232,35 @@ def _activations(weights: np.ndarray, found: np.ndarray, more: np.ndarray | None
 
 
 _ONES = np.ones(CLASSES, np.float32)
+_FLAT = np.arange(BATCH) * CLASSES
+
+
+def _room() -> np.ndarray:
+    """Room for rows of a batch, used again for every batch: new memory costs more than the sums in it."""
+    return np.empty((4, BATCH, CLASSES), np.float32)
+
+
+def _farthest(weights: np.ndarray) -> float:
+    return max(float(weights.max()), -float(weights.min()))
+
+
+def _nest(weights: np.ndarray) -> np.ndarray:
+    """Adds the weights of the class before to those of the two classes, in place; gives what these were."""
+    pairs = weights[STARTS[4] : FEATURES]
+    before = pairs.copy()
+    pairs.reshape(CLASSES + 1, CLASSES + 1, CLASSES)[:] += weights[: CLASSES + 1, None]
+    return before
+
+
+def _by_kind(weights: np.ndarray) -> np.ndarray:
+    """The weights of slots by the class before and the class: sums with ``Slots.closed`` close slots."""
+    return weights[FEATURES : FEATURES + (CLASSES + 1) * CLASSES].reshape(CLASSES + 1, CLASSES, CLASSES)
 
 
-def log_share(weights: np.ndarray, found: np.ndarray, target: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+def log_share(weights: np.ndarray, found: np.ndarray, target: np.ndarray, more: np.ndarray | None = None, near: bool = False, room: np.ndarray | None = None) -> np.ndarray:
     """Natural log of the probability of each token's class or slot."""
-    z = _activations(weights, found, more)
-    own = z[np.arange(len(z)), target]
+    z = _activations(weights, found, more, near, room)
+    own = z.ravel().take(np.arange(len(z)) * z.shape[1] + target)
     return own - np.log(np.exp(z, out=z) @ _ONES)
 
 
@@ -193,66 +268,97 @@ def token_logs(weights: np.ndarray, slots: Slots, t: Tokens) -> np.ndarray:
     """log10 P of each token, less log10(its corpus count + 1)."""
     of_class, of_slot = features(t)
     slot, count = slots.find(t.hashes)
-    kind, own = t.classes[t.word], slot[t.word]
+    kind, own = t.classes.take(t.word), slot.take(t.word)
+    near = len(of_class) * _farthest(weights) < WIDE
+    weights, room = weights.copy(), _room()
+    _nest(weights)
+    if near:
+        _by_kind(weights)[:] += slots.closed
     out = np.empty(len(kind))
     for a in range(0, len(kind), BATCH):
         s = slice(a, a + BATCH)
-        out[s] = log_share(weights, of_class[:, s], kind[s]) + log_share(weights, of_slot[:, s], own[s], slots.closed.take(kind[s], axis=0))
-    return out / np.log(10) - np.where(own > 0, np.log10(count + 1)[t.word], slots.rest[kind])
+        out[s] = log_share(weights, of_class[1:, s], kind[s], None, near, room)
+        out[s] += log_share(weights, of_slot[:, s], own[s], None if near else slots.closed.take(kind[s], axis=0), near, room)
+    return out / np.log(10) - np.where(own > 0, np.log10(count + 1).take(t.word), slots.rest.take(kind))
 
 
-#: Groups of rows up to this size are added up side by side, all groups of one size at once.
-SHORT = 6
+#: Groups of rows up to this size are added up side by side, all k-th rows at once; larger ones by a product each.
+SHORT = 24
 
 
-def _sums(rows: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _sums(rows: np.ndarray, order: np.ndarray, first: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
     """Sums of ``rows`` by groups: each is a run of ``order`` from one of ``first`` on."""
+    if room is None:
+        room = np.empty((3, len(order), rows.shape[1]), rows.dtype)
     size = np.diff(first, append=len(order))
-    out = np.empty((len(first), rows.shape[1]), rows.dtype)
-    for m in range(1, SHORT + 1):
-        own = np.flatnonzero(size == m)
-        if len(own):
-            at = first[own]
-            total = rows.take(order[at], axis=0)
-            for k in range(1, m):
-                total += rows.take(order[at + k], axis=0)
-            out[own] = total
-    own = np.flatnonzero(size > SHORT)
-    if len(own):
-        out[own] = np.add.reduceat(rows.take(order[np.repeat(size > SHORT, size)], axis=0), np.cumsum(size[own]) - size[own], axis=0)
+    out = room[2, : len(first)]
+    short = np.minimum(size, SHORT + 1).astype(np.uint8)
+    below = np.cumsum(np.bincount(short, minlength=SHORT + 2))  # groups of up to k rows
+    rank = np.argsort(short, kind="stable")[: below[SHORT]]
+    at = first[rank]
+    total = rows.take(order[at], axis=0, out=room[0, : len(at)], mode="clip")
+    for k in range(1, SHORT):
+        a = below[k]
+        if a == len(at):
+            break
+        total[a:] += rows.take(order[at[a:] + k], axis=0, out=room[1, : len(at) - a], mode="clip")
+    out[rank] = total
+    large = np.flatnonzero(size > SHORT)
+    if len(large):
+        at = order[np.repeat(size > SHORT, size)]
+        own = rows.take(at, axis=0, out=room[0, : len(at)], mode="clip")
+        ones, a = np.ones(size.max(), rows.dtype), 0
+        for k, n in zip(large.tolist(), size[large].tolist(), strict=True):
+            np.dot(ones[:n], own[a : a + n], out=out[k])
+            a += n
     return out
 
 
-def _step(weights: np.ndarray, squares: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
-    s = squares.take(at, axis=0)
-    s += g * g
+def _step(weights: np.ndarray, squares: np.ndarray, at: np.ndarray, g: np.ndarray, room: np.ndarray) -> None:
+    s, w = room[:2, : len(at)]
+    squares.take(at, axis=0, out=s, mode="clip")
+    s += np.multiply(g, g, out=w)
     squares[at] = s
     s += np.float32(1e-6)
-    w = weights.take(at, axis=0)
-    w -= np.float32(RATE) * g / np.sqrt(s, out=s)
+    np.divide(g, np.sqrt(s, out=s), out=s)
+    s *= np.float32(RATE)
+    weights.take(at, axis=0, out=w, mode="clip")
+    w -= s
     weights[at] = w
 
 
 def train_part(weights: np.ndarray, squares: np.ndarray, found: np.ndarray, target: np.ndarray, closed: np.ndarray | None = None, kind: np.ndarray | None = None) -> None:
     """AdaGrad steps in place, one for every batch of tokens."""
     nested = closed is None  # the last feature of classes is the first with one more: its sums add up to the first's
+    # a step moves no weight by more than the rate
+    near = len(found) * (_farthest(weights) + RATE * -(-found.shape[1] // BATCH)) < WIDE
+    room = _room()
+    if near and not nested:
+        _by_kind(weights)[:] += closed  # weights of closed slots are 0 and stay so
     for a in range(0, found.shape[1], BATCH):
         f, y = found[:, a : a + BATCH], target[a : a + BATCH]
-        slope = _activations(weights, f, None if closed is None else closed.take(kind[a : a + BATCH], axis=0))
+        if nested:
+            before = _nest(weights)
+            slope = _activations(weights, f[1:], None, near, room)
+            weights[STARTS[4] : FEATURES] = before
+        else:
+            slope = _activations(weights, f, None if near else closed.take(kind[a : a + BATCH], axis=0), near, room)
         np.exp(slope, out=slope)
         slope *= (1 / (slope @ _ONES))[:, None]
-        slope[np.arange(len(y)), y] -= 1
+        slope.reshape(-1)[_FLAT[: len(y)] + y] -= 1
         for k in range(int(nested), len(f)):
             key = f[k].astype(np.uint16)  # 16 bits: sorted by radix
             order = np.argsort(key, kind="stable")
             own = key[order]
             new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            g, own = _sums(slope, order, new), own[new]
-            _step(weights, squares, own, g)
+            g, own = _sums(slope, order, new, room), own[new].astype(np.int64)
+            _step(weights, squares, own, g, room)
             if nested and k == len(f) - 1:
-                before = (own - np.uint16(STARTS[4])) // np.uint16(CLASSES + 1)
-                new = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-                _step(weights, squares, before[new], np.add.reduceat(g, new, axis=0))
+                first = (own - STARTS[4]) // (CLASSES + 1)
+                new = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+                _step(weights, squares, first[new], np.add.reduceat(g, new, axis=0), room)
+    if near and not nested:
+        _by_kind(weights)[:] -= closed
 
 
 def train(docs: DataFrame, slots: Slots, rounds: int = ROUNDS) -> np.ndarray:

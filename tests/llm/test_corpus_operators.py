@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -688,6 +689,71 @@ def _unseen_end(weights, slots, history):
     return float(np.exp(maxent_lm.log_share(weights, of_class[:, -1:], zero) + maxent_lm.log_share(weights, of_slot[:, -1:], zero, slots.closed[:1]))[0] / 10 ** slots.rest[0])
 
 
+def _plain_words(rows):
+    known = {b"\xff": 0}
+    return known, [known.setdefault(w, len(known)) for x in rows for w in [*x.split(), b"\xff"]]
+
+
+def test_words_are_numbered_classed_and_hashed_as_one_by_one():
+    r = random.Random(8)
+    alphabet = [bytes([k]) for k in range(128)] + ["é".encode(), "ß".encode(), "語".encode(), "🙂".encode()]
+    words = [b"".join(r.choices(alphabet, k=r.choice((1, 2, 3, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200)))) for _ in range(400)]
+    words += [b"a" * k for k in range(1, 70)] + [b"a" + b"\0" * k for k in range(9)] + [b"!", b"!?", b"a!", b"ab...", b"." * 64, b"." * 65, b"ab" + b"." * 90]
+    rows = [b"", b" ", b"\x1c\x1f", *[b" ".join(r.choices(words, k=r.randrange(60))) for _ in range(60)], b"\t\n", b"\n ".join(words), b""]
+    t = maxent_lm.tokens(rows)
+    known, plain = _plain_words(rows)
+    assert t.word.tolist() == plain and t.sizes.tolist() == [len(x.split()) + 1 for x in rows] and t.row.tolist() == [k for k, x in enumerate(rows) for _ in range(len(x.split()) + 1)]
+    assert t.classes.tolist() == [0, *(1 + zlib.crc32(w.rstrip(b".,;:!?")[-2:]) % (maxent_lm.CLASSES - 1) for w in list(known)[1:])]
+    hashes = dict(zip(known, t.hashes.tolist(), strict=True))
+    assert len(set(hashes.values())) == len(known)
+    again = maxent_lm.tokens(rows[::-1])
+    assert dict(zip(_plain_words(rows[::-1])[0], again.hashes.tolist(), strict=True)) == hashes
+    empty = maxent_lm.tokens([b""])
+    assert empty.word.tolist() == [0] and [x.shape for x in maxent_lm.features(empty)] == [(5, 1), (3, 1)]
+
+
+def test_hashes_of_words_spread_over_all_bits():
+    h = maxent_lm.tokens([" ".join(f"w{k}" for k in range(20_000)).encode()]).hashes
+    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).mean(0)
+    assert len(set(h.tolist())) == 20_001 and np.all(abs(ones - 0.5) < 0.02)
+    assert np.bincount((h >> np.uint64(58)).astype(int), minlength=64).max() < 400
+
+
+def _cost(run, times=5):
+    def once():
+        start = time.process_time()
+        run()
+        return time.process_time() - start
+
+    return min(once() for _ in range(times))
+
+
+def test_numbering_words_costs_less_than_a_dictionary_of_them():
+    r = random.Random(9)
+    words = [f"{r.randrange(10**8)}" for _ in range(40_000)]
+    rows = [" ".join(r.choices(words, k=300)).encode() for _ in range(600)]
+    maxent_lm.tokens(rows[:1])
+    assert _cost(lambda: maxent_lm.tokens(rows)) < _cost(lambda: _plain_words(rows))
+
+
+def test_steps_are_the_same_for_near_and_far_logits(monkeypatch):
+    t, _, slots, weights, _ = _trained([_prose(k, 300) for k in range(10)])
+    of_class, of_slot = maxent_lm.features(t)
+    kind, slot = t.classes[t.word], slots.find(t.hashes)[0][t.word]
+
+    def run():
+        w, squares = weights.copy(), np.zeros_like(weights)
+        maxent_lm.train_part(w, squares, of_class, kind)
+        maxent_lm.train_part(w, squares, of_slot, slot, slots.closed, kind)
+        return w, maxent_lm.token_logs(w, slots, t)
+
+    near = run()
+    monkeypatch.setattr(maxent_lm, "WIDE", 0)
+    far = run()
+    assert np.abs(near[0]).max() > 0.1
+    assert np.allclose(near[0], far[0], atol=1e-4) and np.allclose(near[1], far[1], atol=1e-4)
+
+
 def test_context_lifts_held_out_scores(spark):
     pairs = [("the", "cat"), ("der", "hund"), ("el", "gato"), ("le", "chat")]
     r = random.Random(7)
