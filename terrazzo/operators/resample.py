@@ -11,10 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_table
+from .sizes import small
+
 #: Ids whose rows are added up in one task.
 STRETCH = 1_000
 
 
+def numbered(rows: DataFrame, *order: Column, name: str = "at") -> DataFrame:
+    """``rows`` with their place (from 0) in ``order``, which leaves no ties.
+
+    Rows are sorted into ranges; the rows of the ranges before (a row a range) and the place
+    within a range add up.
+    """
+    # written once, as a range sort reads its input twice, and once more, so that ranges stay as they are
+    dealt = shared_table(shared_table(rows).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("s")).select("_range", (F.sum("s").over(W.orderBy("_range")) - F.col("s")).alias("_before"))
+    within = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn("_within", within).join(small(sums), "_range").withColumn(name, F.col("_before") + F.col("_within")).drop("_range", "_before", "_within")
+
+
 def cumulative(rows: DataFrame, weight: str = "w", key: str = "id", stretch: int = STRETCH, n: int | None = None) -> DataFrame:
     """``rows`` with ``lo`` and ``hi``: the shares of all weight before each row, and with it, in the order of ``key``.
 

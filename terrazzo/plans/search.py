@@ -245,13 +245,15 @@ def reweighted(draws: DataFrame, energies: DataFrame, beta: float, n: int, seed:
     """draw, pick: ``n`` draws with replacement, weighted by exp(beta * energy), which undoes the target's exp(-beta * energy).
 
     Picks are of low variance: each draw comes ``n`` times its share of the weight, rounded up
-    or down, so what they tell of the target is not left to chance. Any run of consecutive pick
-    numbers is spread evenly over the draws.
+    or down, and so do the k heaviest draws together, for every k. So what picks tell of the target
+    is not left to chance, even where weights are nearly equal and rounding outweighs them draw by
+    draw. Any run of consecutive pick numbers is spread evenly over the draws.
     """
     w = draws.select("draw").join(energies.select("draw", "energy"), "draw")
     top = w.agg(F.max(F.col("energy") * beta).alias("m")).first()["m"]
     w = w.select(F.col("draw").cast("long").alias("id"), F.exp(F.col("energy") * beta - top).alias("w"))
-    drawn = resample.low_variance(w, n, float(np.random.default_rng(seed).random()), name="place")
+    w = resample.numbered(w, F.col("w").desc(), F.col("id"))
+    drawn = resample.low_variance(w, n, float(np.random.default_rng(seed).random()), key="at", name="place")
     # pick k lies at place k * step, with a step near the golden section of n and prime to it
     step = next(k for k in range(max(1, round(n * 0.618)), n + 2) if math.gcd(k, n) == 1)
     pick = F.pmod(F.col("place") * pow(step, -1, n), F.lit(n)) + 1

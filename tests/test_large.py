@@ -130,6 +130,22 @@ def test_reweighted_draws_come_as_often_as_they_weigh(spark, seed):
     assert all(abs(x - 0.5) < 0.12 for x in early)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_nearly_equal_weights_still_tell(spark, seed):
+    """Shares of 8 picks, more or less by 0.1 at most: draw by draw all would be rounded to 8, the heavier half together gets its own."""
+    r = np.random.default_rng(3)
+    energy = {d: 1 + float(r.normal(0, 0.0008)) for d in range(1, 51)}
+    draws = spark.createDataFrame([(d,) for d in energy], "draw int")
+    found = search.reweighted(draws, spark.createDataFrame(list(energy.items()), "draw int, energy double"), 8.0, 400, seed=seed).collect()
+    assert sorted(r.pick for r in found) == list(range(1, 401))
+    order = sorted(energy, key=lambda d: (-energy[d], d))
+    w = np.exp([8 * energy[d] for d in order])
+    for k, share in enumerate(np.cumsum(w / w.sum()), 1):
+        assert abs(sum(r.draw in order[:k] for r in found) - 400 * share) < 1
+    gain = np.mean([energy[r.draw] for r in found]) - np.mean(list(energy.values()))
+    assert gain > 1e-9
+
+
 def test_surroundings_take_little_more_memory_than_they_are(spark):
     r = np.random.default_rng(1)
     data, place, n = r.integers(1, 255, 2_000_000, dtype=np.uint8), r.integers(100, 1_999_900, 60_000), r.integers(0, 101, 60_000)
