@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_table
 from . import overlap, spectral
-from .sizes import ROWS, small
+from .sizes import ROWS, counted, small
 
 #: Draws whose matrix of distances may be formed on the driver, for linkage.
 MOST_DRAWS = 2_000
@@ -62,11 +62,24 @@ def _splits(sets: DataFrame, ndists: int, thresh: float) -> DataFrame:
     The difference of the two smoothed co-occurrences is applied to a vector without forming
     it: co-occurrence times a vector is the vector's sum over each district, sent back to the
     district's units, and smoothing adds a share of the whole sum and of the vector itself.
-    A unit's row holds the numbers of all its districts, so a round is one pass over units.
+    Units with the same districts in all draws are one node, whose entry is theirs times the root
+    of their number, so rounds grow with unlike units only. What tells units of a class apart has
+    the vector's own share as its eigenvalue, whatever the class: one class a group is parted in two for it.
+    A node's row holds the numbers of all its districts, so a round is one pass over nodes.
     """
     spark = sets.sparkSession
     by = ["grp", "side", "draw", "district"]
-    every = shared_table(sets.select(*by).distinct())
+    # sums of hashes tell plans apart, and no row is sorted or written; 40 bits each, so that no sum overflows
+    sums = [F.sum(F.shiftright(F.xxhash64(F.lit(k), *by[1:]), 24)).alias(f"h{k}") for k in (1, 2, 3)]
+    same = ["grp", "h1", "h2", "h3"]
+    units = shared_table(sets.groupBy("unit_id", "grp").agg(*sums).select(*same, F.col("unit_id").cast("long").alias("unit")))
+    classes = shared_table(units.groupBy(*same).agg(F.min("unit").alias("node"), F.max("unit").alias("last"), F.count(F.lit(1)).alias("size")))
+    known = classes.agg(F.count(F.lit(1)).alias("many"), F.max("size").alias("size")).first()
+    rows = sets.withColumn("unit_id", F.col("unit_id").cast("long"))
+    if (known["size"] or 1) > 1:
+        reps = classes.select("grp", F.col("node").alias("unit_id"))
+        rows = shared_table(rows.join(F.broadcast(reps) if known["many"] <= ROWS else reps.hint("shuffle_hash"), ["unit_id", "grp"], "left_semi").select("unit_id", *by))
+    every = shared_table(rows.select(*by).distinct())
     counts = {(r["grp"], r["side"]): r["n"] for r in every.groupBy("grp", "side").agg(F.countDistinct("draw").alias("n")).collect()}
     groups, share = sorted({g for g, _ in counts}), 1 / ndists
     n = {k: counts.get(k, 0) for g in groups for k in ((g, 1), (g, 2))}
@@ -75,26 +88,43 @@ def _splits(sets: DataFrame, ndists: int, thresh: float) -> DataFrame:
     # numbers from 0 in each group; a row a district and draw
     cells = shared_table(every.join(weights, ["grp", "side"]).select(*by, "weight", (F.row_number().over(W.partitionBy("grp").orderBy(*by[1:])) - 1).cast("int").alias("cell")))
     few = cells.count() <= ROWS
-    cells = F.broadcast(cells) if few else cells.hint("merge")
-    nodes = sets.join(cells, by).groupBy("grp", F.col("unit_id").cast("long").alias("node")).agg(F.collect_list("cell").alias("cells"))
+    own_cells = rows.join(F.broadcast(cells) if few else cells.hint("merge"), by).groupBy("unit_id", "grp").agg(F.collect_list(F.struct("cell", "weight")).alias("cells"))
+    if few:  # one more cell holds all units
+        last = cells.groupBy("grp").agg((F.max("cell") + 1).alias("cell"))
+        scalars = F.broadcast(scalars.join(F.broadcast(last), "grp"))
+        own_cells = own_cells.join(scalars, "grp").withColumn("cells", F.concat("cells", F.array(F.struct("cell", F.col("all_").alias("weight"))))).drop("cell")
+    else:
+        own_cells = own_cells.join(scalars, "grp")
+    parted = small(classes.filter("size > 1").groupBy("grp").agg(F.min("node").alias("parted")))
+    halves = F.array(F.struct("node", F.lit(1).cast("long").alias("size")), F.struct(F.col("last").alias("node"), (F.col("size") - 1).alias("size")))
+    made = classes.join(parted, "grp", "left").select("grp", F.col("node").alias("unit_id"), F.when(F.col("node") == F.col("parted"), halves).otherwise(F.array(F.struct("node", "size"))).alias("nodes"))
+    nodes = own_cells.join(made, ["unit_id", "grp"]).select("grp", "all_", "own", "cells", F.inline("nodes"))
+    nodes = shared_table(nodes.select("grp", "node", F.sqrt("size").alias("root"), "all_", "own", "cells"))
 
     def apply(v: DataFrame) -> DataFrame:
-        sums = v.select("grp", F.explode("cells").alias("cell"), "x").groupBy("grp", "cell").agg(F.sum("x").alias("s"))
-        sums = sums.join(cells.select("grp", "cell", "weight"), ["grp", "cell"]).select("grp", "cell", (F.col("weight") * F.col("s")).alias("s"))
-        whole = v.groupBy("grp").agg(F.sum("x").alias("t")).join(scalars, "grp")
-        if few:  # all sums of a group go to its units as one array
-            whole = whole.join(sums.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "s"))), lambda x: x["s"]).alias("s")), "grp")
-            back, c = v, F.aggregate("cells", F.lit(0.0), lambda a, x: a + F.get("s", x))
+        x = (F.col("x") * F.col("root")).alias("x")
+        sums = v.select("grp", F.inline("cells"), x).groupBy("grp", "cell").agg((F.max("weight") * F.sum("x")).alias("s"))
+        if few:  # all sums of a group go to its nodes as one array
+            whole = sums.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "s"))), lambda x: x["s"]).alias("s"))
+            back, c = v, F.aggregate("cells", F.lit(0.0), lambda a, x: a + F.get("s", x["cell"]))
         else:
-            met = v.select("grp", "node", F.explode("cells").alias("cell")).join(sums.hint("merge"), ["grp", "cell"])
-            back, c = v.join(met.groupBy("grp", "node").agg(F.sum("s").alias("c")).hint("merge"), ["grp", "node"]), F.col("c")
-        return back.join(F.broadcast(whole), "grp").select(*v.columns, (c + F.col("all_") * F.col("t") + F.col("own") * F.col("x")).alias("w"))
-
-    found = spectral.leading(nodes, apply, high=1, low=1)
+            whole = v.select("grp", x).groupBy("grp").agg(F.sum("x").alias("t"))
+            met = v.select("grp", "node", F.inline("cells")).join(sums.hint("merge"), ["grp", "cell"])
+            back, c = v.join(met.groupBy("grp", "node").agg(F.sum("s").alias("c")).hint("merge"), ["grp", "node"]), F.col("c") + F.col("all_") * F.col("t")
+        return back.join(F.broadcast(whole), "grp").select(*v.columns, (F.col("root") * c + F.col("own") * F.col("x")).alias("w"))
+
+    found = spectral.leading(nodes, apply, high=1, low=1).join(small(nodes.select("grp", "node", "root")), ["grp", "node"])
+    found = counted(found.select("grp", "place", "eigenvalue", "node", (F.col("value") / F.col("root")).alias("value")))
+    # the entry of largest size is positive (ties, to nine digits: the first unit)
+    sign = F.max_by(F.signum("value"), F.struct(F.round(F.abs("value"), 9), -F.col("node")))
+    tops = small(found.groupBy("grp", "place").agg((thresh * F.max(F.abs("value"))).alias("cut"), F.when(sign < 0, -1.0).otherwise(1.0).alias("sign")))
+    found = found.join(tops, ["grp", "place"]).withColumn("value", F.col("value") * F.col("sign"))
     part = (F.col("value") > F.col("cut")).cast("int") - (F.col("value") < -F.col("cut")).cast("int")
-    tops = small(found.groupBy("grp", "place").agg((thresh * F.max(F.abs("value"))).alias("cut")))
+    of = classes.join(parted, "grp", "left").select(*same, "node", F.when(F.col("node") == F.col("parted"), F.col("last")).otherwise(F.col("node")).alias("rest"))
+    node = F.when(F.col("unit") == F.col("node"), F.col("node")).otherwise(F.col("rest"))
+    own_units = units.join(small(of), same).select("grp", "unit", node.alias("node"))
     # split 2 is the largest eigenvalue of the negative, so the smallest of the difference
-    return found.join(tops, ["grp", "place"]).select("grp", F.when(F.col("place") == 1, 1).otherwise(2).alias("split"), F.col("node").cast("int").alias("unit_id"), "value", part.alias("part"), (F.col("eigenvalue") * F.signum(F.col("place").cast("double"))).alias("separation"))
+    return own_units.join(found, ["grp", "node"]).select("grp", F.when(F.col("place") == 1, 1).otherwise(2).alias("split"), F.col("unit").cast("int").alias("unit_id"), "value", part.alias("part"), (F.col("eigenvalue") * F.signum(F.col("place").cast("double"))).alias("separation"))
 
 
 def compare_sets(one: DataFrame, two: DataFrame, ndists: int, thresh: float = 0.1) -> DataFrame:

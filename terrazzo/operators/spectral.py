@@ -49,6 +49,11 @@ def _dot(q: Column, h: Column) -> Column:
     return F.aggregate(F.zip_with(q, h, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
 
 
+def _of_group(values: dict[str, list[float]]) -> Column:
+    """The array of a row's group, as a literal: a table would be a job and a join a round."""
+    return F.coalesce(*[F.when(F.col("grp") == F.lit(g), F.expr(f"array({', '.join(f'{x!r}D' for x in map(float, own))})")) for g, own in values.items()])
+
+
 def _products(own: DataFrame, k: int) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
     """By group: products of w, and of the last vector, with all vectors, and of w with itself.
 
@@ -86,8 +91,8 @@ def leading(nodes: DataFrame, apply: Callable[[DataFrame], DataFrame], high: int
     if not size:
         return spark.createDataFrame([], "grp string, place int, eigenvalue double, node long, value double")
     groups = {g: _Group() for g in size}
-    scale = small(spark.createDataFrame([(g, r["s"]) for g, r in size.items()], "grp string, s double"))
-    now = first.join(scale, "grp").select("grp", "node", F.array(F.col("x") / F.col("s")).alias("q"), *further)
+    scale = F.get(_of_group({g: [r["s"]] for g, r in size.items()}), F.lit(0))
+    now = first.select("grp", "node", F.array(F.col("x") / scale).alias("q"), *further)
     grams = {g: np.zeros((0, 0)) for g in size}
     for k in range(1, rounds + 1):
         last_of = F.element_at("q", -1).alias("x")
@@ -105,11 +110,11 @@ def leading(nodes: DataFrame, apply: Callable[[DataFrame], DataFrame], high: int
             if not groups[g].done:
                 groups[g].add(float(c[-1]), beta, high, low)
                 groups[g].done |= k >= size[g]["n"]
-            told[g] = [*map(float, c), 0.0 if groups[g].done or not beta else 1 / beta]
+            told[g] = [*c, 0.0 if groups[g].done or not beta else 1 / beta]
         if all(g.done for g in groups.values()) or k == rounds:
             break
-        known = small(spark.createDataFrame(list(told.items()), "grp string, h array<double>"))
-        now = own.join(known, "grp").select("grp", "node", F.concat("q", F.array((F.col("w") - _dot(F.col("q"), F.slice("h", 1, k))) * F.element_at("h", -1))).alias("q"), *further)
+        back, scale = _of_group({g: h[:k] for g, h in told.items()}), F.get(_of_group({g: h[k:] for g, h in told.items()}), F.lit(0))
+        now = own.select("grp", "node", F.concat("q", F.array((F.col("w") - _dot(F.col("q"), back)) * scale)).alias("q"), *further)
     mixes = []
     for g, own_group in groups.items():
         for at, (value, mix) in enumerate(own_group.extremes(high, low)):

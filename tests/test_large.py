@@ -204,3 +204,29 @@ def test_equal_plans_cost_no_products(spark, monkeypatch):
     monkeypatch.setattr(overlap, "shared_table", lambda df: written.append(keep(df)) or written[-1])
     assert overlap.cooccurrence(asg, tile=2).count() == 64 * 63 // 2
     assert [t.count() for t in written if "rows" in t.columns] == [1]
+
+
+@pytest.mark.parametrize("kinds", [1, 6])
+def test_units_of_one_plan_go_through_rounds_as_one(spark, monkeypatch, kinds):
+    """Forty units of six plans are seven nodes; of one plan, the largest eigenvalue is of vectors that tell them apart."""
+    r = np.random.default_rng(5)
+    plan = r.integers(1, 4, (kinds, 9))
+    at = np.array([plan[u * 7 % 13 % kinds] for u in range(40)])
+    asg = spark.createDataFrame([(d, u, int(at[u, d])) for u in range(40) for d in range(9)], "draw int, unit_id int, district int")
+    written = []
+    keep = spectral.shared_table
+    monkeypatch.setattr(spectral, "shared_table", lambda df: written.append(keep(df)) or written[-1])
+    found = compare.compare_sets(asg.filter("draw < 2"), asg.filter("draw >= 2"), 3).collect()
+    assert {t.count() for t in written} == {kinds + 1}
+    smooth = lambda x: ((x[:, None] == x[None]).sum(2) + 1 / 3) / (x.shape[1] + 1)
+    gap = smooth(at[:, :2]) - smooth(at[:, 2:])
+    np.fill_diagonal(gap, 0)
+    values, vectors = np.linalg.eigh(gap)
+    for split, value, vector in ((1, values[-1], vectors[:, -1]), (2, -values[0], vectors[:, 0])):
+        own = sorted((x.unit_id, x.value) for x in found if x.split == split)
+        assert {round(x.separation, 6) for x in found if x.split == split} == {round(value, 6)}
+        x = np.array([v for _, v in own])
+        assert [u for u, _ in own] == list(range(40)) and x @ x == pytest.approx(1, abs=1e-6) and x[np.abs(x).argmax()] > 0
+        assert gap @ x == pytest.approx((value if split == 1 else -value) * x, abs=1e-5)
+        if kinds > 1:
+            assert abs(x @ vector) == pytest.approx(1, abs=1e-5)
