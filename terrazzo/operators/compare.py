@@ -69,16 +69,7 @@ def _splits(sets: DataFrame, ndists: int, thresh: float) -> DataFrame:
     """
     spark = sets.sparkSession
     by = ["grp", "side", "draw", "district"]
-    # sums of hashes tell plans apart, and no row is sorted or written; 40 bits each, so that no sum overflows
-    sums = [F.sum(F.shiftright(F.xxhash64(F.lit(k), *by[1:]), 24)).alias(f"h{k}") for k in (1, 2, 3)]
-    same = ["grp", "h1", "h2", "h3"]
-    units = shared_table(sets.groupBy("unit_id", "grp").agg(*sums).select(*same, F.col("unit_id").cast("long").alias("unit")))
-    classes = shared_table(units.groupBy(*same).agg(F.min("unit").alias("node"), F.max("unit").alias("last"), F.count(F.lit(1)).alias("size")))
-    known = classes.agg(F.count(F.lit(1)).alias("many"), F.max("size").alias("size")).first()
-    rows = sets.withColumn("unit_id", F.col("unit_id").cast("long"))
-    if (known["size"] or 1) > 1:
-        reps = classes.select("grp", F.col("node").alias("unit_id"))
-        rows = shared_table(rows.join(F.broadcast(reps) if known["many"] <= ROWS else reps.hint("shuffle_hash"), ["unit_id", "grp"], "left_semi").select("unit_id", *by))
+    units, classes, rows = overlap.alike(sets.withColumn("unit_id", F.col("unit_id").cast("long")), by[1:], ["grp"])
     every = shared_table(rows.select(*by).distinct())
     counts = {(r["grp"], r["side"]): r["n"] for r in every.groupBy("grp", "side").agg(F.countDistinct("draw").alias("n")).collect()}
     groups, share = sorted({g for g, _ in counts}), 1 / ndists
@@ -95,9 +86,9 @@ def _splits(sets: DataFrame, ndists: int, thresh: float) -> DataFrame:
         own_cells = own_cells.join(scalars, "grp").withColumn("cells", F.concat("cells", F.array(F.struct("cell", F.col("all_").alias("weight"))))).drop("cell")
     else:
         own_cells = own_cells.join(scalars, "grp")
-    parted = small(classes.filter("size > 1").groupBy("grp").agg(F.min("node").alias("parted")))
-    halves = F.array(F.struct("node", F.lit(1).cast("long").alias("size")), F.struct(F.col("last").alias("node"), (F.col("size") - 1).alias("size")))
-    made = classes.join(parted, "grp", "left").select("grp", F.col("node").alias("unit_id"), F.when(F.col("node") == F.col("parted"), halves).otherwise(F.array(F.struct("node", "size"))).alias("nodes"))
+    parted = small(classes.filter("size > 1").groupBy("grp").agg(F.min("first").alias("parted")))
+    halves = F.array(F.struct(F.col("first").alias("node"), F.lit(1).cast("long").alias("size")), F.struct(F.col("last").alias("node"), (F.col("size") - 1).alias("size")))
+    made = classes.join(parted, "grp", "left").select("grp", F.col("first").alias("unit_id"), F.when(F.col("first") == F.col("parted"), halves).otherwise(F.array(F.struct(F.col("first").alias("node"), "size"))).alias("nodes"))
     nodes = own_cells.join(made, ["unit_id", "grp"]).select("grp", "all_", "own", "cells", F.inline("nodes"))
     nodes = shared_table(nodes.select("grp", "node", F.sqrt("size").alias("root"), "all_", "own", "cells"))
 
@@ -120,11 +111,12 @@ def _splits(sets: DataFrame, ndists: int, thresh: float) -> DataFrame:
     tops = small(found.groupBy("grp", "place").agg((thresh * F.max(F.abs("value"))).alias("cut"), F.when(sign < 0, -1.0).otherwise(1.0).alias("sign")))
     found = found.join(tops, ["grp", "place"]).withColumn("value", F.col("value") * F.col("sign"))
     part = (F.col("value") > F.col("cut")).cast("int") - (F.col("value") < -F.col("cut")).cast("int")
-    of = classes.join(parted, "grp", "left").select(*same, "node", F.when(F.col("node") == F.col("parted"), F.col("last")).otherwise(F.col("node")).alias("rest"))
-    node = F.when(F.col("unit") == F.col("node"), F.col("node")).otherwise(F.col("rest"))
-    own_units = units.join(small(of), same).select("grp", "unit", node.alias("node"))
+    same = ["grp", "h1", "h2", "h3"]
+    of = classes.join(parted, "grp", "left").select(*same, "first", F.when(F.col("first") == F.col("parted"), F.col("last")).otherwise(F.col("first")).alias("rest"))
+    node = F.when(F.col("unit_id") == F.col("first"), F.col("first")).otherwise(F.col("rest"))
+    own_units = units.join(small(of), same).select("grp", "unit_id", node.alias("node"))
     # split 2 is the largest eigenvalue of the negative, so the smallest of the difference
-    return own_units.join(found, ["grp", "node"]).select("grp", F.when(F.col("place") == 1, 1).otherwise(2).alias("split"), F.col("unit").cast("int").alias("unit_id"), "value", part.alias("part"), (F.col("eigenvalue") * F.signum(F.col("place").cast("double"))).alias("separation"))
+    return own_units.join(found, ["grp", "node"]).select("grp", F.when(F.col("place") == 1, 1).otherwise(2).alias("split"), F.col("unit_id").cast("int").alias("unit_id"), "value", part.alias("part"), (F.col("eigenvalue") * F.signum(F.col("place").cast("double"))).alias("separation"))
 
 
 def compare_sets(one: DataFrame, two: DataFrame, ndists: int, thresh: float = 0.1) -> DataFrame:

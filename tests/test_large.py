@@ -230,3 +230,17 @@ def test_units_of_one_plan_go_through_rounds_as_one(spark, monkeypatch, kinds):
         assert gap @ x == pytest.approx((value if split == 1 else -value) * x, abs=1e-5)
         if kinds > 1:
             assert abs(x @ vector) == pytest.approx(1, abs=1e-5)
+
+
+def test_classes_are_found_without_rows_of_all_units(spark, monkeypatch):
+    """Of sixty-four units with one plan, only the first one's rows and a number of all are written; chunks come to the tasks without a shuffle of units."""
+    asg = spark.createDataFrame([(d, u, 1) for u in range(64) for d in range(3)], "draw int, unit_id int, district int")
+    written = []
+    keep = overlap.shared_table
+    monkeypatch.setattr(overlap, "shared_table", lambda df: written.append(keep(df)) or written[-1])
+    found = overlap.cooccurrence(asg, chunk=7)
+    assert [t.count() for t in written if "district" in t.columns] == [3]
+    assert max(t.count() for t in written if "unit_id" in t.columns and "district" not in t.columns) == 64
+    spread = _plan(found).split("REPARTITION_BY_NUM")
+    assert "units" in spread[0] and "units" not in spread[1].split("Scan parquet")[0]
+    assert sorted((r.unit_i, r.unit_j, r.p) for r in found.collect()) == [(u, v, 1.0) for u in range(64) for v in range(u + 1, 64)]
